@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossmill.llm.merges import Merger, coded
 from glossmill.llm.shared import documents, per_batch
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -29,7 +30,7 @@ ODD = re.compile("[^\t-\r -~¡-įı-ſ‐-‧‰-⁞]|<\\|")
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 DIGITS = "0-9²³¹¼½¾"
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\\s{LETTERS}{DIGITS}]+")
-MAX_CACHED = 200_000
+MAX_CACHED = 400_000
 
 _tokenizers: dict = {}
 
@@ -75,7 +76,7 @@ def frequent(df: DataFrame, split, max_words: int, least: int = 4) -> list[str]:
         for batch in batches:
             for text in batch.column(0):
                 seen.update(split(text.as_py() or "") or ())
-                if len(seen) > 4 * MAX_CACHED:
+                if len(seen) > 2 * MAX_CACHED:
                     yield out()
         yield out()
 
@@ -204,6 +205,7 @@ class WordCoder:
 
     def __init__(self, path: str, lexicon: Lexicon | None = None) -> None:
         self.tokenizer, self.lexicon = tokenizer(path), lexicon
+        self.merger = Merger(self.tokenizer)
         self.decimal: dict[str, str] = {}
         self.tokens: dict[str, str] = {}
         self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
@@ -221,8 +223,9 @@ class WordCoder:
         for w, r in zip(new, ranks.tolist(), strict=True):
             if r >= 0:
                 self.put(w, self.lexicon.ids_of(r))
-        for w, e in zip(unseen, self.tokenizer.encode_batch(unseen, add_special_tokens=False), strict=True):
-            self.put(w, e.ids)
+        words, ids, ends = coded(self.merger, self.tokenizer, unseen)
+        for w, own in zip(words, map(ids.tolist().__getitem__, map(slice, [0, *ends], ends)), strict=True):
+            self.put(w, own)
 
     def put(self, word: str, ids: list[int]) -> None:
         self.decimal[word] = " ".join(map(str, ids))
@@ -231,7 +234,7 @@ class WordCoder:
     def code(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids in decimal joined by spaces, decoded text) of each text."""
         split = [words_of(t) for t in texts]
-        self.learn({w for words in split if words for w in words})
+        self.learn(set().union(*(words for words in split if words)))
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:

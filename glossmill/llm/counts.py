@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm.bpe import DIGITS, LETTERS, MAX_CACHED, ODD, frequent, tokenizer, tokenizer_path
+from glossmill.llm.merges import Merger, coded
 from glossmill.llm.shared import documents, per_batch, utf8
 
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\\s{LETTERS}{DIGITS}]+|\\s+(?!\\S)|\\s+")
@@ -65,17 +66,19 @@ class Lengths:
 class Counter:
     def __init__(self, path: str, table: Lengths | None) -> None:
         self.tokenizer, self.table, self.cache = tokenizer(path), table, {}
+        self.merger = Merger(self.tokenizer)
 
     def count(self, texts: list[str]) -> list[int]:
         split = [pieces_of(t) for t in texts]
-        wanted = {p for pieces in split if pieces for p in pieces}
+        wanted = set().union(*(pieces for pieces in split if pieces))
         if len(self.cache) > MAX_CACHED:
             self.cache.clear()
         new = list(wanted.difference(self.cache))
         known = self.table.find(new) if self.table else [0] * len(new)
         self.cache.update((p, n) for p, n in zip(new, known, strict=True) if n)
         rest = [p for p, n in zip(new, known, strict=True) if not n]
-        self.cache.update((p, len(e.ids)) for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True))
+        done, _, ends = coded(self.merger, self.tokenizer, rest)
+        self.cache.update(zip(done, np.diff(ends, prepend=0).tolist(), strict=True))
         return [len(self.tokenizer.encode(t, add_special_tokens=False).ids) if p is None else sum(map(self.cache.__getitem__, p)) for t, p in zip(texts, split, strict=True)]
 
 

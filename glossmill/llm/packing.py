@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm.bpe import MAX_CACHED, tokenizer, tokenizer_path, words_of
+from glossmill.llm.merges import Merger, coded
 from glossmill.llm.shared import documents
 
 SENTENCE_PENALTY, WORD_PENALTY = 8, 64
@@ -75,6 +76,7 @@ class Ids:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
+        self.merger = Merger(self.tokenizer)
         self.cache: dict[str, bytes] = {}
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sentence_end = np.zeros(max(names.values()) + 2, bool)
@@ -82,11 +84,14 @@ class Ids:
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [words_of(t) for t in texts]
-        wanted = {w for words in split if words for w in words}
+        wanted = set().union(*(words for words in split if words))
         if len(self.cache) > MAX_CACHED:
             self.cache.clear()
         new = list(wanted.difference(self.cache))
-        self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True))
+        words, ids, ends = coded(self.merger, self.tokenizer, new)
+        raw = ids.astype("<u4").tobytes()
+        ends = [4 * e for e in ends]
+        self.cache.update(zip(words, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
         return [
             np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(self.cache.__getitem__, words))
             for t, words in zip(texts, split, strict=True)
