@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from glossmill.llm import bpe, counts, jaccard, media, packing, pii, quality, sharding
+from glossmill.llm import bpe, counts, jaccard, media, packing, pii, quality, sharding, substrings
 
-MODULES = [sharding, pii, jaccard, quality, bpe, counts, media, packing]
+MODULES = [sharding, pii, jaccard, quality, substrings, bpe, counts, media, packing]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
