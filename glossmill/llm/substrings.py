@@ -241,15 +241,30 @@ def without(text: str, gone: np.ndarray) -> str:
     return "".join(p for p, g in zip(pieces, gone.tolist(), strict=True) if not g).strip(" \t\n\x0b\f\r")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, doc, tie, text: doc is the id (the largest long for null) and tie 0, or a hash of the words where ids repeat or are null."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text_col).alias("text"))
+def keyed(docs: DataFrame, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
+    """doc_id, doc, tie, text, and row with all columns if `whole`.
+
+    doc is the id (the largest long for null), and tie 0, or a hash of the words where ids repeat or are null.
+    """
+    row = [F.struct("*").alias("row")] if whole else []
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text_col).alias("text"), *row)
     if plain.groupBy("doc").count().filter(f"count > 1 or doc = {LAST_ID}").limit(1).count():
         words = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
         tie = F.xxhash64(F.btrim(words))
     else:
         tie = F.lit(0).cast("long")
-    return plain.select("doc_id", "doc", tie.alias("tie"), "text")
+    return plain.select("doc_id", "doc", tie.alias("tie"), "text", *(["row"] if whole else []))
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """docs (with doc_id, text, n_chars) with repeated passages cut out of the texts; documents that lose every word go."""
+    rows, cut = dedup(docs, texts=True)
+    change = written(rows.filter("fate <> 'kept'").select("doc", "tie").distinct().join(cut.select("doc", "tie", F.col("text").alias("cut")), ["doc", "tie"], "left"), "substrings-change")
+    joined = keyed(docs, "doc_id", "text", whole=True).join(change.withColumn("hit", F.lit(True)), ["doc", "tie"], "left")
+    left = joined.filter("hit is null or cut <> ''")  # a document removed wholly has no cut text
+    changed = F.col("hit").isNotNull()
+    new = {"text": F.when(changed, F.col("cut")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("cut").cast("long")).otherwise(F.col("row.n_chars"))}
+    return left.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
