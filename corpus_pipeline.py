@@ -1,12 +1,58 @@
-"""A corpus pipeline: quality rules, near-duplicate removal, substring deduplication, personal data, packing."""
+"""A corpus pipeline: quality rules, near-duplicate removal, substring deduplication, personal data, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from glossmill.llm.bpe import tokenizer_path
+from glossmill.llm.jaccard import similar_components
+from glossmill.llm.packing import pack
+from glossmill.llm.pii import redact
+from glossmill.llm.quality import judge
 from glossmill.llm.shared import documents, written
+from glossmill.llm.substrings import cut_repeats
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.filter("kept").select(*docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar ones: that with the smallest id; of rows that share it, one."""
+    classes = similar_components(docs)
+    heads = classes.filter("doc_id <=> component_id").select("doc_id").distinct()
+    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that occur earlier; documents of which nothing is left go."""
+    return cut_repeats(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("substring_dedup", substring_dedup),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 ORACLE_SQL = None
 
 
