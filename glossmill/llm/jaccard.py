@@ -35,8 +35,8 @@ NEED = 80
 SKETCH = 2048
 #: Frequent shingles: met at least HOT_DF times; at most MAX_HOT of them (2 MB) are broadcast. They only decide an order.
 HOT_DF, MAX_HOT, COUNT_BLOCK = 48, 1 << 17, 1 << 22
-#: Hashes of a group's sets that one task may hold (64 MB).
-GROUP_HASHES = 8_000_000
+#: Hashes of a group's sets that one task may hold (24 MB).
+GROUP_HASHES = 3_000_000
 
 
 def sets_of(texts: list[str | None]) -> list[np.ndarray]:
@@ -104,7 +104,7 @@ def shared_regions(rows: DataFrame) -> DataFrame:
     """
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         keep = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def out(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -113,11 +113,11 @@ def shared_regions(rows: DataFrame) -> DataFrame:
             sums = np.add.reduceat(fp.view(np.uint64), starts) if len(starts) else np.zeros(0, np.uint64)
             good = np.zeros(len(starts), bool)
             for k in np.flatnonzero(sizes > 1).tolist():
-                mark = int(sums[k]), int(sizes[k])
+                mark = int(sums[k]) ^ int(sizes[k]) << 20
                 if mark not in seen:
                     good[k] = True
                     seen.add(mark)
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             rows = np.repeat(good, sizes)
             return pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(fp[rows])], ["region", "fp"])
@@ -138,20 +138,26 @@ def far(differ: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
 
 
 def leader_edges(fp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect all points of one region which may be within the distance (see step 3). bits: rows of 64-bit words."""
+    """A forest of edges that connects all points of one region which may be within the distance (see step 3). bits: rows of 64-bit words."""
     edges: list[tuple[int, int]] = []
     order = np.argsort(n, kind="stable")
     fp, n, bits = fp[order], n[order], bits[order]
     left = np.ones(len(fp), bool)
+    root = np.arange(len(fp))
     for k in range(len(fp)):
         if not left[k]:
             continue
+        if (root == root[0]).all():
+            break
         # Sizes within two radii: a smaller set has at least 100 - 2 (100 - NEED) percent of the larger one's elements.
         wide = 2 * (100 - NEED)
         a, b = np.searchsorted(n, n[k] * (100 - wide) / 100, "left"), np.searchsorted(n, n[k] * 100 / (100 - wide), "right")
         differ = np.maximum(np.bitwise_count(bits[a:b] ^ bits[k]).sum(axis=1, dtype=np.int64), np.abs(n[a:b] - n[k]))
         inside = ~far(differ, n[a:b] + n[k], wide)
-        edges += [(int(fp[k]), x) for x in fp[a:b][inside].tolist() if x != fp[k]]
+        for r in np.unique(root[a:b][inside]).tolist():  # one edge for each part of the region that joins
+            if r != root[k]:
+                edges.append((int(fp[k]), int(fp[r])))
+                root[root == r] = root[k]
         left[a:b] &= far(differ, n[a:b] + n[k], 100 - NEED)
         left[k] = False
     return edges
