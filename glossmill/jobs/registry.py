@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from glossmill.jobs.oracles import SQL
+from glossmill.jobs.queries import QUERIES
+
+__all__ = ["QUERIES", "SQL"]

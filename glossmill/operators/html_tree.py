@@ -313,30 +313,30 @@ def run_text(run: list[Node]) -> tuple[str, list[tuple[int, int, str]]]:
 
 def normalized(text: str, spans: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, str]]]:
     """Runs of white space become one newline (if they hold one) or space, ends are trimmed; spans follow, in UTF-16 units."""
+    if not spans:
+        return BLANKS.sub(lambda m: "\n" if "\n" in m[0] else " ", text).strip(" \n"), []
     out: list[str] = []
-    place = [0] * (len(text) + 1) if spans else []
+    place = [0] * (len(text) + 1)
     size = at = 0
 
     def copy(piece: str, begin: int) -> None:
         nonlocal size
         out.append(piece)
         for k, c in enumerate(piece):
-            if place:
-                place[begin + k] = size
+            place[begin + k] = size
             size += 1 + (c > "￿")
 
     for m in BLANKS.finditer(text):
         copy(text[at : m.start()], at)
-        for k in range(m.start(), m.end()) if place else ():
+        for k in range(m.start(), m.end()):
             place[k] = size
         if m.start() and m.end() < len(text):
             copy("\n" if "\n" in m[0] else " ", m.start())
-            for k in range(m.start() + 1, m.end()) if place else ():
+            for k in range(m.start() + 1, m.end()):
                 place[k] = size
         at = m.end()
     copy(text[at:], at)
-    if place:
-        place[len(text)] = size
+    place[len(text)] = size
     return "".join(out), [(min(place[a], size), min(place[b], size) if text[b - 1 : b].strip(BLANK_CHARS) else min(place[b - 1], size), k) for a, b, k in spans]
 
 
@@ -344,7 +344,7 @@ BLANK_CHARS = "".join(chr(c) for c in range(0x10000) if BLANKS.fullmatch(chr(c))
 
 
 def u16(text: str) -> int:
-    return len(text) + sum(c > "￿" for c in text)
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 @dataclass
