@@ -3,7 +3,7 @@
 1. Every document becomes its set of 5-word shingles (64-bit hashes) and a fingerprint of the set; equal sets are one point.
 2. Pivots of single shingles: sets within distance 0.2 share one of the first n - ceil(0.8 n) + 1 shingles in any fixed order, so a
    point enters the region of each of those. The order puts frequent shingles last, which keeps regions small.
-3. In each region, leaders attach points in the Hamming space of 2048-bit parity sketches, whose distance never exceeds the sets'
+3. In each region, leaders attach points in the Hamming space of parity sketches (2 to 4 bits an element), whose distance never exceeds the sets'
    difference. A point joins every leader within two radii (the triangle inequality), so the groups that come out, merged over all
    regions, hold every pair within distance 0.2.
 4. Each group is joined exactly on its full sets: a pivot's distances to the others give links, and the remaining points are joined
@@ -32,7 +32,8 @@ from glossmill.llm.shingles import shingle_sets
 
 #: Jaccard similarity of at least NEED / 100.
 NEED = 80
-SKETCH = 2048
+#: Least bits of a sketch.
+SKETCH = 256
 #: Frequent shingles: met at least HOT_DF times; at most MAX_HOT of them (2 MB) are broadcast. They only decide an order.
 HOT_DF, MAX_HOT, COUNT_BLOCK = 48, 1 << 17, 1 << 22
 #: Hashes of a group's sets that one task may hold (24 MB).
@@ -48,8 +49,44 @@ def fingerprint(own: np.ndarray) -> int:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """Parities of the shingles' buckets: two sketches differ in at most as many bits as the sets in elements."""
-    return np.packbits(np.bincount((own >> np.uint64(53)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+    """Parities of the shingles' buckets, a power of two of them: two sketches differ in at most as many bits as the sets in elements."""
+    size = max(SKETCH, 1 << (2 * len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own >> np.uint64(24)).astype(np.int64) & (size - 1), minlength=size) & 1).tobytes()
+
+
+def halved(bits: np.ndarray) -> np.ndarray:
+    """Sketches with half as many buckets."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
+class Sketches:
+    """Sketches of points ordered by size, as one matrix for each length."""
+
+    def __init__(self, bits: list[bytes]) -> None:
+        length = np.array([len(b) for b in bits])
+        self.starts = np.concatenate([[0], np.flatnonzero(np.diff(length)) + 1, [len(bits)]])
+        self.full = [np.frombuffer(b"".join(bits[a:b]), np.uint64).reshape(b - a, -1) for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)]
+        self.half = [halved(m) for m in self.full]
+
+    def differ(self, k: int, a: int, b: int) -> np.ndarray:
+        """Least numbers of elements in which point k differs from points a to b."""
+        own = int(np.searchsorted(self.starts, k, "right")) - 1
+        row = k - self.starts[own]
+        out = []
+        for c in range(len(self.full)):
+            lo, hi = max(a, self.starts[c]) - self.starts[c], min(b, self.starts[c + 1]) - self.starts[c]
+            if hi > lo:
+                x, y = self.full[own][row], self.full[c]
+                if len(x) > y.shape[1]:
+                    x = self.half[own][row]
+                elif len(x) < y.shape[1]:
+                    y = self.half[c]
+                if len(x) != y.shape[1]:  # more than twice the size: only the sizes tell
+                    out.append(np.zeros(hi - lo, np.int64))
+                else:
+                    out.append(np.bitwise_count(y[lo:hi] ^ x).sum(axis=1, dtype=np.int64))
+        return np.concatenate(out)
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -137,11 +174,11 @@ def far(differ: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
     return 200 * differ > percent * (total + differ)
 
 
-def leader_edges(fp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
-    """A forest of edges that connects all points of one region which may be within the distance (see step 3). bits: rows of 64-bit words."""
+def leader_edges(fp: np.ndarray, n: np.ndarray, bits: list[bytes]) -> list[tuple[int, int]]:
+    """A forest of edges that connects all points of one region which may be within the distance (see step 3)."""
     edges: list[tuple[int, int]] = []
     order = np.argsort(n, kind="stable")
-    fp, n, bits = fp[order], n[order], bits[order]
+    fp, n, bits = fp[order], n[order], Sketches([bits[k] for k in order.tolist()])
     left = np.ones(len(fp), bool)
     root = np.arange(len(fp))
     for k in range(len(fp)):
@@ -152,7 +189,7 @@ def leader_edges(fp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> list[tuple[
         # Sizes within two radii: a smaller set has at least 100 - 2 (100 - NEED) percent of the larger one's elements.
         wide = 2 * (100 - NEED)
         a, b = np.searchsorted(n, n[k] * (100 - wide) / 100, "left"), np.searchsorted(n, n[k] * 100 / (100 - wide), "right")
-        differ = np.maximum(np.bitwise_count(bits[a:b] ^ bits[k]).sum(axis=1, dtype=np.int64), np.abs(n[a:b] - n[k]))
+        differ = np.maximum(bits.differ(k, int(a), int(b)), np.abs(n[a:b] - n[k]))
         inside = ~far(differ, n[a:b] + n[k], wide)
         for r in np.unique(root[a:b][inside]).tolist():  # one edge for each part of the region that joins
             if r != root[k]:
@@ -177,7 +214,7 @@ def region_edges(members: DataFrame) -> DataFrame:
                 region = table.column("region").to_numpy()
                 stop = table.num_rows if whole else int(np.flatnonzero(region != region[-1])[-1:].sum() + 1) if (region != region[-1]).any() else 0
                 fp, n = table.column("fp").to_numpy(), table.column("n").to_numpy()
-                bits = np.frombuffer(b"".join(table.column("bits").slice(0, stop).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+                bits = table.column("bits").slice(0, stop).to_pylist()
                 cuts = [0, *(np.flatnonzero(np.diff(region[:stop])) + 1).tolist(), stop] if stop else [0]
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     edges.update(leader_edges(fp[a:b], n[a:b], bits[a:b]))
