@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm.merges import Merger, coded
-from glossmill.llm.shared import documents, per_batch
+from glossmill.llm.shared import documents, most_frequent, per_batch
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -59,10 +59,10 @@ def words_of(text: str) -> list[str] | None:
 
 
 def frequent(df: DataFrame, split, max_words: int, least: int = 4) -> list[str]:
-    """The max_words most frequent pieces of the column `text` (ties: in order of the piece), counted over all rows.
+    """The most frequent pieces of the column `text`, at most max_words of them, counted over all rows.
 
     Each task counts its own rows and passes on pieces that it met at least `least` times: the choice only decides which pieces are
-    looked up early, never a result. At most max_words pieces come to the driver.
+    looked up early, never a result.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,7 @@ def frequent(df: DataFrame, split, max_words: int, least: int = 4) -> list[str]:
         yield out()
 
     counts = df.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece for r in counts.orderBy(F.desc("n"), "piece").limit(max_words).collect()]
+    return most_frequent(counts, "piece", max_words, "pieces")
 
 
 class Lexicon:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm.components import components
-from glossmill.llm.shared import attach, documents, dropped, per_batch, utf8, written
+from glossmill.llm.shared import attach, documents, most_frequent, per_batch, utf8, written
 from glossmill.llm.shingles import shingle_sets
 
 #: Jaccard similarity of at least NEED / 100.
@@ -108,8 +108,8 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         yield out()
 
     counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.col("n") >= HOT_DF).orderBy(F.desc("n"), "h").limit(MAX_HOT).select("h").toArrow()
-    return np.sort(top.column("h").to_numpy().view(np.uint64))
+    top = most_frequent(counts.filter(F.col("n") >= HOT_DF), "h", MAX_HOT, "jaccard-frequent")
+    return np.sort(np.array(top, np.int64).view(np.uint64))
 
 
 def points(docs: DataFrame) -> DataFrame:

@@ -79,3 +79,21 @@ def attach(df: DataFrame, table: DataFrame, key: str, weight: str, total: int) -
 
 def hex_sha256(text: Column) -> Column:
     return F.sha2(text, 256)
+
+
+def most_frequent(counts: DataFrame, key: str, most: int, name: str) -> list:
+    """The most frequent keys of counts (key, n): all those at or above a frequency level, the lowest that leaves at most `most` keys.
+
+    A level is a 32nd of a doubling, so a histogram of a few hundred rows and at most `most` keys come to the driver.
+    """
+    level = F.floor(F.log2("n") * 32)
+    table = written(counts.withColumn("level", level), name)
+    total, least = 0, None
+    for row in sorted(table.groupBy("level").agg(F.count("*").alias("keys")).collect(), reverse=True):
+        total += row["keys"]
+        if total > most:
+            break
+        least = row.level
+    found = [] if least is None else [r[0] for r in table.filter(F.col("level") >= least).select(key).collect()]
+    dropped(table)
+    return sorted(found)
