@@ -28,14 +28,15 @@ from pyspark.sql import functions as F
 
 from glossmill.llm.components import components
 from glossmill.llm.shared import attach, documents, most_frequent, per_batch, utf8, written
-from glossmill.llm.shingles import shingle_sets
+from glossmill.llm.shingles import mixed, shingle_sets
 
 #: Jaccard similarity of at least NEED / 100.
 NEED = 80
 #: Least bits of a sketch.
 SKETCH = 256
-#: Frequent shingles: met at least HOT_DF times; at most MAX_HOT of them (2 MB) are broadcast. They only decide an order.
-HOT_DF, MAX_HOT, COUNT_BLOCK = 48, 1 << 17, 1 << 22
+#: Frequent shingles: met at least HOT_DF times in blocks that hold them twice; at most MAX_HOT of them (2 MB) are broadcast. They
+#: only decide an order.
+HOT_DF, MAX_HOT, COUNT_BLOCK = 10, 1 << 18, 1 << 22
 #: Hashes of a group's sets that one task may hold (24 MB).
 GROUP_HASHES = 3_000_000
 
@@ -90,7 +91,7 @@ class Sketches:
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of frequent shingles. Tasks count blocks of their own rows and pass on what a block holds three times or more."""
+    """Sorted hashes of frequent shingles. Tasks count blocks of their own rows and pass on what a block holds twice or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -98,7 +99,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         def out() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(values[n > 2].view(np.int64)), pa.array(n[n > 2])], ["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -135,9 +136,10 @@ def points(docs: DataFrame) -> DataFrame:
 
 
 def shared_regions(rows: DataFrame) -> DataFrame:
-    """(region, fp) of the regions with two points or more, from (key, fp) rows sorted by key; regions with the same points count once.
+    """(region, fp) of the regions with two points or more, from (key, fp) rows sorted by key.
 
-    Streams over sorted rows; what must be together is only neighbouring rows of a key.
+    A region's name is a hash of its points, so regions with the same points are one. Streams over sorted rows; what must be together
+    is only neighbouring rows of a key.
     """
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,16 +150,16 @@ def shared_regions(rows: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
             sizes = np.diff(starts, append=len(key))
             sums = np.add.reduceat(fp.view(np.uint64), starts) if len(starts) else np.zeros(0, np.uint64)
+            marks = mixed(sums + sizes.astype(np.uint64)).view(np.int64)
             good = np.zeros(len(starts), bool)
             for k in np.flatnonzero(sizes > 1).tolist():
-                mark = int(sums[k]) ^ int(sizes[k]) << 20
-                if mark not in seen:
+                if int(marks[k]) not in seen:
                     good[k] = True
-                    seen.add(mark)
+                    seen.add(int(marks[k]))
             if len(seen) > 200_000:
                 seen.clear()
             rows = np.repeat(good, sizes)
-            return pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(fp[rows])], ["region", "fp"])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(marks, sizes)[rows]), pa.array(fp[rows])], ["region", "fp"])
 
         for batch in batches:
             key, fp = (np.concatenate([k, batch.column(c).to_numpy()]) for c, k in enumerate(keep))
@@ -166,7 +168,7 @@ def shared_regions(rows: DataFrame) -> DataFrame:
             keep = key[last:], fp[last:]
         yield out(*keep)
 
-    return rows.mapInArrow(pick, "region long, fp long")
+    return rows.mapInArrow(pick, "region long, fp long").distinct()
 
 
 def far(differ: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
