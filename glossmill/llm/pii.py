@@ -55,13 +55,12 @@ def confirmed(kind: str, text: Column) -> Column:
 
 
 def detect(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
-    """docs with `out`: array of (start, end, kind, text, score, base), by start and kind.
+    """docs with `out` (in place of a column of that name): array of (start, end, kind, text, score, base), by start and kind.
 
     Confirmed candidates of the base kinds always stay. Candidates of the other kinds stay with a score of at least LEAST, where
     they don't overlap a base span.
     """
-    names = docs.columns
-    work = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    work = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     for k, (pattern, test) in KINDS.items():
         found = F.contains("_text", F.lit(test)) if test == "@" else F.col("_text").rlike(test)
         work = work.withColumn(f"_h_{k}", F.when(found, columns.matches(F.col("_text"), pattern)).otherwise(F.array().cast("array<string>")))
@@ -83,7 +82,7 @@ def detect(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFra
     work = work.withColumn("_base", F.concat(*(F.col(f"_p_{k}") for k in BASE)))
     more = F.concat(*(F.filter(f"_p_{k}", lambda s: s["score"] >= LEAST) for k in KINDS if k not in BASE))
     free = F.when(F.size(more) > 0, F.filter(more, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(more)
-    return work.withColumn(out, F.array_sort(F.concat("_base", free))).select(*names, out)
+    return work.withColumn(out, F.array_sort(F.concat("_base", free))).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c != out), out)
 
 
 def listed(spans: Column) -> Column:

@@ -118,7 +118,18 @@ def test_op4_measures_and_verdict(spark, rows, folder, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judge(empty, labels).count() == 0
     plain = quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), labels)
-    assert {r.doc_id for r in plain.filter("kept").collect()} == {i for i, t in rows if not brute.quality(t)[5]}
+    assert {r.row.doc_id for r in plain.filter("kept").collect()} == {i for i, t in rows if not brute.quality(t)[5]}
+
+
+def test_clashing_columns(spark, docs):
+    clash = docs.withColumns({n: F.lit("mine") for n in ("score", "n_words", "base_failed", "pii", "shard", "fate", "cut", "text_crc32", "n_chars")})
+    labels = spark.createDataFrame([(13, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.judge(clash, labels).filter("kept").select("row.*")
+    assert kept.columns == clash.columns and kept.select("kept", "score").first() == (1, "mine")
+    assert pii.redact(clash).select("pii").first()[0] == "mine"
+    assert "pii" in pii.detect(clash).columns
+    assert substrings.cut_repeats(clash).columns == clash.columns
+    assert jaccard.similar_components(clash).count() == sharding.byte_shards(clash, 3).count() == clash.count()
 
 
 def test_op4_separates_labelled_rows(spark):
