@@ -20,7 +20,7 @@ from glossmill.llm.substrings import cut_repeats
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.filter("kept").select(*docs.columns)
+    return judged.filter("kept").select("row.*")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
