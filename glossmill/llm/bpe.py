@@ -208,7 +208,11 @@ class WordCoder:
         self.merger = Merger(self.tokenizer)
         self.decimal: dict[str, str] = {}
         self.tokens: dict[str, str] = {}
-        self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.digits = [str(i) for i in range(max(vocab.values()) + 1)]
+        self.names = [""] * len(self.digits)
+        for token, i in vocab.items():
+            self.names[i] = token
 
     def learn(self, words: set[str]) -> None:
         new = list(words.difference(self.decimal))
@@ -219,17 +223,21 @@ class WordCoder:
             self.tokens.clear()
             new = list(words)
         ranks = self.lexicon.ranks(new) if self.lexicon else np.full(len(new), -1)
-        unseen = [w for w, r in zip(new, ranks, strict=True) if r < 0]
+        unseen = [w for w, r in zip(new, ranks.tolist(), strict=True) if r < 0]
+        words, ids, ends = coded(self.merger, self.tokenizer, unseen)
+        self.put(words, ids.tolist(), ends)
         for w, r in zip(new, ranks.tolist(), strict=True):
             if r >= 0:
-                self.put(w, self.lexicon.ids_of(r))
-        words, ids, ends = coded(self.merger, self.tokenizer, unseen)
-        for w, own in zip(words, map(ids.tolist().__getitem__, map(slice, [0, *ends], ends)), strict=True):
-            self.put(w, own)
-
-    def put(self, word: str, ids: list[int]) -> None:
-        self.decimal[word] = " ".join(map(str, ids))
-        self.tokens[word] = " ".join(self.names[i] for i in ids)
+                ids = self.lexicon.ids_of(r)
+                self.put([w], ids, [len(ids)])
+
+    def put(self, words: list[str], ids, ends: list[int]) -> None:
+        """Remembers words whose ids are concatenated."""
+        digits = list(map(self.digits.__getitem__, ids))
+        names = list(map(self.names.__getitem__, ids))
+        parts = list(map(slice, [0, *ends[:-1]], ends))
+        self.decimal.update(zip(words, map(" ".join, map(digits.__getitem__, parts)), strict=True))
+        self.tokens.update(zip(words, map(" ".join, map(names.__getitem__, parts)), strict=True))
 
     def code(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids in decimal joined by spaces, decoded text) of each text."""
