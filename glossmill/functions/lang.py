@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,21 +17,29 @@ def normal_tag(tag: Column) -> Column:
     return F.nullif(F.translate(text.trimmed(F.lower(tag)), "_", "-"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def zh_variant(tag: Column) -> Column:
     """hant, hans, zh (bare), unknown; null where the tag isn't Chinese."""
-    parts = F.split(normal_tag(tag), "-", -1)
-    rest = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
-    lengths = F.transform(rest, lambda p: F.when(F.length(p) == 1, 1).otherwise(0))
-    single = F.array_position(lengths, 1)  # what follows a one-letter subtag belongs to it
-    own = F.when(single > 0, F.slice(rest, 1, (single - 1).cast("int"))).otherwise(rest)
-    regions = F.filter(own, lambda p: p.isin("tw", "hk", "mo", "cn", "sg", "my"))
-    return F.when(F.get(parts, F.lit(0)) == "zh", F.when(F.size(parts) == 1, "zh")
-        .when(F.array_contains(own, "hant"), "hant")
-        .when(F.array_contains(own, "hans"), "hans")
-        .when(F.exists(own, lambda p: F.length(p) == 4), "unknown")
-        .when(F.get(regions, F.lit(0)).isin("tw", "hk", "mo"), "hant")
-        .when(F.get(regions, F.lit(0)).isin("cn", "sg", "my"), "hans")
-        .otherwise("unknown"))
+
+    def subtags(parts: Column) -> Column:
+        """What follows the language, up to a one-letter subtag, which begins an extension."""
+        rest = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
+        return let(rest, lambda r: let(F.array_position(F.transform(r, lambda p: F.length(p) == 1), True), lambda at: F.when(at > 0, F.slice(r, 1, (at - 1).cast("int"))).otherwise(r)))
+
+    def named(own: Column) -> Column:
+        region = F.get(F.filter(own, lambda p: p.isin("tw", "hk", "mo", "cn", "sg", "my")), F.lit(0))
+        return (
+            F.when(F.array_contains(own, "hant"), "hant")
+            .when(F.array_contains(own, "hans"), "hans")
+            .when(F.exists(own, lambda p: F.length(p) == 4), "unknown")
+            .otherwise(let(region, lambda r: F.when(r.isin("tw", "hk", "mo"), "hant").when(r.isNotNull(), "hans").otherwise("unknown")))
+        )
+
+    return let(F.split(normal_tag(tag), "-", -1), lambda parts: F.when(F.get(parts, F.lit(0)) == "zh", F.when(F.size(parts) == 1, "zh").otherwise(let(subtags(parts), named))))
 
 
 def satisfies(target: Column, lang: Column) -> Column:
@@ -41,21 +51,21 @@ def satisfies(target: Column, lang: Column) -> Column:
 def page_is_target(page_lang: Column, sample: Column, target: Column) -> Column:
     """The page's own tag decides; without one, a sample with Han and without kana or Hangul counts as bare Chinese."""
     wanted = zh_variant(F.coalesce(F.nullif(target, F.lit("")), F.lit(DEFAULT_TARGET)))
-    tag = normal_tag(page_lang)
-    looks = text.has_han(sample) & ~text.has_kana_or_hangul(sample) & satisfies(wanted, F.lit("zh"))
-    return F.coalesce(F.when(tag.isNotNull(), satisfies(wanted, zh_variant(tag))).otherwise(looks), F.lit(False))
+    looks = text.has_han(sample) & ~text.has_kana_or_hangul(sample)
+    found = F.when(normal_tag(page_lang).isNotNull(), zh_variant(page_lang)).when(looks, "zh")
+    return F.coalesce(let(wanted, lambda w: satisfies(w, found)), F.lit(False))
 
 
 def already_target(lang: Column, target: Column) -> Column:
     """Whether an element's own tag is the target's: by variant for a Chinese target, else by primary subtag."""
     a, b = normal_tag(lang), normal_tag(target)
-    same = F.when(zh_variant(target).isNotNull(), satisfies(zh_variant(target), zh_variant(lang))).otherwise(F.substring_index(a, "-", 1) == F.substring_index(b, "-", 1))
+    same = F.when(zh_variant(target).isNotNull(), let(zh_variant(target), lambda t: satisfies(t, zh_variant(lang)))).otherwise(F.substring_index(a, "-", 1) == F.substring_index(b, "-", 1))
     return F.coalesce(same, F.lit(False))
 
 
 def insert_mode(kind: Column, is_button: Column, anchor_tag: Column, eff_lang: Column, source: Column, only_text: Column, target: Column) -> Column:
     """replace for short buttons and for Simplified text-only blocks under a Traditional target, else after-segment."""
-    hant = satisfies(zh_variant(target), F.lit("hant"))
+    hant = let(zh_variant(target), lambda t: satisfies(t, F.lit("hant")))
     hans = F.coalesce(zh_variant(eff_lang) == "hans", F.lit(False))
     chinese = text.has_han(source) & ~text.has_kana_or_hangul(source)
     in_place = ~is_button & ~anchor_tag.isin("body", "html") & hant & hans & chinese & only_text
