@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm.components import components
-from glossmill.llm.shared import attach, documents, most_frequent, per_batch, utf8, written
+from glossmill.llm.shared import attach, documents, most_frequent, parted, per_batch, utf8, written
 from glossmill.llm.shingles import mixed, shingle_sets
 
 #: Jaccard similarity of at least NEED / 100.
@@ -359,6 +359,22 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.unionByName(alone)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, any others) less those that are in a component with a smaller doc_id.
+
+    Where ids repeat or are null, every row with the id of a component stays, but rows equal in id and text count once.
+    """
+    classes = written(similar_components(docs), "jaccard-classes")
+    whole = docs.select(F.struct("*").alias("row"), "doc_id")
+    if classes.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
+        heads = classes.filter("doc_id <=> component_id").select(F.col("doc_id").alias("id")).distinct()
+        kept = whole.withColumn("text", F.col("row.text")).join(heads, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        return kept.dropDuplicates(["doc_id", "text"]).select("row.*")
+    gone = classes.filter("doc_id <> component_id").select("doc_id")
+    untouched, perhaps = parted(whole, gone, "doc_id")
+    return untouched.unionByName(perhaps.join(gone, "doc_id", "left_anti")).select("row.*")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir))
 

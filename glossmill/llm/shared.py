@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,3 +98,34 @@ def most_frequent(counts: DataFrame, key: str, most: int, name: str) -> list:
     found = [] if least is None else [r[0] for r in table.filter(F.col("level") >= least).select(key).collect()]
     dropped(table)
     return sorted(found)
+
+
+#: Words of a bit table that says which keys may be in a set; its size is fixed, a full one only filters less.
+FILTER_WORDS = 1 << 19
+
+
+def may_hold(keys: DataFrame, *names: str) -> np.ndarray:
+    """A bit table of the key columns' hashes: FILTER_WORDS 64-bit words (4 MB), whatever the number of rows."""
+    h = F.xxhash64(*names)
+    bit = F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
+    rows = keys.select(F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(FILTER_WORDS, np.int64)
+    table[rows.column("w").to_numpy()] = rows.column("bits").to_numpy()
+    return table
+
+
+def parted(df: DataFrame, keys: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose key is surely not in keys, the others), by a bit table, before any shuffle; both have df's columns."""
+    sent = df.sparkSession.sparkContext.broadcast(may_hold(keys, *names))
+    hashed = df.withColumn("_h", F.xxhash64(*names))
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+
+    def part(inside: bool) -> DataFrame:
+        def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+            h = batch.column("_h").to_numpy()
+            hit = (sent.value[h % FILTER_WORDS] >> ((h >> np.int64(40)) % 64)) & 1 == 1
+            return batch.filter(pa.array(hit == inside)).drop_columns(["_h"])
+
+        return per_batch(hashed, keep, schema, 10_000)
+
+    return part(False), part(True)

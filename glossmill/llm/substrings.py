@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.shared import attach, documents, dropped, per_batch, utf8, written
+from glossmill.llm.shared import attach, documents, dropped, parted, per_batch, utf8, written
 from glossmill.llm.shingles import fives, joined, word_hashes
 
 LENGTH, START = 20, 10
 LAST_ID = 2**63 - 1
-#: Words of a bit table that says which documents may be in a set; its size is fixed, a full one only filters less.
-FILTER_WORDS = 1 << 19
 
 
 def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -131,27 +129,9 @@ def settled(rows: DataFrame, spare_first: bool) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions(*order).select("key", "doc", "tie", "pos", "state").mapInArrow(pick, "doc long, tie long, pos int")
 
 
-def may_hold(keys: DataFrame) -> np.ndarray:
-    """A bit table of (doc, tie) pairs: FILTER_WORDS 64-bit words, whatever the number of rows."""
-    h = F.xxhash64("doc", "tie")
-    bits = keys.select(F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(doc, tie), 40), 64) as int))").alias("bit"))
-    rows = bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(FILTER_WORDS, np.int64)
-    table[rows.column("w").to_numpy()] = rows.column("bits").to_numpy()
-    return table
-
-
 def chosen(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(doc, tie, text) of the documents in keys (doc, tie, ...), joined with keys; a bit table drops most others before the shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(may_hold(keys))
-
-    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        h = batch.column("h").to_numpy()
-        bit = (h >> np.int64(40)) % 64
-        return batch.filter(pa.array((sent.value[h % FILTER_WORDS] >> bit) & 1 == 1)).drop_columns(["h"])
-
-    hashed = docs.select("doc", "tie", "text", F.xxhash64("doc", "tie").alias("h"))
-    return per_batch(hashed, keep, "doc long, tie long, text string", 10_000).join(keys, ["doc", "tie"])
+    """(doc, tie, text) of the documents in keys (doc, tie, ...), joined with keys; most others are dropped before the shuffle."""
+    return parted(docs.select("doc", "tie", "text"), keys, "doc", "tie")[1].join(keys, ["doc", "tie"])
 
 
 def as_binary(texts: pa.Array) -> list[bytes]:
