@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm.bpe import tokenizer_path
-from glossmill.llm.jaccard import similar_components
+from glossmill.llm.jaccard import one_of_each
 from glossmill.llm.packing import pack
 from glossmill.llm.pii import redact
 from glossmill.llm.quality import judge
@@ -24,11 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar ones: that with the smallest id; of rows that share it, one."""
-    classes = similar_components(docs)
-    heads = classes.filter("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One document of each component of similar ones: that with the smallest id."""
+    return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
