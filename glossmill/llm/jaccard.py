@@ -5,7 +5,7 @@
    point enters the region of each of those. The order puts frequent shingles last, which keeps regions small.
 3. In each region, leaders attach points in the Hamming space of parity sketches (2 to 4 bits an element), whose distance never exceeds the sets'
    difference. A point joins every leader within two radii (the triangle inequality), so the groups that come out, merged over all
-   regions, hold every pair within distance 0.2.
+   regions, hold every pair within distance 0.2. Regions of more than REGION_POINTS points are dealt over tasks (pivot_links).
 4. Each group is joined exactly on its full sets: a pivot's distances to the others give links, and the remaining points are joined
    recursively with the boundary points that the triangle inequality can't exclude. A group too large for one task takes such pivot
    steps as table joins first.
@@ -18,12 +18,12 @@ for component_id unless all are) or repeat; equal rows are equal points.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm.components import components
@@ -39,6 +39,8 @@ SKETCH = 256
 HOT_DF, MAX_HOT, COUNT_BLOCK = 10, 1 << 18, 1 << 22
 #: Hashes of a group's sets that one task may hold (24 MB).
 GROUP_HASHES = 3_000_000
+#: Points of a region that one task may hold; pivots of a round for each larger one, and at most about so many per task in the last round.
+REGION_POINTS, PIVOTS, CHUNK = 2_000, 64, 1_024
 
 
 def sets_of(texts: list[str | None]) -> list[np.ndarray]:
@@ -136,7 +138,7 @@ def points(docs: DataFrame) -> DataFrame:
 
 
 def shared_regions(rows: DataFrame) -> DataFrame:
-    """(region, fp) of the regions with two points or more, from (key, fp) rows sorted by key.
+    """(region, fp, size) of the regions with two points or more, from (key, fp) rows sorted by key.
 
     A region's name is a hash of its points, so regions with the same points are one. Streams over sorted rows; what must be together
     is only neighbouring rows of a key.
@@ -159,7 +161,7 @@ def shared_regions(rows: DataFrame) -> DataFrame:
             if len(seen) > 200_000:
                 seen.clear()
             rows = np.repeat(good, sizes)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(marks, sizes)[rows]), pa.array(fp[rows])], ["region", "fp"])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(marks, sizes)[rows]), pa.array(fp[rows]), pa.array(np.repeat(sizes, sizes)[rows], pa.int64())], ["region", "fp", "size"])
 
         for batch in batches:
             key, fp = (np.concatenate([k, batch.column(c).to_numpy()]) for c, k in enumerate(keep))
@@ -168,7 +170,7 @@ def shared_regions(rows: DataFrame) -> DataFrame:
             keep = key[last:], fp[last:]
         yield out(*keep)
 
-    return rows.mapInArrow(pick, "region long, fp long").distinct()
+    return rows.mapInArrow(pick, "region long, fp long, size long").distinct()
 
 
 def far(differ: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
@@ -176,6 +178,17 @@ def far(differ: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
     return 200 * differ > percent * (total + differ)
 
 
+#: Two radii, in percent.
+WIDE = 2 * (100 - NEED)
+
+
+def around(n: np.ndarray, bits: Sketches, k: int) -> tuple[int, int, np.ndarray]:
+    """The points a to b, ordered by size, that aren't too small or large to be within two radii of point k, and how much they differ at least."""
+    # A smaller set has at least 100 - 2 (100 - NEED) percent of the larger one's elements.
+    a, b = int(np.searchsorted(n, n[k] * (100 - WIDE) / 100, "left")), int(np.searchsorted(n, n[k] * 100 / (100 - WIDE), "right"))
+    return a, b, np.maximum(bits.differ(k, a, b), np.abs(n[a:b] - n[k]))
+
+
 def leader_edges(fp: np.ndarray, n: np.ndarray, bits: list[bytes]) -> list[tuple[int, int]]:
     """A forest of edges that connects all points of one region which may be within the distance (see step 3)."""
     edges: list[tuple[int, int]] = []
@@ -188,11 +201,8 @@ def leader_edges(fp: np.ndarray, n: np.ndarray, bits: list[bytes]) -> list[tuple
             continue
         if (root == root[0]).all():
             break
-        # Sizes within two radii: a smaller set has at least 100 - 2 (100 - NEED) percent of the larger one's elements.
-        wide = 2 * (100 - NEED)
-        a, b = np.searchsorted(n, n[k] * (100 - wide) / 100, "left"), np.searchsorted(n, n[k] * 100 / (100 - wide), "right")
-        differ = np.maximum(bits.differ(k, int(a), int(b)), np.abs(n[a:b] - n[k]))
-        inside = ~far(differ, n[a:b] + n[k], wide)
+        a, b, differ = around(n, bits, k)
+        inside = ~far(differ, n[a:b] + n[k], WIDE)
         for r in np.unique(root[a:b][inside]).tolist():  # one edge for each part of the region that joins
             if r != root[k]:
                 edges.append((int(fp[k]), int(fp[r])))
@@ -233,6 +243,97 @@ def region_edges(members: DataFrame) -> DataFrame:
     return members.mapInArrow(join, "a long, b long")
 
 
+def close_sketches(n: np.ndarray, bits: list[bytes], pivots: int) -> np.ndarray:
+    """For the first `pivots` points, as a matrix, whether each of the other points may be within two radii."""
+    order = np.argsort(n, kind="stable")
+    size, made = n[order], Sketches([bits[k] for k in order.tolist()])
+    out = np.zeros((pivots, len(n)), bool)
+    for k in np.flatnonzero(order < pivots).tolist():
+        a, b, differ = around(size, made, k)
+        out[order[k], order[a:b]] = ~far(differ, size[a:b] + size[k], WIDE)
+    return out[:, pivots:]
+
+
+def pivot_edges(rows: DataFrame, close: Callable[[np.ndarray, list[bytes], int], np.ndarray]) -> DataFrame:
+    """(a, b) edges between pivots and the members close to them, where labels differ, from (unit, chunk, part, member, fp, n, data,
+    label) rows grouped by unit, chunk and part, pivots first. Holds the pivots of one part; members stream past them."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, root = None, pa.table({}), np.zeros(0, np.int64)
+        for batch in batches:
+            unit, chunk, part, member = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            change = (np.diff(unit) != 0) | (np.diff(chunk) != 0) | (np.diff(part) != 0) | (member[1:] != member[:-1])
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                key, run = (unit[a], chunk[a], part[a]), pa.Table.from_batches([batch.slice(a, b - a)])
+                if not member[a]:
+                    held = pa.concat_tables([held, run]) if now == key else run
+                    now, root = key, np.unique(held.column("label").to_numpy(), return_inverse=True)[1]
+                elif now == key:
+                    for at in range(0, run.num_rows, 500):
+                        yield edges(held, run.slice(at, 500), root)
+
+    def edges(held: pa.Table, others: pa.Table, root: np.ndarray) -> pa.RecordBatch:
+        both = pa.concat_tables([held, others])
+        pfp, fp = held.column("fp").to_numpy(), others.column("fp").to_numpy()
+        hit = close(both.column("n").to_numpy(), both.column("data").to_pylist(), len(pfp))
+        hit &= held.column("label").to_numpy()[:, None] != others.column("label").to_numpy()
+        found = []
+        for k in np.flatnonzero(hit.any(axis=0)).tolist():
+            pivots = np.flatnonzero(hit[:, k])
+            found.append((pfp[pivots[0]], fp[k]))
+            for r in np.unique(root[pivots]).tolist():  # pivots that this point joins
+                if r != root[pivots[0]]:
+                    found.append((pfp[pivots[0]], pfp[pivots[root[pivots] == r][0]]))
+                    root[root == r] = root[pivots[0]]
+        return pa.RecordBatch.from_arrays([pa.array([int(e[k]) for e in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+    return rows.mapInArrow(join, "a long, b long")
+
+
+def pivot_links(members: DataFrame, close: Callable[[np.ndarray, list[bytes], int], np.ndarray], name: str) -> DataFrame:
+    """(a, b) edges that connect whatever chains of close points connect in each unit, over (unit, fp, n, data) rows of units too large
+    for a task.
+
+    A round compares a few pivots of each unit with all its points. Points that are connected by then need no comparison with each
+    other, so only those outside a unit's largest component are open, and the next pivots come from them. While rounds halve the
+    open points they go on; the last one compares all that are open with all points, dealt over tasks by pivots and points.
+    """
+    ids = ["unit", "fp"]
+    left, most, edges, rest = members.select(*ids, F.col("fp").alias("label")), None, None, None
+    while True:
+        opened = left if most is None else left.join(F.broadcast(most), "unit").filter("label <> most").drop("most")
+        last, rest = rest, opened.count()
+        if not rest:
+            return edges
+        final = rest <= PIVOTS or (last is not None and 2 * rest > last)
+        if final:
+            chunks = opened.join(members, ids).groupBy("unit").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.length("data")) / (8 * GROUP_HASHES))).alias("chunks"))
+            chosen = opened.join(F.broadcast(chunks), "unit").withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit("chunk")), "chunks"))
+        else:
+            order = Window.partitionBy("unit").orderBy(F.xxhash64("fp", F.lit("pivot")), "fp")
+            chosen = opened.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PIVOTS).drop("k").withColumns({"chunk": F.lit(0).cast("long"), "chunks": F.lit(1).cast("long")})
+        chosen = written(chosen, f"{name}-pivots")
+        whole = members.join(left, ids)
+        parts = members.groupBy("unit").agg(F.ceil(F.greatest(F.count("*") / REGION_POINTS, F.sum(F.length("data")) / (8 * GROUP_HASHES))).alias("parts"))
+        parts = F.broadcast(parts.join(chosen.select("unit", "chunks").distinct(), "unit"))
+
+        def dealt(rows: DataFrame, member: bool, chunk, part) -> DataFrame:
+            return rows.withColumn("chunk", chunk).withColumn("part", part).select("unit", "chunk", "part", F.lit(member).alias("member"), "fp", "n", "data", "label")
+
+        points = dealt(whole.join(parts, "unit"), True, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)), F.pmod(F.xxhash64("fp", F.lit("part")), "parts"))
+        pivots = dealt(members.join(chosen.drop("chunks"), ids).join(parts, "unit"), False, F.col("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        deal = ["unit", "chunk", "part"]
+        found = written(pivot_edges(pivots.unionByName(points).repartition(*deal).sortWithinPartitions(*deal, "member"), close), f"{name}-edges")
+        edges = found if edges is None else edges.unionByName(found)
+        if final:
+            return edges
+        labels = components(edges, f"{name}-labels")
+        label = F.coalesce("root", "fp")
+        left = written(left.join(chosen, ids, "left_anti").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(*ids, label.alias("label")), f"{name}-left")
+        most = left.groupBy("unit", "label").count().groupBy("unit").agg(F.max_by("label", "count").alias("most"))
+
+
 def linked(one: int, other: np.ndarray, both: np.ndarray) -> np.ndarray:
     """Whether sets of one and other elements that share `both` are within the distance."""
     return 100 * both >= NEED * (one + other - both)
@@ -332,9 +433,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = every.filter("fp is not null").groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("doc_id").alias("doc_id"))
     distinct = written(sets, "jaccard-sets")
     keyed = distinct.select(F.explode("keys").alias("key"), "fp")
-    regions = shared_regions(keyed.repartition("key").sortWithinPartitions("key"))
-    members = regions.join(distinct.select("fp", "n", "bits"), "fp").repartition("region").sortWithinPartitions("region").select("region", "fp", "n", "bits")
-    groups = components(region_edges(members), "jaccard-groups")
+    regions = written(shared_regions(keyed.repartition("key").sortWithinPartitions("key")), "jaccard-regions")
+    sketched = distinct.select("fp", "n", "bits")
+    members = regions.filter(F.col("size") <= REGION_POINTS).join(sketched, "fp").repartition("region").sortWithinPartitions("region").select("region", "fp", "n", "bits")
+    edges = region_edges(members)
+    large = regions.filter(F.col("size") > REGION_POINTS)
+    if large.limit(1).count():
+        points_of = large.join(sketched, "fp").select(F.col("region").alias("unit"), "fp", "n", F.col("bits").alias("data"))
+        edges = edges.unionByName(pivot_links(written(points_of, "jaccard-large"), close_sketches, "jaccard-regions"))
+    groups = components(edges, "jaccard-groups")
     grouped = written(groups.select(F.col("node").alias("fp"), F.col("root").alias("grp")).unionByName(groups.select(F.col("root").alias("fp"), F.col("root").alias("grp")).distinct()), "jaccard-grouped")
     # Full sets of grouped points only, made again from one document each.
     wanted = grouped.join(distinct.select("fp", F.col("doc_id").alias("id")), "fp")

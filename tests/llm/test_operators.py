@@ -81,6 +81,35 @@ def test_op3_large_groups_take_pivot_steps(spark, rows, monkeypatch):
     assert Counter(tuples(jaccard.similar_components(spark.createDataFrame(table, "doc_id long, text string")))) == Counter(brute.components(table))
 
 
+def families(seed, n):
+    """Texts of near copies, more and less alike, of one text, and of others that have only a passage in common."""
+    rng = np.random.default_rng(seed)
+    base = [f"f{k}" for k in range(80)]
+    out = []
+    for k in range(n):
+        words = base[:]
+        for at in rng.choice(80, int(rng.integers(0, 5)), replace=False):
+            words[at] = f"x{k}at{at}"
+        out.append((1000 + k, " ".join(words if k % 5 else [*base[:9], *(f"y{k}n{j}" for j in range(4))])))
+    return out
+
+
+def test_op3_large_regions_are_dealt(spark, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "REGION_POINTS", 6)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    monkeypatch.setattr(jaccard, "CHUNK", 4)
+    most, before = [], jaccard.region_edges
+
+    def seen(members):
+        most.append(members.groupBy("region").count().agg(F.max("count")).first()[0])
+        return before(members)
+
+    monkeypatch.setattr(jaccard, "region_edges", seen)
+    table = [*rows, *families(3, 60)]
+    assert Counter(tuples(jaccard.similar_components(spark.createDataFrame(table, "doc_id long, text string")))) == Counter(brute.components(table))
+    assert most[0] <= 6
+
+
 def test_op3_regions_hold_all_close_pairs():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
