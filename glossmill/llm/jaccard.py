@@ -6,9 +6,8 @@
 3. In each region, leaders attach points in the Hamming space of parity sketches (2 to 4 bits an element), whose distance never exceeds the sets'
    difference. A point joins every leader within two radii (the triangle inequality), so the groups that come out, merged over all
    regions, hold every pair within distance 0.2. Regions of more than REGION_POINTS points are dealt over tasks (pivot_links).
-4. Each group is joined exactly on its full sets: a pivot's distances to the others give links, and the remaining points are joined
-   recursively with the boundary points that the triangle inequality can't exclude. A group too large for one task takes such pivot
-   steps as table joins first.
+4. Each group is joined exactly on its full sets: a pivot's distances to the others give links, and the points that no links connect
+   yet are joined on. A group too large for one task is dealt over tasks (pivot_links), many pivots a round.
 5. Components of the links; each document gets the smallest doc_id of its own.
 
 Nothing is capped: large regions and groups take more steps. Documents without words are linked with nothing. Ids may be null (ignored
@@ -41,6 +40,8 @@ HOT_DF, MAX_HOT, COUNT_BLOCK = 10, 1 << 18, 1 << 22
 GROUP_HASHES = 3_000_000
 #: Points of a region that one task may hold; pivots of a round for each larger one, and at most about so many per task in the last round.
 REGION_POINTS, PIVOTS, CHUNK = 2_000, 64, 1_024
+#: About so many (pivot, hash) pairs are counted at once.
+PAIRS = 4_000_000
 
 
 def sets_of(texts: list[str | None]) -> list[np.ndarray]:
@@ -255,7 +256,7 @@ def close_sketches(n: np.ndarray, bits: list[bytes], pivots: int) -> np.ndarray:
 
 
 def pivot_edges(rows: DataFrame, close: Callable[[np.ndarray, list[bytes], int], np.ndarray]) -> DataFrame:
-    """(a, b) edges between pivots and the members close to them, where labels differ, from (unit, chunk, part, member, fp, n, data,
+    """(a, b) edges that connect pivots with the members close to them, where labels differ, from (unit, chunk, part, member, fp, n, data,
     label) rows grouped by unit, chunk and part, pivots first. Holds the pivots of one part; members stream past them."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,55 +374,38 @@ def as_set(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint64)
 
 
-def pivot_step(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, members left) of one pivot per group, over (grp, fp, n, elements) rows of groups too large for a task.
-
-    Points that link with the pivot stay only on the boundary: where an unlinked point of the group is at most the distance further
-    from the pivot than they are.
-    """
-    pivots = members.groupBy("grp").agg(F.min_by("elements", "fp").alias("p"), F.min("fp").alias("pfp"))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [as_set(x) for x in batch.column("elements").to_pylist()]
-            pivot = [as_set(x) for x in batch.column("p").to_pylist()]
-            both = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(own, pivot, strict=True)]
-            d = [1 - c / (len(a) + len(b) - c) for a, b, c in zip(own, pivot, both, strict=True)]
-            near = [bool(linked(len(b), np.array(len(a)), np.array(c))) for a, b, c in zip(own, pivot, both, strict=True)]
-            names = ["grp", "fp", "n", "elements", "pfp"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(d, pa.float64()), pa.array(near, pa.bool_())], [*names, "d", "near"])
-
-    measured = written(members.join(pivots, "grp").mapInArrow(measure, "grp long, fp long, n long, elements binary, pfp long, d double, near boolean"), "jaccard-pivots")
-    links = measured.filter("near and fp <> pfp").select(F.col("pfp").alias("a"), F.col("fp").alias("b"))
-    outer = measured.filter("not near").groupBy("grp").agg(F.min("d").alias("least"))
-    reach = F.col("least") - (100 - NEED) / 100 - 1e-9
-    return links, measured.join(outer, "grp").filter((F.col("fp") != F.col("pfp")) & (~F.col("near") | (F.col("d") >= reach))).select("grp", "fp", "n", "elements")
+def close_sets(n: np.ndarray, data: list[bytes], pivots: int) -> np.ndarray:
+    """For the first `pivots` sets, as a matrix, whether each of the other sets is within the distance."""
+    sets = [as_set(x) for x in data]
+    values, owner = np.concatenate(sets[:pivots]), np.repeat(np.arange(pivots), n[:pivots])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    flat, row = np.concatenate(sets[pivots:]), np.repeat(np.arange(len(sets) - pivots), n[pivots:])
+    both = np.zeros(pivots * (len(sets) - pivots), np.int64)
+    step = max(1, PAIRS // pivots)
+    for at in range(0, len(flat), step):
+        first = np.searchsorted(values, flat[at : at + step], "left")
+        many = np.searchsorted(values, flat[at : at + step], "right") - first
+        place = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both += np.bincount(owner[place] * (len(sets) - pivots) + np.repeat(row[at : at + step], many), minlength=len(both))
+    return linked(n[:pivots, None], n[None, pivots:], both.reshape(pivots, -1))
 
 
 def exact_links(members: DataFrame) -> DataFrame:
     """(a, b) links that connect exactly the points of each group (grp, fp, n, elements) that chains of close pairs connect."""
-    parts = []
-    while True:
-        sizes = members.groupBy("grp").agg(F.sum("n").alias("hashes"))
-        large = sizes.filter(F.col("hashes") > GROUP_HASHES).select("grp")
-        small = members.join(large, "grp", "left_anti") if parts or large.limit(1).count() else members
-
-        def join(part: pd.DataFrame) -> pd.DataFrame:
-            fp = part.fp.to_numpy()
-            root = join_group([as_set(x) for x in part.elements])
-            return pd.DataFrame({"a": fp[root], "b": fp})[root != np.arange(len(fp))]
 
-        parts.append(small.groupBy("grp").applyInPandas(join, "a long, b long"))
-        if small is members:
-            break
-        links, members = pivot_step(members.join(large, "grp", "left_semi"))
-        parts.append(links)
-        if not members.limit(1).count():
-            break
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    def join(part: pd.DataFrame) -> pd.DataFrame:
+        fp = part.fp.to_numpy()
+        root = join_group([as_set(x) for x in part.elements])
+        return pd.DataFrame({"a": fp[root], "b": fp})[root != np.arange(len(fp))]
+
+    large = members.groupBy("grp").agg(F.sum("n").alias("hashes")).filter(F.col("hashes") > GROUP_HASHES).select("grp")
+    if not large.limit(1).count():
+        return members.groupBy("grp").applyInPandas(join, "a long, b long")
+    large = F.broadcast(large)  # at most one row for each GROUP_HASHES hashes
+    small = members.join(large, "grp", "left_anti").groupBy("grp").applyInPandas(join, "a long, b long")
+    units = members.join(large, "grp", "left_semi").select(F.col("grp").alias("unit"), "fp", "n", F.col("elements").alias("data"))
+    return small.unionByName(pivot_links(units, close_sets, "jaccard-links"))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -110,6 +110,31 @@ def test_op3_large_regions_are_dealt(spark, rows, monkeypatch):
     assert most[0] <= 6
 
 
+def test_op3_rounds_for_a_spread_family_are_few(spark, monkeypatch):
+    """Distances spread around the limit: one pivot a step would take about as many steps as sets."""
+    monkeypatch.setattr(jaccard, "REGION_POINTS", 50)
+    monkeypatch.setattr(jaccard, "GROUP_HASHES", 2_000)
+    rng = np.random.default_rng(11)
+    bases = [rng.integers(0, 2**63, 200, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([bases[k % 3][rng.random(200) > 0.06], rng.integers(0, 2**63, int(rng.integers(4, 16)), dtype=np.uint64)])) for k in range(300)]
+    steps, before = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: steps.append(name) or before(df, name))
+    members = spark.createDataFrame([(1, k, len(s), s.tobytes()) for k, s in enumerate(sets)], "grp long, fp long, n long, elements binary")
+    links = tuples(jaccard.exact_links(members))
+    assert sum(name.endswith("-pivots") for name in steps) <= 8
+
+    def roots(pairs):
+        root = list(range(len(sets)))
+        for a, b in pairs:
+            root = [root[b] if r == root[a] else r for r in root]
+        return [root.index(r) for r in root]
+
+    close = [(a, b) for a in range(len(sets)) for b in range(a) if jaccard.linked(len(sets[a]), np.array(len(sets[b])), np.array(len(np.intersect1d(sets[a], sets[b]))))]
+    assert len(sets) < len(close) < len(sets) * (len(sets) - 1) / 6
+    assert len(set(roots(close))) >= 3
+    assert roots(links) == roots(close)
+
+
 def test_op3_regions_hold_all_close_pairs():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
