@@ -1,9 +1,10 @@
 """Secret scans (operator 6): patterns, and a battery of randomness tests under length-aware false-discovery control.
 
 A long token that no pattern explains is tested as a draw from its inferred encoding's alphabet: chi-squared uniformity, runs of
-character classes and serial correlation, joined by Fisher's method. A token that passes is set against the chance that an ordinary
+character classes and serial correlation, joined by Fisher's method. Where a token isn't random, its long parts between =, / or - and _
+are tested in its place. A token that passes is set against the chance that an ordinary
 word of its length switches character classes as often. Benjamini-Hochberg's rule, per length class and over the whole corpus, turns
-those chances into findings; it needs a fixed number of counts only. Null texts count as empty; ids may be null or repeat.
+those chances into findings (never for letters of one case alone, which switch no class); it needs a fixed number of counts only. Null texts count as empty; ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile("(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
 HEX = re.compile("[0-9a-f]{16,}")
-TOKEN = re.compile("[A-Za-z0-9+/_=-]{20,}")
+LONG = 20
+TOKEN = re.compile(f"[A-Za-z0-9+/_=-]{{{LONG},}}")
+#: Parts of a token that isn't random as a whole: between inner =, then between /, then between - and _.
+PARTS = tuple(re.compile(p) for p in ("[^=]+(?:=+$)?", "[^/]+", "[^_-]+"))
 #: Alphabets by encoding, the narrowest first.
-ENCODINGS = (("hex", re.compile("[0-9a-f]+|[0-9A-F]+"), 16), ("base32", re.compile("[A-Z2-7]+=*"), 32), ("alphanumeric", re.compile("[A-Za-z0-9]+"), 62), ("base64", re.compile("[A-Za-z0-9+/]+=*"), 64), ("base64url", re.compile("[A-Za-z0-9_-]+=*"), 64))
+ENCODINGS = (("hex", re.compile("[0-9a-f]+|[0-9A-F]+"), 16), ("lower", re.compile("[a-z]+"), 26), ("upper", re.compile("[A-Z]+"), 26), ("base32", re.compile("[A-Z2-7]+=*"), 32), ("base36", re.compile("[0-9a-z]+|[0-9A-Z]+"), 36), ("letters", re.compile("[A-Za-z]+"), 52), ("alphanumeric", re.compile("[A-Za-z0-9]+"), 62), ("base64", re.compile("[A-Za-z0-9+/]+=*"), 64), ("base64url", re.compile("[A-Za-z0-9_-]+=*"), 64))
 #: Share of neighbouring characters of ordinary words that differ in class, least joint p of the battery, false-discovery rate.
 SWITCHES, PASSES, RATE = 0.1, 0.01, 0.01
 BINS = 40
@@ -80,6 +84,19 @@ def battery(token: str) -> Verdict | None:
     return Verdict(name, joint, min(1.0, max(chance, 1e-300)))
 
 
+def tested(token: str, at: int = 0, cuts: tuple[re.Pattern, ...] = PARTS) -> list[tuple[int, str, Verdict | None]]:
+    """(start, text, verdict) of a token and, while it isn't random, of its long parts, cut at ever more characters."""
+    own = battery(token)
+    out = [(at, token, own)]
+    if own and own.joint >= PASSES:
+        return out
+    for k, cut in enumerate(cuts):
+        parts = list(cut.finditer(token))
+        if len(parts) > 1 or (parts and parts[0][0] != token):
+            return out + [x for m in parts if len(m[0]) >= LONG for x in tested(m[0], at + m.start(), cuts[k + 1 :])]
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, rank, end) sorted; leftmost non-overlapping per kind, failing matches dropped."""
     out = []
@@ -111,9 +128,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             for m in TOKEN.finditer(text or ""):
                 if any(a < m.end() and m.start() < b for a, _, b in base):
                     continue
-                v = battery(m[0]) if not m[0].isalpha() else None
-                level = min(BINS - 1, int(-math.log10(v.chance))) if v else 0
-                own.append({"start": m.start(), "end": m.end(), "rank": 3, "size": length_class(len(m[0])), "level": level, "random": bool(v and v.joint >= PASSES)})
+                for at, part, v in tested(m[0], m.start()):
+                    level = min(BINS - 1, int(-math.log10(v.chance))) if v else 0
+                    own.append({"start": at, "end": at + len(part), "rank": 3, "size": length_class(len(part)), "level": level, "random": bool(v and v.joint >= PASSES)})
             tokens.append(own)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bases, pa.list_(pa.struct(span))), pa.array(tokens, token)], ["doc_id", "base", "tokens"])
 

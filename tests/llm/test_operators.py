@@ -219,6 +219,26 @@ def test_op5_texts(spark, rows):
         assert r.n_chars == len(r.text or "")
 
 
+def test_op6_parts_and_single_case_alphabets(spark):
+    rng = np.random.default_rng(4)
+    base62, base36, letters = (("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+    def drawn(alphabet, n):
+        return "".join(rng.choice(list(alphabet), n))
+
+    found = total = 0
+    for alphabet, form in [(base62, "aws_session_access_id={}"), (base62, "sig={}"), (base62, "srv/my_files/{}"), (base36, "{}"), (base36.upper(), "{}"), (letters, "{}"), (letters, "AUTH={}==")]:
+        values = [drawn(alphabet, 64) for _ in range(20)]
+        rows = [(k, f"see {form.format(v)} here") for k, v in enumerate(values)]
+        spans = {r.doc_id: [(s["start"], s["end"]) for s in r["all"]] for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        good = [any(rows[k][1][a:b].rstrip("=") == v for a, b in spans[k]) for k, v in enumerate(values)]
+        assert sum(good) >= 17, form
+        found, total = found + sum(good), total + len(good)
+    assert found >= 0.92 * total
+    words = [(k, "internationalization-of-things=configuration_of_environments/somewhere") for k in range(50)]
+    assert all(not r["all"] for r in secrets.secrets(spark.createDataFrame(words, "doc_id long, text string")).collect())
+
+
 def test_op6_base_and_random(spark, rows, folder, empty):
     found = {r[0]: r for r in tuples(query("op6_")(spark, folder))}
     assert {i: r[1:5] for i, r in found.items()} == {i: brute.secret_base(t) for i, t in rows}
