@@ -55,7 +55,7 @@ def confirmed(kind: str, text: Column) -> Column:
 
 
 def detect(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
-    """docs with `out` (in place of a column of that name): array of (start, end, kind, text, score, base), by start and kind.
+    """docs with `out` (in place of a column of that name): array of (start, rank, end, kind, text, score, base), by start and kind.
 
     Confirmed candidates of the base kinds always stay. Candidates of the other kinds stay with a score of at least LEAST, where
     they don't overlap a base span.
@@ -74,7 +74,7 @@ def detect(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFra
             begin = F.greatest(s["start"] - NEAR, F.lit(0))
             before = F.substr(F.col("_text"), begin + 1, s["start"] - begin)
             score = F.lit(SCORES[kind]) + F.when(F.lower(before).rlike(WORDS[kind]), CONTEXT).otherwise(0.0)
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(list(KINDS).index(kind)).alias("rank"), s["kind"].alias("kind"), s["text"].alias("text"), F.round(score, 2).alias("score"), F.lit(kind in BASE).alias("base"))
+            return F.struct(s["start"].alias("start"), F.lit(list(KINDS).index(kind)).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text"), F.round(score, 2).alias("score"), F.lit(kind in BASE).alias("base"))
 
         return F.transform(spans, add)
 

@@ -58,6 +58,16 @@ def test_op2_base_and_more(spark, rows, folder, docs, empty):
     assert pii.detect(empty).count() == 0
 
 
+def test_op2_kinds_that_begin_together_are_in_listed_order(spark):
+    texts = ["10.0.0.1@host.com", "+15551234567@carrier.net", "4111111111111111@mail.com"]
+    found = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    kinds = [[(s["start"], s["kind"]) for s in r.pii if s["base"]] for r in found]
+    assert kinds == [[(0, "email"), (0, "ip")], [(0, "email"), (0, "phone")], [(0, "email"), (0, "card")]]
+    for text, r in zip(texts, found, strict=True):
+        listed = ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r.pii if s["base"])
+        assert brute.sha(listed) == brute.personal(text)[-1]
+
+
 def test_op2_checksums(spark):
     good = spark.createDataFrame([("GB82 WEST 1234 5698 7654 32", True), ("GB82 WEST 1234 5698 7654 33", False)], "t string, ok boolean")
     assert all(r[0] == r[1] for r in good.select("ok", pii.confirmed("iban", F.col("t"))).collect())
