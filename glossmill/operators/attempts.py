@@ -6,8 +6,13 @@ changes nothing that follows, is a fold over a pair's sorted log.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Timeouts in a row that open the circuit, and for how long.
 THRESHOLD, OPEN_SECONDS = 3, 60
@@ -35,22 +40,42 @@ def installed(attempts: DataFrame) -> DataFrame:
 def circuit(attempts: DataFrame, threshold: int = THRESHOLD, seconds: int = OPEN_SECONDS) -> DataFrame:
     """Per pair and entry: attempts, rejected ones, openings and the last moment until which the circuit is open.
 
-    A key's log is one array here; logs too long for that are folded by the stream in glossmill.streaming.
+    A key's sorted log streams through one task, which carries a few numbers only, however long the log is.
     """
-    logs = attempts.groupBy("pair", "entry").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "outcome"))).alias("log"))
-    zero = F.struct(F.lit(0).alias("streak"), F.lit(None).cast("timestamp").alias("until"), F.lit(0).alias("rejected"), F.lit(0).alias("opened"))
-
-    def step(a, x):
-        shut = F.coalesce(x["ts"] < a["until"], F.lit(False))
-        late = ~shut & (x["outcome"] == "timeout")
-        reply = ~shut & x["outcome"].isin("success", "error")
-        streak = F.when(late, a["streak"] + 1).when(reply, 0).otherwise(a["streak"])
-        opens = late & (streak >= threshold)
-        until = F.when(opens, x["ts"] + F.expr(f"interval {seconds} seconds")).when(reply, F.lit(None).cast("timestamp")).otherwise(a["until"])
-        return F.struct(streak.alias("streak"), until.alias("until"), (a["rejected"] + shut.cast("int")).alias("rejected"), (a["opened"] + opens.cast("int")).alias("opened"))
-
-    folded = logs.withColumn("end", F.aggregate("log", zero, step))
-    return folded.select("pair", "entry", F.size("log").alias("attempts"), F.col("end.rejected").alias("rejected"), F.col("end.opened").alias("opened"), F.col("end.streak").alias("streak"), F.col("end.until").alias("open_until"))
+    wait = seconds * 1_000_000
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, rejected, opened, streak, until = None, 0, 0, 0, 0, None
+        for batch in batches:
+            done = []
+            for pair, entry, ts, outcome in zip(*(batch.column(c).to_pylist() for c in ("pair", "entry", "at", "outcome")), strict=True):
+                if key != (pair, entry):
+                    if key is not None:
+                        done.append((*key, n, rejected, opened, streak, until))
+                    key, n, rejected, opened, streak, until = (pair, entry), 0, 0, 0, 0, None
+                n += 1
+                if ts is not None and until is not None and ts < until:
+                    rejected += 1
+                elif outcome == "timeout":
+                    streak += 1
+                    if streak >= threshold:
+                        opened, until = opened + 1, None if ts is None else ts + wait
+                elif outcome in ("success", "error"):
+                    streak, until = 0, None
+            yield rows(done)
+        if key is not None:
+            yield rows([(*key, n, rejected, opened, streak, until)])
+
+    names = ["pair", "entry", "attempts", "rejected", "opened", "streak", "until"]
+    schema = T.StructType([attempts.schema["pair"], attempts.schema["entry"], *(T.StructField(c, T.IntegerType()) for c in names[2:6]), T.StructField("until", T.LongType())])
+    types = to_arrow_schema(schema)
+
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], f.type) for k, f in enumerate(types)], names)
+
+    log = attempts.select("pair", "entry", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "id", "outcome")
+    folded = log.repartition("pair", "entry").sortWithinPartitions("pair", "entry", "at", "id", "outcome").mapInArrow(fold, schema)
+    return folded.select(*names[:6], F.timestamp_micros("until").alias("open_until"))
 
 
 def resolved_status(cached: DataFrame, circuits: DataFrame, at) -> DataFrame:

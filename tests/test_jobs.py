@@ -105,6 +105,15 @@ def log(spark):
     return spark.createDataFrame(rows, "pair long, entry string, id long, ts timestamp, outcome string")
 
 
+def test_circuit_holds_no_log_in_a_row(spark):
+    made = attempts.circuit(log(spark))
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    long = spark.range(30_000).selectExpr("1L AS pair", "'translate' AS entry", "id", "timestamp_seconds(id * 30) AS ts", "'timeout' AS outcome")
+    rows = [tuple(r)[2:6] for r in attempts.circuit(long.repartition(7)).collect()]
+    # Each opening, at attempts 2, 4, ... 29,998, rejects the one after it; the streak counts all that aren't rejected.
+    assert rows == [(30_000, 14_999, 14_999, 15_001)]
+
+
 def test_circuit_batch_and_stream_agree(spark, tmp_path):
     found = {r.pair: (r.rejected, r.opened, r.streak) for r in attempts.circuit(log(spark)).collect()}
     assert found == {1: (1, 1, 3), 2: (0, 0, 1), 3: (0, 1, 3), 4: (0, 1, 0), 5: (0, 2, 4), 6: (0, 0, 0)}
