@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -258,6 +260,50 @@ def test_op6_base_and_random(spark, rows, folder, empty):
     assert secrets.secrets(empty).count() == 0
 
 
+def test_op6_tokens_of_any_length(spark):
+    rng = np.random.default_rng(8)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    rows = [(n, f"see {''.join(rng.choice(alphabet, n))} here") for n in (10, 40, 1_100, 100_000, 1_000_000)] + [(0, "x" * 1_000_000), (1, "word-" * 200_000)]
+    began = time.time()
+    found = {r.doc_id: [(s["start"], s["end"]) for s in r["all"]] for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert found == {n: [(4, 4 + n)] if n >= 40 else [] for n, _ in rows}
+
+
+def test_op6_findings_follow_the_step_up_rule(spark):
+    """The histogram's rule against Benjamini and Hochberg's on the p-values themselves."""
+    rng = np.random.default_rng(9)
+    rows = [(int(size), int(level), bool(keep)) for size, level, keep in zip(rng.integers(0, 3, 400), rng.integers(0, 60, 400), rng.random(400) < 0.6, strict=True)]
+    found = secrets.least_levels(spark.createDataFrame(rows, "size int, level int, random boolean"))
+    for size in range(3):
+        own = sorted(((10.0 ** (-lv / secrets.STEPS), lv) for s, lv, keep in rows if s == size and keep))
+        total = sum(s == size for s, _, _ in rows)
+        passing = [lv for k, (p, lv) in enumerate(own) if p <= secrets.RATE * (k + 1) / total]
+        assert found.get(size) == (min(passing) if passing else None)
+
+
+def test_op6_battery_and_bounds(spark):
+    """Random tokens pass the battery at the rate that it states; the p-values as ordinary text bound exact tails."""
+    rng = np.random.default_rng(10)
+    drawn = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz234567".upper()), 48)) for _ in range(400)]
+    assert sum(secrets.battery(t).joint >= secrets.PASSES for t in drawn) >= 0.97 * 400
+    assert not any(secrets.battery("configuration" * k).joint >= secrets.PASSES for k in (3, 30))
+    n, rate = 40, 0.1
+    rows = [(n, k, 1.0, 1.0) for k in range(5, n)]
+    t = F.struct("n", "switches", "repeats", "serial")
+    levels = spark.createDataFrame(rows, "n int, switches int, repeats double, serial double").select("switches", secrets.level(t, rate, 0.07, 0.0).alias("level")).collect()
+    for r in levels:
+        tail = sum(math.comb(n - 1, k) * rate**k * (1 - rate) ** (n - 1 - k) for k in range(r.switches, n))
+        assert tail <= 10.0 ** (-r.level / secrets.STEPS) * 1.0001
+
+
+def test_op6_repeated_null_and_clashing(spark, docs):
+    rows = [(None, "deadbeefdeadbeef00"), (None, "deadbeefdeadbeef00"), (None, None), (3, "")]
+    found = secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string").withColumn("tokens", F.lit("mine")))
+    assert Counter((r.doc_id, tuple(tuple(s) for s in r["all"])) for r in found.collect()) == Counter({(None, ((0, 18, 2),)): 2, (None, ()): 1, (3, ()): 1})
+    assert secrets.secrets(docs).count() == docs.count()
+
+
 @pytest.fixture(scope="module")
 def word_bpe():
     return bpe.tokenizer(bpe.tokenizer_path("word_bpe_49k.json"))
