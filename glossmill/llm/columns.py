@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +17,22 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP, -1))
 
 
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running totals of an array under an associative `join`, by doubling: n log n steps and no growing accumulator."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def doubled(totals: Column, r: Column) -> Column:
+        def step(x: Column, i: Column) -> Column:
+            before = F.get(totals, i - F.call_function("shiftleft", F.lit(1), r))
+            return F.when(before.isNull(), x).otherwise(join(before, x))
+
+        return F.transform(totals, step)
+
+    return F.aggregate(rounds, values, doubled)
+
+
 def running_sums(lengths: Column) -> Column:
-    """Inclusive running sums of an int array, by doubling: n log n steps and no growing accumulator."""
-    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(lengths), F.lit(1)))).cast("int"))
-    return F.aggregate(rounds, lengths, lambda sums, r: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.pow(F.lit(2), r).cast("int")), F.lit(0))))
+    return running(lengths, lambda a, b: a + b)
 
 
 def gaps(text: Column, pattern: str) -> Column:
@@ -30,12 +44,8 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def steps(gap_list: Column, match_list: Column) -> Column:
-    """Code points from each match's end to the next one's."""
-    both = F.zip_with(gap_list, match_list, lambda g, m: F.length(g) + F.length(m))
-    return F.filter(both, lambda n: n.isNotNull())
-
-
-def spans(match_list: Column, ends: Column, kind: str) -> Column:
-    """Array of (start, end, kind, text), end exclusive, in code points."""
-    return F.zip_with(match_list, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), m.alias("text")))
+def found(text: Column, match_list: Column, pattern: str, near: int) -> Column:
+    """Array of (text, before, step) of a pattern's matches: `before` is what precedes one, at most `near` code points and back to the
+    previous match, and `step` counts the code points from the previous match's end to its own."""
+    own = F.slice(gaps(text, pattern), 1, F.size(match_list))
+    return F.zip_with(match_list, own, lambda m, g: F.struct(m.alias("text"), F.substring(g, -near, near).alias("before"), (F.length(g) + F.length(m)).alias("step")))

@@ -69,6 +69,44 @@ PII = [
 ]
 
 
+def mod97(text: str) -> bool:
+    plain = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def more_personal(text: str | None, lengths: dict[str, int]) -> list[tuple]:
+    """All spans (start, kind, end), base and added ones, by start and kind."""
+    text = text or ""
+    base = [(m.start(), k, m.end()) for k, (_, p, good) in enumerate(PII) for m in re.finditer(p, text) if good(m[0])]
+    ibans = "|".join(f"{c}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for c, n in lengths.items())
+    added = []
+    for rank, pattern, words in [
+        (4, f"(?<![A-Za-z0-9])(?:{ibans})(?![A-Za-z0-9])", None),
+        (5, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "ssn|social security|national id|identity"),
+        (6, r"(?<![0-9+.-])[2-9][0-9]{2}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])", "phone|tel|call|mobil|fax"),
+    ]:
+        last = 0
+        for m in re.finditer(pattern, text):
+            before = text[max(last, m.start() - 40) : m.start()].lower()
+            if mod97(m[0]) if words is None else re.search(words, before):
+                added.append((m.start(), rank, m.end()))
+            last = m.end()
+    free = [x for x in added if not any(a < x[2] and x[0] < b for a, _, b in base)]
+    names = ["email", "ip", "card", "phone", "iban", "national_id", "local_phone"]
+    return [(a, names[k], b) for a, k, b in sorted(base + free)]
+
+
+def redacted(text: str | None, spans: list[tuple]) -> str | None:
+    if not spans:
+        return text
+    out, at = [], 0
+    for a, kind, b in spans:
+        if a >= at:
+            out += [text[at:a], f"[{kind.upper()}]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
 def personal(text: str | None) -> tuple:
     """(counts by kind, hash of the base spans)."""
     spans = sorted((m.start(), k, m.end()) for k, (_, p, good) in enumerate(PII) for m in re.finditer(p, text or "") if good(m[0]))

@@ -70,6 +70,39 @@ def test_op2_kinds_that_begin_together_are_in_listed_order(spark):
         assert brute.sha(listed) == brute.personal(text)[-1]
 
 
+PERSONAL = [
+    "call 555-123-4567, 555-123-4567 or fax: 555.123.4568; ssn 123-45-6789 and 123-45-6789 a@b.cc",
+    "DE89 3704 0044 0532 0130 00 EUR, de89 GB82 WEST 1234 5698 7654 32 and GB82WEST12345698765433 NO9386011117947",
+    "é😀 4111111111111111@mail.com phone 4111-1111-1111-1111 10.0.0.1@host.com +15551234567@carrier.net",
+    "ssn 123-45-6789@x.yz iban DE89370400440532013000@x.yz", "", None, "a@b.cc", "x a@b.cc", "a@b.cc" * 3, "İ call 555-123-4567",
+]
+
+
+def test_op2_all_spans_and_redacted_texts(spark, rows):
+    table = [*rows, *((100 + k, t) for k, t in enumerate(PERSONAL)), (None, PERSONAL[0]), (None, PERSONAL[0])]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    wanted = [(i, t, brute.more_personal(t, pii.IBAN_LENGTHS)) for i, t in table]
+    found = pii.detect(df).select("doc_id", F.transform("pii", lambda s: F.struct(s["start"], s["kind"], s["end"])).alias("s")).collect()
+    assert Counter((r.doc_id, tuple(tuple(s) for s in r.s)) for r in found) == Counter((i, tuple(s)) for i, _, s in wanted)
+    assert Counter(tuples(pii.redact(df))) == Counter((i, brute.redacted(t, s)) for i, t, s in wanted)
+
+
+def test_op2_work_grows_with_the_spans(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join(f"é user{k}@host{k % 7}.org {k % 255}.1.1.{k % 99} iban DE89 3704 0044 0532 0130 00" for k in range(n)))], "doc_id long, text string")
+        df.write.mode("overwrite").parquet(f"{shared.shared_dir(spark)}/many")
+        df = spark.read.parquet(f"{shared.shared_dir(spark)}/many")
+        began = time.time()
+        text = pii.redact(df).first().text
+        took = time.time() - began
+        assert text.startswith("é [EMAIL] [IP] iban [IBAN] é") and text.count("[EMAIL]") == text.count("[IP]") == text.count("[IBAN]") == n
+        return took
+
+    seconds(100)
+    small, large = seconds(1_000), seconds(10_000)
+    assert large < 40 * max(small, 0.5)
+
+
 def test_op2_checksums(spark):
     good = spark.createDataFrame([("GB82 WEST 1234 5698 7654 32", True), ("GB82 WEST 1234 5698 7654 33", False)], "t string, ok boolean")
     assert all(r[0] == r[1] for r in good.select("ok", pii.confirmed("iban", F.col("t"))).collect())
