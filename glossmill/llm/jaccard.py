@@ -1,17 +1,24 @@
 """N-gram Jaccard join (operator 3): an exact similarity join in the Jaccard metric space, reduced to components.
 
 1. Every document becomes its set of 5-word shingles (64-bit hashes) and a fingerprint of the set; equal sets are one point.
-2. Pivots of single shingles: sets within distance 0.2 share one of the first n - ceil(0.8 n) + 1 shingles in any fixed order, so a
-   point enters the region of each of those. The order puts frequent shingles last, which keeps regions small.
-3. In each region, leaders attach points in the Hamming space of parity sketches (2 to 4 bits an element), whose distance never exceeds the sets'
+2. Pivots: a bounded sample of documents, thinned until none is within distance 0.2 of another. Each task measures the exact distances
+   of its points to all pivots. A point within 0.2 of a pivot is linked to it and belongs to the Voronoi cell of its nearest one; a
+   point further away, but by no more than 0.2 beyond the cell's radius, may still be linked to some point of that cell (the triangle
+   inequality) and is replicated into it. Points of one cell are connected already, so a cell is joined only with its replicas, and
+   only with its points that the inequality leaves; cells without replicas are done.
+3. Points that no pivot is near are joined with each other recursively, with the finest pivots that sets have, single shingles: sets
+   within distance 0.2 share one of the first n - ceil(0.8 n) + 1 shingles in any fixed order, so a point enters the region of each of
+   those. The order puts frequent shingles last, which keeps regions small.
+4. In each region, leaders attach points in the Hamming space of parity sketches (2 to 4 bits an element), whose distance never exceeds the sets'
    difference. A point joins every leader within two radii (the triangle inequality), so the groups that come out, merged over all
    regions, hold every pair within distance 0.2. Regions of more than REGION_POINTS points are dealt over tasks (pivot_links).
-4. Each group is joined exactly on its full sets: a pivot's distances to the others give links, and the points that no links connect
-   yet are joined on. A group too large for one task is dealt over tasks (pivot_links), many pivots a round.
-5. Components of the links; each document gets the smallest doc_id of its own.
+5. Each cell and group is joined exactly on its full sets: a pivot's distances to the others give links, and the points that no links
+   connect yet are joined on. One too large for one task is dealt over tasks (pivot_links), many pivots a round.
+6. Components of the links; each document gets the smallest doc_id of its own.
 
-Nothing is capped: large regions and groups take more steps. Documents without words are linked with nothing. Ids may be null (ignored
-for component_id unless all are) or repeat; equal rows are equal points.
+Nothing is capped: large cells, regions and groups take more steps. Documents without words are linked with nothing. Ids may be null
+(ignored for component_id unless all are) or repeat; equal rows are equal points. An empty table gives an empty one; only the id and
+text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm.components import components
-from glossmill.llm.shared import attach, documents, most_frequent, parted, per_batch, utf8, written
+from glossmill.llm.shared import attach, documents, dropped, dropped_later, most_frequent, parted, per_batch, utf8, written
 from glossmill.llm.shingles import mixed, shingle_sets
 
 #: Jaccard similarity of at least NEED / 100.
@@ -36,6 +43,8 @@ SKETCH = 256
 #: Frequent shingles: met at least HOT_DF times in blocks that hold them twice; at most MAX_HOT of them (2 MB) are broadcast. They
 #: only decide an order.
 HOT_DF, MAX_HOT, COUNT_BLOCK = 10, 1 << 18, 1 << 22
+#: Documents that serve as pivots, at most; hashes of all their sets and of one, at most: 8 MB for the driver and each worker to hold.
+DOC_PIVOTS, PIVOT_HASHES, PIVOT_SIZE = 1_024, 1 << 20, 1 << 12
 #: Hashes of a group's sets that one task may hold (24 MB).
 GROUP_HASHES = 3_000_000
 #: Points of a region that one task may hold; pivots of a round for each larger one, and at most about so many per task in the last round.
@@ -116,26 +125,131 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array(top, np.int64).view(np.uint64))
 
 
+class Pivots:
+    """The sets of the documents that serve as pivots, as an index from shingles to pivots."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.fp = np.array([fingerprint(s) for s in sets], np.int64)
+        values = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], np.repeat(np.arange(len(sets)), self.size)[order]
+
+    def close(self, sets: list[np.ndarray]) -> list[list[tuple[int, float]]]:
+        """For each set the pivots (number, distance) within WIDE percent, nearest first."""
+        out: list[list[tuple[int, float]]] = [[] for _ in sets]
+        if not len(self.values) or not sets:
+            return out
+        n = np.array([len(s) for s in sets], np.int64)
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        first = np.searchsorted(self.values, flat, "left")
+        many = np.searchsorted(self.values, flat, "right") - first
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(many) // PAIRS)) + 1).tolist(), len(flat)]
+        both = np.zeros(len(sets) * len(self.size), np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            place = np.repeat(first[a:b] - np.cumsum(many[a:b]) + many[a:b], many[a:b]) + np.arange(many[a:b].sum())
+            both += np.bincount(self.owner[place] + len(self.size) * np.repeat(row[a:b], many[a:b]), minlength=len(both))
+        found = np.flatnonzero(both)
+        r, p, both = found // len(self.size), found % len(self.size), both[found]
+        union = n[r] + self.size[p] - both
+        inside = ~far(union - both, union + both, WIDE)
+        distance = 1 - both / union
+        for k in np.lexsort((p, distance, r)).tolist():
+            if inside[k]:
+                out[int(r[k])].append((int(p[k]), float(distance[k])))
+        return out
+
+
+#: Two radii, in percent.
+WIDE = 2 * (100 - NEED)
+#: What rounding may add to a distance.
+SLACK = 1e-9
+
+
+def far(differ: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of `total` elements together that differ in at least `differ` are further apart than percent / 100."""
+    return 200 * differ > percent * (total + differ)
+
+
+def document_pivots(docs: DataFrame) -> Pivots:
+    """Pivots from a sample of the rows' texts, by hash; bounded by DOC_PIVOTS, PIVOT_HASHES and PIVOT_SIZE.
+
+    Which documents serve decides only where a pair is found. A set within the distance of an earlier one doesn't serve.
+    """
+    hashed = docs.select("text", F.xxhash64("text").alias("h"))
+    limit = int(2**64 * min(1.0, 1.5 * DOC_PIVOTS / max(1, docs.count()))) - 2**63
+    sample = hashed.filter(F.col("h") <= min(limit, 2**63 - 1)).groupBy("h").agg(F.first("text").alias("text"))
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [s if 0 < len(s) <= PIVOT_SIZE else s[:0] for s in sets_of(batch.column("text").to_pylist())]
+        return pa.RecordBatch.from_arrays([batch.column("h"), pa.array([s.tobytes() for s in own], pa.binary())], ["h", "elements"])
+
+    found = per_batch(sample, sets, "h long, elements binary").filter("length(elements) > 0").orderBy("h").limit(DOC_PIVOTS).collect()
+    chosen: list[np.ndarray] = []
+    held: dict[int, list[int]] = {}  # the chosen sets that have a shingle
+    total = 0
+    for r in found:
+        own = as_set(r.elements)
+        if total + len(own) > PIVOT_HASHES:
+            break
+        both = np.bincount([k for h in own.tolist() for k in held.get(h, ())], minlength=len(chosen))
+        if not any(100 * c >= NEED * (len(own) + len(chosen[k]) - c) for k, c in enumerate(both.tolist())):
+            for h in own.tolist():
+                held.setdefault(h, []).append(len(chosen))
+            chosen.append(own)
+            total += len(own)
+    return Pivots(chosen)
+
+
+NEAR = "p long, d double"
+
+
 def points(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp, keys (the shingles whose regions a set enters), bits (its sketch) per row; null fp for empty sets."""
+    """doc_id, th, n, fp per row, with home (its cell, the fingerprint of the nearest pivot within the distance) and away (how far it is),
+    others (further pivots within the distance), shell (pivots within two radii, and how far they are), and for points without a home
+    keys (the shingles whose regions they enter) and bits (the sketch). Null fp for empty sets; th: a hash of the text."""
     hot = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+    chosen = docs.sparkSession.sparkContext.broadcast(document_pivots(docs))
+    near = pa.list_(pa.struct([("p", pa.int64()), ("d", pa.float64())]))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        common = hot.value
-        n, fps, keys, bits = [], [], [], []
-        for own in sets_of(batch.column("text").to_pylist()):
-            n.append(len(own))
-            fps.append(fingerprint(own) if len(own) else None)
-            bits.append(sketch(own) if len(own) else None)
-            if len(common) and len(own):
-                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                usual = common[at] == own
-                own = np.concatenate([own[~usual], own[usual]])
-            keys.append(own[: len(own) + (-len(own) * NEED // 100) + 1].view(np.int64) if len(own) else [])
-        arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "fp", "keys", "bits"])
-
-    return per_batch(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, fp long, keys array<long>, bits binary")
+        common, pivots = hot.value, chosen.value
+        sets = sets_of(batch.column("text").to_pylist())
+        out: dict[str, list] = {c: [] for c in ("n", "fp", "home", "away", "others", "shell", "keys", "bits")}
+        for own, close in zip(sets, pivots.close(sets), strict=True):
+            linked_to = [(p, d) for p, d in close if d <= 1 - NEED / 100 + SLACK]
+            row = {"n": len(own), "fp": fingerprint(own) if len(own) else None, "home": None, "away": None, "others": [], "keys": [], "bits": None}
+            row["shell"] = [{"p": int(pivots.fp[p]), "d": d} for p, d in close if d > 1 - NEED / 100 + SLACK]
+            if linked_to:
+                row |= {"home": int(pivots.fp[linked_to[0][0]]), "away": linked_to[0][1], "others": [int(pivots.fp[p]) for p, _ in linked_to[1:]]}
+            elif len(own):
+                row["bits"] = sketch(own)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    usual = common[at] == own
+                    own = np.concatenate([own[~usual], own[usual]])
+                row["keys"] = own[: len(own) + (-len(own) * NEED // 100) + 1].view(np.int64)
+            for c, values in out.items():
+                values.append(row[c])
+        kinds = {"n": pa.int64(), "fp": pa.int64(), "home": pa.int64(), "away": pa.float64(), "others": pa.list_(pa.int64()), "shell": near, "keys": pa.list_(pa.int64()), "bits": pa.binary()}
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *(pa.array(out[c], k) for c, k in kinds.items())], ["doc_id", "th", *kinds])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return per_batch(rows, make, f"doc_id {kind}, th long, n long, fp long, home long, away double, others array<long>, shell array<struct<{NEAR}>>, keys array<long>, bits binary")
+
+
+def cells(distinct: DataFrame) -> DataFrame:
+    """(grp, fp, label) of the members of the cells that have replicas: the replicas with their own label, and the points of the cell
+    that may be linked with one, labelled with the pivot. Tables with a row for each pivot are broadcast, DOC_PIVOTS rows at most."""
+    reach = 1 - NEED / 100 + SLACK
+    core = distinct.filter("home is not null").select("home", "away", "fp")
+    radius = core.groupBy("home").agg(F.max("away").alias("radius"))
+    shell = distinct.select("fp", F.explode("shell").alias("s")).select("fp", F.col("s.p").alias("home"), F.col("s.d").alias("d"))
+    replicas = shell.join(F.broadcast(radius), "home").filter(F.col("d") <= F.col("radius") + reach)
+    least = replicas.groupBy("home").agg(F.min("d").alias("least"))
+    inner = core.join(F.broadcast(least), "home").filter(F.col("away") >= F.col("least") - reach)
+    return replicas.select(F.col("home").alias("grp"), "fp", F.col("fp").alias("label")).unionByName(inner.select(F.col("home").alias("grp"), "fp", F.col("home").alias("label")))
 
 
 def shared_regions(rows: DataFrame) -> DataFrame:
@@ -174,15 +288,6 @@ def shared_regions(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(pick, "region long, fp long, size long").distinct()
 
 
-def far(differ: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of `total` elements together that differ in at least `differ` are further apart than percent / 100."""
-    return 200 * differ > percent * (total + differ)
-
-
-#: Two radii, in percent.
-WIDE = 2 * (100 - NEED)
-
-
 def around(n: np.ndarray, bits: Sketches, k: int) -> tuple[int, int, np.ndarray]:
     """The points a to b, ordered by size, that aren't too small or large to be within two radii of point k, and how much they differ at least."""
     # A smaller set has at least 100 - 2 (100 - NEED) percent of the larger one's elements.
@@ -293,17 +398,21 @@ def pivot_edges(rows: DataFrame, close: Callable[[np.ndarray, list[bytes], int],
 
 
 def pivot_links(members: DataFrame, close: Callable[[np.ndarray, list[bytes], int], np.ndarray], name: str) -> DataFrame:
-    """(a, b) edges that connect whatever chains of close points connect in each unit, over (unit, fp, n, data) rows of units too large
-    for a task.
+    """(a, b) edges that connect whatever chains of close points connect in each unit, over (unit, fp, n, data, label) rows of units too
+    large for a task; points with equal labels are connected already.
 
     A round compares a few pivots of each unit with all its points. Points that are connected by then need no comparison with each
     other, so only those outside a unit's largest component are open, and the next pivots come from them. While rounds halve the
     open points they go on; the last one compares all that are open with all points, dealt over tasks by pivots and points.
     """
     ids = ["unit", "fp"]
-    left, most, edges, rest = members.select(*ids, F.col("fp").alias("label")), None, None, None
+    left, rest = members.select(*ids, "label"), None
+    members = members.drop("label")
+    edges = left.filter("label <> fp").select(F.col("label").alias("a"), F.col("fp").alias("b"))
+    largest = lambda rows: rows.groupBy("unit", "label").count().groupBy("unit").agg(F.max_by("label", "count").alias("most"))
+    most = largest(left)
     while True:
-        opened = left if most is None else left.join(F.broadcast(most), "unit").filter("label <> most").drop("most")
+        opened = left.join(F.broadcast(most), "unit").filter("label <> most").drop("most")
         last, rest = rest, opened.count()
         if not rest:
             return edges
@@ -326,13 +435,13 @@ def pivot_links(members: DataFrame, close: Callable[[np.ndarray, list[bytes], in
         pivots = dealt(members.join(chosen.drop("chunks"), ids).join(parts, "unit"), False, F.col("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         deal = ["unit", "chunk", "part"]
         found = written(pivot_edges(pivots.unionByName(points).repartition(*deal).sortWithinPartitions(*deal, "member"), close), f"{name}-edges")
-        edges = found if edges is None else edges.unionByName(found)
+        edges = edges.unionByName(found)
         if final:
             return edges
         labels = components(edges, f"{name}-labels")
         label = F.coalesce("root", "fp")
         left = written(left.join(chosen, ids, "left_anti").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(*ids, label.alias("label")), f"{name}-left")
-        most = left.groupBy("unit", "label").count().groupBy("unit").agg(F.max_by("label", "count").alias("most"))
+        most = largest(left)
 
 
 def linked(one: int, other: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -340,12 +449,12 @@ def linked(one: int, other: np.ndarray, both: np.ndarray) -> np.ndarray:
     return 100 * both >= NEED * (one + other - both)
 
 
-def join_group(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set of a group the number of its component, by pivots, exactly (step 4)."""
+def join_group(sets: list[np.ndarray], labels: np.ndarray | None = None) -> np.ndarray:
+    """For each set of a group the number of a set of its component, by pivots, exactly (step 5). Equal labels are connected already."""
     size = np.array([len(s) for s in sets])
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.cumsum(size) - size
-    root = np.arange(len(sets))
+    root = np.arange(len(sets)) if labels is None else np.unique(labels, return_inverse=True)[1]
     mark = np.zeros(int(flat.max()) + 1, bool)
 
     def overlaps(k: int, rows: np.ndarray) -> np.ndarray:
@@ -367,7 +476,8 @@ def join_group(sets: list[np.ndarray]) -> np.ndarray:
         hits = np.unique(root[rows[linked(size[pivot], size[rows], both)]])
         root[np.isin(root, hits)] = root[pivot]
         todo = todo[todo != pivot]
-    return root
+    first, own = np.unique(root, return_index=True, return_inverse=True)[1:]
+    return first[own]
 
 
 def as_set(data: bytes) -> np.ndarray:
@@ -392,11 +502,11 @@ def close_sets(n: np.ndarray, data: list[bytes], pivots: int) -> np.ndarray:
 
 
 def exact_links(members: DataFrame) -> DataFrame:
-    """(a, b) links that connect exactly the points of each group (grp, fp, n, elements) that chains of close pairs connect."""
+    """(a, b) links that connect exactly the points of each group (grp, fp, n, elements, label) that chains of close pairs connect."""
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         fp = part.fp.to_numpy()
-        root = join_group([as_set(x) for x in part.elements])
+        root = join_group([as_set(x) for x in part.elements], part.label.to_numpy())
         return pd.DataFrame({"a": fp[root], "b": fp})[root != np.arange(len(fp))]
 
     large = members.groupBy("grp").agg(F.sum("n").alias("hashes")).filter(F.col("hashes") > GROUP_HASHES).select("grp")
@@ -404,46 +514,61 @@ def exact_links(members: DataFrame) -> DataFrame:
         return members.groupBy("grp").applyInPandas(join, "a long, b long")
     large = F.broadcast(large)  # at most one row for each GROUP_HASHES hashes
     small = members.join(large, "grp", "left_anti").groupBy("grp").applyInPandas(join, "a long, b long")
-    units = members.join(large, "grp", "left_semi").select(F.col("grp").alias("unit"), "fp", "n", F.col("elements").alias("data"))
+    units = members.join(large, "grp", "left_semi").select(F.col("grp").alias("unit"), "fp", "n", F.col("elements").alias("data"), "label")
     return small.unionByName(pivot_links(units, close_sets, "jaccard-links"))
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id per row of docs."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    every = written(points(rows), "jaccard-points")
-    own = every.select("doc_id", F.col("n").alias("n_shingles"), "fp")
-    # One row for each distinct set, with a document that has it and the number of those.
-    sets = every.filter("fp is not null").groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("doc_id").alias("doc_id"))
-    distinct = written(sets, "jaccard-sets")
-    keyed = distinct.select(F.explode("keys").alias("key"), "fp")
+def candidate_groups(distinct: DataFrame) -> DataFrame:
+    """(grp, fp, label) of the points that no pivot is near: groups that hold every pair of them within the distance (steps 3 and 4)."""
+    alone = distinct.filter("home is null")
+    keyed = alone.select(F.explode("keys").alias("key"), "fp")
     regions = written(shared_regions(keyed.repartition("key").sortWithinPartitions("key")), "jaccard-regions")
-    sketched = distinct.select("fp", "n", "bits")
+    sketched = alone.select("fp", "n", "bits")
     members = regions.filter(F.col("size") <= REGION_POINTS).join(sketched, "fp").repartition("region").sortWithinPartitions("region").select("region", "fp", "n", "bits")
     edges = region_edges(members)
     large = regions.filter(F.col("size") > REGION_POINTS)
     if large.limit(1).count():
-        points_of = large.join(sketched, "fp").select(F.col("region").alias("unit"), "fp", "n", F.col("bits").alias("data"))
+        points_of = large.join(sketched, "fp").select(F.col("region").alias("unit"), "fp", "n", F.col("bits").alias("data"), F.col("fp").alias("label"))
         edges = edges.unionByName(pivot_links(written(points_of, "jaccard-large"), close_sketches, "jaccard-regions"))
     groups = components(edges, "jaccard-groups")
-    grouped = written(groups.select(F.col("node").alias("fp"), F.col("root").alias("grp")).unionByName(groups.select(F.col("root").alias("fp"), F.col("root").alias("grp")).distinct()), "jaccard-grouped")
-    # Full sets of grouped points only, made again from one document each.
-    wanted = grouped.join(distinct.select("fp", F.col("doc_id").alias("id")), "fp")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
+    dropped(regions)
+    both = groups.select(F.col("node").alias("fp"), F.col("root").alias("grp")).unionByName(groups.select(F.col("root").alias("fp"), F.col("root").alias("grp")).distinct())
+    return both.select("grp", "fp", F.col("fp").alias("label"))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id per row of docs."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    every = written(points(rows), "jaccard-points")
+    own = dropped_later(written(every.select("doc_id", F.col("n").alias("n_shingles"), "fp"), "jaccard-own"))
+    # One row for each distinct set, with a document that has it.
+    same = [F.first(c).alias(c) for c in ("n", "home", "away", "others", "shell", "keys", "bits")]
+    distinct = written(every.filter("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("of"), *same), "jaccard-sets")
+    dropped(every)
+    grouped = candidate_groups(distinct).unionByName(cells(distinct))
+    # Full sets of grouped points only, made again from one document each. A point is in one group and at most DOC_PIVOTS cells.
+    units = grouped.groupBy("fp").agg(F.collect_list(F.struct("grp", "label")).alias("units"))
+    wanted = written(units.join(distinct.select("fp", F.col("of.doc_id").alias("id"), F.col("of.th").alias("hash")), "fp"), "jaccard-wanted")
+    perhaps = parted(rows.withColumn("th", F.xxhash64("text")), wanted.select(F.col("id").alias("doc_id"), F.col("hash").alias("th")), "doc_id", "th")[1]
+    texts = perhaps.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("hash")))
 
     def again(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = sets_of(batch.column("text").to_pylist())
-        same = np.array([bool(len(s)) and fingerprint(s) == fp for s, fp in zip(own, batch.column("fp").to_pylist(), strict=True)], bool)
-        arrays = [batch.column("grp"), batch.column("fp"), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, ["grp", "fp", "n", "elements"]).filter(pa.array(same))
-
-    full = per_batch(texts.select("grp", "fp", "text"), again, "grp long, fp long, n long, elements binary").dropDuplicates(["fp"])
-    links = written(exact_links(written(full, "jaccard-full")), "jaccard-links")
-    labels = components(links, "jaccard-components")
+        sets = sets_of(batch.column("text").to_pylist())
+        good = np.array([bool(len(s)) and fingerprint(s) == fp for s, fp in zip(sets, batch.column("fp").to_pylist(), strict=True)], bool)
+        arrays = [batch.column("units"), batch.column("fp"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["units", "fp", "n", "elements"]).filter(pa.array(good))
+
+    full = per_batch(texts.select("units", "fp", "text"), again, "units array<struct<grp: long, label: long>>, fp long, n long, elements binary").dropDuplicates(["fp"])
+    full = written(full, "jaccard-full")
+    members = full.select(F.explode("units").alias("u"), "fp", "n", "elements").select("u.grp", "fp", "n", "elements", "u.label")
+    homes = distinct.filter("home is not null")
+    direct = homes.select(F.col("home").alias("a"), F.col("fp").alias("b")).unionByName(homes.select(F.col("home").alias("a"), F.explode("others").alias("b")).distinct())
+    labels = components(exact_links(members).unionByName(direct), "jaccard-components")
+    dropped(full, wanted, distinct)
     counts = own.filter("fp is not null").groupBy("fp").agg(F.count("*").alias("copies"))
     total = own.count()
     label = labels.join(counts.withColumnRenamed("fp", "node"), "node").select(F.col("node").alias("fp"), "root", "copies")
-    rooted = written(attach(own.filter("fp is not null"), label, "fp", "copies", total).select("doc_id", "n_shingles", F.coalesce("root", "fp").alias("root")), "jaccard-rooted")
+    rooted = dropped_later(written(attach(own.filter("fp is not null"), label, "fp", "copies", total).select("doc_id", "n_shingles", F.coalesce("root", "fp").alias("root")), "jaccard-rooted"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
     joined = attach(rooted, least, "root", "members", total).select("doc_id", "n_shingles", "component_id")
     alone = own.filter("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -455,7 +580,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Where ids repeat or are null, every row with the id of a component stays, but rows equal in id and text count once.
     """
-    classes = written(similar_components(docs), "jaccard-classes")
+    classes = dropped_later(written(similar_components(docs), "jaccard-classes"))
     whole = docs.select(F.struct("*").alias("row"), "doc_id")
     if classes.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
         heads = classes.filter("doc_id <=> component_id").select(F.col("doc_id").alias("id")).distinct()

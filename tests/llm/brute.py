@@ -124,6 +124,32 @@ def quality(text: str | None) -> tuple:
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
 
 
+def xx(data: bytes, seed: int = 42) -> int:
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(data, seed=seed & (2**64 - 1))
+    return h - 2**64 if h >> 63 else h
+
+
+def log_ratio_scores(rows: list[tuple], trusted: set, buckets: int) -> list[float]:
+    """Mean log ratio of the words and word pairs of each (doc_id, text)."""
+    import math
+
+    grams = []
+    for _, text in rows:
+        own = [xx(w.encode()) for w in WORD.findall(text or "")]
+        pairs = [xx(b.to_bytes(8, "little", signed=True), xx(a.to_bytes(8, "little", signed=True))) for a, b in zip(own, own[1:])]
+        grams.append([h % buckets for h in own + pairs])
+    raw, target = Counter(), Counter()
+    for (i, _), own in zip(rows, grams, strict=True):
+        raw.update(own)
+        if i in trusted:
+            target.update(own)
+    n, m = raw.total(), target.total()
+    ratio = lambda b: round(math.log((target[b] + 1) / (m + buckets)) - math.log((raw[b] + 1) / (n + buckets)), 6) if m else 0.0
+    return [sum(map(ratio, own)) / len(own) if own else 0.0 for own in grams]
+
+
 ASSIGN = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
 

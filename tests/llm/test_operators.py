@@ -119,7 +119,46 @@ def test_op3_repeated_and_null_ids(spark):
     assert Counter(tuples(found)) == Counter(brute.components(odd))
 
 
+@pytest.mark.parametrize("pivots", [0, 3, 40, 1_024])
+def test_op3_cells_of_any_number_of_pivots(spark, rows, monkeypatch, pivots):
+    monkeypatch.setattr(jaccard, "DOC_PIVOTS", pivots)
+    table = [*rows, *families(4, 50), *((5000 + k, t) for k, (_, t) in enumerate(families(5, 20)))]
+    found = jaccard.similar_components(spark.createDataFrame(table, "doc_id long, text string"))
+    assert Counter(tuples(found)) == Counter(brute.components(table))
+
+
+def test_op3_cells_have_the_window_and_no_more(spark):
+    """A chain of sets, each close to the next: one pivot, and replicas that are close to points of its cell but not to it."""
+    chain = [np.arange(3 * k, 3 * k + 60, dtype=np.uint64) for k in range(12)]
+    pivots = jaccard.Pivots([chain[0]])
+    close = pivots.close(chain)
+    for s, own in zip(chain, close, strict=True):
+        both = len(np.intersect1d(s, chain[0]))
+        d = 1 - both / (120 - both)
+        assert own == ([(0, pytest.approx(d))] if d <= 0.4 else [])
+    assert pivots.close([]) == [] and jaccard.Pivots([]).close(chain[:2]) == [[], []]
+    fp = int(pivots.fp[0])
+    table = [(k, *((fp, c[0][1], []) if c and c[0][1] <= 0.2 else (None, None, [(fp, c[0][1])] if c else []))) for k, c in enumerate(close)]
+    cells = jaccard.cells(spark.createDataFrame(table, "fp long, home long, away double, shell array<struct<p: long, d: double>>"))
+    found = {(r.fp, r.label == fp) for r in cells.collect()}
+    core, shell = {k for k, h, *_ in table if h}, {k for k, _, _, s in table if s}
+    assert shell and {k for k, inner in found if not inner} == {k for k in shell if close[k][0][1] <= max(close[c][0][1] for c in core) + 0.2 + 1e-9}
+    assert {k for k, inner in found if inner} == {c for c in core if close[c][0][1] >= min(close[k][0][1] for k in shell) - 0.2 - 1e-9} < core
+
+
+def test_op3_null_ids_cost_as_much_as_others(spark):
+    def seconds(ids):
+        df = spark.createDataFrame([(i, t) for i, (_, t) in zip(ids, families(6, 600), strict=True)], "doc_id long, text string")
+        began = time.time()
+        assert jaccard.similar_components(df).count() == 600
+        return time.time() - began
+
+    seconds(range(600))
+    assert max(seconds([None] * 600), seconds([7] * 600)) < 3 * seconds(range(600)) + 5
+
+
 def test_op3_large_groups_take_pivot_steps(spark, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "DOC_PIVOTS", 5)
     monkeypatch.setattr(jaccard, "GROUP_HASHES", 100)
     chain = [(100 + k, " ".join(f"c{j}" for j in range(3 * k, 3 * k + 60))) for k in range(8)]
     table = [*rows, *chain]
@@ -140,6 +179,7 @@ def families(seed, n):
 
 
 def test_op3_large_regions_are_dealt(spark, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "DOC_PIVOTS", 0)
     monkeypatch.setattr(jaccard, "REGION_POINTS", 6)
     monkeypatch.setattr(jaccard, "PIVOTS", 3)
     monkeypatch.setattr(jaccard, "CHUNK", 4)
@@ -164,7 +204,7 @@ def test_op3_rounds_for_a_spread_family_are_few(spark, monkeypatch):
     sets = [np.unique(np.concatenate([bases[k % 3][rng.random(200) > 0.06], rng.integers(0, 2**63, int(rng.integers(4, 16)), dtype=np.uint64)])) for k in range(300)]
     steps, before = [], jaccard.written
     monkeypatch.setattr(jaccard, "written", lambda df, name: steps.append(name) or before(df, name))
-    members = spark.createDataFrame([(1, k, len(s), s.tobytes()) for k, s in enumerate(sets)], "grp long, fp long, n long, elements binary")
+    members = spark.createDataFrame([(1, k, len(s), s.tobytes(), k) for k, s in enumerate(sets)], "grp long, fp long, n long, elements binary, label long")
     links = tuples(jaccard.exact_links(members))
     assert sum(name.endswith("-pivots") for name in steps) <= 8
 
@@ -220,6 +260,18 @@ def test_op4_measures_and_verdict(spark, rows, folder, empty):
     assert {r.row.doc_id for r in plain.filter("kept").collect()} == {i for i, t in rows if not brute.quality(t)[5]}
 
 
+def test_op4_scores(spark, rows, folder):
+    table = [*rows, (None, "one two three four five six seven eight nine ten eleven"), (13, "other words " * 3)]
+    labels = spark.createDataFrame([(13, 1, 0), (9, 1, 0), (26, 0, 0), (7, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    for own, trusted in ((labels, {13, 9}), (labels.limit(0), set())):
+        found = quality.judge(spark.createDataFrame(table, "doc_id long, text string"), own).select("row.*", "score", "kept", "base_failed").collect()
+        wanted = brute.log_ratio_scores(table, trusted, quality.BUCKETS)
+        score = {(i, t): s for (i, t), s in zip(table, wanted, strict=True)}
+        for r in found:
+            assert r.score == pytest.approx(score[r.doc_id, r.text], abs=2e-6)
+            assert r.kept == (not r.base_failed and r.score >= quality.LEAST)
+
+
 def test_clashing_columns(spark, docs):
     clash = docs.withColumns({n: F.lit("mine") for n in ("score", "n_words", "base_failed", "pii", "shard", "fate", "cut", "text_crc32", "n_chars")})
     labels = spark.createDataFrame([(13, 1, 0)], "doc_id long, quality int, toxic int")
