@@ -1,9 +1,16 @@
 """BPE encoding and decoding (operator 7) over a minimal acyclic transducer of frequent words.
 
-Frequent words, counted over the whole corpus, are compiled into a shared-suffix automaton whose arcs carry counts, so that a
-word's path adds up to its rank, and ranks point at id sequences. The automaton travels as one bounded byte string (max_words is a
-parameter), each worker maps it from a file of its own, and words outside it are merged by the tokenizer itself. Texts with
-characters for which the fast word split isn't known to equal the tokenizer's go through the tokenizer whole, so results are exact.
+Frequent words, from a bounded sample of texts, are compiled into a shared-suffix automaton whose arcs carry counts, so that a word's
+path adds up to its rank, and ranks point at id sequences. The automaton travels as one bounded byte string (max_words is a
+parameter), each worker maps it from a file of its own, and words outside it are merged exactly. The sample only decides which words
+are looked up early, never a result.
+
+Texts are split into words by a pattern where all their characters are ones for which it is known to split as the tokenizer does, and
+by the tokenizer's own normaliser and splitter otherwise; either way each word goes through the automaton. Only texts with a string
+that may be a special token go through the tokenizer whole.
+
+Null texts count as empty; very long texts and words take linear or n log n work; ids may be null or repeat (equal rows get equal
+results); an empty table gives an empty one; only the id and text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -13,24 +20,27 @@ import os
 import re
 import tempfile
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.merges import Merger, coded
-from glossmill.llm.shared import documents, most_frequent, per_batch
+from glossmill.llm.merges import Merger, byte_names, coded
+from glossmill.llm.shared import documents, per_batch
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Characters for which the patterns below split as the tokenizers do; others send the whole text through the library.
-ODD = re.compile("[^\t-\r -~¡-įı-ſ‐-‧‰-⁞]|<\\|")
+#: Characters other than those for which the patterns below split as the tokenizers do, and what special tokens begin with.
+ODD = re.compile("[^\t-\r -~¡-įı-ſ‐-‧‰-⁞]")
+SPECIAL = "<|"
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 DIGITS = "0-9²³¹¼½¾"
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\\s{LETTERS}{DIGITS}]+")
 MAX_CACHED = 400_000
+#: Texts of the sample that frequent words come from: about SAMPLE, at most twice as many, each of at most SAMPLE_CHARS characters.
+SAMPLE, SAMPLE_CHARS = 2_048, 16_384
 
 _tokenizers: dict = {}
 
@@ -53,35 +63,33 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def words_of(text: str) -> list[str] | None:
-    """The lower-cased words that the tokenizer merges one by one, or None where the text needs the tokenizer itself."""
-    return None if ODD.search(text) else WORD.findall(text.lower())
+#: Byte-level splitters write each byte as a printable stand-in; this writes it back.
+PLAIN = str.maketrans({name: chr(byte) for byte, name in enumerate(byte_names())})
 
 
-def frequent(df: DataFrame, split, max_words: int, least: int = 4) -> list[str]:
-    """The most frequent pieces of the column `text`, at most max_words of them, counted over all rows.
-
-    Each task counts its own rows and passes on pieces that it met at least `least` times: the choice only decides which pieces are
-    looked up early, never a result.
-    """
+def library_pieces(own, text: str) -> list[str]:
+    """The pieces that a tokenizer merges one by one, from its own normaliser and splitter."""
+    normal = own.normalizer.normalize_str(text) if own.normalizer else text
+    return [p.translate(PLAIN).encode("latin-1").decode() for p, _ in own.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
 
-        def out() -> pa.RecordBatch:
-            kept = [(w, c) for w, c in seen.items() if c >= least and len(w) <= 64]
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([c for _, c in kept], pa.int64())], ["piece", "n"])
+def words_of(own, text: str) -> list[str] | None:
+    """The lower-cased words that the tokenizer merges one by one, or None where special tokens may need the tokenizer itself."""
+    if SPECIAL in text:
+        return None
+    return library_pieces(own, text) if ODD.search(text) else WORD.findall(text.lower())
 
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(split(text.as_py() or "") or ())
-                if len(seen) > 2 * MAX_CACHED:
-                    yield out()
-        yield out()
 
-    counts = df.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return most_frequent(counts, "piece", max_words, "pieces")
+def frequent(df: DataFrame, split: Callable[[str], list[str] | None], max_pieces: int) -> list[str]:
+    """The most frequent pieces of the column `text`, at most max_pieces of them, counted on the driver over a bounded sample of texts
+    (see SAMPLE): nothing is shuffled, and the choice only decides which pieces are looked up early, never a result."""
+    share = min(1.0, SAMPLE / max(1, df.count()))
+    rows = df.select("text").filter(F.length("text").between(1, SAMPLE_CHARS))
+    seen: Counter[str] = Counter()
+    for row in rows.sample(share, seed=7).limit(2 * SAMPLE).collect():
+        seen.update(split(row.text) or ())
+    ordered = sorted((-n, p) for p, n in seen.items() if len(p) <= 64)
+    return sorted(p for _, p in ordered[:max_pieces])
 
 
 class Lexicon:
@@ -241,7 +249,7 @@ class WordCoder:
 
     def code(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids in decimal joined by spaces, decoded text) of each text."""
-        split = [words_of(t) for t in texts]
+        split = [words_of(self.tokenizer, t) for t in texts]
         self.learn(set().union(*(words for words in split if words)))
         out = []
         for text, words in zip(texts, split, strict=True):
@@ -258,14 +266,14 @@ _coders: dict[tuple[str, str], WordCoder] = {}
 
 
 def bpe_codes(docs: DataFrame, path: str, max_words: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, joined by spaces) and decoded of every whole text (null: empty). Ids may be null or repeat.
+    """doc_id, n_tokens, ids (decimal, joined by spaces) and decoded of every whole text.
 
     The lexicon holds at most max_words words (a few MB); it is the only thing sent to all workers.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    words = frequent(rows, words_of, max_words)
     own = tokenizer(path)
-    data = Lexicon.compile(words, [e.ids for e in own.encode_batch(words, add_special_tokens=False)])
+    words, ids, ends = coded(Merger(own), own, frequent(rows, lambda text: words_of(own, text), max_words))
+    data = Lexicon.compile(words, [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)])
     name = hashlib.sha256(data).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(data)
 

@@ -1,7 +1,13 @@
 """Token counts (operator 8): a map-side two-tier lookup of pre-token lengths.
 
-Tier one is a compact hash table of the corpus's frequent pre-tokens and their lengths in tokens, broadcast (max_pieces bounds it).
-Tier two is each worker's cache, filled by the tokenizer. Pre-tokens are never shuffled.
+Tier one is a compact hash table of frequent pre-tokens and their lengths in tokens, from a bounded sample of texts, broadcast
+(max_pieces bounds it). Tier two is each worker's cache, filled by exact merging. Pre-tokens are never shuffled.
+
+Texts are split into pre-tokens by a pattern where it is known to split as the tokenizer does, and by the tokenizer's own splitter
+where a text has other characters; only texts with a string that may be a special token go through the tokenizer whole.
+
+Null texts count as empty; ids may be null or repeat (equal rows get equal results); an empty table gives an empty one; only the id and
+text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -14,15 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.bpe import DIGITS, LETTERS, MAX_CACHED, ODD, frequent, tokenizer, tokenizer_path
+from glossmill.llm.bpe import DIGITS, LETTERS, MAX_CACHED, ODD, SPECIAL, frequent, library_pieces, tokenizer, tokenizer_path
 from glossmill.llm.merges import Merger, coded
 from glossmill.llm.shared import documents, per_batch, utf8
 
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\\s{LETTERS}{DIGITS}]+|\\s+(?!\\S)|\\s+")
 
 
-def pieces_of(text: str) -> list[str] | None:
-    return None if ODD.search(text) else PIECE.findall(text)
+def pieces_of(own, text: str) -> list[str] | None:
+    """The pre-tokens of a text, or None where special tokens may need the tokenizer itself."""
+    if SPECIAL in text:
+        return None
+    return library_pieces(own, text) if ODD.search(text) else PIECE.findall(text)
 
 
 def fingerprints(pieces: list[str]) -> np.ndarray:
@@ -69,7 +78,7 @@ class Counter:
         self.merger = Merger(self.tokenizer)
 
     def count(self, texts: list[str]) -> list[int]:
-        split = [pieces_of(t) for t in texts]
+        split = [pieces_of(self.tokenizer, t) for t in texts]
         wanted = set().union(*(pieces for pieces in split if pieces))
         if len(self.cache) > MAX_CACHED:
             self.cache.clear()
@@ -86,10 +95,11 @@ _counters: dict = {}
 
 
 def token_counts(docs: DataFrame, path: str, max_pieces: int = 65_536, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every whole text (null: empty, no tokens). Ids may be null or repeat."""
+    """doc_id, n_bytes, n_tokens and over_limit of every whole text (null: no tokens)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = frequent(rows, pieces_of, max_pieces)
-    table = Lengths(pieces, [len(e.ids) for e in tokenizer(path).encode_batch(pieces, add_special_tokens=False)])
+    own = tokenizer(path)
+    pieces, _, ends = coded(Merger(own), own, frequent(rows, lambda text: pieces_of(own, text), max_pieces))
+    table = Lengths(pieces, np.diff(ends, prepend=0).tolist())
     name = uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(table)
 

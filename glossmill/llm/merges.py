@@ -114,13 +114,14 @@ class Merger:
 
 
 def coded(merger: Merger, tokenizer, words: list[str]) -> tuple[list[str], np.ndarray, list[int]]:
-    """(words, all their ids, where each one's end): short words merged together, long ones by the tokenizer."""
-    long = [w for w in words if len(w) > LONGEST // 3 and len(w.encode()) > LONGEST]
+    """(words, all their ids, where each one's end): short words merged together, long ones by the tokenizer's model."""
+    long = [w for w in words if "\0" in w or (len(w) > LONGEST // 4 and len(w.encode()) > LONGEST)]
     if long:
         words = list(set(words).difference(long))
     ordered, ids, ends = merger.merge(words)
     if long:
-        own = [e.ids for e in tokenizer.encode_batch(long, add_special_tokens=False)]
+        names = byte_names()
+        own = [[t.id for t in tokenizer.model.tokenize("".join(map(names.__getitem__, w.encode())))] for w in long]
         more = len(ids) + np.cumsum([len(x) for x in own])
         ids = np.concatenate([ids, np.array([i for x in own for i in x], np.int32)])
         ordered, ends = ordered + long, ends + more.tolist()

@@ -72,7 +72,7 @@ def boundaries(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray, limi
 
 
 class Ids:
-    """Little-endian ids of whole texts, word by word from a bounded cache, or from the tokenizer where the split isn't plain."""
+    """Little-endian ids of whole texts, word by word from a bounded cache, or from the tokenizer where special tokens may occur."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
@@ -83,7 +83,7 @@ class Ids:
         self.sentence_end[[i for t, i in names.items() if t.removesuffix("</w>")[-1:] in (".", "!", "?")]] = True
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [words_of(t) for t in texts]
+        split = [words_of(self.tokenizer, t) for t in texts]
         wanted = set().union(*(words for words in split if words))
         if len(self.cache) > MAX_CACHED:
             self.cache.clear()
