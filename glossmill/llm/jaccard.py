@@ -50,7 +50,7 @@ GROUP_HASHES = 3_000_000
 #: Points of a region that one task may hold; pivots of a round for each larger one, and at most about so many per task in the last round.
 REGION_POINTS, PIVOTS, CHUNK = 2_000, 64, 1_024
 #: About so many (pivot, hash) pairs are counted at once.
-PAIRS = 4_000_000
+PAIRS = 1_000_000
 
 
 def sets_of(texts: list[str | None]) -> list[np.ndarray]:
@@ -133,7 +133,7 @@ class Pivots:
         self.fp = np.array([fingerprint(s) for s in sets], np.int64)
         values = np.concatenate([np.zeros(0, np.uint64), *sets])
         order = np.argsort(values, kind="stable")
-        self.values, self.owner = values[order], np.repeat(np.arange(len(sets)), self.size)[order]
+        self.values, self.owner = values[order], np.repeat(np.arange(len(sets), dtype=np.int32), self.size)[order]
 
     def close(self, sets: list[np.ndarray]) -> list[list[tuple[int, float]]]:
         """For each set the pivots (number, distance) within WIDE percent, nearest first."""
@@ -236,7 +236,7 @@ def points(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return per_batch(rows, make, f"doc_id {kind}, th long, n long, fp long, home long, away double, others array<long>, shell array<struct<{NEAR}>>, keys array<long>, bits binary")
+    return per_batch(rows, make, f"doc_id {kind}, th long, n long, fp long, home long, away double, others array<long>, shell array<struct<{NEAR}>>, keys array<long>, bits binary", 200)
 
 
 def cells(distinct: DataFrame) -> DataFrame:
