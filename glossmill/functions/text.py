@@ -41,8 +41,10 @@ def trimmed(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """White-space runs with a newline become a newline, others a space; the ends are trimmed."""
+    # One search tells whether a text has anything to change.
     lines = F.regexp_replace(text, rf"[{BLANK}]*\n[{BLANK}]*", "\n")
-    return trimmed(F.regexp_replace(lines, rf"[{BLANK}&&[^\n]]+", " "))
+    made = trimmed(F.regexp_replace(lines, rf"[{BLANK}&&[^\n]]+", " "))
+    return F.when(text.rlike(rf"^[{BLANK}]|[{BLANK}]\z|[{BLANK}]{{2}}|[{BLANK}&&[^ \n]]"), made).otherwise(text)
 
 
 def utf16_length(text: Column) -> Column:
@@ -77,8 +79,11 @@ def skip_reason(t: Column, page_is_target: Column) -> Column:
     shell, body = rf"[{pictographs()}]", rf"^[{pictographs()}{WHITE}\p{{P}}\p{{S}}]*\z"
     token = ~t.rlike(rf"[{BLANK}]")
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+    # Plain prose, by far most texts, needs none of the other tests: it has two letters and a blank, so only its language can tell.
+    prose = t.rlike(r"[A-Za-z]{2}") & F.contains(t, F.lit(" ")) & (~page_is_target | ~has_han(t))
     return (
-        F.when(t.rlike(rf"^[{WHITE}]*\z"), "whitespace")
+        F.when(prose, None)
+        .when(t.rlike(rf"^[{WHITE}]*\z"), "whitespace")
         .when(~has_letter(t) & t.rlike(shell) & t.rlike(body), "emoji")
         .when(t.rlike(rf"^[\p{{P}}\p{{S}}{WHITE}]+\z") & ~t.rlike(r"[\p{L}\p{N}]"), "punct")
         .when(t.rlike(NUMERIC) & t.rlike(r"[\p{Nd}\p{No}\p{Nl}]") & ~has_letter(t), "numeric")

@@ -6,7 +6,7 @@ Pages are cut by their known layout (nav, ad, article, footer), so these stateme
 from __future__ import annotations
 
 from glossmill.functions import text
-from glossmill.jobs.queries import PAIRS, SCREEN, TAGS, TARGETS
+from glossmill.jobs.queries import FOREIGN, HIDDEN, PAIRS, RULES, SCREEN, TAGS, TARGETS
 
 
 def java_to_re2(pattern: str) -> str:
@@ -69,7 +69,7 @@ def pages_as(html: str) -> str:
       regexp_replace(regexp_replace(regexp_replace(p, '<br>', chr(10), 'g'), '</?(p|li|ul|div|h1|footer|body|html)[^>]*>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)),
       lambda x: {norm}), lambda x: x <> '') AS l FROM part),
     flat AS (SELECT page_id, page_lang, k, rg, unnest(l) AS source, unnest(range(len(l))) AS i FROM cut),
-    gated AS (SELECT page_id, page_lang, source, (row_number() OVER (PARTITION BY page_id ORDER BY k, i) - 1)::INT AS ord,
+    gated AS (SELECT page_id, page_lang, k, source, (row_number() OVER (PARTITION BY page_id ORDER BY k, i) - 1)::INT AS ord,
       CASE WHEN rg <> 'ad' THEN rg WHEN {units('source')} < 40 THEN 'chrome' ELSE 'main' END AS region, {units('source')}::INT AS char_count, {gate('source')} AS t FROM flat),
     seg AS (SELECT *, CASE WHEN skip_reason IS NULL THEN 'pending' ELSE 'skipped' END AS state FROM (SELECT *, {reason('t', 'false')} AS skip_reason FROM gated))"""
 
@@ -99,7 +99,8 @@ ANSWERED = SEG + """, a AS (SELECT *, CASE WHEN length(source) <= 80 THEN CASE W
  b AS (SELECT *, CASE WHEN state <> 'pending' THEN state WHEN length(source) > 400 OR tx IS NULL THEN 'failed' ELSE 'drafted' END AS st,
    CASE WHEN state <> 'pending' THEN NULL WHEN length(source) > 400 THEN 'too long' WHEN tx IS NULL THEN 'no-text' END AS reason FROM a)"""
 ATTEMPTS = """WITH log AS (SELECT user_id AS pair, CASE WHEN event_id % 2 = 0 THEN 'translate' ELSE 'availability' END AS entry, event_id AS id, ts,
-   CASE event_type WHEN 'error' THEN 'timeout' WHEN 'signup' THEN 'cancelled' WHEN 'click' THEN 'error' ELSE 'success' END AS outcome FROM events)"""
+   CASE event_type WHEN 'error' THEN 'timeout' WHEN 'signup' THEN 'cancelled' WHEN 'click' THEN 'error' ELSE 'success' END AS outcome,
+   CASE WHEN event_id % 2 = 1 AND event_type NOT IN ('error', 'signup', 'click') THEN ['installed', 'supported', 'unsupported'][event_id % 3 + 1] END AS result FROM events)"""
 
 
 def circuit(threshold: int, seconds: int) -> str:
@@ -123,14 +124,41 @@ def zh(tag: str) -> str:
 
 
 SATISFIES = "CASE tv WHEN 'hans' THEN coalesce(variant = 'hans', false) WHEN 'hant' THEN coalesce(variant IN ('hant', 'zh'), false) ELSE false END"
-INSTALLED = ATTEMPTS + """, i AS (SELECT *, coalesce(last_value(CASE WHEN entry = 'availability' AND outcome = 'success' THEN true WHEN entry = 'translate' AND outcome = 'error' THEN false END IGNORE NULLS)
+INSTALLED = ATTEMPTS + """, i AS (SELECT *, coalesce(last_value(CASE WHEN result = 'installed' THEN true WHEN entry = 'translate' AND outcome = 'error' THEN false END IGNORE NULLS)
    OVER (PARTITION BY pair ORDER BY ts, id ROWS UNBOUNDED PRECEDING), false) AS cached FROM log)"""
-EDITED = pages_as("replace(html, ' the ', ' THE ')")
-for _name in ("doc", "part", "cut", "flat", "gated", "seg"):
-    EDITED = EDITED.replace(f"{_name} AS (", f"new_{_name} AS (").replace(f"FROM {_name})", f"FROM new_{_name})").replace(f"FROM {_name},", f"FROM new_{_name},")
-EDITED = SEG + ", " + EDITED
+def beside(html: str, first: str = "html") -> str:
+    """CTEs of the pages' segments as seg, and of another version of the pages as new_seg."""
+    other = pages_as(html)
+    for name in ("doc", "part", "cut", "flat", "gated", "seg"):
+        other = other.replace(f"{name} AS (", f"new_{name} AS (").replace(f"FROM {name})", f"FROM new_{name})").replace(f"FROM {name},", f"FROM new_{name},")
+    return f"WITH {pages_as(first)}, {other}"
+
+
+EDITED = beside("replace(html, ' the ', ' THE ')")
+#: Where texts lie beside elements is marked, for blocks that hold more than text.
+MARKED = beside("replace(replace(html, ' the ', ' THE '), '<b>', chr(4))", "replace(html, '<b>', chr(4))")
+LONGER = beside("CASE WHEN page_id % 2 = 0 THEN replace(html, ' the ', ' those ') ELSE html END")
 OCC = "row_number() OVER (PARTITION BY page_id, source ORDER BY ord) AS occ"
-RUNS = "WITH v AS (SELECT l_linestatus || '/' || l_returnflag AS key, l_extendedprice / l_quantity AS value FROM lineitem)"
+#: Pieces between marks of a source, outside and inside by turns; spans in their lengths.
+SPANS = "WITH " + pages_as("regexp_replace(html, ' (the|der|la) ', ' ' || chr(2) || '\\1' || chr(3) || '  ', 'g')") + """, m AS (SELECT page_id, ord, string_split_regex(source, '[\\x02\\x03]') AS p FROM seg WHERE contains(source, chr(2)))"""
+PATH = "'Read ' || substr(url, 9, (5 + page_id % 20)::INT)"
+CONTROLS = f"""WITH c AS (SELECT page_id, {PATH} AS path, {FOREIGN!r}[page_id % {len(FOREIGN)} + 1] AS lang FROM pages),
+  r AS (SELECT page_id, 0 AS ord, path AS source, length(path) <= 20 AS button, NULL AS lang, 'button' AS tag, false AS han, true AS alone FROM c
+   UNION ALL SELECT page_id, 1, 'go ' || path, length(path) <= 17, NULL, 'label', false, true FROM c UNION ALL SELECT page_id, 2, 'x y', false, NULL, 'div', false, false FROM c
+   UNION ALL SELECT page_id, 3, '简体字 ' || page_id, false, lang, 'p', true, true FROM c WHERE lang <> 'zh_TW' UNION ALL SELECT page_id, 4, '简体字', false, lang, 'p', true, false FROM c WHERE lang <> 'zh_TW'),
+  x AS (SELECT *, button OR (han AND alone AND lang IN ('zh-CN', 'zh-Hans-HK')) AS rep FROM r)
+ SELECT page_id, ord AS "order", source, CASE WHEN button THEN 'button' END AS kind, CASE WHEN rep THEN 'replace' ELSE 'after-segment' END AS insert_mode, lang AS eff_lang,
+  CASE WHEN han THEN 'skipped' ELSE 'pending' END AS state, CASE WHEN han THEN 'already-target' END AS skip_reason, 'chrome' AS region, CASE WHEN rep THEN source END AS replace_snapshot, tag AS anchor_tag FROM x"""
+ESCAPED = "replace(replace(replace(tx, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+LEFT = "replace(replace(replace(replace(regexp_replace(html, '(?s)^.*<article>|</article>.*$|</?[a-z0-9]+>', '', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+AUDIT = f"""WITH b AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)(<body>.*)$', 1), '(?s)<!--.*?-->', '', 'g') AS h, len(regexp_extract_all(html, '<!--')) AS comments FROM pages),
+  e AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(h, '(?s)<div class="ad">.*?</div>', '', 'g'), '<([a-z0-9]+)[ >]', 1)) AS tag FROM b)
+ SELECT tag, 'WALK' AS disposition, 'walk' AS rule, count(*) AS n FROM e GROUP BY tag UNION ALL SELECT '#comment', 'SKIP_SUBTREE', 'comment', sum(comments)::BIGINT FROM b HAVING sum(comments) > 0
+ UNION ALL SELECT 'div', 'SKIP_SUBTREE', {RULES!r}[page_id % {len(HIDDEN)} + 1] AS rule, count(*) FROM b WHERE contains(h, '<div class="ad">') GROUP BY ALL"""
+GATE = """WITH v AS (SELECT l_linenumber::VARCHAR AS key, l_returnflag = 'R' AS now, (100 + l_quantity * CASE WHEN l_linenumber > 5 THEN 8 ELSE 1 END)::DOUBLE AS value, CASE WHEN l_linenumber % 3 = 1 THEN 0.7 ELSE 1.0 END AS pace FROM lineitem),
+  n AS (SELECT key, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, stddev_pop(value) / avg(value) AS cv FROM v WHERE now GROUP BY key),
+  b AS (SELECT key, quantile_disc(value * pace, 0.5) AS b50, quantile_disc(value * pace, 0.95) AS b95 FROM v WHERE NOT now GROUP BY key)
+ SELECT key, CASE WHEN key = '2' OR cv > 0.15 THEN 'not judged' WHEN p50 > 1.3 * b50 OR p95 > 1.5 * b95 THEN 'fail' ELSE 'pass' END AS verdict FROM n JOIN b USING (key)"""
 
 SQL = {
     "segments": SEG + """ SELECT page_id, 'k1-' || lower(to_base(ord, 36)) AS seg_id, ord AS "order", region, source, state, skip_reason, 'after-segment' AS insert_mode, char_count FROM seg""",
@@ -139,7 +167,18 @@ SQL = {
     "skip_reasons": f"{SEG} SELECT page_lang, skip_reason, count(*) AS n FROM seg WHERE state = 'skipped' GROUP BY ALL",
     "counter_diff": SEG + f", a AS ({counter_rows(chr(39).join(['page_lang = ', 'en', '']))}), b AS ({counter_rows(chr(39).join(['page_lang = ', 'fr', '']))})"
     " SELECT key, a.value AS now, b.value AS base FROM a FULL JOIN b USING (key) WHERE a.value IS DISTINCT FROM b.value",
-    "counter_variants": f"{SEG} SELECT page_id, 1::BIGINT AS variants FROM seg GROUP BY page_id",
+    "counter_variants": LONGER + f", u AS (SELECT page_id, {COUNTERS} FROM seg GROUP BY page_id UNION SELECT page_id, {COUNTERS} FROM new_seg GROUP BY page_id) SELECT page_id, count(*) AS variants FROM u GROUP BY page_id",
+    "counter_check": LONGER + f""", u AS (SELECT page_id, {COUNTERS} FROM seg GROUP BY page_id UNION SELECT page_id, {COUNTERS} FROM new_seg GROUP BY page_id), a AS ({counter_rows('true')}), b AS ({counter_rows('true').replace('FROM seg', 'FROM new_seg')})
+      SELECT key, b.value AS now, a.value AS base FROM a FULL JOIN b USING (key) WHERE a.value IS DISTINCT FROM b.value
+      UNION ALL SELECT 'unsteady inputs', count(*), 0 FROM (SELECT page_id FROM u GROUP BY page_id HAVING count(*) > 1) HAVING count(*) > 0""",
+    "segment_table": SEG + """ SELECT page_id, ord AS "order", CASE WHEN skip_reason IS NULL THEN json_object('order', ord, 'source', source, 'state', state)::VARCHAR
+      ELSE json_object('order', ord, 'source', source, 'state', state, 'skipReason', skip_reason)::VARCHAR END AS golden FROM seg""",
+    "protected_spans": SPANS + """ SELECT page_id, ord AS "order", (len(p) // 2)::INT AS n, array_to_string(list_transform(range(1, len(p) // 2 + 1), lambda k:
+      list_sum(list_transform(p[1:2*k-1], lambda x: length(x)))::BIGINT || ':' || list_sum(list_transform(p[1:2*k], lambda x: length(x)))::BIGINT), ',') AS spans FROM m""",
+    "insert_modes": CONTROLS,
+    "bridge_messages": SEG + f""" SELECT page_id, json_object('type', 'translate', 'id', 'k1-' || lower(to_base(ord, 36)), 'source', source, 'from', page_lang, 'to', 'zh-Hant')::VARCHAR AS message {OPEN}""",
+    "unmatched_responses": SEG + " SELECT page_id, 'k1-' || lower(to_base(ord, 36)) || '?' AS seg_id, source FROM seg WHERE ord % 3 = 2",
+    "page_table": "SELECT page_id, true AS whole FROM pages",
     "normalize_text": f"SELECT doc_id, {normal('text')} AS normalized, {units('text')}::INT AS units FROM documents",
     "worth_gate": f"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\n| \\| ')) AS line FROM documents), g AS (SELECT doc_id, {gate('line')} AS t FROM l)
       SELECT doc_id, coalesce({reason('t', 'true')}, 'worth') AS reason, count(*) AS n FROM g GROUP BY ALL""",
@@ -165,23 +204,29 @@ SQL = {
     "bilingual_pairs": ANSWERED + """ SELECT page_id, ord AS "order", source, tx AS text, 'after-segment' AS insert_mode FROM b WHERE st = 'drafted' AND tx <> ''""",
     "engine_translate": SEG + f""" SELECT page_lang AS "from", 'zh-Hant' AS "to", source, CASE WHEN page_lang <> 'de' THEN 'zh-Hant:' || reverse(source) END AS text, CASE WHEN page_lang = 'de' THEN 'no model' END AS error
       {OPEN} GROUP BY ALL""",
-    "render_pages": ANSWERED + " SELECT page_id, count(*) FILTER (st = 'drafted' AND tx <> '')::INT AS marks FROM b GROUP BY page_id",
+    "render_pages": ANSWERED + f""", k AS (SELECT page_id, string_agg('k1-' || lower(to_base(ord, 36)) || ' ' || {ESCAPED}, chr(10) ORDER BY ord) AS marks FROM b WHERE st = 'drafted' AND tx <> '' GROUP BY page_id)
+      SELECT page_id, coalesce(marks, '') AS marks, length({LEFT})::INT AS "left" FROM pages LEFT JOIN k USING (page_id)""",
     "recollect": SEG + """ SELECT page_id, ord AS "order", source, state FROM seg""",
     "incremental_segments": EDITED + f""", o AS (SELECT page_id, source, {OCC} FROM seg), w AS (SELECT page_id, ord, source, {OCC} FROM new_seg)
       SELECT page_id, ord AS "order", source FROM w ANTI JOIN o USING (page_id, source, occ)""",
-    "drift_guard": EDITED + " SELECT page_id, seg.source <> new_seg.source AS drifted, count(*) AS n FROM seg JOIN new_seg USING (page_id, ord) GROUP BY ALL",
+    "stream_changes": EDITED + f""", o AS (SELECT page_id, source, {OCC} FROM seg), w AS (SELECT page_id, ord, source, {OCC} FROM new_seg)
+      SELECT page_id, ord AS "order", source FROM w ANTI JOIN o USING (page_id, source, occ)""",
+    "drift_guard": MARKED + """ SELECT page_id, seg.source <> new_seg.source AS drifted, count(*) AS n FROM seg JOIN new_seg USING (page_id, ord) WHERE seg.k > 0 AND NOT contains(seg.source, chr(4)) GROUP BY ALL""",
     "timeout_streaks": ATTEMPTS + """, g AS (SELECT *, sum((outcome <> 'timeout')::INT) OVER (PARTITION BY pair, entry ORDER BY ts, id) AS g FROM log WHERE outcome <> 'cancelled')
       SELECT pair, entry, id, sum((outcome = 'timeout')::INT) OVER (PARTITION BY pair, entry, g ORDER BY ts, id)::BIGINT AS streak FROM g""",
     "installed_pairs": INSTALLED + " SELECT pair, id, cached FROM i",
     "circuit_windows": circuit(2, 86_400) + " SELECT pair, entry, attempts, rejected, opened, streak FROM z",
     "pair_status": circuit(2, 86_400) + INSTALLED.replace(ATTEMPTS, "") + """,
-      l AS (SELECT pair, max_by(cached, (ts, id)) AS cached, max_by(outcome, (ts, id)) AS outcome FROM i WHERE entry = 'availability' OR outcome = 'error' GROUP BY pair)
-      SELECT l.pair, CASE WHEN cached THEN 'installed' WHEN coalesce(til > TIMESTAMP '2024-01-20', false) OR outcome IN ('timeout', 'cancelled') THEN 'undetermined' ELSE 'unsupported' END AS status
-      FROM l LEFT JOIN z ON z.pair = l.pair AND z.entry = 'availability'""",
+      c AS (SELECT pair, max_by(cached, (ts, id)) AS cached FROM i GROUP BY pair), l AS (SELECT pair, arg_max(outcome, (ts, id)) AS outcome, arg_max_null(result, (ts, id)) AS result FROM log WHERE entry = 'availability' GROUP BY pair)
+      SELECT c.pair, CASE WHEN cached THEN 'installed' WHEN coalesce(til > TIMESTAMP '2024-01-20', false) OR outcome IS DISTINCT FROM 'success' THEN 'undetermined' ELSE result END AS status
+      FROM c LEFT JOIN l USING (pair) LEFT JOIN z ON z.pair = c.pair AND z.entry = 'availability'""",
+    "stream_circuit": circuit(2, 86_400) + """ SELECT s.pair, s.entry, n.id, s.rejected > s.before AS rejected, s.streak FROM (SELECT *, lag(rejected) OVER (PARTITION BY pair, entry ORDER BY k) AS before FROM s) s
+      JOIN n ON n.pair = s.pair AND n.entry = s.entry AND n.k = s.k""",
+    "node_audit": AUDIT,
     "timing_summary": """SELECT event_type, min(value) AS least, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean,
       round(CASE WHEN avg(value) = 0 THEN 0 ELSE stddev_pop(value) / avg(value) END, 6) AS cv FROM events GROUP BY event_type""",
-    "timing_gate": "SELECT DISTINCT l_linestatus || '/' || l_returnflag AS key, CASE l_returnflag WHEN 'A' THEN 'not judged' ELSE 'fail' END AS verdict FROM lineitem",
-    "languages": "SELECT DISTINCT lang AS language FROM documents WHERE lang IS NOT NULL",
+    "timing_gate": GATE,
+    "languages": f"WITH p AS (SELECT DISTINCT lang AS a, t AS b FROM documents, (SELECT unnest({TARGETS!r}) AS t) WHERE lang <> t) SELECT a AS language FROM p UNION SELECT b FROM p",
     "text_input_status": f"SELECT doc_id, CASE WHEN {trim('text')} = '' THEN 'empty' ELSE 'ok' END AS status, length({trim('text')})::INT AS size FROM documents",
     "stream_segments": SEG + """ SELECT page_id, ord AS "order", source, state FROM seg""",
 }

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from glossmill.functions import lang, text
 from glossmill.operators import attempts as at
 from glossmill.operators import dispatch, extract, metrics, render, translate
 from glossmill.sources.pages import pages, table, text_inputs
+from glossmill.sources.stored import dropped_later, fresh_folder, write_bucketed, written
 from glossmill.streaming import streams
 
 # Fixed small dimension tables, given in the queries and their oracles alike.
@@ -25,6 +23,11 @@ def segments_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.segments(pages(spark, sf_dir))
 
 
+def stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments, written once for queries that read them more than once."""
+    return dropped_later(written(segments_of(spark, sf_dir), "segments"))
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments_of(spark, sf_dir).select("page_id", "seg_id", "order", "region", "source", "state", "skip_reason", "insert_mode", "char_count")
 
@@ -42,13 +45,26 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counter_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = segments_of(spark, sf_dir)
+    every = stored_segments(spark, sf_dir)
     return metrics.counter_diff(metrics.counter_rows(every.filter("page_lang = 'en'")), metrics.counter_rows(every.filter("page_lang = 'fr'")))
 
 
+def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of two runs over the pages; the second meets longer texts on every other page."""
+    longer = pages(spark, sf_dir).withColumn("html", F.when(F.col("page_id") % 2 == 0, F.regexp_replace("html", " the ", " those ")).otherwise(F.col("html")))
+    runs = [metrics.counters(extract.segments(p), "page_id").withColumn("run", F.lit(k)) for k, p in enumerate((pages(spark, sf_dir), longer))]
+    return runs[0].unionByName(runs[1])
+
+
 def counter_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = [metrics.counters(segments_of(spark, sf_dir), "page_id").withColumn("run", F.lit(k)) for k in range(2)]
-    return metrics.variants(runs[0].unionByName(runs[1]), "page_id")
+    return metrics.variants(two_runs(spark, sf_dir), "page_id")
+
+
+def counter_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the pages with longer texts against the pages', and whether runs over a page vary."""
+    every = dropped_later(written(two_runs(spark, sf_dir), "runs"))
+    rows = lambda k: metrics.counter_totals(every.filter(F.col("run") == k).drop("run", "page_id"))
+    return metrics.counter_check(rows(1), rows(0), metrics.variants(every, "page_id"))
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +84,7 @@ def gate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_lang_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's tag, and the tags of a fixed list, against every target."""
-    own = extract.raw_segments(pages(spark, sf_dir), lang.DEFAULT_TARGET).select("page_id", F.array_append(F.array(*map(F.lit, TAGS)), F.col("page_lang")).alias("tags"))
+    own = extract.node_tables(pages(spark, sf_dir)).select("page_id", F.array_append(F.array(*map(F.lit, TAGS)), F.col("page_lang")).alias("tags"))
     rows = own.select("page_id", F.explode("tags").alias("tag")).select("page_id", "tag", F.explode(F.array(*map(F.lit, TARGETS))).alias("target"))
     gate = lang.page_is_target(F.col("tag"), F.lit(""), F.col("target"))
     return rows.groupBy("tag", "target", lang.zh_variant(F.col("tag")).alias("variant"), gate.alias("gate"), lang.already_target(F.col("tag"), F.col("target")).alias("own")).agg(F.count("*").alias("n"))
@@ -99,7 +115,7 @@ def admitted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eager segments are sent; the rest is ranked anew from the top of the page."""
-    rows = dispatch.open_segments(placed(spark, sf_dir))
+    rows = dropped_later(written(dispatch.open_segments(placed(spark, sf_dir)), "open"))
     sent = dispatch.eager(rows).filter("eager")
     fresh = rows.select("page_id", "seg_id", (F.col("order") * 60).alias("distance"))
     return dispatch.ranked_again(rows, sent, fresh).select("page_id", "order", "distance", "place")
@@ -141,7 +157,7 @@ def memory(work: DataFrame) -> DataFrame:
 
 
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = segments_of(spark, sf_dir)
+    every = stored_segments(spark, sf_dir)
     wanted = translate.requests_of(every)
     found = translate.by_memory(wanted, memory(translate.distinct_work(wanted)))
     return translate.applied(every, found.withColumn("error", F.when(F.length("source") > 400, "too long")))
@@ -159,6 +175,19 @@ def bilingual_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translate.bilingual_pairs(answered(spark, sf_dir))
 
 
+def unmatched_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses that match no segment: every third one echoes an id that was never sent."""
+    every = stored_segments(spark, sf_dir)
+    odd = F.col("order") % 3 == 2
+    sent = every.select("page_id", F.when(odd, F.concat("seg_id", F.lit("?"))).otherwise(F.col("seg_id")).alias("seg_id"), "source")
+    return translate.unmatched(sent, every).select("page_id", "seg_id", "source")
+
+
+def bridge_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = translate.requests_of(segments_of(spark, sf_dir))
+    return wanted.select("page_id", translate.request_message(F.col("seg_id"), F.col("source"), F.col("from"), F.col("to")).alias("message"))
+
+
 def engine_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     def engine(a: str, b: str):
         def run(source: str) -> str:
@@ -176,14 +205,59 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = F.size(F.regexp_extract_all("html", F.lit('class="gm-translation"'), F.lit(0)))
-    return rendered(spark, sf_dir).select("page_id", marks.alias("marks"))
+    """The marks of every rendered page with their texts, in document order, and what is left of the page without them."""
+    mark = '<div class="gm-translation" data-gm-id="([^"]*)">([^<]*)</div>'
+    marks = F.concat_ws("\n", F.zip_with(F.regexp_extract_all("html", F.lit(mark), F.lit(1)), F.regexp_extract_all("html", F.lit(mark), F.lit(2)), lambda i, t: F.concat(i, F.lit(" "), t)))
+    bare = F.regexp_replace(F.regexp_replace("html", mark, ""), "(?s)^.*<article>|</article>.*$|</?[a-z0-9]+>", "")
+    for escaped, plain in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(escaped), F.lit(plain))
+    return rendered(spark, sf_dir).select("page_id", marks.alias("marks"), F.length(bare).alias("left"))
+
+
+def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered pages written in page buckets and read back."""
+    stored = write_bucketed(rendered(spark, sf_dir), fresh_folder(spark, "bilingual"), buckets=16)
+    return stored.select("page_id", F.col("html").isNotNull().alias("whole"))
+
+
+def segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments written in page buckets; the table read back, with the golden form's JSON of each."""
+    stored = write_bucketed(segments_of(spark, sf_dir), fresh_folder(spark, "segment-table"), buckets=16)
+    return stored.select("page_id", "order", F.to_json(F.struct("order", "source", "state", F.col("skip_reason").alias("skipReason"))).alias("golden"))
 
 
 def recollect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.segments(rendered(spark, sf_dir)).select("page_id", "order", "source", "state")
 
 
+def with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with one word of the texts as code."""
+    return pages(spark, sf_dir).withColumn("html", F.regexp_replace("html", " (the|der|la) ", " <code>$1</code>  "))
+
+
+def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.segments(with_spans(spark, sf_dir)).filter("size(protected_spans) > 0")
+    listed = F.concat_ws(",", F.transform("protected_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))))
+    return found.select("page_id", "order", F.size("protected_spans").alias("n"), listed.alias("spans"))
+
+
+def with_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with controls and foreign-language blocks before the article, which differ from page to page."""
+    path = F.concat(F.lit("Read "), F.substring(F.col("url"), F.lit(9), (F.col("page_id") % 20 + 5).cast("int")))
+    lang_tag = F.element_at(F.array(*(F.lit(t) for t in FOREIGN)), (F.col("page_id") % len(FOREIGN) + 1).cast("int"))
+    block = F.concat(F.lit('<section lang="'), lang_tag, F.lit('"><p>简体字 '), F.col("page_id").cast("string"), F.lit("</p><p>简体<b>字</b></p></section>"))
+    controls = F.concat(F.lit("<button>"), path, F.lit("</button><label>go "), path, F.lit('</label><div role="button">x <i>y</i></div>'), block)
+    return pages(spark, sf_dir).withColumn("html", F.concat(F.lit("<html><body>"), controls, F.lit("</body></html>")))
+
+
+FOREIGN = ["zh-CN", "zh_TW", "ja", "", "zh-Hans-HK"]
+
+
+def insert_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buttons, effective languages and insert modes of pages with controls and foreign blocks."""
+    return extract.segments(with_controls(spark, sf_dir)).select("page_id", "order", "source", "kind", "insert_mode", "eff_lang", "state", "skip_reason", "region", "replace_snapshot", "anchor_tag")
+
+
 def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages with one word spelled anew, as a later version of them."""
     return pages(spark, sf_dir).withColumn("html", F.regexp_replace("html", " the ", " THE "))
@@ -193,15 +267,33 @@ def incremental_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.fresh(extract.segments(edited(spark, sf_dir)), segments_of(spark, sf_dir)).select("page_id", "order", "source")
 
 
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream of the edited pages, against a written table of what is known."""
+    known, done = stored_segments(spark, sf_dir), fresh_folder(spark, "changes")
+    stream = streams.table_stream(spark, f"{sf_dir}/pages.parquet*", streams.PAGES)
+    new = stream.withColumn("html", F.regexp_replace("html", " the ", " THE "))
+    query = streams.changed_pages(new, lambda: known, lambda df, n: df.select("page_id", "order", "source").write.mode("overwrite").parquet(f"{done}/{n}"), f"{done}-checkpoint")
+    query.awaitTermination()
+    return spark.read.schema("page_id long, order int, source string").parquet(f"{done}/*")
+
+
 def drift_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = render.drift(segments_of(spark, sf_dir), extract.segments(edited(spark, sf_dir)))
+    """Blocks of text alone whose text has changed, or that hold other elements by now, in the edited pages."""
+    old = segments_of(spark, sf_dir).filter("only_text")
+    found = render.drift(old, extract.segments(edited(spark, sf_dir)))
     return found.groupBy("page_id", "drifted").agg(F.count("*").alias("n"))
 
 
-def attempts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_attempts(events: DataFrame) -> DataFrame:
+    """Events as attempts. A status query that was answered has a result, by the event's number."""
     outcome = F.when(F.col("event_type") == "error", "timeout").when(F.col("event_type") == "signup", "cancelled").when(F.col("event_type") == "click", "error").otherwise("success")
     entry = F.when(F.col("event_id") % 2 == 0, "translate").otherwise("availability")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("pair"), entry.alias("entry"), F.col("event_id").alias("id"), "ts", outcome.alias("outcome"))
+    result = F.when((F.col("event_id") % 2 == 1) & (outcome == "success"), F.element_at(F.array(F.lit("installed"), F.lit("supported"), F.lit("unsupported")), (F.col("event_id") % 3 + 1).cast("int")))
+    return events.select(F.col("user_id").alias("pair"), entry.alias("entry"), F.col("event_id").alias("id"), "ts", outcome.alias("outcome"), result.alias("result"))
+
+
+def attempts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_attempts(table(spark, sf_dir, "events"))
 
 
 def timeout_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +311,7 @@ def circuit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = attempts_of(spark, sf_dir)
-    return at.resolved_status(at.installed(log), at.circuit(log, threshold=2, seconds=86_400), F.lit("2024-01-20").cast("timestamp"))
+    return at.resolved_status(log, at.circuit(log, threshold=2, seconds=86_400), F.lit("2024-01-20").cast("timestamp"))
 
 
 def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,16 +320,19 @@ def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timing_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit prices by status and flag as samples of a benchmark, against a baseline that is faster and, for one flag, from elsewhere."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("run"), F.col("l_returnflag").alias("env"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("value"))
-    runs = metrics.timing_summary(rows.withColumn("key", F.concat("run", F.lit("/"), "env")), "key", "value")
-    base = metrics.timing_summary(rows.withColumn("key", F.concat("run", F.lit("/"), "env")).withColumn("value", F.col("value") * 0.7), "key", "value")
-    env = F.substring_index("key", "/", -1)
-    return metrics.timing_gate(runs.withColumns({"env": env, "cv": F.lit(0.1)}), base.withColumn("env", F.when(env == "A", "B").otherwise(env)), "key")
+    """Quantities of returned line items as samples, by line number, against those of the others; the baseline of some numbers is faster,
+    of some more even spread, and one comes from elsewhere."""
+    n = F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(n.cast("string").alias("key"), (F.col("l_returnflag") == "R").alias("now"), (100 + F.col("l_quantity") * F.when(n > 5, 8).otherwise(1)).cast("double").alias("value"), F.when(n % 3 == 1, 0.7).otherwise(1.0).alias("pace"))
+    now = metrics.timing_summary(rows.filter("now"), "key", "value").withColumn("env", F.lit("x86"))
+    base = metrics.timing_summary(rows.filter("not now").withColumn("value", F.col("value") * F.col("pace")), "key", "value")
+    return metrics.timing_gate(now, base.withColumn("env", F.when(F.col("key") == "2", "arm").otherwise("x86")), "key")
 
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return translate.languages(table(spark, sf_dir, "documents"), "lang")
+    """Languages of documents as sources and of pages as targets."""
+    pairs = table(spark, sf_dir, "documents").select(F.col("lang").alias("from"), F.explode(F.array(*map(F.lit, TARGETS))).alias("to"))
+    return translate.languages(pairs.filter("`from` <> `to`"))
 
 
 def text_input_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,34 +340,36 @@ def text_input_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_inputs(raw).select("doc_id", "status", F.length("text").alias("size"))
 
 
-def node_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.node_audit(pages(spark, sf_dir))
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with their advertisement hidden in a way that differs from page to page."""
+    way = F.element_at(F.array(*(F.lit(w) for w in HIDDEN)), (F.col("page_id") % len(HIDDEN) + 1).cast("int"))
+    return pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit('<div class="ad">'), F.concat(F.lit("<div "), way, F.lit(">"))))
 
 
-def folder(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{named or 'file://' + tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+#: Ways to hide an element, and what decides each.
+HIDDEN = ["hidden", 'aria-hidden="true"', 'translate="no"', 'style="display:none"', 'class="sr-only"', 'lang="zh-TW"', 'role="Math "', 'class="x notranslate"', 'style="content-visibility: hidden"']
+RULES = ["attribute", "attribute", "translate-no", "display", "attribute", "already-target", "attribute", "translate-no", "display"]
+
+
+def node_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.node_audit(audited(spark, sf_dir)).filter("tag <> '#text'")
 
 
 def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = streams.segment_stream(streams.table_stream(spark, f"{sf_dir}/pages.parquet*", streams.PAGES))
-    return streams.once(stream.select("page_id", "order", "source", "state"), folder(spark))
+    return streams.once(stream.select("page_id", "order", "source", "state"), fresh_folder(spark, "stream"))
 
 
 def stream_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    outcome = F.when(F.col("event_type") == "error", "timeout").when(F.col("event_type") == "signup", "cancelled").when(F.col("event_type") == "click", "error").otherwise("success")
-    entry = F.when(F.col("event_id") % 2 == 0, "translate").otherwise("availability")
-    log = events.select(F.col("user_id").alias("pair"), entry.alias("entry"), F.col("event_id").alias("id"), "ts", outcome.alias("outcome"))
-    return streams.once(streams.circuit_stream(log), folder(spark))
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    return streams.once(streams.circuit_stream(as_attempts(events).drop("result"), threshold=2, seconds=86_400), fresh_folder(spark, "stream"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        segments, page_counters, corpus_counters, skip_reasons, counter_diff, counter_variants, normalize_text, worth_gate, gate_urls, page_lang_gate, dispatch_plan, eager_segments, lazy_tiers,
-        admitted_blocks, resorted, parse_requests, responses, pair_precheck, distinct_work, apply_responses, bilingual_pairs, engine_translate, render_pages, recollect, incremental_segments,
+        segments, segment_table, page_counters, corpus_counters, skip_reasons, counter_diff, counter_variants, counter_check, protected_spans, insert_modes, normalize_text, worth_gate, gate_urls, page_lang_gate, dispatch_plan, eager_segments, lazy_tiers,
+        admitted_blocks, resorted, parse_requests, responses, pair_precheck, distinct_work, apply_responses, bilingual_pairs, bridge_messages, unmatched_responses, engine_translate, render_pages, page_table, recollect, incremental_segments, stream_changes,
         drift_guard, timeout_streaks, installed_pairs, circuit_windows, pair_status, timing_summary, timing_gate, languages, text_input_status, node_audit, stream_segments, stream_circuit,
     )
 }

@@ -1,7 +1,7 @@
-"""Timeouts and outages per language pair, from a log of attempts (pair, entry, id, ts, outcome).
+"""Timeouts and outages per language pair, from a log of attempts (pair, entry, id, ts, outcome and, for status queries, result).
 
-outcome: success, error (a real one), timeout or cancelled. Streaks and caches are windows; the circuit, where a rejected attempt
-changes nothing that follows, is a fold over a pair's sorted log.
+outcome: success, error (a real one), timeout or cancelled. A few pairs have nearly all attempts, so the log is dealt by ranges of time
+within a pair: each range is worked on by itself, and one row per range carries over what later ranges need.
 """
 
 from __future__ import annotations
@@ -9,78 +9,122 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from glossmill.sources.stored import dropped, dropped_later, written
+
 # Timeouts in a row that open the circuit, and for how long.
 THRESHOLD, OPEN_SECONDS = 3, 60
 
 
+def in_ranges(log: DataFrame, *key: str) -> DataFrame:
+    """log, written in ranges of (key, ts, id), with part: the range's number. Later reads don't depend on how files are split."""
+    order = [*key, "ts", "id"]
+    return dropped_later(written(log.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "attempts"))
+
+
 def timeout_streaks(attempts: DataFrame) -> DataFrame:
     """Attempts that weren't cancelled, with `streak`: timeouts in a row up to here, per pair and entry."""
-    key = Window.partitionBy("pair", "entry").orderBy("ts", "id")
-    replies = F.sum(F.when(F.col("outcome") == "timeout", 0).otherwise(1)).over(key)
-    rows = attempts.filter("outcome <> 'cancelled'").withColumn("replies", replies)
-    within = Window.partitionBy("pair", "entry", "replies").orderBy("ts", "id")
-    return rows.withColumn("streak", F.sum(F.when(F.col("outcome") == "timeout", 1).otherwise(0)).over(within)).drop("replies")
+    rows = in_ranges(attempts.filter("outcome <> 'cancelled'"), "pair", "entry")
+    key = ["part", "pair", "entry"]
+    timeout = F.when(F.col("outcome") == "timeout", 1).otherwise(0)
+    rows = rows.withColumn("replies", F.sum(1 - timeout).over(Window.partitionBy(*key).orderBy("ts", "id")))
+    rows = rows.withColumn("own", F.sum(timeout).over(Window.partitionBy(*key, "replies").orderBy("ts", "id")))
+    # What a range hands on: its timeouts after its last reply, and those of ranges before it if it has no reply.
+    ends = rows.groupBy(*key).agg(F.max("replies").alias("all"), F.max_by("own", F.struct("ts", "id")).alias("trailing"))
+    parts = Window.partitionBy("pair", "entry").orderBy("part")
+    ends = ends.withColumn("since", F.sum(F.when(F.col("all") > 0, 1).otherwise(0)).over(parts))
+    ends = ends.withColumn("handed", F.sum("trailing").over(Window.partitionBy("pair", "entry", "since").orderBy("part")))
+    carried = ends.select(*key, F.coalesce(F.lag("handed").over(parts), F.lit(0)).alias("carried"))
+    streak = F.col("own") + F.when(F.col("replies") == 0, F.col("carried")).otherwise(0)
+    return rows.join(carried, key).select(*attempts.columns, streak.alias("streak"))
+
+
+def installed_event(attempts: DataFrame) -> Column:
+    """True where an answer says that the pair is installed, false for a real translation error, which alone clears that; else null."""
+    answer = F.coalesce(F.col("result"), F.lit("installed")) if "result" in attempts.columns else F.lit("installed")
+    return F.when((F.col("entry") == "availability") & (F.col("outcome") == "success") & (answer == "installed"), True).when((F.col("entry") == "translate") & (F.col("outcome") == "error"), False)
 
 
 def installed(attempts: DataFrame) -> DataFrame:
-    """Attempts with `cached`: whether the pair is known as installed after them.
-
-    A successful status query sets it, a real translation error alone clears it.
-    """
-    event = F.when((F.col("entry") == "availability") & (F.col("outcome") == "success"), True).when((F.col("entry") == "translate") & (F.col("outcome") == "error"), False)
-    order = Window.partitionBy("pair").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return attempts.withColumn("cached", F.coalesce(F.last(event, ignorenulls=True).over(order), F.lit(False)))
+    """Attempts with `cached`: whether the pair is known as installed after them."""
+    rows = in_ranges(attempts.withColumn("event", installed_event(attempts)), "pair")
+    before = Window.partitionBy("part", "pair").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.last("event", ignorenulls=True).over(before))
+    ends = rows.groupBy("part", "pair").agg(F.max_by("own", F.struct("ts", "id")).alias("end"))
+    earlier = Window.partitionBy("pair").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("part", "pair", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    return rows.join(carried, ["part", "pair"]).select(*attempts.columns, F.coalesce("own", "carried", F.lit(False)).alias("cached"))
 
 
 def circuit(attempts: DataFrame, threshold: int = THRESHOLD, seconds: int = OPEN_SECONDS) -> DataFrame:
-    """Per pair and entry: attempts, rejected ones, openings and the last moment until which the circuit is open.
+    """Per pair and entry: attempts, rejected ones, openings, the streak and the moment until which the circuit is open, if any.
 
-    A key's sorted log streams through one task, which carries a few numbers only, however long the log is.
+    Every range is folded by itself, from the state in which the range before it ended. As that isn't known at first, rounds repeat until
+    no state between ranges changes; a reply that isn't rejected ends what earlier attempts have to say, so there are few. Only a row
+    for each range comes to the driver.
     """
     wait = seconds * 1_000_000
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, rejected, opened, streak, until = None, 0, 0, 0, 0, None
-        for batch in batches:
-            done = []
-            for pair, entry, ts, outcome in zip(*(batch.column(c).to_pylist() for c in ("pair", "entry", "at", "outcome")), strict=True):
-                if key != (pair, entry):
-                    if key is not None:
-                        done.append((*key, n, rejected, opened, streak, until))
-                    key, n, rejected, opened, streak, until = (pair, entry), 0, 0, 0, 0, None
-                n += 1
-                if ts is not None and until is not None and ts < until:
-                    rejected += 1
-                elif outcome == "timeout":
-                    streak += 1
-                    if streak >= threshold:
-                        opened, until = opened + 1, None if ts is None else ts + wait
-                elif outcome in ("success", "error"):
-                    streak, until = 0, None
-            yield rows(done)
-        if key is not None:
-            yield rows([(*key, n, rejected, opened, streak, until)])
-
-    names = ["pair", "entry", "attempts", "rejected", "opened", "streak", "until"]
-    schema = T.StructType([attempts.schema["pair"], attempts.schema["entry"], *(T.StructField(c, T.IntegerType()) for c in names[2:6]), T.StructField("until", T.LongType())])
+    log = in_ranges(attempts.select("pair", "entry", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "id", "outcome"), "pair", "entry")
+    names = ["part", "pair", "entry", "attempts", "rejected", "opened", "streak", "until"]
+    kinds = [T.LongType()] * 4 + [T.LongType()]
+    schema = T.StructType([T.StructField("part", T.IntegerType()), attempts.schema["pair"], attempts.schema["entry"], *(T.StructField(c, k) for c, k in zip(names[3:], kinds, strict=True))])
     types = to_arrow_schema(schema)
 
+    def folded(begins: dict[int, tuple]) -> DataFrame:
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, n, rejected, opened, streak, until = None, 0, 0, 0, 0, None
+            for batch in batches:
+                done = []
+                for part, pair, entry, ts, outcome in zip(*(batch.column(c).to_pylist() for c in ("part", "pair", "entry", "at", "outcome")), strict=True):
+                    if now != (part, pair, entry):
+                        if now is not None:
+                            done.append((*now, n, rejected, opened, streak, until))
+                        first = now is None or now[0] != part
+                        now, n, rejected, opened = (part, pair, entry), 0, 0, 0
+                        streak, until = begins.get(part, (0, None)) if first else (0, None)
+                    n += 1
+                    if ts is not None and until is not None and ts < until:
+                        rejected += 1
+                    elif outcome == "timeout":
+                        streak += 1
+                        if streak >= threshold:
+                            opened, until = opened + 1, None if ts is None else ts + wait
+                    elif outcome in ("success", "error"):
+                        streak, until = 0, None
+                yield rows(done)
+            if now is not None:
+                yield rows([(*now, n, rejected, opened, streak, until)])
+
+        return log.repartition("part").sortWithinPartitions("part", "pair", "entry", "ts", "id").mapInArrow(fold, schema)
+
     def rows(done: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], f.type) for k, f in enumerate(types)], names)
 
-    log = attempts.select("pair", "entry", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "id", "outcome")
-    folded = log.repartition("pair", "entry").sortWithinPartitions("pair", "entry", "at", "id", "outcome").mapInArrow(fold, schema)
-    return folded.select(*names[:6], F.timestamp_micros("until").alias("open_until"))
-
-
-def resolved_status(cached: DataFrame, circuits: DataFrame, at) -> DataFrame:
-    """Per pair: installed where cached, undetermined where the status query's circuit is open at `at`, else by the last answer."""
-    last = cached.filter("entry = 'availability' or outcome = 'error'").groupBy("pair").agg(F.max_by("cached", F.struct("ts", "id")).alias("cached"), F.max_by("outcome", F.struct("ts", "id")).alias("outcome"))
+    key = F.struct("pair", "entry")
+    begins: dict[int, tuple] = {}
+    while True:
+        made = written(folded(begins), "circuits")
+        ends = made.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max_by(F.struct("streak", "until"), key).alias("state")).orderBy("part").collect()
+        found = {b["part"]: tuple(a.state) for a, b in zip(ends, ends[1:], strict=False) if tuple(a["last"]) == tuple(b["first"]) and tuple(a.state) != (0, None)}
+        if found == begins:
+            break
+        begins = found
+        dropped(made)
+    total = dropped_later(made).groupBy("pair", "entry").agg(*(F.sum(c).cast("int").alias(c) for c in names[3:6]), F.max_by(F.struct("streak", "until"), "part").alias("state"))
+    return total.select(*names[1:6], F.col("state.streak").cast("int").alias("streak"), F.timestamp_micros("state.until").alias("open_until"))
+
+
+def resolved_status(attempts: DataFrame, circuits: DataFrame, at: Column) -> DataFrame:
+    """Per pair: installed where that is known, undetermined where the status query's circuit is open at `at` or its last attempt had no
+    answer, else that answer. Plain aggregates: no pair's log is gathered."""
+    order = F.struct("ts", "id")
+    known = attempts.withColumn("event", installed_event(attempts)).groupBy("pair").agg(F.max_by("event", F.when(F.col("event").isNotNull(), order)).alias("cached"))
+    last = attempts.filter("entry = 'availability'").groupBy("pair").agg(F.max_by(F.struct("outcome", "result"), order).alias("answer"))
     opened = circuits.filter("entry = 'availability'").select("pair", F.coalesce(F.col("open_until") > at, F.lit(False)).alias("open"))
-    status = F.when(F.col("cached"), "installed").when(F.coalesce("open", F.lit(False)) | F.col("outcome").isin("timeout", "cancelled"), "undetermined").otherwise("unsupported")
-    return last.join(opened, "pair", "left").select("pair", status.alias("status"))
+    unanswered = F.coalesce(F.col("answer.outcome") != "success", F.lit(True))
+    status = F.when(F.col("cached"), "installed").when(F.coalesce("open", F.lit(False)) | unanswered, "undetermined").otherwise(F.col("answer.result"))
+    return known.join(last, "pair", "left").join(opened, "pair", "left").select("pair", status.alias("status"))

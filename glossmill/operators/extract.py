@@ -1,51 +1,57 @@
-"""Pages to segments: one vectorized helper per row (HTML to raw segments), everything after it as Column expressions.
+"""Pages to segments: one vectorized helper turns HTML into a flat table of nodes; everything after it is Column expressions.
 
-A map-only job: order and ids are given inside each page's array before it is exploded, so nothing is shuffled.
+A map-only job: runs, order, ids and all decisions are made inside each page's array before it is exploded, so nothing is shuffled and
+filters on what comes out stay above the work.
 """
 
 from __future__ import annotations
 
-from dataclasses import fields
+import unicodedata
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossmill.functions import lang, text
-from glossmill.operators.html_tree import RawSegment, collect, label, parse
+from glossmill.functions.lang import let
+from glossmill.operators import nodes
+from glossmill.operators.html_tree import NODE, Nodes
+from glossmill.sources.stored import spread
 
-SPAN = "start: int, end: int, kind: string"
-RAW = (
-    f"source: string, nfc: string, spans: array<struct<{SPAN}>>, eff_lang: string, landmark: string, hint: string, block_text_len: int, block_link_len: int, "
-    "is_button_el: boolean, only_text_children: boolean, has_block_desc: boolean, block_text: string, anchor_tag: string, anchor_path: string, ref_path: string"
-)
-NAMES = [f.name for f in fields(RawSegment)]
+#: Characters from here on may change under NFC.
+MAY_COMPOSE = r"[^\x{0}-\x{2FF}]"
 
 
-def arrow_raw() -> pa.DataType:
-    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-    rest = dict(x.strip().split(": ") for x in RAW.replace(f"spans: array<struct<{SPAN}>>, ", "").split(","))
-    return pa.list_(pa.struct([(n, span if n == "spans" else kinds[rest[n]]) for n in NAMES]))
+def node_tables(pages: DataFrame) -> DataFrame:
+    """page_id, page_lang (the html element's attribute) and nodes (array of html_tree.NODE) of each page; a null page has no body."""
 
-
-def raw_segments(pages: DataFrame, target: str) -> DataFrame:
-    """page_id, page_lang, sample and raw (array of raw segments) of each page; a null page has none."""
-
-    def run(batches):
-        kind = arrow_raw()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                langs, samples, raws = [], [], []
+                tables = Nodes()
                 for html in part.column("html").to_pylist():
-                    page_lang, sample, found = collect(html, target)
-                    langs.append(page_lang)
-                    samples.append(sample)
-                    raws.append([{**{n: getattr(s, n) for n in NAMES}, "spans": [{"start": a, "end": b, "kind": k} for a, b, k in s.spans]} for s in found])
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(langs, pa.string()), pa.array(samples, pa.string()), pa.array(raws, kind)], ["page_id", "page_lang", "sample", "raw"])
+                    tables.add(html)
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(tables.langs, pa.string()), tables.arrow()], ["page_id", "page_lang", "nodes"])
+
+    return spread(pages.select("page_id", "html")).mapInArrow(run, f"page_id long, page_lang string, nodes array<struct<{NODE}>>")
+
 
-    return pages.select("page_id", "html").mapInArrow(run, f"page_id long, page_lang string, sample string, raw array<struct<{RAW}>>")
+def sample_of(page: Column) -> Column:
+    """The first 500 UTF-16 units of all text of a page; a character of two units that begins in the last one counts whole."""
+    joined = F.array_join(F.transform(page, lambda n: F.coalesce(n["text"], F.lit(""))), "")
+    # Two letters of the same kind stand for a character of two units.
+    widened = F.regexp_replace(F.regexp_replace(F.substring(joined, 1, 500), r"[\p{IsHan}&&[\x{10000}-\x{10FFFF}]]", "\u4e00\u4e00"), r"[\x{10000}-\x{10FFFF}]", "xx")
+    return F.substring(widened, 1, 500)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def composed(sources: pd.Series) -> pd.Series:
+    """NFC of arrays of texts, which Spark has no function for; null arrays (pages where nothing may change) pass."""
+    return sources.map(lambda own: None if own is None else [unicodedata.normalize("NFC", s) for s in own])
 
 
 def region(landmark: Column, hint: Column, size: Column, links: Column) -> Column:
@@ -59,48 +65,44 @@ def base36(n: Column) -> Column:
     return F.lower(F.conv(n.cast("string"), 10, 36))
 
 
-def segments(pages: DataFrame, target: str = lang.DEFAULT_TARGET, walk_id: int = 1) -> DataFrame:
-    """One row per segment of each page (page_id, html), in document order."""
+def is_short_button(run: Column, units: Column) -> Column:
+    return run["is_button_el"] & run["only_text_children"] & (units <= 20) & ~run["has_block_desc"]
+
+
+def segment(run: Column, order: Column, nfc: Column, page_is_target: Column, target: Column, walk_id: int) -> Column:
+    """A run's segment: identity, region, whether it is worth translating, kind and insert mode."""
+
+    def of(units: Column, reason: Column) -> Column:
+        kind = F.when(is_short_button(run, units), "button")
+        mode = lang.insert_mode(F.coalesce(kind, F.lit("")), run["is_button_el"], run["anchor_tag"], run["eff_lang"], run["source"], run["only_text_children"], target)
+        values = {
+            "seg_id": F.concat(F.lit("k"), base36(F.lit(walk_id)), F.lit("-"), base36(order)), "order": order, "region": region(run["landmark"], run["hint"], run["block_text_len"], run["block_link_len"]),
+            "source": run["source"], "state": F.when(reason.isNull(), "pending").otherwise("skipped"), "skip_reason": reason, "kind": kind, "insert_mode": mode, "char_count": units, "protected_spans": run["spans"],
+            "eff_lang": run["eff_lang"], "anchor_path": run["anchor_path"], "anchor_tag": run["anchor_tag"], "ref_path": run["ref_path"], "only_text": run["only_text_children"],
+            "replace_snapshot": F.when(mode == "replace", run["block_text"]), "block_text": run["block_text"],
+        }
+        return F.struct(*(v.alias(k) for k, v in values.items()))
+
+    gated = let(text.gate_text(F.coalesce(F.get(nfc, order), run["source"])), lambda t: text.skip_reason(t, page_is_target))
+    return let(text.utf16_length(run["source"]), lambda units: let(gated, lambda reason: of(units, reason)))
+
+
+def segments(pages: DataFrame, target: str = lang.DEFAULT_TARGET, walk_id: int = 1, display_of: nodes.DisplayOf = nodes.display_by_tag) -> DataFrame:
+    """One row per segment of each page (page_id, html), in document order.
+
+    display_of(tag, attributes) resolves styles. anchor_path and ref_path number nodes in document order, own marks passed over.
+    """
     wanted = F.lit(target)
-    page = raw_segments(pages, target).withColumn("page_is_target", lang.page_is_target(F.col("page_lang"), F.col("sample"), wanted))
-    rows = page.select("page_id", "page_lang", "page_is_target", F.posexplode("raw").alias("order", "s")).select("page_id", "page_lang", "page_is_target", "order", "s.*")
-    rows = rows.withColumn("t", text.gate_text(F.coalesce("nfc", "source"))).withColumn("char_count", text.utf16_length(F.col("source")))
-    button = F.col("is_button_el") & F.col("only_text_children") & (F.col("char_count") <= 20) & ~F.col("has_block_desc")
-    rows = rows.withColumns({"skip_reason": text.skip_reason(F.col("t"), F.col("page_is_target")), "kind": F.when(button, "button")})
-    rows = rows.withColumn("insert_mode", lang.insert_mode(F.coalesce("kind", F.lit("")), F.col("is_button_el"), F.col("anchor_tag"), F.col("eff_lang"), F.col("source"), F.col("only_text_children"), wanted))
-    return rows.select(
-        "page_id",
-        F.concat(F.lit("k"), base36(F.lit(walk_id)), F.lit("-"), base36(F.col("order"))).alias("seg_id"),
-        "order",
-        region(F.col("landmark"), F.col("hint"), F.col("block_text_len"), F.col("block_link_len")).alias("region"),
-        "source",
-        F.when(F.col("skip_reason").isNull(), "pending").otherwise("skipped").alias("state"),
-        "skip_reason",
-        "kind",
-        "insert_mode",
-        "char_count",
-        F.col("spans").alias("protected_spans"),
-        "eff_lang",
-        "anchor_path",
-        "anchor_tag",
-        "ref_path",
-        F.when(F.col("insert_mode") == "replace", F.col("block_text")).alias("replace_snapshot"),
-        "page_lang",
-        "page_is_target",
-    )
-
-
-def node_audit(pages: DataFrame, target: str = lang.DEFAULT_TARGET) -> DataFrame:
-    """Number of nodes by tag, disposition and the rule that decided it, over all pages; counted per batch before the shuffle."""
-
-    def run(batches):
-        for batch in batches:
-            seen: dict[tuple[str, str, str], int] = {}
-            for html in batch.column("html").to_pylist():
-                for n in label(parse(html)[1], target):
-                    key = n.tag, n.disposition, n.rule
-                    seen[key] = seen.get(key, 0) + 1
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[c] for k in seen], pa.string()) for c in range(3)), pa.array(list(seen.values()), pa.int64())], ["tag", "disposition", "rule", "n"])
-
-    counts = pages.select("html").mapInArrow(run, "tag string, disposition string, rule string, n long")
-    return counts.groupBy("tag", "disposition", "rule").agg(F.sum("n").alias("n"))
+    sample = F.when(F.coalesce("page_lang", F.lit("")) == "", sample_of(F.col("nodes"))).otherwise("")
+    page = nodes.runs(nodes.labelled(node_tables(pages), wanted, display_of)).withColumn("page_is_target", lang.page_is_target(F.col("page_lang"), sample, wanted)).select("page_id", "page_lang", "page_is_target", "runs")
+    sources = F.transform("runs", lambda r: r["source"])
+    page = page.withColumn("nfc", composed(F.when(F.exists("runs", lambda r: r["source"].rlike(MAY_COMPOSE)), sources)))
+    made = F.transform("runs", lambda r, i: segment(r, i, F.col("nfc"), F.col("page_is_target"), wanted, walk_id))
+    rows = page.select("page_id", "page_lang", "page_is_target", F.explode(made).alias("s"))
+    return rows.select("page_id", "s.*", "page_lang", "page_is_target")
+
+
+def node_audit(pages: DataFrame, target: str = lang.DEFAULT_TARGET, display_of: nodes.DisplayOf = nodes.display_by_tag) -> DataFrame:
+    """Number of nodes by tag, disposition and the rule that decided it, over all pages."""
+    met = nodes.audit(nodes.labelled(node_tables(pages), F.lit(target), display_of))
+    return met.groupBy("tag", "disposition", "rule").agg(F.count("*").alias("n"))

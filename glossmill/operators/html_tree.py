@@ -1,36 +1,23 @@
-"""One page's HTML to raw segments: the per-row helper behind glossmill.operators.extract. Plain Python, no Spark.
-
-A tolerant tree is built first; then one bottom-up walk labels its nodes and one top-down walk collects runs of inline content until
-a block boundary. Both walks are loops, so depth is no limit, and text lengths are added up once, bottom-up.
-"""
+"""HTML to a flat table of nodes, the one per-row helper of the page jobs. What nodes mean is decided in Columns (nodes.py)."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-# Tag, role and word lists that decide how a page is cut.
-FORCE_BLOCK = set("body h1 h2 h3 h4 h5 h6 br form select button label ul ol li blockquote pre article section figure figcaption header footer main nav".split())
-SKIP_TAGS = set("script style noscript template textarea input option optgroup svg canvas audio video img source track iframe object embed head title meta link base hr rt rp math pre".split())
-OPAQUE_TAGS = {"code", "time"}
-SKIP_ROLES = set("presentation none math progressbar slider spinbutton scrollbar separator".split())
-INLINE_TAGS = set("span a em strong b i u s small sup sub mark abbr q cite dfn var samp kbd bdi bdo wbr ruby font tt ins del".split())
-MAIN_TAGS, CHROME_TAGS = {"main", "article"}, {"nav", "header", "footer", "aside"}
-MAIN_ROLES, CHROME_ROLES = {"main", "article"}, {"navigation", "banner", "contentinfo", "complementary", "search"}
-MAIN_HINT = re.compile("article|content|post|main|story|body|entry", re.I)
-CHROME_HINT = re.compile("nav|menu|sidebar|footer|header|breadcrumb|widget|banner|promo|social|comment", re.I)
-# JavaScript's white space.
-BLANK = "\t\n\x0b\x0c\r \xa0  -     　﻿"
-BLANKS = re.compile(f"[{BLANK}]+")
-# HTML's void elements, raw-text elements and the elements that an opening tag closes.
+import pyarrow as pa
+
+# HTML's void elements and the elements that an opening tag closes.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
+INLINE_TAGS = set("span a em strong b i u s small sup sub mark abbr q cite dfn var samp kbd bdi bdo wbr ruby font tt ins del".split())
 #: Names of the marks that rendering leaves and collection skips; parameters of the jobs.
 MARK_CLASS, MARK_ID, SOURCE_ATTR = "gm-translation", "data-gm-id", "data-gm-source"
+#: Attributes that the rules read; the others stay in the page.
+KEPT = {"class", "id", "role", "lang", "hidden", "aria-hidden", "contenteditable", "translate", "style", "data-d", "data-cv", MARK_ID, SOURCE_ATTR}
 
 
 @dataclass(eq=False)
@@ -42,16 +29,9 @@ class Node:
     text: str = ""
     children: list[Node] = field(default_factory=list)
     parent: Node | None = None
-    # Labels.
-    disposition: str = "WALK"
-    rule: str = "walk"
-    display: str = "block"
-    block: bool = False
-    block_below: bool = False
-    closed: bool = True
 
-    def own(self, name: str) -> str | None:
-        return self.attrs.get(name)
+    def is_mark(self) -> bool:
+        return bool(self.attrs) and MARK_CLASS in (self.attrs.get("class") or "").split()
 
 
 class Builder(HTMLParser):
@@ -132,340 +112,68 @@ def parse(html: str | None) -> tuple[Node, Node]:
     return top, body
 
 
-def zh_variant(tag: str | None) -> str | None:
-    """hant, hans, zh (bare), unknown, or None where the tag isn't Chinese."""
-    parts = BLANKS.sub("", (tag or "").lower()).replace("_", "-").split("-") if tag else [""]
-    if parts[0] != "zh":
-        return None
-    if len(parts) == 1:
-        return "zh"
-    subtags = parts[1:]
-    single = next((k for k, p in enumerate(subtags) if len(p) == 1), len(subtags))
-    subtags = subtags[:single]
-    for name in ("hant", "hans"):
-        if name in subtags:
-            return name
-    if any(len(p) == 4 for p in subtags):
-        return "unknown"
-    for p in subtags:
-        if p in ("tw", "hk", "mo"):
-            return "hant"
-        if p in ("cn", "sg", "my"):
-            return "hans"
-    return "unknown"
-
-
-def satisfies(target: str | None, lang: str | None) -> bool:
-    if target == "hans":
-        return lang == "hans"
-    return target in ("hant", "zh") and lang in ("hant", "zh")
-
-
-def already_target(lang: str | None, target: str | None) -> bool:
-    """Whether an element's own language is the target already."""
-    lang, target = BLANKS.sub("", lang or "").lower().replace("_", "-"), BLANKS.sub("", target or "").lower().replace("_", "-")
-    if not lang or not target:
-        return False
-    wanted = zh_variant(target)
-    return satisfies(wanted, zh_variant(lang)) if wanted else lang.split("-")[0] == target.split("-")[0]
-
-
-def display_of(node: Node) -> str:
-    """Display from data-d or an inline style, else by tag; children of flex and grid containers become blocks."""
-    style = node.attrs.get("style", "")
-    found = re.search(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", style, re.I)
-    named = node.attrs.get("data-d") or (found[1].lower() if found else "")
-    display = named or ("inline" if node.tag in INLINE_TAGS | OPAQUE_TAGS else "block")
-    up = node.parent
-    if up is not None and up.display in ("flex", "inline-flex", "grid", "inline-grid") and inline(display) and display != "contents":
-        return "block"
-    return display
-
-
-def inline(display: str) -> bool:
-    return display.startswith(("inline", "ruby")) or display == "contents"
-
-
-def button_role(node: Node) -> bool:
-    return (node.attrs.get("role") or "").strip().lower() == "button"
-
-
-def self_skip(node: Node) -> str | None:
-    """The attribute rule by which an element and all below it is skipped."""
-    a = node.attrs
-    names = set((a.get("class") or "").split())
-    if a.get("aria-hidden") == "true" or "hidden" in a or a.get("contenteditable", "x").lower() in ("", "true"):
-        return "attribute"
-    if (a.get("role") or "").strip().lower() in SKIP_ROLES or names & {"sr-only", "visually-hidden"}:
-        return "attribute"
-    if node.tag != "body" and (a.get("translate") == "no" or "notranslate" in names):
-        return "translate-no"
-    return None
-
-
-def hidden(node: Node) -> bool:
-    style = node.attrs.get("style", "")
-    content = node.attrs.get("data-cv") or (m[1] if (m := re.search(r"content-visibility\s*:\s*([a-z]+)", style, re.I)) else "")
-    return node.display in ("none", "") or content == "hidden"
-
-
-def classify(node: Node, target: str | None) -> tuple[str, str]:
-    """(disposition, the rule that decided it); the first that matches wins."""
-    if node.tag == "#text":
-        return "WALK", "text"
-    if node.tag == "#comment":
-        return "SKIP_SUBTREE", "comment"
-    if MARK_ID in node.attrs or SOURCE_ATTR in node.attrs or MARK_CLASS in (node.attrs.get("class") or "").split():
-        return "SKIP_SUBTREE", "own-mark"
-    if node.tag in SKIP_TAGS:
-        return "SKIP_SUBTREE", "tag"
-    if node.tag in OPAQUE_TAGS:
-        if self_skip(node) or hidden(node):
-            return "SKIP_SUBTREE", "opaque-self"
-        if node.tag == "code" or BLANKS.sub("", subtree_text(node)):
-            return "OPAQUE_INLINE", "opaque"
-    rule = self_skip(node)
-    if rule:
-        return "SKIP_SUBTREE", rule
-    if already_target(node.attrs.get("lang"), target):
-        return "SKIP_SUBTREE", "already-target"
-    if hidden(node):
-        return "SKIP_SUBTREE", "display"
-    return "WALK", "walk"
-
-
-def subtree_text(node: Node) -> str:
-    """All text below, unfiltered."""
-    out, stack = [], [node]
-    while stack:
-        n = stack.pop()
-        if n.tag == "#text":
-            out.append(n.text)
-        stack.extend(reversed(n.children))
-    return "".join(out)
+def u16(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
-def label(body: Node, target: str | None) -> list[Node]:
-    """Labels all nodes that are walked, in document order; returns them."""
-    order: list[Node] = []
-    stack = [body]
-    while stack:
-        n = stack.pop()
-        if n.tag[0] != "#":
-            n.display = display_of(n)
-        n.disposition, n.rule = classify(n, target)
-        order.append(n)
-        if n.disposition == "WALK":
-            stack.extend(reversed(n.children))
-        elif n.disposition == "OPAQUE_INLINE":
-            inside = [*n.children]
-            while inside:
-                c = inside.pop()
-                if c.tag[0] != "#":
-                    c.display = display_of(c)
-                c.disposition, c.rule = classify(c, target)
-                inside.extend(c.children)
-    for n in reversed(order):
-        if n.tag[0] == "#":
-            continue
-        shallow = n.disposition == "WALK" and (n.tag in FORCE_BLOCK or button_role(n) or (n.display not in ("none", "") and not inline(n.display)))
-        n.block = shallow or (n.disposition == "WALK" and n.block_below)
-        if n.block and n.parent is not None:
-            n.parent.block_below = True
-    return order
-
-
-def opaque_text(node: Node) -> str:
-    """Text of an opaque element; what is skipped only for its language stays."""
-    out, stack = [], [*reversed(node.children)]
+def numbered(body: Node) -> Iterator[tuple[Node, int]]:
+    """The nodes from the body on in document order, each with its place: its number, where marks and all in them are passed over."""
+    place, stack = 0, [(body, False)]
     while stack:
-        n = stack.pop()
-        if n.disposition == "SKIP_SUBTREE" and n.rule != "already-target":
-            continue
-        if n.tag == "#text":
-            out.append(n.text)
-        stack.extend(reversed(n.children))
-    return "".join(out)
-
-
-def run_text(run: list[Node]) -> tuple[str, list[tuple[int, int, str]]]:
-    """Raw text of a run and its protected spans."""
-    out: list[str] = []
-    spans, size = [], 0
-    stack = [*reversed(run)]
-    while stack:
-        n = stack.pop()
-        piece = ""
-        if n.disposition == "OPAQUE_INLINE":
-            piece = opaque_text(n)
-            if piece:
-                spans.append((size, size + len(piece), n.tag))
-        elif n.tag == "br":
-            piece = "\n"
-        elif n.tag == "#text":
-            piece = n.text
-        elif n.disposition == "WALK":
-            stack.extend(reversed(n.children))
-        out.append(piece)
-        size += len(piece)
-    return "".join(out), spans
-
-
-def normalized(text: str, spans: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, str]]]:
-    """Runs of white space become one newline (if they hold one) or space, ends are trimmed; spans follow, in UTF-16 units."""
-    if not spans:
-        return BLANKS.sub(lambda m: "\n" if "\n" in m[0] else " ", text).strip(" \n"), []
-    out: list[str] = []
-    place = [0] * (len(text) + 1)
-    size = at = 0
-
-    def copy(piece: str, begin: int) -> None:
-        nonlocal size
-        out.append(piece)
-        for k, c in enumerate(piece):
-            place[begin + k] = size
-            size += 1 + (c > "￿")
-
-    for m in BLANKS.finditer(text):
-        copy(text[at : m.start()], at)
-        for k in range(m.start(), m.end()):
-            place[k] = size
-        if m.start() and m.end() < len(text):
-            copy("\n" if "\n" in m[0] else " ", m.start())
-            for k in range(m.start() + 1, m.end()):
-                place[k] = size
-        at = m.end()
-    copy(text[at:], at)
-    place[len(text)] = size
-    return "".join(out), [(min(place[a], size), min(place[b], size) if text[b - 1 : b].strip(BLANK_CHARS) else min(place[b - 1], size), k) for a, b, k in spans]
-
-
-BLANK_CHARS = "".join(chr(c) for c in range(0x10000) if BLANKS.fullmatch(chr(c)))
+        n, marked = stack.pop()
+        marked = marked or n.is_mark()
+        yield n, place
+        place += not marked
+        stack.extend((c, marked) for c in reversed(n.children))
 
 
-def u16(text: str) -> int:
-    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
+#: A node: its parent's and its last descendant's numbers, depth, place, tag, units (UTF-16, of all texts up to it), text and attributes.
+NODE = "parent: int, last: int, depth: int, place: int, units: int, tag: string, text: string, attrs: map<string,string>"
 
 
-@dataclass
-class RawSegment:
-    source: str
-    nfc: str | None
-    spans: list[tuple[int, int, str]]
-    eff_lang: str | None
-    landmark: str | None
-    hint: str | None
-    block_text_len: int
-    block_link_len: int
-    is_button_el: bool
-    only_text_children: bool
-    has_block_desc: bool
-    block_text: str | None
-    anchor_tag: str
-    anchor_path: str
-    ref_path: str
-
-
-def landmark_of(n: Node) -> str | None:
-    role = (n.attrs.get("role") or "").strip().lower()
-    if role in MAIN_ROLES or role in CHROME_ROLES:
-        return "main" if role in MAIN_ROLES else "chrome"
-    return "main" if n.tag in MAIN_TAGS else "chrome" if n.tag in CHROME_TAGS else None
-
-
-def hint_of(n: Node) -> str | None:
-    name = f"{n.attrs.get('class') or ''} {n.attrs.get('id') or ''}"
-    return "main" if MAIN_HINT.search(name) else "chrome" if CHROME_HINT.search(name) else None
-
-
-def nearest(n: Node | None, of) -> str | None:
-    while n is not None:
-        found = of(n)
-        if found is not None:
-            return found
-        n = n.parent
-    return None
-
-
-def own_lang(n: Node) -> str | None:
-    return n.attrs["lang"].strip() if "lang" in n.attrs else None
-
-
-def path_of(n: Node) -> str:
-    """Child indices from the body, own marks not counted."""
-    steps = []
-    while n.parent is not None and n.tag != "body":
-        k = 0
-        for c in n.parent.children:
-            if c is n:
-                break
-            k += MARK_CLASS not in (c.attrs.get("class") or "").split()
-        steps.append(str(k))
-        n = n.parent
-    return "/".join(reversed(steps))
-
-
-def collect(html: str | None, target: str | None) -> tuple[str | None, str, list[RawSegment]]:
-    """(page language attribute, text sample for language detection, raw segments in document order)."""
-    top, body = parse(html)
-    page_lang = top.attrs.get("lang")
-    sample = subtree_text(body).encode("utf-16-le", "surrogatepass")[:1000].decode("utf-16-le", "replace") if not page_lang else ""
-    label(body, target)
-    out: list[RawSegment] = []
-    runs: list[tuple[Node, list[Node]]] = []
-    if body.disposition == "WALK":
-        # Each frame: a block and what is left of its flattened children; a run belongs to the block being collected.
-        frames: list[tuple[Node, list[Node], list[Node]]] = [(body, flattened(body), [])]
-        while frames:
-            block, rest, run = frames[-1]
-            if not rest:
-                if run:
-                    runs.append((block, run[:]))
-                frames.pop()
-                continue
-            n = rest.pop()
-            if n.disposition == "SKIP_SUBTREE":
-                continue
-            if n.tag != "br" and n.block:
-                if run:
-                    runs.append((block, run[:]))
-                    run.clear()
-                frames.append((n, flattened(n), []))
-            else:
-                run.append(n)
-    facts: dict[Node, tuple] = {}
-    for block, run in runs:
-        text, spans = run_text(run)
-        source, spans = normalized(text, spans)
-        if not source:
-            continue
-        if block not in facts:
-            raw = subtree_text(block)
-            links, stack = 0, [*block.children]
-            while stack:
-                n = stack.pop()
-                if n.tag == "a":
-                    links += u16(subtree_text(n).strip(BLANK_CHARS))
-                stack.extend(n.children)
-            only = all(c.tag == "#text" for c in block.children)
-            facts[block] = (
-                nearest(block, own_lang), nearest(block, landmark_of), nearest(block, hint_of), u16(raw.strip(BLANK_CHARS)), links,
-                block.tag in ("button", "label") or button_role(block), only, block.block_below, raw if only else None, block.tag, path_of(block),
-            )
-        lang, landmark, hint, size, links, is_button, only, below, raw_text, tag, path = facts[block]
-        nfc = None if source.isascii() else unicodedata.normalize("NFC", source)
-        out.append(RawSegment(source, None if nfc == source else nfc, spans, lang, landmark, hint, size, links, is_button, only, below, raw_text, tag, path, path_of(run[-1])))
-    return page_lang, sample, out
-
-
-def flattened(block: Node) -> list[Node]:
-    """Children in reverse order, with transparent containers (display: contents) replaced by their own children."""
-    out: list[Node] = []
-    stack = [*reversed(block.children)]
-    while stack:
-        n = stack.pop()
-        if n.tag[0] != "#" and n.disposition == "WALK" and n.display == "contents" and n.tag not in FORCE_BLOCK and not button_role(n):
-            stack.extend(reversed(n.children))
-        else:
-            out.append(n)
-    return out[::-1]
+class Nodes:
+    """Node tables of pages, as Arrow columns. Number 0 is the html element, 1 the body; what is outside the body isn't listed."""
+
+    def __init__(self) -> None:
+        self.ends = [0]
+        self.rows: dict[str, list] = {c: [] for c in ("parent", "last", "depth", "place", "units", "tag", "text")}
+        self.keys: list[str] = []
+        self.values: list[str] = []
+        self.attr_ends: list[int | None] = [0]
+        self.langs: list[str | None] = []
+
+    def add(self, html: str | None) -> None:
+        top, body = parse(html)
+        self.langs.append(top.attrs.get("lang"))
+        first, units, number = len(self.rows["tag"]), 0, {top: 0}
+        self.put(0, 0, 0, 0, "html", None, top.attrs)
+        if html is not None:
+            for n, place in numbered(body):
+                up = number[n.parent] if n.parent is not None else 0
+                number[n] = len(self.rows["tag"]) - first
+                is_text = n.tag == "#text"
+                units += u16(n.text) if is_text else 0
+                self.put(up, self.rows["depth"][first + up] + 1, place, units, n.tag, n.text if is_text else None, n.attrs)
+        last = list(range(len(self.rows["tag"]) - first))
+        for k in range(len(last) - 1, 0, -1):
+            up = self.rows["parent"][first + k]
+            last[up] = max(last[up], last[k])
+        self.rows["last"] += last
+        self.ends.append(len(self.rows["tag"]))
+
+    def put(self, parent: int, depth: int, place: int, units: int, tag: str, text: str | None, attrs: dict[str, str]) -> None:
+        for c, value in (("parent", parent), ("depth", depth), ("place", place), ("units", units), ("tag", tag), ("text", text)):
+            self.rows[c].append(value)
+        for k, v in attrs.items():
+            if k in KEPT:
+                self.keys.append(k)
+                self.values.append(v)
+        self.attr_ends.append(len(self.keys))
+
+    def arrow(self) -> pa.Array:
+        ends = self.attr_ends
+        bare = pa.array([a == b for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.bool_())
+        attrs = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()), mask=bare)
+        numbers = ["parent", "last", "depth", "place", "units"]
+        columns = [pa.array(self.rows[c], pa.int32()) for c in numbers] + [pa.array(self.rows[c], pa.string()) for c in ("tag", "text")] + [attrs]
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays(columns, [*numbers, "tag", "text", "attrs"]))

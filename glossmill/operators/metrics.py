@@ -19,8 +19,13 @@ def counters(segments: DataFrame, *by: str) -> DataFrame:
 
 def counter_rows(segments: DataFrame) -> DataFrame:
     """Counters in long form (key, value); a state or region has a row only if it occurs."""
-    wide = counters(segments)
-    names = wide.columns
+    return counter_totals(counters(segments))
+
+
+def counter_totals(counted: DataFrame) -> DataFrame:
+    """Wide counters, added up over all rows, in long form."""
+    names = counted.columns
+    wide = counted.agg(*(F.sum(n).alias(n) for n in names))
     long = wide.select(F.explode(F.array(*(F.struct(F.lit(n).alias("key"), F.col(n).cast("long").alias("value")) for n in names))).alias("c")).select("c.*")
     return long.filter("value > 0 or not (key like 'state%' or key like 'region%')")
 
@@ -31,6 +36,12 @@ def counter_diff(now: DataFrame, base: DataFrame) -> DataFrame:
     return joined.filter(~F.col("now").eqNullSafe(F.col("base")))
 
 
+def counter_check(now: DataFrame, base: DataFrame, varying: DataFrame) -> DataFrame:
+    """What fails a run: counters that differ from the baseline's, and inputs with more than one counter set (varying: see variants())."""
+    unsteady = varying.agg(F.count_if(F.col("variants") != 1).alias("now")).filter("now > 0")
+    return counter_diff(now, base).unionByName(unsteady.select(F.lit("unsteady inputs").alias("key"), "now", F.lit(0).cast("long").alias("base")))
+
+
 def variants(runs: DataFrame, by: str) -> DataFrame:
     """Distinct counter sets per input; more than one means that collection isn't repeatable."""
     sets = [c for c in runs.columns if c not in (by, "run")]

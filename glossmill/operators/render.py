@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glossmill.operators import html_tree as h
 from glossmill.operators.translate import shown
+from glossmill.sources.stored import spread
 
 ITEM = "order: int, seg_id: string, anchor_path: string, insert_mode: string, source: string, text: string, snapshot: string"
 
@@ -35,28 +36,30 @@ def serialized(node: h.Node) -> str:
     return "".join(out)
 
 
-def found(body: h.Node, path: str) -> h.Node | None:
-    """The node at a path of child indices, marks not counted."""
-    n = body
-    for step in path.split("/") if path else []:
-        own = [c for c in n.children if h.MARK_CLASS not in (c.attrs.get("class") or "").split()]
-        if int(step) >= len(own):
-            return None
-        n = own[int(step)]
-    return n
+def only_text(node: h.Node) -> bool:
+    return all(c.tag == "#text" for c in node.children)
 
 
 def render_page(page: str | None, items: list[dict]) -> str | None:
-    """The page with its translations: a marked block after the anchor, or the anchor's own text replaced where it hasn't drifted."""
+    """The page with its translations: a marked block after the anchor, or the anchor's own text replaced where it hasn't drifted.
+
+    Anchors are places in document order; marks are put in at the end, each parent's children once, so work is linear in the page.
+    """
     if page is None:
         return None
     top, body = h.parse(page)
-    anchors = [found(body, i["anchor_path"]) for i in items]  # all before the tree changes
-    for item, block in zip(items, anchors, strict=True):
+    wanted = {int(i["anchor_path"]) for i in items}
+    anchors: dict[int, h.Node] = {}
+    for n, place in h.numbered(body):
+        if place in wanted and not n.is_mark():
+            anchors.setdefault(place, n)
+    after: dict[h.Node, list[h.Node]] = {}
+    for item in items:
+        block = anchors.get(int(item["anchor_path"]))
         if block is None:
             continue
         if item["insert_mode"] == "replace":
-            if all(c.tag == "#text" for c in block.children) and h.subtree_text(block) == item["snapshot"]:
+            if only_text(block) and "".join(c.text for c in block.children) == item["snapshot"]:
                 block.attrs[h.SOURCE_ATTR] = item["snapshot"]
                 if "title" not in block.attrs and h.u16(item["source"]) <= 20:
                     block.attrs["title"] = item["source"]
@@ -64,11 +67,12 @@ def render_page(page: str | None, items: list[dict]) -> str | None:
             continue
         mark = h.Node("div", {"class": h.MARK_CLASS, h.MARK_ID: item["seg_id"]})
         mark.children = [h.Node("#text", text=item["text"], parent=mark)]
-        home = block.parent if block is not body and block.parent is not None else body
-        mark.parent = home
-        home.children.insert(home.children.index(block) + 1 if home is not block else len(home.children), mark)
-    root = top if top.tag == "#document" else top.parent or top
-    return serialized(root)
+        after.setdefault(block, []).append(mark)
+    for home in {b.parent for b in after if b is not body and b.parent is not None}:
+        # Each mark goes right after its block, so of several the last comes first.
+        home.children = [x for c in home.children for x in (c, *reversed(after.get(c, ())))]
+    body.children += after.get(body, [])
+    return serialized(top if top.tag == "#document" else top.parent or top)
 
 
 def render(pages: DataFrame, segments: DataFrame) -> DataFrame:
@@ -76,7 +80,7 @@ def render(pages: DataFrame, segments: DataFrame) -> DataFrame:
     drafts = shown(segments).groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("order").cast("int").alias("order"), "seg_id", "anchor_path", "insert_mode", "source", "text", F.col("replace_snapshot").alias("snapshot")))).alias("items")
     )
-    joined = pages.select("page_id", "html").join(drafts, "page_id", "left")
+    joined = spread(pages.select("page_id", "html")).join(drafts, "page_id", "left")
 
     def run(batches):
         for batch in batches:
@@ -100,7 +104,9 @@ def fresh(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def drift(segments: DataFrame, now: DataFrame) -> DataFrame:
-    """segments with `drifted`: whether the block at their anchor no longer has the same source in the page's new version."""
-    new = now.groupBy("page_id", "anchor_path").agg(F.collect_set("source").alias("sources"))
+    """segments with `drifted`: whether the block at their anchor has other text by now, or no longer text alone, in the page's new
+    version (now: its segments); such a block isn't replaced but collected again."""
+    new = now.groupBy("page_id", "anchor_path").agg(F.max("block_text").alias("now_text"), F.bool_and("only_text").alias("now_only"))
     joined = segments.join(new, ["page_id", "anchor_path"], "left")
-    return joined.withColumn("drifted", ~F.coalesce(F.array_contains("sources", F.col("source")), F.lit(False))).drop("sources")
+    same = F.coalesce(F.col("now_only") & (F.col("now_text") == F.coalesce("replace_snapshot", "block_text")), F.lit(False))
+    return joined.withColumn("drifted", ~same).drop("now_text", "now_only")

@@ -62,8 +62,8 @@ def distinct_work(requests: DataFrame) -> DataFrame:
 
 
 def by_memory(requests: DataFrame, memory: DataFrame) -> DataFrame:
-    """requests with text from a translation memory (from, to, source, text), joined on the distinct work; null where it has none."""
-    return requests.join(distinct_work(requests).join(memory, ["from", "to", "source"]).drop("wanted"), ["from", "to", "source"], "left")
+    """requests with text from a translation memory (from, to, source, text), which has each text once; null where it has none."""
+    return requests.join(memory, ["from", "to", "source"], "left")
 
 
 def by_engine(work: DataFrame, make_engine: Callable[[str, str], Callable[[str], str]]) -> DataFrame:
@@ -109,5 +109,9 @@ def shown(segments: DataFrame) -> DataFrame:
     return segments.withColumn("text", text).filter("state = 'drafted' and anchor_path is not null and text <> ''")
 
 
-def languages(memory: DataFrame, column: str) -> DataFrame:
-    return memory.select(F.col(column).alias("language")).filter("language is not null").distinct().orderBy("language")
+def languages(pairs: DataFrame) -> DataFrame:
+    """Codes that are a source or a target of pairs (from, to), each once, in order. A table without any is an error, raised when read."""
+    both = pairs.select(F.explode(F.array("from", "to")).alias("language")).filter("language is not null").distinct()
+    listed = both.agg(F.sort_array(F.collect_list("language")).alias("all"))  # a list of language codes, one row
+    some = F.when(F.size("all") > 0, F.col("all")).otherwise(F.raise_error(F.lit("no supported languages")).cast("array<string>"))
+    return listed.select(F.explode(some).alias("language"))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glossmill.functions.lang import DEFAULT_TARGET
@@ -16,8 +17,12 @@ from glossmill.operators.render import fresh
 PAGES = "page_id long, url string, html string"
 
 
-def table_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+#: Bytes of files that one micro-batch takes, which bound what a key's rows of a batch may need.
+BATCH_BYTES = 1 << 30
+
+
+def table_stream(spark: SparkSession, path: str, schema: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
 
 
 def segment_stream(pages: DataFrame, target: str = DEFAULT_TARGET) -> DataFrame:
@@ -41,27 +46,39 @@ def changed_pages(pages: DataFrame, known: Callable[[], DataFrame], sink: Callab
     return pages.writeStream.foreachBatch(each).option("checkpointLocation", folder).trigger(availableNow=True).start()
 
 
-def settle(state: tuple[int, float], at: float, outcome: str) -> tuple[tuple[int, float], bool]:
+def settle(state: tuple[int, float], at: float, outcome: str, threshold: int = THRESHOLD, seconds: int = OPEN_SECONDS) -> tuple[tuple[int, float], bool]:
     """(streak and end of the opening after one attempt at `at` seconds, whether the attempt was rejected)."""
     streak, until = state
     if at < until:
         return state, True
     if outcome == "timeout":
-        return (streak + 1, at + OPEN_SECONDS if streak + 1 >= THRESHOLD else until), False
+        return (streak + 1, at + seconds if streak + 1 >= threshold else until), False
     return ((0, 0.0) if outcome in ("success", "error") else state), False
 
 
-def circuit_stream(attempts: DataFrame) -> DataFrame:
-    """(pair, entry, id, rejected, streak) of a stream of attempts (pair, entry, id, ts, outcome), with keyed state of two numbers."""
+def circuit_stream(attempts: DataFrame, threshold: int = THRESHOLD, seconds: int = OPEN_SECONDS, late: str = "1 hour", idle: str = "30 days") -> DataFrame:
+    """(pair, entry, id, rejected, streak) of a stream of attempts (pair, entry, id, ts, outcome), with keyed state of two numbers.
+
+    Attempts count in the order of batches, and by ts and id within one; those that are `late` behind the latest are left out by the
+    watermark. A pair's state goes when `idle` has passed without an attempt.
+    """
+    keep = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["pair", "entry", "id", "rejected", "streak"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
         now = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
+        rows = pd.concat(list(parts))[["id", "ts", "outcome"]].sort_values(["ts", "id"])
         out = []
         for number, ts, outcome in zip(rows["id"], rows["ts"], rows["outcome"], strict=True):
-            now, rejected = settle((int(now[0]), float(now[1])), ts.timestamp(), outcome)
+            now, rejected = settle((int(now[0]), float(now[1])), ts.timestamp(), outcome, threshold, seconds)
             out.append((key[0], key[1], int(number), rejected, int(now[0])))
         state.update(now)
-        yield pd.DataFrame(out, columns=["pair", "entry", "id", "rejected", "streak"])
+        state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + keep)
+        yield pd.DataFrame(out, columns=columns)
 
-    return attempts.groupBy("pair", "entry").applyInPandasWithState(run, "pair long, entry string, id long, rejected boolean, streak int", "streak int, until double", "append", GroupStateTimeout.NoTimeout)
+    keyed = attempts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("pair", "entry")
+    return keyed.applyInPandasWithState(run, "pair long, entry string, id long, rejected boolean, streak int", "streak int, until double", "append", GroupStateTimeout.EventTimeTimeout)

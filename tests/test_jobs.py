@@ -105,13 +105,93 @@ def log(spark):
     return spark.createDataFrame(rows, "pair long, entry string, id long, ts timestamp, outcome string")
 
 
-def test_circuit_holds_no_log_in_a_row(spark):
-    made = attempts.circuit(log(spark))
-    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+def brute(rows, threshold=3, seconds=60):
+    """Streaks and cache by id, and the circuit of each key, one attempt after another."""
+    streaks, cached, circuits, keys = {}, {}, {}, {}
+    for pair, entry, number, at, outcome in sorted(rows, key=lambda r: (r[3], r[2])):
+        s = keys.setdefault((pair, entry), [0, 0, None, 0, 0, 0])  # plain streak, streak, until, attempts, rejected, opened
+        if outcome != "cancelled":
+            s[0] = s[0] + 1 if outcome == "timeout" else 0
+            streaks[number] = s[0]
+        known = cached.get(pair, {None: False})
+        now = True if (entry, outcome) == ("availability", "success") else False if (entry, outcome) == ("translate", "error") else known[None]
+        cached[pair] = {**known, number: now, None: now}
+        s[3] += 1
+        if s[2] is not None and at < s[2]:
+            s[4] += 1
+        elif outcome == "timeout":
+            s[1] += 1
+            if s[1] >= threshold:
+                s[5], s[2] = s[5] + 1, at + dt.timedelta(seconds=seconds)
+        elif outcome in ("success", "error"):
+            s[1], s[2] = 0, None
+    return streaks, {n: v for own in cached.values() for n, v in own.items() if n is not None}, {k: (s[3], s[4], s[5], s[1]) for k, s in keys.items()}
+
+
+def test_logs_in_ranges_agree_with_one_by_one(spark):
+    """Few pairs, long logs, many ranges: what is carried between ranges is what a single pass carries."""
+    import random
+
+    rng, start = random.Random(5), dt.datetime(2024, 1, 1)
+    rows = []
+    for k in range(1500):
+        pair = 1 if k % 3 else rng.randrange(2, 5)
+        mostly = "timeout" if k // 300 % 2 else rng.choice(["success", "error", "timeout", "cancelled"])
+        rows.append((pair, rng.choice(["translate", "availability"]), k, start + dt.timedelta(seconds=rng.randrange(0, 40_000)), mostly))
+    df = spark.createDataFrame(rows, "pair long, entry string, id long, ts timestamp, outcome string").repartition(6)
+    streaks, cached, circuits = brute(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r.id: r.streak for r in attempts.timeout_streaks(df).collect()} == streaks
+        assert {r.id: r.cached for r in attempts.installed(df).collect()} == cached
+        assert {(r.pair, r.entry): tuple(r)[2:6] for r in attempts.circuit(df).collect()} == circuits
+        assert attempts.in_ranges(df, "pair").filter("pair = 1").select("part").distinct().count() > 3  # the hot pair is dealt
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_long_circuit(spark):
     long = spark.range(30_000).selectExpr("1L AS pair", "'translate' AS entry", "id", "timestamp_seconds(id * 30) AS ts", "'timeout' AS outcome")
     rows = [tuple(r)[2:6] for r in attempts.circuit(long.repartition(7)).collect()]
     # Each opening, at attempts 2, 4, ... 29,998, rejects the one after it; the streak counts all that aren't rejected.
     assert rows == [(30_000, 14_999, 14_999, 15_001)]
+    assert attempts.circuit(long.limit(0)).count() == attempts.timeout_streaks(long.limit(0)).count() == attempts.installed(long.limit(0)).count() == 0
+
+
+def test_status(spark):
+    at = dt.datetime(2024, 1, 1)
+    logs = {1: [("availability", "success", "installed"), ("translate", "timeout", None)], 2: [("availability", "success", "supported")], 3: [("availability", "success", "installed"), ("translate", "error", None)], 4: [("availability", "success", "unsupported"), ("availability", "timeout", None)], 5: [("translate", "success", None)]}
+    rows = [(p, e, 10 * p + k, at + dt.timedelta(seconds=k), o, r) for p, own in logs.items() for k, (e, o, r) in enumerate(own)]
+    df = spark.createDataFrame(rows, "pair long, entry string, id long, ts timestamp, outcome string, result string")
+    found = attempts.resolved_status(df, attempts.circuit(df), F.lit(at)).collect()
+    # A real error clears what is known; the last answer still stands.
+    assert {r.pair: r.status for r in found} == {1: "installed", 2: "supported", 3: "installed", 4: "undetermined", 5: "undetermined"}
+
+
+def test_languages(spark):
+    import pytest
+
+    pairs = spark.createDataFrame([("en", "fr"), ("fr", "de"), (None, "en")], "`from` string, `to` string")
+    assert [r.language for r in translate.languages(pairs).collect()] == ["de", "en", "fr"]
+    with pytest.raises(Exception, match="no supported languages"):
+        translate.languages(pairs.limit(0)).collect()
+
+
+def test_drift(spark):
+    old = segments(spark.createDataFrame([(1, "<p>same</p><p>old text</p><p>was text</p>")], "page_id long, html string"))
+    new = segments(spark.createDataFrame([(1, "<p>same</p><p>new text</p><p>was <b>text</b></p>")], "page_id long, html string"))
+    assert {r.source: r.drifted for r in render.drift(old, new).collect()} == {"same": False, "old text": True, "was text": True}
+
+
+def test_buckets(spark, tmp_path):
+    from glossmill.sources.stored import write_bucketed
+
+    rows = spark.range(1000).withColumnRenamed("id", "page_id")
+    stored = write_bucketed(rows, str(tmp_path / "b"), buckets=8)
+    assert stored.select("page_id").distinct().count() == 1000 and stored.select("bucket").distinct().count() == 8
 
 
 def test_circuit_batch_and_stream_agree(spark, tmp_path):
