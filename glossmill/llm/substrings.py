@@ -1,31 +1,32 @@
 """Substring deduplication (operator 5) by level-wise doubling of repeated word windows.
 
 Windows of START words that occur again anywhere are extended to twice that length, and so on up to LENGTH words; only what is repeated
-at one level is looked at on the next. On the first level a window of LENGTH words is represented by its least-hashed inner window,
-the same one in every copy, so about a sixth of the positions are counted. On the last level, all but the first occurrence of a
-window (by doc_id, then position) mark their words as removed.
+at one level is looked at on the next, and the loop ends early where nothing is. Below the last level a window of LENGTH words is
+represented by its least-hashed inner window, the same one in every copy, so a fraction of the positions is counted. On the last level,
+all but the first occurrence of a window (by doc_id, then position) mark their words as removed.
 
 Documents with the same words as an earlier one need no windows: their first copy holds all of them. Occurrences are shuffled by hash;
-repeats within a task's batch are settled there, so a hot window sends one row per batch. Windows are compared by 64-bit hashes.
+repeats within a task's batch are settled there, so a hot window sends one row per batch. Lower levels compare windows by 64-bit hashes,
+where a chance match only costs work; the last one by 128 bits.
 
 Null texts have no words. Null ids come last; rows that share an id are ordered by a hash of their words, and rows equal in both are
-one document.
+one document. An empty table gives an empty one; cut_repeats keeps columns of any name.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.shared import attach, documents, dropped, parted, per_batch, utf8, written
-from glossmill.llm.shingles import fives, joined, word_hashes
+from glossmill.llm.shared import attach, documents, dropped, dropped_later, parted, per_batch, utf8, written
+from glossmill.llm.shingles import fives, joined, mixed, word_hashes
 
-LENGTH, START = 20, 10
+LENGTH, START = 20, 5
 LAST_ID = 2**63 - 1
 
 
@@ -37,53 +38,88 @@ def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[: len(values) - width + 1], out[width - size : width - size + len(values) - width + 1])
 
 
+def widths() -> list[int]:
+    """The levels: START, doubled up to LENGTH."""
+    out = [START]
+    while out[-1] < LENGTH:
+        out.append(2 * out[-1])
+    return out
+
+
 class Windows:
-    """The windows of a batch of texts."""
+    """The windows of a batch of texts, at every level."""
 
     def __init__(self, texts: list[bytes]) -> None:
         self.words, self.counts = word_hashes(texts)
         self.starts = np.cumsum(self.counts) - self.counts
         n = len(self.words)
         self.text = np.repeat(np.arange(len(texts)), self.counts)
-        if n < LENGTH:
-            self.inner = self.full = self.least = np.zeros(0, np.uint64)
-            self.valid = np.zeros(0, bool)
-            return
-        five = fives(self.words)
-        self.inner = joined(five[:-5], five[5:])
-        self.full = joined(self.inner[:-START], self.inner[START:])
-        self.valid = self.text[: n - LENGTH + 1] == self.text[LENGTH - 1 :]
-        self.least = sliding(self.inner, LENGTH - START + 1, np.minimum)
-
-    def anchors(self) -> np.ndarray:
-        """Positions of inner windows that are the least of some full window."""
-        if not len(self.least):
+        self.valid = self.text[: n - LENGTH + 1] == self.text[LENGTH - 1 :] if n >= LENGTH else np.zeros(0, bool)
+        self.made: dict[int, np.ndarray] = {}
+
+    def of(self, width: int) -> np.ndarray:
+        """Hashes of the windows of `width` words from each position on, made of two of half the width."""
+        if width not in self.made:
+            half = self.of(width // 2) if width > START else None
+            self.made[width] = doubled(half, width // 2) if half is not None else first_windows(self.words)
+        return self.made[width]
+
+    def check(self) -> np.ndarray:
+        """Second hashes of the windows of LENGTH words."""
+        out = first_windows(mixed(self.words ^ np.uint64(0x5851F42D4C957F2D)))
+        for width in widths()[:-1]:
+            out = doubled(out, width)
+        return out
+
+    def least(self, width: int) -> np.ndarray:
+        """For each window of LENGTH words the least hash of its inner windows."""
+        return sliding(self.of(width), LENGTH - width + 1, np.minimum) if len(self.valid) else np.zeros(0, np.uint64)
+
+    def live(self, width: int, at: np.ndarray) -> np.ndarray:
+        """Windows of LENGTH words that the inner windows at some positions stand for."""
+        return self.valid & np.isin(self.least(width), np.unique(self.of(width)[at])) if len(self.valid) else self.valid
+
+    def anchors(self, width: int, live: np.ndarray) -> np.ndarray:
+        """Positions of inner windows that stand for some live window of LENGTH words."""
+        if not len(live):
             return np.zeros(0, np.int64)
-        reach = LENGTH - START
-        low = np.concatenate([np.zeros(reach, np.uint64), np.where(self.valid, self.least, 0), np.zeros(reach, np.uint64)])
-        return np.flatnonzero(sliding(low, reach + 1, np.maximum) == self.inner)
+        reach = LENGTH - width
+        none = np.zeros(reach, np.uint64)
+        low = np.concatenate([none, np.where(live, self.least(width), 0), none])
+        return np.flatnonzero(sliding(low, reach + 1, np.maximum) == self.of(width)) if reach else np.flatnonzero(live)
 
     def within(self, positions: np.ndarray) -> np.ndarray:
         return positions - self.starts[self.text[positions]]
 
 
-SCHEMA = "key long, h long, doc long, tie long, pos int, state int"
+def first_windows(words: np.ndarray) -> np.ndarray:
+    five = fives(words)
+    return five if START == 5 else doubled(five, 5)
+
+
+def doubled(half: np.ndarray, width: int) -> np.ndarray:
+    return joined(half[:-width], half[width:]) if len(half) > width else np.zeros(0, np.uint64)
+
+
+SCHEMA = "key long, check long, doc long, tie long, pos int, state int"
 #: State of an occurrence: alone in its batch, one of a repeated window that stands for the batch, settled there.
 ALONE, STANDS, SETTLED = 0, 1, 2
 
 
-def occurrences(hashes: np.ndarray, doc: np.ndarray, tie: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Rows of SCHEMA; the first of equal hashes stands for the others, which are dealt out evenly."""
-    order = np.lexsort((pos, tie, doc, hashes))
-    h, doc, tie, pos = (x[order] for x in (hashes, doc, tie, pos))
+def occurrences(hashes: np.ndarray, check: np.ndarray, doc: np.ndarray, tie: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """Rows of SCHEMA; the first of equal windows stands for the others, which are dealt out evenly."""
+    order = np.lexsort((pos, tie, doc, check, hashes))
+    h, check, doc, tie, pos = (x[order] for x in (hashes, check, doc, tie, pos))
     if len(h):  # equal rows are one document
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (pos[1:] != pos[:-1])])
-        h, doc, tie, pos = h[new], doc[new], tie[new], pos[new]
-    first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    again = np.concatenate([h[1:] == h[:-1], [False]]) if len(h) else np.zeros(0, bool)
+        new = np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in (h, check, doc, tie, pos)])])
+        h, check, doc, tie, pos = (x[new] for x in (h, check, doc, tie, pos))
+    same = (h[1:] == h[:-1]) & (check[1:] == check[:-1])
+    first = np.concatenate([[True], ~same]) if len(h) else np.zeros(0, bool)
+    again = np.concatenate([same, [False]]) if len(h) else np.zeros(0, bool)
     state = np.where(first, np.where(again, STANDS, ALONE), SETTLED).astype(np.int32)
     key = np.where(first, h.view(np.int64), h.view(np.int64) ^ (doc * 0x9E3779B1 + pos))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, h.view(np.int64), doc, tie, pos.astype(np.int32), state)], SCHEMA.replace(" long", "").replace(" int", "").split(", "))
+    columns = (key, check.view(np.int64), doc, tie, pos.astype(np.int32), state)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], SCHEMA.replace(" long", "").replace(" int", "").split(", "))
 
 
 def settled(rows: DataFrame, spare_first: bool) -> DataFrame:
@@ -92,10 +128,15 @@ def settled(rows: DataFrame, spare_first: bool) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
+        def groups(part: pa.Table, rows: np.ndarray) -> np.ndarray:
+            """Where, among some rows, those of another window begin."""
+            key, check = (part.column(c).to_numpy()[rows] for c in ("key", "check"))
+            return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])) if len(rows) else np.zeros(0, np.int64)
+
         def out(part: pa.Table) -> pa.RecordBatch:
-            key, state = part.column("key").to_numpy(), part.column("state").to_numpy()
+            state = part.column("state").to_numpy()
             live = np.flatnonzero(state != SETTLED)
-            starts = np.flatnonzero(np.diff(key[live], prepend=key[live][:1] - 1)) if len(live) else np.zeros(0, np.int64)
+            starts = groups(part, live)
             sizes = np.diff(starts, append=len(live))
             keep = state == SETTLED
             if spare_first:
@@ -112,9 +153,8 @@ def settled(rows: DataFrame, spare_first: bool) -> DataFrame:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
             if held.num_rows:
-                key = held.column("key").to_numpy()
-                last = int(np.searchsorted(key, key[-1]))
-                if spare_first:  # of the key that may go on, only its first live row is still needed
+                last = int(groups(held, np.arange(held.num_rows))[-1])
+                if spare_first:  # of the window that may go on, only its first live row is still needed
                     tail = held.slice(last)
                     yield out(held)
                     live = np.flatnonzero(tail.column("state").to_numpy() != SETTLED)
@@ -125,8 +165,8 @@ def settled(rows: DataFrame, spare_first: bool) -> DataFrame:
         if held is not None and not spare_first:
             yield out(held)
 
-    order = ["key", "doc", "tie", "pos"] if spare_first else ["key"]
-    return rows.repartition("key").sortWithinPartitions(*order).select("key", "doc", "tie", "pos", "state").mapInArrow(pick, "doc long, tie long, pos int")
+    order = ["key", "check", "doc", "tie", "pos"] if spare_first else ["key", "check"]
+    return rows.repartition("key").sortWithinPartitions(*order).mapInArrow(pick, "doc long, tie long, pos int")
 
 
 def chosen(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -163,33 +203,40 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
     copies = rows.groupBy("fp").agg(F.min(F.struct("doc", "tie")).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     marked = attach(rows, copies, "fp", "copies", rows.count())
     later = F.col("first").isNotNull() & ((F.col("first.doc") != F.col("doc")) | (F.col("first.tie") != F.col("tie")))
-    marked = written(marked.select("doc_id", "doc", "tie", "n_words", "whole_sha256", (later & (F.col("n_words") >= LENGTH)).alias("later")), "substrings-marked")
+    marked = dropped_later(written(marked.select("doc_id", "doc", "tie", "n_words", "whole_sha256", (later & (F.col("n_words") >= LENGTH)).alias("later")), "substrings-marked"))
     dropped(rows)
 
-    def first_level(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = Windows(as_binary(batch.column("text")))
-        at = w.anchors()
-        doc, tie = (batch.column(c).to_numpy()[w.text[at]] for c in ("doc", "tie"))
-        return occurrences(w.inner[at], doc, tie, w.within(at))
-
-    repeated = settled(per_batch(plain.select("doc", "tie", "text"), first_level, SCHEMA), spare_first=False)
-    places = repeated.groupBy("doc", "tie").agg(F.collect_set("pos").alias("places"))  # at most a document's own positions
-    first = written(places.join(marked.filter("later").select("doc", "tie"), ["doc", "tie"], "left_anti"), "substrings-level")
-
-    def last_level(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = Windows(as_binary(batch.column("text")))
-        places = batch.column("places")
-        owner = np.repeat(np.arange(batch.num_rows), np.array([len(p) for p in places], np.int64))
-        at = places.flatten().to_numpy() + w.starts[owner]
-        if not len(w.least):
-            return occurrences(*(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64)))
-        good = np.flatnonzero(w.valid & np.isin(w.least, np.unique(w.inner[at])))
-        doc, tie = (batch.column(c).to_numpy()[w.text[good]] for c in ("doc", "tie"))
-        return occurrences(w.full[good], doc, tie, w.within(good))
-
-    late = settled(per_batch(chosen(plain, first), last_level, SCHEMA), spare_first=True)
-    marks = written(late.groupBy("doc", "tie").agg(F.collect_set("pos").alias("places")), "substrings-marks")
-    dropped(first)
+    def level(width: int, before: int | None) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        """Occurrences of a level's windows; from the second level on, of those that places of the level before stand for."""
+
+        def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+            w = Windows(as_binary(batch.column("text")))
+            live = w.valid
+            if before is not None:
+                places = batch.column("places")
+                owner = np.repeat(np.arange(batch.num_rows), np.array([len(p) for p in places], np.int64))
+                live = w.live(before, places.flatten().to_numpy() + w.starts[owner])
+            at = w.anchors(width, live)
+            check = w.check()[at] if width == LENGTH and len(at) else np.zeros(len(at), np.uint64)
+            doc, tie = (batch.column(c).to_numpy()[w.text[at]] for c in ("doc", "tie"))
+            return occurrences(w.of(width)[at] if len(at) else np.zeros(0, np.uint64), check, doc, tie, w.within(at))
+
+        return found
+
+    gone = marked.filter("later").select("doc", "tie")
+    places, before, texts_of = None, None, plain.select("doc", "tie", "text")
+    for width in widths():
+        repeated = settled(per_batch(texts_of, level(width, before), SCHEMA), spare_first=width == LENGTH)
+        own = repeated.groupBy("doc", "tie").agg(F.collect_set("pos").alias("places"))  # at most a document's own positions
+        now = written(own if width == LENGTH else own.join(gone, ["doc", "tie"], "left_anti"), f"substrings-{width}")
+        if places is not None:
+            dropped(places)
+        places, before = now, width
+        if width < LENGTH:
+            if not places.limit(1).count():
+                break
+            texts_of = chosen(plain, places)
+    marks = dropped_later(places)  # none at the last level where an earlier one ended the loop
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         removed, sha, left = [], [], []
@@ -239,7 +286,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, whole: bool = False) -> D
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs (with doc_id, text, n_chars) with repeated passages cut out of the texts; documents that lose every word go."""
     rows, cut = dedup(docs, texts=True)
-    change = written(rows.filter("fate <> 'kept'").select("doc", "tie").distinct().join(cut.select("doc", "tie", F.col("text").alias("cut")), ["doc", "tie"], "left"), "substrings-change")
+    change = dropped_later(written(rows.filter("fate <> 'kept'").select("doc", "tie").distinct().join(cut.select("doc", "tie", F.col("text").alias("cut")), ["doc", "tie"], "left"), "substrings-change"))
     joined = keyed(docs, "doc_id", "text", whole=True).join(change.withColumn("hit", F.lit(True)), ["doc", "tie"], "left")
     left = joined.filter("hit is null or cut <> ''")  # a document removed wholly has no cut text
     changed = F.col("hit").isNotNull()

@@ -298,6 +298,30 @@ def test_op5_windows(spark, rows, folder, empty):
     assert [d.count() for d in substrings.dedup(empty)] == [0, 0]
 
 
+@pytest.mark.parametrize("start", [5, 10])
+def test_op5_levels(spark, rows, monkeypatch, start):
+    monkeypatch.setattr(substrings, "START", start)
+    names, before = [], substrings.written
+    monkeypatch.setattr(substrings, "written", lambda df, name: names.append(name) or before(df, name))
+    both, cut = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.doc_id: (r.n_words if r.fate == "removed" else r.n_removed or 0) for r in both.join(cut, ["doc", "tie"], "left").collect()}
+    assert found == {r[0]: r[2] for r in brute.without_repeats(rows)}
+    assert [n for n in names if n[-1] in "05"] == [f"substrings-{w}" for w in (5, 10, 20) if w >= start]
+    names.clear()
+    plain = spark.createDataFrame([(k, " ".join(f"u{k}x{j}" for j in range(60))) for k in range(5)], "doc_id long, text string")
+    assert substrings.dedup(plain)[1].count() == 0
+    assert [n for n in names if n[-1] in "05"] == [f"substrings-{start}"]  # nothing is left for the next level
+
+
+def test_op5_windows_of_equal_hash_are_told_apart(spark, rows, monkeypatch):
+    """With hashes of few bits on the last level, only the second hash decides."""
+    monkeypatch.setattr(substrings.Windows, "of", lambda self, width, own=substrings.Windows.of: own(self, width) if width < substrings.LENGTH else own(self, width) & np.uint64(3))
+    table = [r for r in rows if r[0] not in (7, 8)] + [(50 + k, " ".join(f"v{k}x{j}" for j in range(40)) + " " + rows[8][1]) for k in range(6)]
+    both, cut = substrings.dedup(spark.createDataFrame(table, "doc_id long, text string"))
+    found = {r.doc_id: (r.n_words if r.fate == "removed" else r.n_removed or 0) for r in both.join(cut, ["doc", "tie"], "left").collect()}
+    assert found == {r[0]: r[2] for r in brute.without_repeats(table)}
+
+
 def test_op5_repeated_and_null_ids(spark):
     text = " ".join(f"p{k}" for k in range(40))
     odd = [(5, text), (5, text), (None, f"x {text}"), (None, None), (2, "z " + " ".join(f"p{k}" for k in range(5, 30)))]
