@@ -1,14 +1,17 @@
 """Media columns (operator 9): Netpbm and BMP bytes become arrays, area-resized NPY tiles and difference hashes.
 
 The decoders, the integral-image resize and the hash are small per-row helpers; Spark partitions the rows and nothing is shuffled.
-Null or undecodable media give null outputs in media_columns(); a null text is an empty payload in text_media().
+Samples of any depth are read as they are and scaled to 0..255 before tiles and hashes are made.
+
+Null, empty or undecodable media give null outputs in media_columns(), which keeps all columns of its input whatever their names. A null
+text is an empty payload in text_media(), very long ones are stored whole; equal texts give equal values; ids may be null or repeat; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import hashlib
 import io
-import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,21 @@ from glossmill.llm.shared import documents, per_batch, utf8
 WIDTH = 64
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as (height, width) or (height, width, 3) samples; bitmaps come out as 0 (black) and 1 (white)."""
+@dataclass
+class Image:
+    """Samples as stored, (height, width) or (height, width, 3), and the value that stands for full brightness."""
+
+    samples: np.ndarray
+    high: int
+
+    def grey(self) -> np.ndarray:
+        """Samples from 0 to 255, colours averaged."""
+        flat = self.samples if self.samples.ndim == 2 else self.samples.mean(axis=2)
+        return flat if self.high == 255 else flat * (255 / self.high)
+
+
+def decode_netpbm(data: bytes) -> Image:
+    """P1 to P6; bitmaps come out as 0 (black) and 1 (white). Anything that isn't whole and in range is a ValueError."""
     kind, fields, at = data[:2], [], 2
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("not Netpbm")
@@ -35,11 +51,13 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         end = at
         while data[end : end + 1].isdigit():
             end += 1
-        if end == at:
+        if end == at or end - at > 9:
             raise ValueError("bad Netpbm header")
         fields.append(int(data[at:end]))
         at = end
     width, height, high = *fields[:2], (fields[2] if wanted == 3 else 1)
+    if not width or not height or not 0 < high < 65536:
+        raise ValueError("no samples")
     depth = 3 if kind in (b"P3", b"P6") else 1
     shape = (height, width, 3) if depth == 3 else (height, width)
     if kind in (b"P5", b"P6"):
@@ -52,26 +70,33 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         digits = bytes(b for b in data[at:] if b in b"01")[: width * height]
         samples = 1 - (np.frombuffer(digits, "u1") - 48)
     else:
-        samples = np.array(data[at:].split()[: width * height * depth], dtype=np.uint16 if high > 255 else np.uint8)
-    return samples.reshape(shape)
+        samples = np.array([int(x) for x in data[at:].split()[: width * height * depth]], np.int64)
+    if samples.size and (samples.max() > high or samples.min() < 0):
+        raise ValueError("sample out of range")
+    return Image(samples.reshape(shape), high)
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (samples.shape[1], samples.shape[0]) + samples.tobytes()
 
 
-def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed 8-bit grey, 24-bit and 32-bit BMP, bottom-up or top-down; colours come out as RGB."""
+def decode_bmp(data: bytes) -> Image:
+    """Uncompressed 8-bit (grey or palette), 24-bit and 32-bit BMP, bottom-up or top-down; colours come out as RGB."""
     if data[:2] != b"BM":
         raise ValueError("not BMP")
-    start, width, height = (int.from_bytes(data[a : a + 4], "little", signed=s) for a, s in ((10, False), (18, True), (22, True)))
-    bits, packing = int.from_bytes(data[28:30], "little"), int.from_bytes(data[30:34], "little")
-    if packing or bits not in (8, 24, 32):
+    start, head, width, height = (int.from_bytes(data[a : a + 4], "little", signed=s) for a, s in ((10, False), (14, False), (18, True), (22, True)))
+    bits, packing, colours = int.from_bytes(data[28:30], "little"), int.from_bytes(data[30:34], "little"), int.from_bytes(data[46:50], "little")
+    if packing or bits not in (8, 24, 32) or width <= 0 or not height:
         raise ValueError("unsupported BMP")
     row = (width * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, "u1", row * abs(height), start).reshape(abs(height), row)
     rows = (rows[::-1] if height > 0 else rows)[:, : width * bits // 8]
-    return rows if bits == 8 else rows.reshape(abs(height), width, bits // 8)[:, :, 2::-1]
+    if bits > 8:
+        return Image(rows.reshape(abs(height), width, bits // 8)[:, :, 2::-1], 255)
+    palette = np.frombuffer(data, "u1", 4 * (colours or 256), 14 + head).reshape(-1, 4)[:, 2::-1]
+    if (palette == np.arange(len(palette), dtype="u1")[:, None]).all():
+        return Image(rows, 255)
+    return Image(palette[rows], 255)
 
 
 def encode_bmp(samples: np.ndarray) -> bytes:
@@ -86,14 +111,10 @@ def encode_bmp(samples: np.ndarray) -> bytes:
     return head + info + palette + body.tobytes()
 
 
-def decode(data: bytes) -> np.ndarray:
+def decode(data: bytes) -> Image:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def grey(samples: np.ndarray) -> np.ndarray:
-    return samples if samples.ndim == 2 else samples.mean(axis=2)
-
-
 def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
     """Exact area means of a grey image: the integral image, read at fractional corners."""
     h, w = samples.shape
@@ -111,15 +132,15 @@ def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
     return (corners[1:, 1:] - corners[:-1, 1:] - corners[1:, :-1] + corners[:-1, :-1]) / area
 
 
-def difference_hash(samples: np.ndarray) -> str:
+def difference_hash(image: Image) -> str:
     """64 bits as hex: whether each cell of an 8 x 9 tile is darker than its right neighbour."""
-    tile = np.round(area_resize(grey(samples), 8, 9), 6)
+    tile = np.round(area_resize(image.grey(), 8, 9), 6)
     return np.packbits(tile[:, :-1] < tile[:, 1:]).tobytes().hex()
 
 
-def npy_tile(samples: np.ndarray, side: int) -> bytes:
+def npy_tile(image: Image, side: int) -> bytes:
     out = io.BytesIO()
-    np.save(out, np.round(area_resize(grey(samples), side, side)).astype("u1"))
+    np.save(out, np.ascontiguousarray(np.round(area_resize(image.grey(), side, side)).astype("u1")))
     return out.getvalue()
 
 
@@ -131,9 +152,9 @@ def media_columns(df: DataFrame, media: str = "media", side: int = 16) -> DataFr
         out: list[list] = [[], [], [], []]
         for data in batch.column("media").to_pylist():
             try:
-                samples = decode(data)
-                row = [samples.shape[0], samples.shape[1], npy_tile(samples, side), difference_hash(samples)]
-            except (TypeError, ValueError, IndexError):
+                image = decode(data or b"")
+                row = [*image.samples.shape[:2], npy_tile(image, side), difference_hash(image)]
+            except (ValueError, IndexError):
                 row = [None] * 4
             for column, value in zip(out, row, strict=True):
                 column.append(value)
@@ -157,8 +178,8 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             raw = utf8(text)
             size = max(WIDTH, -(-len(raw) // WIDTH) * WIDTH)
             media = encode_pgm(np.frombuffer(raw.ljust(size, b"\0"), "u1").reshape(-1, WIDTH))
-            samples = decode_netpbm(media)
-            rows.append((len(raw), samples.tobytes(), media, npy_tile(samples, side), difference_hash(samples)))
+            image = decode_netpbm(media)
+            rows.append((len(raw), image.samples.tobytes(), media, npy_tile(image, side), difference_hash(image)))
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string())
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "n_bytes", "payload", "media", "tile", "dhash"]
@@ -184,10 +205,3 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op9_media_columns": op9_media_columns}
 SQL: dict[str, str] = {}
-
-
-def brute_media_row(text: str | None) -> tuple:
-    """What op9 returns for a text, computed directly (tests)."""
-    raw = utf8(text)
-    payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
-    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])
