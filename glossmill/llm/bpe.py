@@ -273,7 +273,7 @@ def bpe_codes(docs: DataFrame, path: str, max_words: int = 65_536, id_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     own = tokenizer(path)
     words, ids, ends = coded(Merger(own), own, frequent(rows, lambda text: words_of(own, text), max_words))
-    data = Lexicon.compile(words, [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+    data = Lexicon.compile(words, [x.tolist() for x in np.split(ids, ends[:-1])] if words else [])
     name = hashlib.sha256(data).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(data)
 

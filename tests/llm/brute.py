@@ -161,3 +161,32 @@ def secret_base(text: str | None) -> tuple:
     n = Counter(k for _, k, _ in spans)
     names = ("assign", "access", "hex")
     return *(n[k] for k in range(3)), sha(",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans)))
+
+
+def media_row(text: str | None) -> tuple:
+    """What op9 returns for a text but its id: sizes and sums of the payload and of the stored PGM, and the feature, cell by cell."""
+    import io
+    import zlib
+
+    import numpy as np
+
+    raw = (text or "").encode()
+    payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+    stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+    grid = np.frombuffer(payload, "u1").reshape(-1, 64).astype(float)
+
+    def mean(top: float, bottom: float, left: float, right: float) -> float:
+        """Mean over a rectangle with fractional edges."""
+        rows = np.clip(np.minimum(np.arange(len(grid)) + 1, bottom) - np.maximum(np.arange(len(grid)), top), 0, None)
+        columns = np.clip(np.minimum(np.arange(64) + 1, right) - np.maximum(np.arange(64), left), 0, None)
+        return float(rows @ grid @ columns) / ((bottom - top) * (right - left))
+
+    def tile(height: int, width: int) -> list[list[float]]:
+        h, w = len(grid) / height, 64 / width
+        return [[mean(a * h, (a + 1) * h, b * w, (b + 1) * w) for b in range(width)] for a in range(height)]
+
+    marks = "".join("1" if round(a, 6) < round(b, 6) else "0" for row in tile(8, 9) for a, b in zip(row, row[1:]))
+    out = io.BytesIO()
+    np.save(out, np.round(np.array(tile(16, 16))).astype("u1"))
+    feature = f"{int(marks, 2):016x}:{zlib.crc32(out.getvalue())}"
+    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature

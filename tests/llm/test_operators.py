@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import math
 import time
 import zlib
@@ -260,16 +261,28 @@ def test_op4_measures_and_verdict(spark, rows, folder, empty):
     assert {r.row.doc_id for r in plain.filter("kept").collect()} == {i for i, t in rows if not brute.quality(t)[5]}
 
 
-def test_op4_scores(spark, rows, folder):
+def test_op4_scores(spark, rows):
     table = [*rows, (None, "one two three four five six seven eight nine ten eleven"), (13, "other words " * 3)]
-    labels = spark.createDataFrame([(13, 1, 0), (9, 1, 0), (26, 0, 0), (7, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    for own, trusted in ((labels, {13, 9}), (labels.limit(0), set())):
-        found = quality.judge(spark.createDataFrame(table, "doc_id long, text string"), own).select("row.*", "score", "kept", "base_failed").collect()
+    labels = spark.createDataFrame([(i, 1, int(i == 7)) for i, _ in rows[:26]] + [(27, 0, 0), (28, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    for own in (labels, labels.limit(0)):
+        trusted = {r.doc_id for r in quality.trusted_ids(own).collect()}
+        judged = {r.doc_id: r.good for r in quality.judged_ids(own).collect()}
+        assert not trusted & {i for i, g in judged.items() if g} and (trusted | {i for i, g in judged.items() if g}) == ({i for i, _ in rows[:26]} - {7} if own is labels else set())
         wanted = brute.log_ratio_scores(table, trusted, quality.BUCKETS)
+        least = quality.threshold([(s, judged[i]) for (i, _), s in zip(table, wanted, strict=True) if i in judged])
         score = {(i, t): s for (i, t), s in zip(table, wanted, strict=True)}
-        for r in found:
+        for r in quality.judge(df, own).select("row.*", "score", "kept", "base_failed").collect():
             assert r.score == pytest.approx(score[r.doc_id, r.text], abs=2e-6)
-            assert r.kept == (not r.base_failed and r.score >= quality.LEAST)
+            assert r.kept == (not r.base_failed and r.score >= least)
+
+
+def test_op4_threshold():
+    assert quality.threshold([]) == quality.threshold([(0.1, True)]) == quality.threshold([(0.1, False)]) == quality.LEAST
+    assert quality.threshold([(-1.0, False), (-0.8, False), (-0.2, True), (0.0, True)]) == -0.5
+    # One bad row above all good ones isn't worth them; a good row below most bad ones is.
+    assert quality.threshold([(-1.0, False), (0.0, True), (0.1, True), (0.3, False)]) == -0.5
+    assert quality.threshold([(-2.0, True), *((-1.0 - k / 100, False) for k in range(20)), *((0.1 + k / 100, True) for k in range(300))]) == pytest.approx(-0.45)
 
 
 def test_clashing_columns(spark, docs):
@@ -451,24 +464,71 @@ def test_op8_counts(spark, rows, folder, empty):
 def test_op9_media(spark, rows, folder, empty):
     found = {r[0]: r for r in tuples(query("op9_")(spark, folder))}
     for i, text in rows:
-        assert found[i][1:5] == media.brute_media_row(text)
+        assert found[i][1:] == brute.media_row(text), i
     assert found[7][5:] == found[8][5:]
     assert media.text_media(empty).count() == 0
 
 
 def test_op9_formats(spark):
     grey = np.arange(35, dtype=np.uint8).reshape(5, 7)
-    assert (media.decode(media.encode_pgm(grey)) == grey).all()
-    assert (media.decode(media.encode_bmp(grey)) == grey).all()
-    assert media.decode(b"P1 # bits\n3 2\n1 0 1\n0 1 0").tolist() == [[0, 1, 0], [1, 0, 1]]
-    assert media.decode(b"P4\n3 1\n\xa0").tolist() == [[0, 1, 0]]
-    assert media.decode(b"P3 1 1 255 9 8 7").tolist() == [[[9, 8, 7]]]
-    assert media.decode(b"P6 1 1 255\n\x09\x08\x07").tolist() == [[[9, 8, 7]]]
+    plain = lambda data: media.decode(data).samples.tolist()
+    assert plain(media.encode_pgm(grey)) == plain(media.encode_bmp(grey)) == grey.tolist()
+    assert plain(b"P1 # bits\n3 2\n1 0 1\n0 1 0") == [[0, 1, 0], [1, 0, 1]]
+    assert plain(b"P4\n3 1\n\xa0") == [[0, 1, 0]]
+    assert plain(b"P3 1 1 255 9 8 7") == [[[9, 8, 7]]]
+    assert plain(b"P6 1 1 255\n\x09\x08\x07") == [[[9, 8, 7]]]
+    # Depths: full brightness is 255 whatever its sample.
+    assert media.decode(b"P5 2 1 65535\n\xff\xff\x9c\x40").grey().round(3).tolist() == [[255.0, round(40_000 * 255 / 65_535, 3)]]
+    assert media.decode(b"P2 2 1 15 15 3").grey().tolist() == [[255.0, 51.0]]
+    assert media.decode(b"P1 2 1 0 1").grey().tolist() == [[255.0, 0.0]]
+    tile = np.load(io.BytesIO(media.npy_tile(media.decode(b"P2 1 1 1000 500"), 2)))
+    assert tile.tolist() == [[128, 128], [128, 128]]
+    coloured = bytearray(media.encode_bmp(np.array([[0, 1]], np.uint8)))
+    coloured[54:62] = b"\x03\x02\x01\x00\x06\x05\x04\x00"
+    assert plain(bytes(coloured)) == [[[1, 2, 3], [4, 5, 6]]]
     assert media.area_resize(grey, 5, 7) == pytest.approx(grey)
     assert media.area_resize(grey, 1, 1)[0, 0] == pytest.approx(grey.mean())
-    df = spark.createDataFrame([(1, media.encode_bmp(grey)), (2, b"no media"), (3, None)], "id long, media binary")
-    got = {r["row"]["id"]: (r.height, r.width, r.dhash) for r in media.media_columns(df).collect()}
-    assert got == {1: (5, 7, media.difference_hash(grey)), 2: (None,) * 3, 3: (None,) * 3}
+    bad = [b"no media", None, b"", b"P2 1 1 255 300", b"P5 0 0 255\n", b"P2 2 2 9 1 2 3", b"P5 9 9 255\nxx", b"P2 1 1 9 -1", b"P5 99999999999 1 255\n", b"P2 1 1 0 0", b"BM" + bytes(60), b"P5 # x", b"P2 1 1 255 x"]
+    df = spark.createDataFrame([(1, media.encode_bmp(grey), "mine"), *((k + 2, x, "mine") for k, x in enumerate(bad))], "id long, media binary, dhash string")
+    found = {r["row"]["id"]: (r.height, r.width, r.dhash, r["row"]["dhash"]) for r in media.media_columns(df).collect()}
+    assert found == {1: (5, 7, media.difference_hash(media.Image(grey, 255)), "mine"), **{k + 2: (None, None, None, "mine") for k in range(len(bad))}}
+
+
+def test_repeated_null_and_clashing_rows_of_map_side_operators(spark, docs):
+    """Operators 7 to 10 read ids and texts alone: other columns can't clash, null and repeated ids are rows like others."""
+    word, byte = (bpe.tokenizer_path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None), (3, ""), (3, "日本 語")], "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("n_tokens", "ids", "tokens", "payload", "start", "media", "base")})
+    for make in (lambda d: bpe.bpe_codes(d, word), lambda d: counts.token_counts(d, byte), media.text_media, lambda d: packing.pack(d, word), secrets.secrets):
+        found = Counter(tuple(map(str, (r.doc_id, r[1]))) for r in make(odd).collect())
+        assert sum(found.values()) == 5 and sorted(n for (i, _), n in found.items() if i == "None") in ([2], [1, 1])
+        assert make(docs).count() >= docs.count()
+
+
+@pytest.mark.parametrize("name", ["op1_", "op2_", "op3_", "op4_", "op5_", "op6_", "op7_", "op8_", "op9_", "op10_", "pipeline"])
+def test_queries_on_empty_tables(spark, tmp_path_factory, name):
+    path = tmp_path_factory.mktemp("empty")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    assert query(name)(spark, str(path)).count() == 0
+
+
+ALPHABET = "ab 日本é'\n\t1２Ⅷ😀́ПпİßﬁΣ-.,!<|>\0"
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_op7_op8_random_texts(spark, name):
+    """Texts of any characters take the word path and agree with the library."""
+    rng = np.random.default_rng(12)
+    texts = ["".join(rng.choice(list(ALPHABET), int(rng.integers(0, 60)))) for _ in range(400)] + ["漢字" * 300, "ё" * 100, "a\0b" * 40]
+    own = bpe.tokenizer(bpe.tokenizer_path(name))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in (bpe.bpe_codes if "word" in name else counts.token_counts)(rows, bpe.tokenizer_path(name)).collect()}
+    for k, text in enumerate(texts):
+        ids = own.encode(text, add_special_tokens=False).ids
+        assert found[k].n_tokens == len(ids)
+        if "word" in name:
+            assert (found[k].ids, found[k].decoded) == (" ".join(map(str, ids)), own.decode(ids, skip_special_tokens=False))
+    assert all((bpe.words_of if "word" in name else counts.pieces_of)(own, t) is not None for t in texts if "<|" not in t)
 
 
 def test_op10_pieces(spark, rows, folder, empty, word_bpe):
