@@ -57,8 +57,8 @@ def page_is_target(page_lang: Column, sample: Column, target: Column) -> Column:
 
 
 def already_target(lang: Column, target: Column) -> Column:
-    """Whether an element's own tag is the target's: by variant for a Chinese target, else by primary subtag."""
-    a, b = normal_tag(lang), normal_tag(target)
+    """Whether an element's own tag is the target's: by variant for a Chinese target, else by what precedes the first hyphen."""
+    a, b = (F.nullif(text.trimmed(F.lower(tag)), F.lit("")) for tag in (lang, target))
     same = F.when(zh_variant(target).isNotNull(), let(zh_variant(target), lambda t: satisfies(t, zh_variant(lang)))).otherwise(F.substring_index(a, "-", 1) == F.substring_index(b, "-", 1))
     return F.coalesce(same, F.lit(False))
 

@@ -147,7 +147,7 @@ CONTROLS = f"""WITH c AS (SELECT page_id, {PATH} AS path, {FOREIGN!r}[page_id %
    UNION ALL SELECT page_id, 1, 'go ' || path, length(path) <= 17, NULL, 'label', false, true FROM c UNION ALL SELECT page_id, 2, 'x y', false, NULL, 'div', false, false FROM c
    UNION ALL SELECT page_id, 3, '简体字 ' || page_id, false, lang, 'p', true, true FROM c WHERE lang <> 'zh_TW' UNION ALL SELECT page_id, 4, '简体字', false, lang, 'p', true, false FROM c WHERE lang <> 'zh_TW'),
   x AS (SELECT *, button OR (han AND alone AND lang IN ('zh-CN', 'zh-Hans-HK')) AS rep FROM r)
- SELECT page_id, ord AS "order", source, CASE WHEN button THEN 'button' END AS kind, CASE WHEN rep THEN 'replace' ELSE 'after-segment' END AS insert_mode, lang AS eff_lang,
+ SELECT page_id, ord AS "order", source, CASE WHEN button THEN 'button' END AS kind, CASE WHEN rep THEN 'replace' ELSE 'after-segment' END AS insert_mode, lower(lang) AS eff_lang,
   CASE WHEN han THEN 'skipped' ELSE 'pending' END AS state, CASE WHEN han THEN 'already-target' END AS skip_reason, 'chrome' AS region, CASE WHEN rep THEN source END AS replace_snapshot, tag AS anchor_tag FROM x"""
 ESCAPED = "replace(replace(replace(tx, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 LEFT = "replace(replace(replace(replace(regexp_replace(html, '(?s)^.*<article>|</article>.*$|</?[a-z0-9]+>', '', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
@@ -227,6 +227,7 @@ SQL = {
       round(CASE WHEN avg(value) = 0 THEN 0 ELSE stddev_pop(value) / avg(value) END, 6) AS cv FROM events GROUP BY event_type""",
     "timing_gate": GATE,
     "languages": f"WITH p AS (SELECT DISTINCT lang AS a, t AS b FROM documents, (SELECT unnest({TARGETS!r}) AS t) WHERE lang <> t) SELECT a AS language FROM p UNION SELECT b FROM p",
-    "text_input_status": f"SELECT doc_id, CASE WHEN {trim('text')} = '' THEN 'empty' ELSE 'ok' END AS status, length({trim('text')})::INT AS size FROM documents",
+    "text_input_status": f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 AND doc_id % 5 <> 0 THEN 'invalid_utf8' WHEN {trim('t')} = '' THEN 'empty' ELSE 'ok' END AS status,
+      CASE WHEN doc_id % 7 <> 0 OR doc_id % 5 = 0 THEN length({trim('t')})::INT END AS size FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ' ' || source || chr(10) ELSE text END AS t FROM documents)""",
     "stream_segments": SEG + """ SELECT page_id, ord AS "order", source, state FROM seg""",
 }

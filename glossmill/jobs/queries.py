@@ -336,7 +336,10 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_input_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("string").alias("positional"), F.col("text").cast("binary").alias("content"))
+    """Documents as inputs: some with a positional text, which wins, and some whose bytes end inside a character."""
+    broken = F.when(F.col("doc_id") % 7 == 0, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("C3")))).otherwise(F.col("text").cast("binary"))
+    typed = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" "), "source", F.lit("\n")))
+    raw = table(spark, sf_dir, "documents").select("doc_id", typed.alias("positional"), broken.alias("content"))
     return text_inputs(raw).select("doc_id", "status", F.length("text").alias("size"))
 
 

@@ -131,7 +131,7 @@ def facts_of(n: Column, display_of: DisplayOf) -> Column:
         mark.alias("mark"),
         F.when(attrs.isNull(), False).otherwise(F.coalesce(unseen, F.lit(False))).alias("unseen"),
         F.when(element, self_skip(tag, attrs)).alias("skip"),
-        F.when(attrs["lang"].isNotNull(), text.trimmed(attrs["lang"])).alias("lang"),
+        F.when(attrs["lang"].isNotNull(), F.lower(text.trimmed(attrs["lang"]))).alias("lang"),
         F.when(element, landmark_of(tag, attrs)).alias("landmark"),
         hint_of(attrs).alias("hint"),
         F.coalesce(n["text"].rlike(rf"[^{BLANK}]"), F.lit(False)).alias("filled"),

@@ -43,7 +43,7 @@ def test_page_gate(spark, tag, sample, target, expected):
     assert df.select(lang.page_is_target(F.col("a"), F.col("b"), F.col("c"))).first()[0] is expected
 
 
-@pytest.mark.parametrize(("own", "target", "expected"), [("ja-JP", "ja", True), ("zh", "zh-Hans", False), ("zh-CN", "zh-CHS", False), (None, "ja", False), ("ja", None, False)])
+@pytest.mark.parametrize(("own", "target", "expected"), [("ja-JP", "ja", True), ("ja_JP", "ja", False), ("FR-ca ", " fr", True), ("", "fr", False), ("zh", "zh-Hans", False), ("zh-CN", "zh-CHS", False), (None, "ja", False), ("ja", None, False)])
 def test_already_target(spark, own, target, expected):
     assert spark.createDataFrame([(own, target)], "a string, b string").select(lang.already_target(F.col("a"), F.col("b"))).first()[0] is expected
 

@@ -114,8 +114,8 @@ def test_languages_and_insert_modes(spark):
     pages = ['<html lang="zh-CN"><body><p>海港</p><p>海<b>港</b></p><div lang=""><p>海湾</p></div><ul lang="ja"><li>海</li></ul><button>海船</button></body></html>']
     (found,) = collected(spark, pages, "source", "eff_lang", "insert_mode", "kind", "replace_snapshot")
     assert found == [
-        ("海港", "zh-CN", "replace", None, "海港"), ("海港", "zh-CN", "after-segment", None, None), ("海湾", "", "after-segment", None, None),
-        ("海", "ja", "after-segment", None, None), ("海船", "zh-CN", "replace", "button", "海船"),
+        ("海港", "zh-cn", "replace", None, "海港"), ("海港", "zh-cn", "after-segment", None, None), ("海湾", "", "after-segment", None, None),
+        ("海", "ja", "after-segment", None, None), ("海船", "zh-cn", "replace", "button", "海船"),
     ]
     assert [x[2] for x in collected(spark, pages, "source", "state", "insert_mode", target="zh-Hans")[0]] == ["after-segment"] * 4 + ["replace"]
 
@@ -169,6 +169,16 @@ def test_large_pages_take_linear_work(spark, page):
     assert time.time() - began < 60
 
 
+def test_files_and_fragments(spark, tmp_path):
+    from glossmill.sources.pages import html_files, wrapped
+
+    for name, body in (("a", "<p>from a\nfile</p>"), ("b", "<p>other</p>")):
+        (tmp_path / f"{name}.html").write_text(body)
+    found = segments(html_files(spark, str(tmp_path))).select("page_id", "source").collect()
+    assert sorted(r.source for r in found) == ["from a\nfile", "other"] and len({r.page_id for r in found}) == 2
+    assert [r.source for r in segments(wrapped(table(spark, ["<p>part</p>"]))).collect()] == ["part"]
+
+
 def test_node_table():
     tables = Nodes()
     tables.add("<p id=1>\U0001f600<b x=y>c</b></p>d")
