@@ -199,6 +199,8 @@ SQL = {
     "pair_precheck": SEG + f""", p(a, b, status) AS (VALUES {', '.join(map(str, PAIRS))})
       SELECT page_lang AS "from", 'zh-Hant' AS "to", CASE status WHEN 'supported' THEN 'not downloaded: ' || page_lang || ' to zh-Hant' WHEN 'unsupported' THEN 'unsupported pair: ' || page_lang || ' to zh-Hant' END AS pair_error,
       count(*) AS n FROM seg LEFT JOIN p ON a = page_lang AND b = 'zh-Hant' WHERE state = 'pending' GROUP BY ALL""",
+    "engine_status": SEG + f""" SELECT page_lang AS "from", 'zh-Hant' AS "to", CASE page_lang WHEN 'en' THEN 'installed' WHEN 'fr' THEN 'supported' WHEN 'es' THEN 'unsupported' ELSE 'undetermined' END AS known,
+      CASE page_lang WHEN 'fr' THEN 'not downloaded: fr to zh-Hant' WHEN 'es' THEN 'unsupported pair: es to zh-Hant' END AS pair_error, count(*) AS n {OPEN} GROUP BY ALL""",
     "distinct_work": SEG + f""" SELECT page_lang AS "from", 'zh-Hant' AS "to", source, count(*) AS wanted {OPEN} GROUP BY ALL""",
     "apply_responses": ANSWERED + " SELECT page_id, st AS state, reason, count(*) AS n FROM b GROUP BY ALL",
     "bilingual_pairs": ANSWERED + """ SELECT page_id, ord AS "order", source, tx AS text, 'after-segment' AS insert_mode FROM b WHERE st = 'drafted' AND tx <> ''""",

@@ -151,6 +151,17 @@ def pair_precheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.groupBy("from", "to", "pair_error").agg(F.count("*").alias("n"))
 
 
+def engine_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs as an engine knows them, and what that means for their requests."""
+
+    def status(a: str, b: str) -> str:
+        return {"en": "installed", "fr": "supported", "es": "unsupported"}[a]  # no answer for others
+
+    wanted = dropped_later(written(translate.requests_of(segments_of(spark, sf_dir)), "requests"))
+    known = translate.engine_status(wanted, status)
+    return translate.pair_errors(wanted, known.select("*", F.col("status").alias("known"))).groupBy("from", "to", "known", "pair_error").agg(F.count("*").alias("n"))
+
+
 def memory(work: DataFrame) -> DataFrame:
     """A translation memory that knows texts of at most 80 characters; those that end in a full stop have an empty translation."""
     return work.filter(F.length("source") <= 80).select("from", "to", "source", F.when(F.col("source").endswith("."), "").otherwise(echoed()).alias("text"))
@@ -372,7 +383,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         segments, segment_table, page_counters, corpus_counters, skip_reasons, counter_diff, counter_variants, counter_check, protected_spans, insert_modes, normalize_text, worth_gate, gate_urls, page_lang_gate, dispatch_plan, eager_segments, lazy_tiers,
-        admitted_blocks, resorted, parse_requests, responses, pair_precheck, distinct_work, apply_responses, bilingual_pairs, bridge_messages, unmatched_responses, engine_translate, render_pages, page_table, recollect, incremental_segments, stream_changes,
+        admitted_blocks, resorted, parse_requests, responses, pair_precheck, engine_status, distinct_work, apply_responses, bilingual_pairs, bridge_messages, unmatched_responses, engine_translate, render_pages, page_table, recollect, incremental_segments, stream_changes,
         drift_guard, timeout_streaks, installed_pairs, circuit_windows, pair_status, timing_summary, timing_gate, languages, text_input_status, node_audit, stream_segments, stream_circuit,
     )
 }

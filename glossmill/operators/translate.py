@@ -85,6 +85,22 @@ def by_engine(work: DataFrame, make_engine: Callable[[str, str], Callable[[str],
     return work.select("from", "to", "source").mapInPandas(run, "`from` string, `to` string, source string, text string, error string")
 
 
+def engine_status(requests: DataFrame, status: Callable[[str, str], str]) -> DataFrame:
+    """(from, to, status) of the language pairs of requests, asked of an engine once a pair; a failure leaves a pair undetermined."""
+
+    def run(parts):
+        for part in parts:
+            rows = []
+            for a, b in zip(part["from"], part["to"], strict=True):
+                try:
+                    rows.append((a, b, status(a, b)))
+                except Exception:  # an engine's failure is a result
+                    rows.append((a, b, "undetermined"))
+            yield pd.DataFrame(rows, columns=["from", "to", "status"])
+
+    return requests.select("from", "to").distinct().mapInPandas(run, "`from` string, `to` string, status string")
+
+
 def applied(segments: DataFrame, responses: DataFrame) -> DataFrame:
     """segments with new state, reason and draft, from responses (page_id, seg_id, text, error); only pending ones change."""
     hit = F.col("state").eqNullSafe("pending") & F.col("answered")

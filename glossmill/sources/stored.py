@@ -51,9 +51,13 @@ def dropped_later(table: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores where it comes in fewer splits than there are cores; larger tables stay as they are."""
+    """df dealt over all cores where it comes in fewer splits than there are cores; larger tables stay as they are, as do those that come
+    out of a shuffle (an adaptive plan), whose splits are only known as it runs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    if df.isStreaming:
+        return df
+    run = df._jdf.queryExecution()
+    if run.executedPlan().nodeName() == "AdaptiveSparkPlan" or run.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
