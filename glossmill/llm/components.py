@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.shared import dropped, written
+from glossmill.llm.shared import dropped, dropped_later, written
 
 
 def stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,7 +28,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         roots = now.select(F.col("b").alias("a")).distinct()
         # Stars only: every node points at one root, and no root points anywhere.
         if shape.n == shape.nodes and not now.join(roots, "a", "left_semi").limit(1).count():
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return dropped_later(now).select(F.col("a").alias("node"), F.col("b").alias("root"))
         after = written(stars(stars(now, True), False), name)
         dropped(now)
         now = after

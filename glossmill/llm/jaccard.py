@@ -27,13 +27,12 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm.components import components
-from glossmill.llm.shared import attach, documents, dropped, dropped_later, most_frequent, parted, per_batch, utf8, written
+from glossmill.llm.shared import attach, documents, dropped, dropped_later, most_frequent, parted, per_batch, slices, utf8, written
 from glossmill.llm.shingles import mixed, shingle_sets
 
 #: Jaccard similarity of at least NEED / 100.
@@ -42,7 +41,7 @@ NEED = 80
 SKETCH = 256
 #: Frequent shingles: met at least HOT_DF times in blocks that hold them twice; at most MAX_HOT of them (2 MB) are broadcast. They
 #: only decide an order.
-HOT_DF, MAX_HOT, COUNT_BLOCK = 10, 1 << 18, 1 << 22
+HOT_DF, MAX_HOT, COUNT_BLOCK = 10, 1 << 18, 1 << 21
 #: Documents that serve as pivots, at most; hashes of all their sets and of one, at most: 8 MB for the driver and each worker to hold.
 DOC_PIVOTS, PIVOT_HASHES, PIVOT_SIZE = 1_024, 1 << 20, 1 << 12
 #: Hashes of a group's sets that one task may hold (24 MB).
@@ -114,8 +113,8 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                held.extend(sets_of(batch.column(0).slice(at, 500).to_pylist()))
+            for part in slices(batch, 500):
+                held.extend(sets_of(part.column(0).to_pylist()))
                 if sum(map(len, held)) > COUNT_BLOCK:
                     yield out()
         yield out()
@@ -423,7 +422,7 @@ def pivot_links(members: DataFrame, close: Callable[[np.ndarray, list[bytes], in
         else:
             order = Window.partitionBy("unit").orderBy(F.xxhash64("fp", F.lit("pivot")), "fp")
             chosen = opened.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PIVOTS).drop("k").withColumns({"chunk": F.lit(0).cast("long"), "chunks": F.lit(1).cast("long")})
-        chosen = written(chosen, f"{name}-pivots")
+        chosen = dropped_later(written(chosen, f"{name}-pivots"))
         whole = members.join(left, ids)
         parts = members.groupBy("unit").agg(F.ceil(F.greatest(F.count("*") / REGION_POINTS, F.sum(F.length("data")) / (8 * GROUP_HASHES))).alias("parts"))
         parts = F.broadcast(parts.join(chosen.select("unit", "chunks").distinct(), "unit"))
@@ -434,13 +433,13 @@ def pivot_links(members: DataFrame, close: Callable[[np.ndarray, list[bytes], in
         points = dealt(whole.join(parts, "unit"), True, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)), F.pmod(F.xxhash64("fp", F.lit("part")), "parts"))
         pivots = dealt(members.join(chosen.drop("chunks"), ids).join(parts, "unit"), False, F.col("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         deal = ["unit", "chunk", "part"]
-        found = written(pivot_edges(pivots.unionByName(points).repartition(*deal).sortWithinPartitions(*deal, "member"), close), f"{name}-edges")
+        found = dropped_later(written(pivot_edges(pivots.unionByName(points).repartition(*deal).sortWithinPartitions(*deal, "member"), close), f"{name}-edges"))
         edges = edges.unionByName(found)
         if final:
             return edges
         labels = components(edges, f"{name}-labels")
         label = F.coalesce("root", "fp")
-        left = written(left.join(chosen, ids, "left_anti").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(*ids, label.alias("label")), f"{name}-left")
+        left = dropped_later(written(left.join(chosen, ids, "left_anti").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(*ids, label.alias("label")), f"{name}-left"))
         most = largest(left)
 
 
@@ -504,16 +503,17 @@ def close_sets(n: np.ndarray, data: list[bytes], pivots: int) -> np.ndarray:
 def exact_links(members: DataFrame) -> DataFrame:
     """(a, b) links that connect exactly the points of each group (grp, fp, n, elements, label) that chains of close pairs connect."""
 
-    def join(part: pd.DataFrame) -> pd.DataFrame:
-        fp = part.fp.to_numpy()
-        root = join_group([as_set(x) for x in part.elements], part.label.to_numpy())
-        return pd.DataFrame({"a": fp[root], "b": fp})[root != np.arange(len(fp))]
+    def join(part: pa.Table) -> pa.Table:
+        fp = part.column("fp").to_numpy()
+        root = join_group([as_set(x) for x in part.column("elements").to_pylist()], part.column("label").to_numpy())
+        rest = np.flatnonzero(root != np.arange(len(fp)))
+        return pa.table({"a": fp[root[rest]], "b": fp[rest]})
 
     large = members.groupBy("grp").agg(F.sum("n").alias("hashes")).filter(F.col("hashes") > GROUP_HASHES).select("grp")
     if not large.limit(1).count():
-        return members.groupBy("grp").applyInPandas(join, "a long, b long")
+        return members.groupBy("grp").applyInArrow(join, "a long, b long")
     large = F.broadcast(large)  # at most one row for each GROUP_HASHES hashes
-    small = members.join(large, "grp", "left_anti").groupBy("grp").applyInPandas(join, "a long, b long")
+    small = members.join(large, "grp", "left_anti").groupBy("grp").applyInArrow(join, "a long, b long")
     units = members.join(large, "grp", "left_semi").select(F.col("grp").alias("unit"), "fp", "n", F.col("elements").alias("data"), "label")
     return small.unionByName(pivot_links(units, close_sets, "jaccard-links"))
 
@@ -529,7 +529,7 @@ def candidate_groups(distinct: DataFrame) -> DataFrame:
     large = regions.filter(F.col("size") > REGION_POINTS)
     if large.limit(1).count():
         points_of = large.join(sketched, "fp").select(F.col("region").alias("unit"), "fp", "n", F.col("bits").alias("data"), F.col("fp").alias("label"))
-        edges = edges.unionByName(pivot_links(written(points_of, "jaccard-large"), close_sketches, "jaccard-regions"))
+        edges = edges.unionByName(pivot_links(dropped_later(written(points_of, "jaccard-large")), close_sketches, "jaccard-regions"))
     groups = components(edges, "jaccard-groups")
     dropped(regions)
     both = groups.select(F.col("node").alias("fp"), F.col("root").alias("grp")).unionByName(groups.select(F.col("root").alias("fp"), F.col("root").alias("grp")).distinct())

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from glossmill.llm.bpe import MAX_CACHED, tokenizer, tokenizer_path, words_of
 from glossmill.llm.merges import Merger, coded
-from glossmill.llm.shared import documents
+from glossmill.llm.shared import documents, slices
 
 SENTENCE_PENALTY, WORD_PENALTY = 8, 64
 BLOCK_IDS = 1 << 20
@@ -174,8 +174,7 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, id_col:
         kind = pa.int64()
         for batch in batches:
             kind = batch.column(0).type
-            for begin in range(0, batch.num_rows, 200):
-                part = batch.slice(begin, 200)
+            for part in slices(batch, 200):
                 for key, data in zip(part.column(0).to_pylist(), coder.of([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     keys.append(key)
                     stream.add(len(keys) - 1, data + last)

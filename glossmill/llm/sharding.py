@@ -7,14 +7,10 @@ contiguous shards whose sizes differ from the target by less than one document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.shared import documents, written
+from glossmill.llm.shared import documents, dropped_later, written
 
 OVERHEAD = 16
 
@@ -24,14 +20,14 @@ def byte_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col:
 
     size: UTF-8 bytes of the text plus overhead (null text: overhead alone). A row goes to the shard that holds the middle of its
     bytes. Rows that tie in everything are interchangeable; a key that fills many partitions is split by row position. An empty
-    table gives no rows.
+    table gives no rows; only the id and text columns are read, so other columns can't clash.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     ordered = sized.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange("doc_id", "text_crc32", "size", "_at")
     ordered = ordered.sortWithinPartitions("doc_id", "text_crc32", "size", "_at").withColumn("_part", F.spark_partition_id()).drop("_at")
     # Each written file is one range in order; the part number is a column, so later reads don't depend on how files are split.
-    kept = written(ordered, "shards")
+    kept = dropped_later(written(ordered, "shards"))
     run = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = kept.groupBy("_part").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
     offsets = totals.select("_part", F.coalesce(F.sum("_bytes").over(run), F.lit(0)).alias("_before"), F.sum("_bytes").over(Window.partitionBy()).alias("_total"))

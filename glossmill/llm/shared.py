@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossmill.sources.stored import dropped, dropped_later, shared_dir, written  # noqa: F401  (operators take them from here)
+
 #: A key with at least 1/HOT_SHARE of all rows is hot; there are at most HOT_SHARE such keys, so they may be broadcast.
 HOT_SHARE = 512
 
@@ -19,50 +20,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only a session on one machine may do without: it gets a fresh one."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir")
-    if not named and not (conf.get("spark.master") or "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read back. A lost executor costs no earlier stage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table._written_at = path
-    return table
-
+#: Bytes of texts that a slice holds, if it is more than one row: arrays made of a slice take some tens of times as much.
+SLICE_BYTES = 2 << 20
 
-def deleted(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes the files of tables made by written() once nothing reads them any more."""
-    for table in tables:
-        deleted(table.sparkSession, table._written_at)
-
-
-def dropped_later(table: DataFrame) -> DataFrame:
-    """Marks a table made by written() that a result still reads: its files go when the driver's process ends."""
-    spark, folder = table.sparkSession, table._written_at
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return table
+def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `rows` rows and, as to its column `text`, about SLICE_BYTES or a single row."""
+    at = batch.schema.get_field_index("text")
+    sizes = None if at < 0 else np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < batch.num_rows:
+        end = min(begin + rows, batch.num_rows)
+        if sizes is not None:
+            before = sizes[begin - 1] if begin else 0
+            end = max(begin + 1, min(end, int(np.searchsorted(sizes, before + SLICE_BYTES, "right"))))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, rows: int = 500) -> DataFrame:
-    """Runs make over slices of Arrow batches of at most `rows` rows, so a worker holds a small slice in Python objects at a time."""
+    """Runs make over slices of Arrow batches, so a worker holds little in Python objects at a time, however long texts are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = make(batch.slice(at, rows))
+            for part in slices(batch, rows):
+                out = make(part)
                 if isinstance(out, pa.Table):
                     yield from out.to_batches()
                 else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import brute
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glossmill.llm.shared import documents, written
@@ -35,3 +36,23 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Without labels, which decide nothing here: null and repeated ids, repeated rows, null, empty and short texts, and columns whose names stages use themselves."""
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "ov")
+    rows = [(None, one), (None, one), (7, f"{one} a tail of words"), (7, None), (8, ""), (9, "short"), (9, f"{two} call 555-123-4567"), (9, f"{two} call 555-123-4567")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("mine") for c in ("row", "kept", "score", "fate", "cut", "hit", "doc", "tie", "fp", "n", "th", "id", "home", "pii", "words")})
+    columns, left = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, folder), name)
+        assert docs.columns == columns
+        left[name] = sorted((r.doc_id or 0, r.text) for r in docs.collect())
+    assert left["quality_rules"] == sorted((i or 0, t) for i, t in rows if t and len(t.split()) > 9)
+    assert left["jaccard_join"] == left["substring_dedup"] == [(7, f"{one} a tail of words"), (9, f"{two} call 555-123-4567")]
+    assert left["personal_data"] == [(7, f"{one} a tail of words"), (9, f"{two} call [LOCAL_PHONE]")]
+    assert docs.filter("hit = 'mine' and pii = 'mine' and row = 'mine'").count() == 2
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).groupBy("doc_id").count().count() == 2
