@@ -14,7 +14,7 @@ from glossmill.llm.jaccard import one_of_each
 from glossmill.llm.packing import pack
 from glossmill.llm.pii import redact
 from glossmill.llm.quality import judge
-from glossmill.llm.shared import documents, written
+from glossmill.llm.shared import documents, dropped_later, written
 from glossmill.llm.substrings import cut_repeats
 
 
@@ -63,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, name)
+            docs = dropped_later(written(docs, name))
     return docs
