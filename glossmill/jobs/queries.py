@@ -9,7 +9,7 @@ from glossmill.functions import lang, text
 from glossmill.operators import attempts as at
 from glossmill.operators import dispatch, extract, metrics, render, translate
 from glossmill.sources.pages import pages, table, text_inputs
-from glossmill.sources.stored import dropped_later, fresh_folder, write_bucketed, written
+from glossmill.sources.stored import dropped_later, fresh_folder, spread, write_bucketed, written
 from glossmill.streaming import streams
 
 # Fixed small dimension tables, given in the queries and their oracles alike.
@@ -68,12 +68,12 @@ def counter_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", text.normalized(F.col("text")).alias("normalized"), text.utf16_length(F.col("text")).alias("units"))
 
 
 def worth_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n| \\| ", -1)).alias("line"))
+    lines = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(F.split("text", "\n| \\| ", -1)).alias("line"))
     reason = text.skip_reason(text.gate_text(F.col("line")), F.lit(True))
     return lines.select("doc_id", F.coalesce(reason, F.lit("worth")).alias("reason")).groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
 
@@ -350,7 +350,7 @@ def text_input_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as inputs: some with a positional text, which wins, and some whose bytes end inside a character."""
     broken = F.when(F.col("doc_id") % 7 == 0, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("C3")))).otherwise(F.col("text").cast("binary"))
     typed = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" "), "source", F.lit("\n")))
-    raw = table(spark, sf_dir, "documents").select("doc_id", typed.alias("positional"), broken.alias("content"))
+    raw = spread(table(spark, sf_dir, "documents")).select("doc_id", typed.alias("positional"), broken.alias("content"))
     return text_inputs(raw).select("doc_id", "status", F.length("text").alias("size"))
 
 
