@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm.components import components
-from glossmill.llm.shared import attach, documents, dropped, dropped_later, most_frequent, parted, per_batch, slices, utf8, written
+from glossmill.llm.shared import attach, documents, dropped, dropped_later, give_back, most_frequent, parted, per_batch, slices, utf8, written
 from glossmill.llm.shingles import mixed, shingle_sets
 
 #: Jaccard similarity of at least NEED / 100.
@@ -118,6 +118,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
                 if sum(map(len, held)) > COUNT_BLOCK:
                     yield out()
         yield out()
+        give_back()
 
     counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = most_frequent(counts.filter(F.col("n") >= HOT_DF), "h", MAX_HOT, "jaccard-frequent")

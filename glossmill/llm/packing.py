@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from glossmill.llm.bpe import MAX_CACHED, tokenizer, tokenizer_path, words_of
 from glossmill.llm.merges import Merger, coded
-from glossmill.llm.shared import documents, slices
+from glossmill.llm.shared import documents, give_back, slices
 
 SENTENCE_PENALTY, WORD_PENALTY = 8, 64
 BLOCK_IDS = 1 << 20
@@ -181,6 +181,7 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, id_col:
                 if stream.size > BLOCK_IDS:
                     yield out(False)
         yield out(True)
+        give_back()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:]))
 
