@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm.merges import Merger, byte_names, coded
-from glossmill.llm.shared import documents, per_batch
+from glossmill.llm.shared import dealt_documents, per_batch
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -291,7 +291,7 @@ def bpe_codes(docs: DataFrame, path: str, max_words: int = 65_536, id_col: str =
 
 
 def op7_bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe_codes(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    coded = bpe_codes(dealt_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

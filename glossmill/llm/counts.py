@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from glossmill.llm.bpe import DIGITS, LETTERS, MAX_CACHED, ODD, SPECIAL, frequent, library_pieces, tokenizer, tokenizer_path
 from glossmill.llm.merges import Merger, coded
-from glossmill.llm.shared import documents, per_batch, utf8
+from glossmill.llm.shared import dealt_documents, per_batch, utf8
 
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\\s{LETTERS}{DIGITS}]+|\\s+(?!\\S)|\\s+")
 
@@ -116,7 +116,7 @@ def token_counts(docs: DataFrame, path: str, max_pieces: int = 65_536, limit: in
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return token_counts(dealt_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
 QUERIES = {"op8_token_counts": op8_token_counts}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm.components import components
-from glossmill.llm.shared import attach, documents, dropped, dropped_later, give_back, most_frequent, parted, per_batch, slices, utf8, written
+from glossmill.llm.shared import attach, dealt_documents, dropped, dropped_later, give_back, most_frequent, parted, per_batch, slices, utf8, written
 from glossmill.llm.shingles import mixed, shingle_sets
 
 #: Jaccard similarity of at least NEED / 100.
@@ -593,7 +593,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(documents(spark, sf_dir))
+    return similar_components(dealt_documents(spark, sf_dir))
 
 
 QUERIES = {"op3_jaccard_join": op3_jaccard_join}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.shared import documents, per_batch, utf8
+from glossmill.llm.shared import dealt_documents, per_batch, utf8
 
 WIDTH = 64
 
@@ -190,7 +190,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = text_media(documents(spark, sf_dir))
+    m = text_media(dealt_documents(spark, sf_dir))
     return m.select(
         "doc_id",
         "n_bytes",

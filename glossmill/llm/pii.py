@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm import columns
-from glossmill.llm.shared import documents
+from glossmill.llm.shared import dealt_documents
 
 # Length of each country's IBAN.
 IBAN_LENGTHS = {
@@ -140,7 +140,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect(documents(spark, sf_dir).select("doc_id", "text"))
+    found = detect(dealt_documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["base"])
 
     def number(kind: str) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.shared import documents, dropped_later, per_batch, utf8, written
+from glossmill.llm.shared import dealt_documents, dropped_later, per_batch, utf8, written
 
 # Kinds in order and their patterns.
 KINDS = ("assign", "access", "hex", "random")
@@ -247,7 +247,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def number(rank: int):
         return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{KINDS[rank]}")
 
-    found = secrets(documents(spark, sf_dir))
+    found = secrets(dealt_documents(spark, sf_dir))
     return found.select("doc_id", number(0), number(1), number(2), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.sources.stored import dropped, dropped_later, shared_dir, written  # noqa: F401  (operators take them from here)
+from glossmill.sources.stored import dropped, dropped_later, shared_dir, spread, written  # noqa: F401  (operators take them from here)
 
 #: A key with at least 1/HOT_SHARE of all rows is hot; there are at most HOT_SHARE such keys, so they may be broadcast.
 HOT_SHARE = 512
@@ -21,6 +21,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def dealt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, over all cores where the table has fewer splits than there are cores; for operators that heed no order of rows."""
+    return spread(documents(spark, sf_dir))
+
+
 #: Bytes of texts that a slice holds, if it is more than one row: arrays made of a slice take some tens of times as much.
 SLICE_BYTES = 2 << 20
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.shared import attach, documents, dropped, dropped_later, parted, per_batch, utf8, written
+from glossmill.llm.shared import attach, dealt_documents, dropped, dropped_later, parted, per_batch, utf8, written
 from glossmill.llm.shingles import fives, joined, mixed, word_hashes
 
 LENGTH, START = 20, 5
@@ -295,7 +295,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, cut = dedup(documents(spark, sf_dir))
+    rows, cut = dedup(dealt_documents(spark, sf_dir))
     both = rows.join(cut.select("doc", "tie", "n_removed", "kept_sha256"), ["doc", "tie"], "left")
     removed = F.when(F.col("fate") == "removed", F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     sha = F.when(F.col("fate") == "removed", F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "whole_sha256"))
