@@ -153,6 +153,43 @@ def test_logs_in_ranges_agree_with_one_by_one(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_circuit_from_any_place(spark):
+    """Dense and sparse logs of random outcomes in many small ranges, with ties, attempts without a moment, null keys and any threshold."""
+    import random
+
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for seed, (threshold, seconds, span) in enumerate([(3, 60, 4_000), (1, 60, 2_000), (2, 900, 3_000), (5, 10, 1_000), (3, 5_000, 3_000)]):
+            rng, start = random.Random(seed), dt.datetime(2024, 1, 1)
+            rows = [(rng.choice([1, 1, 1, None, 2]), rng.choice(["translate"] * 9 + ["availability"]), k, start + dt.timedelta(seconds=rng.randrange(span)), rng.choice(["timeout"] * rng.choice([2, 9, 30]) + ["success", "error", "cancelled"])) for k in range(600)]
+            found = attempts.circuit(spark.createDataFrame(rows, "pair long, entry string, id long, ts timestamp, outcome string").repartition(3), threshold, seconds)
+            assert {(r.pair, r.entry): tuple(r)[2:6] for r in found.collect()} == brute(rows, threshold, seconds)[2]
+        # Without a moment an attempt is never rejected and its opening rejects nothing.
+        odd = [(1, "translate", k, None, "timeout") for k in range(40)] + [(1, "translate", 50 + k, start + dt.timedelta(seconds=k), "success" if k == 30 else "timeout") for k in range(200)]
+        assert [tuple(r)[2:] for r in attempts.circuit(spark.createDataFrame(odd, "pair long, entry string, id long, ts timestamp, outcome string")).collect()] == [(240, 59 + 59 + 59 + 19, 38 + 4, 44, start + dt.timedelta(seconds=240))]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_an_outage_takes_a_pass_and_a_join_for_each_doubling(spark, monkeypatch):
+    """12 ranges of one outage: the log is read by one job, and four joins put the ranges together."""
+    tables = []
+    monkeypatch.setattr(attempts, "written", lambda df, name, own=attempts.written: tables.append(name) or own(df, name))
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        long = spark.range(30_000).selectExpr("1L AS pair", "'translate' AS entry", "id", "timestamp_seconds(id * 30) AS ts", "if(id % 20 = 7, 'success', 'timeout') AS outcome")
+        found = [tuple(r)[2:6] for r in attempts.circuit(long.repartition(7)).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    start = dt.datetime(1970, 1, 1)
+    assert found == [brute([(1, "translate", k, start + dt.timedelta(seconds=30 * k), "success" if k % 20 == 7 else "timeout") for k in range(30_000)])[2][1, "translate"]]
+    assert tables == ["places", "runs", "steps", "steps", "steps", "steps", "steps"]
+
+
 def test_long_circuit(spark):
     long = spark.range(30_000).selectExpr("1L AS pair", "'translate' AS entry", "id", "timestamp_seconds(id * 30) AS ts", "'timeout' AS outcome")
     rows = [tuple(r)[2:6] for r in attempts.circuit(long.repartition(7)).collect()]
