@@ -375,8 +375,13 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    return streams.once(streams.circuit_stream(as_attempts(events).drop("result"), threshold=2, seconds=86_400), fresh_folder(spark, "stream"))
+    """The events as a stream that ends: what the watermark still holds back comes out in a second run."""
+    stream, folder = as_attempts(streams.table_stream(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema)).drop("result"), fresh_folder(spark, "stream")
+    ended = streams.with_end(stream, f"{folder}/end")
+    circuits = streams.circuit_stream(ended, threshold=2, seconds=86_400, late="2 days")
+    streams.once(circuits, folder)
+    streams.end_stream(stream, f"{folder}/end")
+    return streams.once(circuits, folder)
 
 
 QUERIES = {

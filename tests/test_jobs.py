@@ -231,15 +231,66 @@ def test_buckets(spark, tmp_path):
     assert stored.select("page_id").distinct().count() == 1000 and stored.select("bucket").distinct().count() == 8
 
 
+def ended(spark, stream, folder, **kept):
+    """All rows of a circuit stream, its end included."""
+    closing = streams.with_end(stream, f"{folder}/end")
+    circuits = streams.circuit_stream(closing, **kept)
+    streams.once(circuits, folder)
+    streams.end_stream(stream, f"{folder}/end")
+    return streams.once(circuits, folder)
+
+
 def test_circuit_batch_and_stream_agree(spark, tmp_path):
     found = {r.pair: (r.rejected, r.opened, r.streak) for r in attempts.circuit(log(spark)).collect()}
     assert found == {1: (1, 1, 3), 2: (0, 0, 1), 3: (0, 1, 3), 4: (0, 1, 0), 5: (0, 2, 4), 6: (0, 0, 0)}
     log(spark).write.parquet(str(tmp_path / "log"))
-    stream = streams.circuit_stream(spark.readStream.schema(log(spark).schema).parquet(str(tmp_path / "log")))
-    rows = streams.once(stream, str(tmp_path / "out")).groupBy("pair").agg(F.count_if("rejected").alias("rejected"), F.max_by("streak", "id").alias("streak"))
+    stream = spark.readStream.schema(log(spark).schema).parquet(str(tmp_path / "log"))
+    rows = ended(spark, stream, str(tmp_path / "out")).groupBy("pair").agg(F.count_if("rejected").alias("rejected"), F.max_by("streak", "id").alias("streak"))
     assert {r.pair: (r.rejected, r.streak) for r in rows.collect()} == {p: (v[0], v[2]) for p, v in found.items()}
 
 
+def test_circuit_stream_of_shuffled_files_is_in_event_time_order(spark, tmp_path):
+    """Six files, each with attempts of the whole time, taken in one batch each: every attempt comes out as if the log had been in order."""
+    import random
+
+    rng, start = random.Random(11), dt.datetime(2024, 1, 1)
+    rows = [(rng.choice([1, 1, 2]), "translate", k, start + dt.timedelta(seconds=rng.randrange(6_000)), rng.choice(["timeout"] * 8 + ["success", "error", "cancelled"])) for k in range(600)]
+    schema = "pair long, entry string, id long, ts timestamp, outcome string"
+    for k in range(6):
+        spark.createDataFrame(rows[100 * k : 100 * k + 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    found = {r.id: (r.rejected, r.streak) for r in ended(spark, stream, str(tmp_path / "out"), late="2 hours").collect()}
+    state, expected = {}, {}
+    for pair, _, number, at, outcome in sorted(rows, key=lambda r: (r[3], r[2])):
+        micros = int((at - start).total_seconds()) * 1_000_000 + 1
+        state[pair], rejected = streams.settle(state.get(pair, (0, 0)), micros, outcome)
+        expected[number] = (rejected, state[pair][0])
+    assert found == expected
+    assert sum(r for r, _ in found.values()) == sum(r.rejected for r in attempts.circuit(spark.createDataFrame(rows, schema)).collect())
+
+
+def test_circuit_stream_counts_late_rows_and_forgets_idle_pairs(spark, tmp_path):
+    import pytest
+
+    start, schema = dt.datetime(2024, 1, 1), "pair long, entry string, id long, ts timestamp, outcome string"
+
+    def put(k, pair, minutes):
+        spark.createDataFrame([(pair, "translate", k, start + dt.timedelta(minutes=minutes), "timeout")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+
+    for k, (pair, minutes) in enumerate([(1, 0), (1, 1), (2, 60), (2, 61)]):
+        put(k, pair, minutes)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    circuits = lambda: streams.circuit_stream(stream, late="10 minutes", idle="1 day")
+    assert {(r.id, r.streak) for r in streams.once(circuits(), str(tmp_path / "out")).collect()} == {(0, 1), (1, 2)}
+    put(4, 2, 4_000)  # more than a day on: both are forgotten
+    put(5, 1, 4_001)
+    put(6, 2, 9_000)
+    assert {(r.id, r.streak) for r in streams.once(circuits(), str(tmp_path / "out")).collect()} == {(0, 1), (1, 2), (2, 1), (3, 2), (4, 1), (5, 1)}
+    put(7, 1, 5)
+    with pytest.raises(ValueError, match="1 rows came later"):
+        streams.once(circuits(), str(tmp_path / "out"))
+
+
 def test_streaks_and_cache(spark):
     assert {r.pair: r.streak for r in attempts.timeout_streaks(log(spark)).groupBy("pair").agg(F.max_by("streak", "id").alias("streak")).collect()} == {1: 4, 2: 1, 3: 3, 4: 0, 5: 4, 6: 0}
     at = dt.datetime(2024, 1, 1)
