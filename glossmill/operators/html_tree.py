@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -13,6 +13,8 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
+P_STOPS = set("button td th table div li body article section nav footer header main aside".split())
+CELLS = ("td", "th", "table", "button")
 INLINE_TAGS = set("span a em strong b i u s small sup sub mark abbr q cite dfn var samp kbd bdi bdo wbr ruby font tt ins del".split())
 #: Names of the marks that rendering leaves and collection skips; parameters of the jobs.
 MARK_CLASS, MARK_ID, SOURCE_ATTR = "gm-translation", "data-gm-id", "data-gm-source"
@@ -35,34 +37,45 @@ class Node:
 
 
 class Builder(HTMLParser):
+    """Builds the tree. What an end tag or an opening tag closes is the nearest open element of some tags before a stop; as the open
+    places of each tag are kept apart, finding it takes as long at any depth."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("#document")
         self.stack = [self.root]
-        self.raw: str | None = None
+        self.open: dict[str, list[int]] = {}
 
     def put(self, node: Node) -> None:
         node.parent = self.stack[-1]
         self.stack[-1].children.append(node)
 
-    def close_to(self, names: set[str], stops: set[str]) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in names:
-                del self.stack[k:]
-                return
-            if self.stack[k].tag in stops:
-                return
+    def nearest(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element that has one of the tags; 0 if there is none."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
+    def close_from(self, place: int) -> None:
+        for node in self.stack[place:]:
+            self.open[node.tag].pop()
+        del self.stack[place:]
+
+    def close_to(self, names: Iterable[str], stops: Iterable[str]) -> None:
+        """Closes the innermost open element of names, unless one of stops is further in."""
+        place = self.nearest(names)
+        if place and place >= self.nearest(stops):
+            self.close_from(place)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag == "html" and any(n.tag == "html" for n in self.stack):
+        if tag == "html" and self.open.get("html"):
             return
         if tag in CLOSES_P:
-            self.close_to({"p"}, {"button", "td", "th", "table", "div", "li", "body", "article", "section", "nav", "footer", "header", "main", "aside"} - {tag})
+            self.close_to(("p",), P_STOPS - {tag})
         if tag in SIBLINGS:
             self.close_to(SIBLINGS[tag], SCOPES[tag])
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)})
         self.put(node)
         if tag not in VOID:
+            self.open.setdefault(tag, []).append(len(self.stack))
             self.stack.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -74,12 +87,7 @@ class Builder(HTMLParser):
         if tag == "br":
             self.handle_starttag("br", [])
             return
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                del self.stack[k:]
-                return
-            if self.stack[k].tag in ("td", "th", "table", "button") and tag not in ("table", "tr", "tbody", "thead", "tfoot") and self.stack[k].tag != tag and tag in INLINE_TAGS | {"p"}:
-                return
+        self.close_to((tag,), CELLS if tag in INLINE_TAGS or tag == "p" else ())
 
     def handle_data(self, data: str) -> None:
         last = self.stack[-1].children[-1:] if self.stack[-1].children else []

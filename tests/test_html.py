@@ -190,3 +190,23 @@ def test_node_table():
     assert [n["attrs"] for n in first] == [None, None, [("id", "1")], None, None, None, None]
     assert [n["tag"] for n in second] == ["html"]
     assert parse("just text")[1].children[0].text == "just text"
+
+
+def test_open_elements_at_any_depth():
+    """100,000 open elements and as many end tags that match none of them, or lists and cells, take seconds; nothing is closed by mistake."""
+    n = 100_000
+    began = time.time()
+    for html, depth in (("<font>" * n + "</u>" * n, n), ("<ul><li>" * n + "</b>" * n, 2 * n), ("<div>" * n + "<p>" * n, n + 1), ("<table><tr><td><i>" * n + "</u>" * n, 4 * n), ("<div><p>" * n + "</p>" * n, n + 1)):
+        top, body = parse(html)
+        deepest, stack = 0, [(body, 0)]
+        while stack:
+            node, d = stack.pop()
+            deepest = max(deepest, d)
+            stack += [(c, d + 1) for c in node.children]
+        assert deepest == depth, html[:20]
+    assert time.time() - began < 30
+
+
+def test_deep_pages_as_tables(spark):
+    deep = "<div>" * 20_000 + "far down" + "</b>" * 20_000
+    assert collected(spark, [deep, "<font>" * 9_000 + "x y" + "</u>" * 9_000], "source") == [["far down"], ["x y"]]
