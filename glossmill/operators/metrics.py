@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.sources.stored import dropped_later, written
+
 # The largest spread that is judged, and the ratios to the baseline that fail.
 MAX_CV, MAX_P50, MAX_P95 = 0.15, 1.3, 1.5
 
@@ -48,15 +50,34 @@ def variants(runs: DataFrame, by: str) -> DataFrame:
     return runs.groupBy(by).agg(F.count_distinct(F.to_json(F.struct(*sets))).alias("variants"))
 
 
-def nearest_rank(column: str, q: float) -> Column:
-    return F.expr(f"percentile_disc({q}) within group (order by {column})")
+def nearest_ranks(samples: DataFrame, by: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """(by, one column per quantile): of each key the value of rank ceil(q n), exact for any number of samples.
+
+    A distributed selection: equal samples are counted together, the distinct ones dealt in ranges of key and value; the ranges' counts,
+    added up within a key, tell in which range a rank lies, and only rows of such ranges are gone through. No task holds a key's values.
+    Nulls are no samples; a key without any has no row.
+    """
+    counted = samples.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("by"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    ordered = dropped_later(written(counted.repartitionByRange("by", "v").withColumn("part", F.spark_partition_id()), "ordered"))
+    totals = ordered.groupBy("by", "part").agg(F.sum("n").alias("own"))
+    parts = Window.partitionBy("by").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.withColumn("upto", F.sum("own").over(parts)).withColumn("all", F.sum("own").over(Window.partitionBy("by")))
+    asked = F.array(*(F.struct(F.lit(c).alias("name"), F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("all"))).cast("long").alias("rank")) for c, q in quantiles.items()))
+    within = F.filter(asked, lambda r: (r["rank"] <= F.col("upto")) & (r["rank"] > F.col("upto") - F.col("own")))
+    wanted = totals.withColumn("ranks", within).filter(F.size("ranks") > 0).select(F.col("by").alias("its"), F.col("part").alias("in"), F.transform("ranks", lambda r: F.struct(r["name"].alias("name"), (r["rank"] - F.col("upto") + F.col("own")).alias("rank"))).alias("ranks"))
+    rows = ordered.join(wanted, F.col("by").eqNullSafe(F.col("its")) & (F.col("part") == F.col("in")))
+    before = F.sum("n").over(Window.partitionBy("by", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    met = F.filter("ranks", lambda r: (r["rank"] <= F.col("upto")) & (r["rank"] > F.col("upto") - F.col("n")))
+    picked = rows.withColumn("upto", before).select("by", "v", F.explode(met).alias("r"))
+    return picked.groupBy(F.col("by").alias(by)).agg(*(F.max(F.when(F.col("r.name") == c, F.col("v"))).alias(c) for c in quantiles))
 
 
 def timing_summary(samples: DataFrame, by: str, value: str) -> DataFrame:
+    """Per key: the least value, exact nearest ranks, the mean, and the spread over the mean."""
     mean, spread = F.avg(value), F.stddev_pop(value)
-    return samples.groupBy(by).agg(
-        F.min(value).alias("least"), nearest_rank(value, 0.5).alias("p50"), nearest_rank(value, 0.95).alias("p95"), mean.alias("mean"), F.when(mean == 0, 0.0).otherwise(spread / mean).alias("cv")
-    )
+    plain = samples.groupBy(by).agg(F.min(value).alias("least"), mean.alias("mean"), F.when(mean == 0, 0.0).otherwise(spread / mean).alias("cv"))
+    ranks = nearest_ranks(samples, by, value, {"p50": 0.5, "p95": 0.95}).withColumnRenamed(by, "_key")
+    return plain.join(ranks, F.col(by).eqNullSafe(F.col("_key")), "left").select(by, "least", "p50", "p95", "mean", "cv")
 
 
 def timing_gate(now: DataFrame, base: DataFrame, by: str) -> DataFrame:

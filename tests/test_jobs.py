@@ -299,6 +299,27 @@ def test_streaks_and_cache(spark):
     assert [r.cached for r in cached.collect()] == [True, True, True, False, False]
 
 
+def test_nearest_ranks_over_many_ranges(spark):
+    """Keys over many ranges, with repeated values, nulls, a null key, and a key of one sample, against sorted lists."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a"] * 6 + ["b", None]), rng.choice([None, 0.5, rng.random(), rng.randrange(40) / 4])) for _ in range(4_000)] + [("one", 7.0), ("none", None)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        quantiles = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+        found = {r.k: tuple(r)[1:] for r in metrics.nearest_ranks(spark.createDataFrame(rows, "k string, v double"), "k", "v", quantiles).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    own = {k: sorted(v for key, v in rows if key == k and v is not None) for k in ("a", "b", None, "one")}
+    assert found == {k: tuple(v[max(1, math.ceil(q * len(v))) - 1] for q in quantiles.values()) for k, v in own.items()}
+    plan = metrics.nearest_ranks(spark.createDataFrame(rows, "k string, v double"), "k", "v", quantiles)._jdf.queryExecution().toString()
+    assert "percentile" not in plan and "collect" not in plan
+
+
 def test_metrics(spark):
     samples = spark.createDataFrame([("a", float(x)) for x in range(30)] + [("z", 0.0)], "run string, ms double")
     made = {r.run: r for r in metrics.timing_summary(samples, "run", "ms").collect()}
