@@ -6,7 +6,7 @@ Pages are cut by their known layout (nav, ad, article, footer), so these stateme
 from __future__ import annotations
 
 from glossmill.functions import text
-from glossmill.jobs.queries import FOREIGN, HIDDEN, PAIRS, RULES, SCREEN, TAGS, TARGETS
+from glossmill.jobs.queries import FLAT_SOURCES, FOREIGN, HIDDEN, HINTS, OPAQUE_HIDDEN, OPAQUE_WAYS, PAGE_TAGS, PAIRS, RULES, SCREEN, SIGNS, TAGS, TAILS, TARGETS
 
 
 def java_to_re2(pattern: str) -> str:
@@ -149,8 +149,27 @@ CONTROLS = f"""WITH c AS (SELECT page_id, {PATH} AS path, {FOREIGN!r}[page_id %
   x AS (SELECT *, button OR (han AND alone AND lang IN ('zh-CN', 'zh-Hans-HK')) AS rep FROM r)
  SELECT page_id, ord AS "order", source, CASE WHEN button THEN 'button' END AS kind, CASE WHEN rep THEN 'replace' ELSE 'after-segment' END AS insert_mode, lower(lang) AS eff_lang,
   CASE WHEN han THEN 'skipped' ELSE 'pending' END AS state, CASE WHEN han THEN 'already-target' END AS skip_reason, 'chrome' AS region, CASE WHEN rep THEN source END AS replace_snapshot, tag AS anchor_tag FROM x"""
+REPLACED = f"""WITH c AS (SELECT page_id, {PATH} AS path, {FOREIGN!r}[page_id % {len(FOREIGN)} + 1] AS lang FROM pages),
+  e AS (SELECT *, replace(replace(replace(path, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS p, length(path) <= 20 AND page_id % 3 <> 0 AS b, length(path) <= 20 AS b0, length(path) <= 17 AND page_id % 3 <> 0 AS l, length(path) <= 17 AS l0,
+    lang IN ('zh-CN', 'zh-Hans-HK') AS h0, lang IN ('zh-CN', 'zh-Hans-HK') AND page_id % 3 <> 0 AS h, CASE WHEN page_id % 2 = 0 THEN ' title="own"' ELSE '' END AS own FROM c),
+  m AS (SELECT *, '<div class="gm-translation" data-gm-id="k1-' AS mark FROM e)
+ SELECT page_id, '<html><body><button' || own || CASE WHEN b THEN ' data-gm-source="' || p || '"' || CASE WHEN own = '' THEN ' title="' || p || '"' ELSE '' END || '>T&amp;' || p ELSE '>' || p END || '</button>'
+  || CASE WHEN b0 THEN '' ELSE mark || '0">T&amp;' || p || '</div>' END
+  || '<label' || CASE WHEN l THEN ' data-gm-source="go ' || p || '" title="go ' || p || '">T&amp;go ' || p ELSE '>go ' || p END || '</label>' || CASE WHEN l0 THEN '' ELSE mark || '1">T&amp;go ' || p || '</div>' END
+  || '<div role="button">x <i>y</i></div>' || mark || '2">T&amp;x y</div><section lang="' || lang || '"><p' || CASE WHEN h THEN ' data-gm-source="简体字 ' || page_id || '" title="简体字 ' || page_id || '">T&amp;' ELSE '>' END || '简体字 ' || page_id || '</p>'
+  || CASE WHEN h0 OR lang = 'zh_TW' THEN '' ELSE mark || '3">T&amp;简体字 ' || page_id || '</div>' END || '<p>简体<b>字</b></p>' || CASE WHEN lang = 'zh_TW' THEN '' ELSE mark || '4">T&amp;简体字</div>' END || '</section></body></html>' AS html FROM m"""
+OPAQUE = f"""WITH c AS (SELECT page_id, page_id % {len(OPAQUE_WAYS)} < {OPAQUE_HIDDEN} AS gone, 'w' || page_id || '繁end' AS own, CASE WHEN page_id % 2 = 0 THEN 'code' ELSE 'time' END AS tag FROM pages)
+ SELECT page_id, 0 AS "order", CASE WHEN gone THEN 'Open shut.' ELSE 'Open ' || own || ' shut.' END AS source, CASE WHEN gone THEN '' ELSE '5:' || (5 + length(own)) || ':' || tag END AS spans FROM c"""
+FLATTENED = f"""SELECT page_id, i::INT AS "order", replace(l[i + 1], 'N', page_id::VARCHAR) AS source FROM (SELECT page_id, l, unnest(range(len(l))) AS i FROM (SELECT page_id, {FLAT_SOURCES!r}[page_id % {len(FLAT_SOURCES)} + 1] AS l FROM pages))"""
+HINTED = f"""WITH c AS (SELECT page_id, {SIGNS!r}[page_id % {len(HINTS)} + 1] AS sign, length(rtrim(repeat('Read ' || page_id || ' ', (page_id % 40 + 1)::INT))) AS n FROM pages)
+ SELECT page_id, 0 AS "order", CASE WHEN 2 * (sign = 'chrome')::INT + (n < 40)::INT > 2 * (sign = 'main')::INT + 2 * (n > 120)::INT THEN 'chrome' ELSE 'main' END AS region, n::INT AS char_count FROM c"""
+SAMPLED = f"""WITH c AS (SELECT page_id, page_id % {len(PAGE_TAGS)} AS tag, page_id // {len(PAGE_TAGS)} % {len(TAILS)} AS tail FROM pages), g AS (SELECT *, tag = 3 OR (tag IN (0, 1) AND tail IN (0, 2)) AS target FROM c)
+ SELECT page_id, 0 AS "order", '简体 ' || page_id AS source, CASE WHEN target THEN 'skipped' ELSE 'pending' END AS state, CASE WHEN target THEN 'already-target' END AS skip_reason, target AS page_is_target FROM g
+ UNION ALL SELECT page_id, 1, 'かな', 'pending', NULL, target FROM g WHERE tail IN (1, 2)"""
 ESCAPED = "replace(replace(replace(tx, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 LEFT = "replace(replace(replace(replace(regexp_replace(html, '(?s)^.*<article>|</article>.*$|</?[a-z0-9]+>', '', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+RENDERED = ANSWERED + f""", k AS (SELECT page_id, string_agg('k1-' || lower(to_base(ord, 36)) || ' ' || {ESCAPED}, chr(10) ORDER BY ord) AS marks FROM b WHERE st = 'drafted' AND tx <> '' GROUP BY page_id)
+  SELECT page_id, coalesce(marks, '') AS marks, length({LEFT})::INT AS "left" FROM pages LEFT JOIN k USING (page_id)"""
 AUDIT = f"""WITH b AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)(<body>.*)$', 1), '(?s)<!--.*?-->', '', 'g') AS h, len(regexp_extract_all(html, '<!--')) AS comments FROM pages),
   e AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(h, '(?s)<div class="ad">.*?</div>', '', 'g'), '<([a-z0-9]+)[ >]', 1)) AS tag FROM b)
  SELECT tag, 'WALK' AS disposition, 'walk' AS rule, count(*) AS n FROM e GROUP BY tag UNION ALL SELECT '#comment', 'SKIP_SUBTREE', 'comment', sum(comments)::BIGINT FROM b HAVING sum(comments) > 0
@@ -178,7 +197,6 @@ SQL = {
     "insert_modes": CONTROLS,
     "bridge_messages": SEG + f""" SELECT page_id, json_object('type', 'translate', 'id', 'k1-' || lower(to_base(ord, 36)), 'source', source, 'from', page_lang, 'to', 'zh-Hant')::VARCHAR AS message {OPEN}""",
     "unmatched_responses": SEG + " SELECT page_id, 'k1-' || lower(to_base(ord, 36)) || '?' AS seg_id, source FROM seg WHERE ord % 3 = 2",
-    "page_table": "SELECT page_id, true AS whole FROM pages",
     "normalize_text": f"SELECT doc_id, {normal('text')} AS normalized, {units('text')}::INT AS units FROM documents",
     "worth_gate": f"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\n| \\| ')) AS line FROM documents), g AS (SELECT doc_id, {gate('line')} AS t FROM l)
       SELECT doc_id, coalesce({reason('t', 'true')}, 'worth') AS reason, count(*) AS n FROM g GROUP BY ALL""",
@@ -206,8 +224,13 @@ SQL = {
     "bilingual_pairs": ANSWERED + """ SELECT page_id, ord AS "order", source, tx AS text, 'after-segment' AS insert_mode FROM b WHERE st = 'drafted' AND tx <> ''""",
     "engine_translate": SEG + f""" SELECT page_lang AS "from", 'zh-Hant' AS "to", source, CASE WHEN page_lang <> 'de' THEN 'zh-Hant:' || reverse(source) END AS text, CASE WHEN page_lang = 'de' THEN 'no model' END AS error
       {OPEN} GROUP BY ALL""",
-    "render_pages": ANSWERED + f""", k AS (SELECT page_id, string_agg('k1-' || lower(to_base(ord, 36)) || ' ' || {ESCAPED}, chr(10) ORDER BY ord) AS marks FROM b WHERE st = 'drafted' AND tx <> '' GROUP BY page_id)
-      SELECT page_id, coalesce(marks, '') AS marks, length({LEFT})::INT AS "left" FROM pages LEFT JOIN k USING (page_id)""",
+    "render_pages": RENDERED,
+    "page_table": RENDERED,
+    "replaced_pages": REPLACED,
+    "opaque_rules": OPAQUE,
+    "flattened_blocks": FLATTENED,
+    "hint_regions": HINTED,
+    "sample_gate": SAMPLED,
     "recollect": SEG + """ SELECT page_id, ord AS "order", source, state FROM seg""",
     "incremental_segments": EDITED + f""", o AS (SELECT page_id, source, {OCC} FROM seg), w AS (SELECT page_id, ord, source, {OCC} FROM new_seg)
       SELECT page_id, ord AS "order", source FROM w ANTI JOIN o USING (page_id, source, occ)""",

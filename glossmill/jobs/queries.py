@@ -215,20 +215,23 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.render(pages(spark, sf_dir), answered(spark, sf_dir))
 
 
-def render_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_contents(rendered_pages: DataFrame) -> DataFrame:
     """The marks of every rendered page with their texts, in document order, and what is left of the page without them."""
     mark = '<div class="gm-translation" data-gm-id="([^"]*)">([^<]*)</div>'
     marks = F.concat_ws("\n", F.zip_with(F.regexp_extract_all("html", F.lit(mark), F.lit(1)), F.regexp_extract_all("html", F.lit(mark), F.lit(2)), lambda i, t: F.concat(i, F.lit(" "), t)))
     bare = F.regexp_replace(F.regexp_replace("html", mark, ""), "(?s)^.*<article>|</article>.*$|</?[a-z0-9]+>", "")
     for escaped, plain in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(escaped), F.lit(plain))
-    return rendered(spark, sf_dir).select("page_id", marks.alias("marks"), F.length(bare).alias("left"))
+    return rendered_pages.select("page_id", marks.alias("marks"), F.length(bare).alias("left"))
+
+
+def render_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_contents(rendered(spark, sf_dir))
 
 
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered pages written in page buckets and read back."""
-    stored = write_bucketed(rendered(spark, sf_dir), fresh_folder(spark, "bilingual"), buckets=16)
-    return stored.select("page_id", F.col("html").isNotNull().alias("whole"))
+    """Rendered pages written in page buckets, and the contents of the table read back."""
+    return page_contents(write_bucketed(rendered(spark, sf_dir), fresh_folder(spark, "bilingual"), buckets=16))
 
 
 def segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,6 +272,82 @@ def insert_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.segments(with_controls(spark, sf_dir)).select("page_id", "order", "source", "kind", "insert_mode", "eff_lang", "state", "skip_reason", "region", "replace_snapshot", "anchor_tag")
 
 
+def replaced_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with controls, every segment translated: short buttons and Simplified blocks in place, the others after their block.
+
+    Buttons of every second page have a title of their own; in every third page the blocks' texts have drifted.
+    """
+    html = F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("<button>"), F.lit('<button title="own">'))).otherwise(F.col("html"))
+    controls = with_controls(spark, sf_dir).withColumn("html", html)
+    drafts = extract.segments(controls).withColumns({"state": F.lit("drafted"), "draft": F.concat(F.lit("T&"), "source")})
+    drifted = F.when(F.col("page_id") % 3 == 0, F.concat("replace_snapshot", F.lit("!"))).otherwise(F.col("replace_snapshot"))
+    return render.render(controls, drafts.withColumn("replace_snapshot", drifted))
+
+
+def made_pages(spark: SparkSession, sf_dir: str, *parts) -> DataFrame:
+    """A page for each of the table's, from parts that may depend on its number and address."""
+    return pages(spark, sf_dir).withColumn("html", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
+
+
+def turn_of(values: list[str]):
+    """One of the values, by the page's number."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % len(values) + 1).cast("int"))
+
+
+#: What an opaque element says of itself; the first OPAQUE_HIDDEN ways hide it, its language never does.
+OPAQUE_WAYS = ["hidden", 'translate="no"', 'style="display:none"', 'style="content-visibility: hidden"', 'lang="zh-TW"', 'class="plain"', 'translate="yes"']
+OPAQUE_HIDDEN = 4
+
+
+def opaque_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and time elements: which are skipped, what of their content is kept as it is, and where that lies in the source."""
+    tag, number = F.when(F.col("page_id") % 2 == 0, "code").otherwise("time"), F.col("page_id").cast("string")
+    inner = F.concat(F.lit("w"), number, F.lit('<i hidden>no</i><b translate="no">no</b><i lang="zh-TW">\u7e41</i><br>end'))
+    found = extract.segments(made_pages(spark, sf_dir, '<html lang="en"><body><p>Open <', tag, " ", turn_of(OPAQUE_WAYS), ">", inner, "</", tag, "> shut.</p></body></html>"))
+    listed = F.concat_ws(",", F.transform("protected_spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["kind"])))
+    return found.select("page_id", "order", "source", listed.alias("spans"))
+
+
+#: Elements that pass their children on, a button that doesn't though it is told to, and elements that are inline anyway.
+FLAT = [
+    'sun <span style="display:contents">and <em style="display: contents">moon N <p>P N</p> set</em> or</span> rise',
+    'sun <span role="button" style="display:contents">push N</span> rise',
+    "sun <span>and <em>moon N</em> or</span> rise",
+    '<section style="display:contents">loose N <p>P N</p></section> rise',
+]
+FLAT_SOURCES = [["sun and moon N", "P N", "set or rise"], ["sun", "push N", "rise"], ["sun and moon N or rise"], ["loose N", "P N", "rise"]]
+
+
+def flattened_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and runs of pages with elements of display: contents."""
+    body = F.replace(turn_of(FLAT), F.lit("N"), F.col("page_id").cast("string"))
+    return extract.segments(made_pages(spark, sf_dir, '<html lang="en"><body><div>', body, "</div></body></html>")).select("page_id", "order", "source")
+
+
+#: Names of a block, and which sign each is.
+HINTS = ['class="sidebar"', 'class="x" id="main-column"', 'class="comment article"', 'class="plain"', 'id="promo-2"']
+SIGNS = ["chrome", "main", "main", "", "chrome"]
+
+
+def hint_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of blocks by the names around them and the length of their text."""
+    words = F.expr("repeat(concat('Read ', page_id, ' '), cast(page_id % 40 + 1 as int))")
+    found = extract.segments(made_pages(spark, sf_dir, '<html lang="en"><body><div ', turn_of(HINTS), "><div><p>", words, "</p></div></div></body></html>"))
+    return found.select("page_id", "order", "region", "char_count")
+
+
+#: The html element's attributes, and what follows a Han text; kana count where they are among the first 500 units, hidden or not.
+PAGE_TAGS = ["", ' lang=""', ' lang=" "', ' lang="zh-Hant"', ' lang="en"']
+TAILS = ["", "<p>\u304b\u306a</p>", "<p hidden>" + "x" * 600 + "</p><p>\u304b\u306a</p>", "<p hidden>\u304b\u306a</p>"]
+
+
+def sample_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a page counts as Chinese by its tag, or without one by a sample of its text."""
+    tail = F.element_at(F.array(*map(F.lit, TAILS)), (F.floor(F.col("page_id") / len(PAGE_TAGS)) % len(TAILS) + 1).cast("int"))
+    found = extract.segments(made_pages(spark, sf_dir, "<html", turn_of(PAGE_TAGS), "><body><p>\u7b80\u4f53 ", F.col("page_id").cast("string"), "</p>", tail, "</body></html>"))
+    return found.select("page_id", "order", "source", "state", "skip_reason", "page_is_target")
+
+
 def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages with one word spelled anew, as a later version of them."""
     return pages(spark, sf_dir).withColumn("html", F.regexp_replace("html", " the ", " THE "))
@@ -389,6 +468,6 @@ QUERIES = {
     for f in (
         segments, segment_table, page_counters, corpus_counters, skip_reasons, counter_diff, counter_variants, counter_check, protected_spans, insert_modes, normalize_text, worth_gate, gate_urls, page_lang_gate, dispatch_plan, eager_segments, lazy_tiers,
         admitted_blocks, resorted, parse_requests, responses, pair_precheck, engine_status, distinct_work, apply_responses, bilingual_pairs, bridge_messages, unmatched_responses, engine_translate, render_pages, page_table, recollect, incremental_segments, stream_changes,
-        drift_guard, timeout_streaks, installed_pairs, circuit_windows, pair_status, timing_summary, timing_gate, languages, text_input_status, node_audit, stream_segments, stream_circuit,
+        drift_guard, timeout_streaks, installed_pairs, circuit_windows, pair_status, timing_summary, timing_gate, languages, text_input_status, node_audit, stream_segments, stream_circuit, replaced_pages, opaque_rules, flattened_blocks, hint_regions, sample_gate,
     )
 }
