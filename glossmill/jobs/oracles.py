@@ -135,10 +135,13 @@ def beside(html: str, first: str = "html") -> str:
 
 
 EDITED = beside("replace(html, ' the ', ' THE ')")
+THIRD = beside("replace(html, ' the ', ' Thee ')", "replace(html, ' the ', ' THE ')")
 #: Where texts lie beside elements is marked, for blocks that hold more than text.
 MARKED = beside("replace(replace(html, ' the ', ' THE '), '<b>', chr(4))", "replace(html, '<b>', chr(4))")
 LONGER = beside("CASE WHEN page_id % 2 = 0 THEN replace(html, ' the ', ' those ') ELSE html END")
 OCC = "row_number() OVER (PARTITION BY page_id, source ORDER BY ord) AS occ"
+NEW_ROWS = f"""o AS (SELECT page_id, source, {OCC} FROM seg), w AS (SELECT page_id, ord, source, {OCC} FROM new_seg)
+  SELECT page_id, ord AS "order", source FROM w ANTI JOIN o USING (page_id, source, occ)"""
 #: Pieces between marks of a source, outside and inside by turns; spans in their lengths.
 SPANS = "WITH " + pages_as("regexp_replace(html, ' (the|der|la) ', ' ' || chr(2) || '\\1' || chr(3) || '  ', 'g')") + """, m AS (SELECT page_id, ord, string_split_regex(source, '[\\x02\\x03]') AS p FROM seg WHERE contains(source, chr(2)))"""
 PATH = "'Read ' || substr(url, 9, (5 + page_id % 20)::INT)"
@@ -236,6 +239,8 @@ SQL = {
       SELECT page_id, ord AS "order", source FROM w ANTI JOIN o USING (page_id, source, occ)""",
     "stream_changes": EDITED + f""", o AS (SELECT page_id, source, {OCC} FROM seg), w AS (SELECT page_id, ord, source, {OCC} FROM new_seg)
       SELECT page_id, ord AS "order", source FROM w ANTI JOIN o USING (page_id, source, occ)""",
+    "stream_versions": f"""SELECT page_id, "order", source, 1 AS version FROM ({SEG} SELECT page_id, ord AS "order", source FROM seg)
+      UNION ALL SELECT *, 2 FROM ({EDITED}, {NEW_ROWS}) UNION ALL SELECT *, 3 FROM ({THIRD}, {NEW_ROWS})""",
     "drift_guard": MARKED + """ SELECT page_id, seg.source <> new_seg.source AS drifted, count(*) AS n FROM seg JOIN new_seg USING (page_id, ord) WHERE seg.k > 0 AND NOT contains(seg.source, chr(4)) GROUP BY ALL""",
     "timeout_streaks": ATTEMPTS + """, g AS (SELECT *, sum((outcome <> 'timeout')::INT) OVER (PARTITION BY pair, entry ORDER BY ts, id) AS g FROM log WHERE outcome <> 'cancelled')
       SELECT pair, entry, id, sum((outcome = 'timeout')::INT) OVER (PARTITION BY pair, entry, g ORDER BY ts, id)::BIGINT AS streak FROM g""",

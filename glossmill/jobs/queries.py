@@ -11,6 +11,7 @@ from glossmill.operators import dispatch, extract, metrics, render, translate
 from glossmill.sources.pages import pages, table, text_inputs
 from glossmill.sources.stored import dropped_later, fresh_folder, spread, write_bucketed, written
 from glossmill.streaming import streams
+from glossmill.streaming.known import KnownSegments, kept_up
 
 # Fixed small dimension tables, given in the queries and their oracles alike.
 TAGS = ["zh-Hant", "zh_TW", "zh-HK", "zh-Hans", "zh-CN", "zh-SG", "zh", "zh-XX", "zh-Latn-TW", "zh-x-tw", "ja", "en-US", "yue-HK", "", "fr"]
@@ -367,6 +368,19 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("page_id long, order int, source string").parquet(f"{done}/*")
 
 
+def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of every page, one after another, as one stream that keeps up the table of what is known: what each brings anew."""
+    folder = fresh_folder(spark, "versions")
+    known = KnownSegments(spark, f"{folder}/known", buckets=16)
+    for version, word in enumerate(("the", "THE", "Thee"), 1):
+        spelled = F.replace("html", F.lit(" the "), F.lit(f" {word} "))
+        pages(spark, sf_dir).select("page_id", "url", spelled.alias("html")).write.mode("append").parquet(f"{folder}/pages")
+        done = f"{folder}/new/version={version}"
+        query = kept_up(streams.table_stream(spark, f"{folder}/pages", streams.PAGES), known, lambda df, n, done=done: df.select("page_id", "order", "source").write.mode("overwrite").parquet(f"{done}/{n}"), f"{folder}/checkpoint")
+        query.awaitTermination()
+    return spark.read.schema("page_id long, order int, source string, version int").option("basePath", f"{folder}/new").parquet(f"{folder}/new/*/*")
+
+
 def drift_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of text alone whose text has changed, or that hold other elements by now, in the edited pages."""
     old = segments_of(spark, sf_dir).filter("only_text")
@@ -468,6 +482,6 @@ QUERIES = {
     for f in (
         segments, segment_table, page_counters, corpus_counters, skip_reasons, counter_diff, counter_variants, counter_check, protected_spans, insert_modes, normalize_text, worth_gate, gate_urls, page_lang_gate, dispatch_plan, eager_segments, lazy_tiers,
         admitted_blocks, resorted, parse_requests, responses, pair_precheck, engine_status, distinct_work, apply_responses, bilingual_pairs, bridge_messages, unmatched_responses, engine_translate, render_pages, page_table, recollect, incremental_segments, stream_changes,
-        drift_guard, timeout_streaks, installed_pairs, circuit_windows, pair_status, timing_summary, timing_gate, languages, text_input_status, node_audit, stream_segments, stream_circuit, replaced_pages, opaque_rules, flattened_blocks, hint_regions, sample_gate,
+        drift_guard, timeout_streaks, installed_pairs, circuit_windows, pair_status, timing_summary, timing_gate, languages, text_input_status, node_audit, stream_segments, stream_circuit, replaced_pages, opaque_rules, flattened_blocks, hint_regions, sample_gate, stream_versions,
     )
 }
