@@ -227,6 +227,10 @@ SQL = {
     "bilingual_pairs": ANSWERED + """ SELECT page_id, ord AS "order", source, tx AS text, 'after-segment' AS insert_mode FROM b WHERE st = 'drafted' AND tx <> ''""",
     "engine_translate": SEG + f""" SELECT page_lang AS "from", 'zh-Hant' AS "to", source, CASE WHEN page_lang <> 'de' THEN 'zh-Hant:' || reverse(source) END AS text, CASE WHEN page_lang = 'de' THEN 'no model' END AS error
       {OPEN} GROUP BY ALL""",
+    "engine_attempts": SEG + f""", w AS (SELECT DISTINCT page_lang, source {OPEN}),
+      x AS (SELECT *, CASE WHEN page_lang = 'de' THEN 'error' WHEN source[1] BETWEEN '0' AND '9' THEN 'cancelled' WHEN length(source) >= 100 THEN 'timeout' ELSE 'success' END AS outcome FROM w)
+      SELECT page_lang || ' to zh-Hant' AS pair, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'timeout') AS timeout, count(*) FILTER (outcome = 'cancelled') AS cancelled, count(*) FILTER (outcome = 'error') AS error,
+        sum(length(source) + 8) FILTER (outcome = 'success')::BIGINT AS units, count(*)::INT AS attempts FROM x GROUP BY ALL""",
     "render_pages": RENDERED,
     "page_table": RENDERED,
     "replaced_pages": REPLACED,

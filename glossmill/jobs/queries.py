@@ -212,6 +212,26 @@ def engine_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translate.by_engine(translate.distinct_work(translate.requests_of(segments_of(spark, sf_dir))), engine)
 
 
+def engine_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an engine did with the distinct texts, by language pair, and what the job on logs makes of its attempts.
+
+    The engine has no model for one language; it runs out of time on texts of 100 characters and more, and is told to stop at digits.
+    """
+
+    def engine(a: str, b: str):
+        def run(texts: list[str]) -> list:
+            if a == "de":
+                raise ValueError("no model")
+            stopped = lambda t: translate.Cancelled("stopped") if t[:1].isdigit() else None
+            return [stopped(t) or (TimeoutError("too slow") if len(t) >= 100 else f"{b}:{t}") for t in texts]
+
+        return run
+
+    answers, log = translate.translated(translate.distinct_work(translate.requests_of(segments_of(spark, sf_dir))), engine)
+    by_pair = answers.groupBy(F.concat_ws(" to ", "from", "to").alias("pair")).agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("success", "timeout", "cancelled", "error")), F.sum(F.length("text")).alias("units"))
+    return by_pair.join(at.circuit(log).select("pair", "attempts"), "pair")
+
+
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.render(pages(spark, sf_dir), answered(spark, sf_dir))
 
@@ -482,6 +502,6 @@ QUERIES = {
     for f in (
         segments, segment_table, page_counters, corpus_counters, skip_reasons, counter_diff, counter_variants, counter_check, protected_spans, insert_modes, normalize_text, worth_gate, gate_urls, page_lang_gate, dispatch_plan, eager_segments, lazy_tiers,
         admitted_blocks, resorted, parse_requests, responses, pair_precheck, engine_status, distinct_work, apply_responses, bilingual_pairs, bridge_messages, unmatched_responses, engine_translate, render_pages, page_table, recollect, incremental_segments, stream_changes,
-        drift_guard, timeout_streaks, installed_pairs, circuit_windows, pair_status, timing_summary, timing_gate, languages, text_input_status, node_audit, stream_segments, stream_circuit, replaced_pages, opaque_rules, flattened_blocks, hint_regions, sample_gate, stream_versions,
+        drift_guard, timeout_streaks, installed_pairs, circuit_windows, pair_status, timing_summary, timing_gate, languages, text_input_status, node_audit, stream_segments, stream_circuit, replaced_pages, opaque_rules, flattened_blocks, hint_regions, sample_gate, stream_versions, engine_attempts,
     )
 }

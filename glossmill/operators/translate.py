@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.sources.stored import dropped_later, written
+
 # Fixed values of the wire format.
 FROM, TO = "en", "zh-Hant"
 NO_ID, NO_SOURCE, NO_TEXT = "missing id", "missing source", "no-text"
@@ -61,9 +65,85 @@ def distinct_work(requests: DataFrame) -> DataFrame:
     return requests.groupBy("from", "to", "source").agg(F.count("*").alias("wanted"))
 
 
+#: A text with at least 1/HOT_SHARE of all requests is looked up map-side if it has at most HOT_LENGTH characters: a broadcast of 2 MB at most.
+HOT_SHARE, HOT_LENGTH = 512, 1_024
+TEXT_KEY = ["from", "to", "source"]
+
+
+def common_texts(requests: DataFrame) -> DataFrame:
+    """The texts (from, to, source) that many requests have, such as those of navigation and footers: HOT_SHARE of them at most."""
+    least = max(2, requests.count() // HOT_SHARE)
+    short = requests.filter(F.length("source") <= HOT_LENGTH)
+    return short.groupBy(*TEXT_KEY).agg(F.count("*").alias("wanted")).filter(F.col("wanted") >= least).select(*TEXT_KEY)
+
+
 def by_memory(requests: DataFrame, memory: DataFrame) -> DataFrame:
-    """requests with text from a translation memory (from, to, source, text), which has each text once; null where it has none."""
-    return requests.join(memory, ["from", "to", "source"], "left")
+    """requests with text from a translation memory (from, to, source, text), which has each text once; null where it has none.
+
+    Texts that many requests share are looked up without a shuffle, so none of them makes a hot task; the others meet the memory by a
+    64-bit hash, with the texts themselves compared after it. requests are read three times: store them if they are costly to make.
+    """
+    common = dropped_later(written(common_texts(requests), "common-texts"))
+    hot = memory.join(F.broadcast(common), TEXT_KEY, "left_semi")
+    marked = requests.join(F.broadcast(common.withColumn("_hot", F.lit(True))), TEXT_KEY, "left")
+    near = marked.filter("_hot").drop("_hot").join(F.broadcast(hot.select(*TEXT_KEY, "text")), TEXT_KEY, "left")
+    key = F.xxhash64(*TEXT_KEY).alias("_key")
+    far = marked.filter("_hot is null").drop("_hot").select("*", key).join(memory.select(*TEXT_KEY, "text", key), ["_key", *TEXT_KEY], "left").drop("_key")
+    return near.unionByName(far)
+
+
+class Cancelled(Exception):
+    """What an engine raises, or gives for a text, when it was told to stop."""
+
+
+def outcome_of(result: object) -> str:
+    if isinstance(result, TimeoutError):
+        return "timeout"
+    if isinstance(result, Cancelled):
+        return "cancelled"
+    return "error" if isinstance(result, BaseException) else "success"
+
+
+def translated(work: DataFrame, make_engine: Callable[[str, str], Callable[[list[str]], list]], batch: int = 32, salts: int = 64, clock: Callable[[], float] = time.time) -> tuple[DataFrame, DataFrame]:
+    """(answers, attempts) of distinct work (from, to, source) by a pluggable engine, which takes texts in batches.
+
+    An engine gives a text or an exception for each text; what it raises counts for all texts of the call. answers: from, to, source,
+    text, error and outcome; attempts: pair, entry, id, ts and outcome, one per text, as the jobs on logs read them. Few pairs have nearly
+    all work, so it is dealt by pair and a salt of the text, and a task makes one engine for each pair it meets. The engine runs once:
+    both results are read from one written table.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engines: dict[tuple[str, str], Callable[[list[str]], list]] = {}
+        number = TaskContext.get().partitionId() << 33
+
+        def call(a: str, b: str, texts: list[str]) -> list:
+            try:
+                if (a, b) not in engines:
+                    engines[a, b] = make_engine(a, b)
+                results = list(engines[a, b](texts))
+                if len(results) != len(texts):
+                    raise ValueError(f"{len(results)} results for {len(texts)} texts")
+                return results
+            except Exception as e:  # an engine's failure is a result
+                return [e] * len(texts)
+
+        for part in parts:
+            rows = []
+            for (a, b), own in part.groupby(["from", "to"], sort=False, dropna=False):
+                texts = own["source"].tolist()
+                for at in range(0, len(texts), batch):
+                    for source, result in zip(texts[at : at + batch], call(a, b, texts[at : at + batch]), strict=True):
+                        failed = isinstance(result, BaseException)
+                        rows.append((a, b, source, None if failed else result, (str(result) or type(result).__name__) if failed else None, outcome_of(result), number, int(clock() * 1_000_000)))
+                        number += 1
+            yield pd.DataFrame(rows, columns=["from", "to", "source", "text", "error", "outcome", "id", "at"])
+
+    dealt = work.select(*TEXT_KEY).repartition("from", "to", F.pmod(F.xxhash64("source"), F.lit(salts))).sortWithinPartitions("from", "to")
+    done = dealt.mapInPandas(run, "`from` string, `to` string, source string, text string, error string, outcome string, id long, at long")
+    table = dropped_later(written(done, "engine-calls"))
+    attempts = table.select(F.concat_ws(" to ", "from", "to").alias("pair"), F.lit("translate").alias("entry"), "id", F.timestamp_micros("at").alias("ts"), "outcome")
+    return table.drop("id", "at"), attempts
 
 
 def by_engine(work: DataFrame, make_engine: Callable[[str, str], Callable[[str], str]]) -> DataFrame:

@@ -367,3 +367,53 @@ def test_known_table_is_kept_up_exactly_once(spark, tmp_path):
     assert max(r["count"] for r in known.table(schema).select("page_id", "batch").distinct().groupBy("page_id").count().collect()) == 2
     plan = known.table(schema, [1])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1][:60]
+
+
+def test_memory_under_skew(spark):
+    """One text in most requests is looked up without a shuffle; null and long texts, texts that the memory lacks, and further columns."""
+    texts = ["Home"] * 900 + ["x" * 2_000] * 60 + [f"text {k}" for k in range(60)] + [None, "Home"]
+    rows = [(k, "en" if k % 5 else "fr", "de", t) for k, t in enumerate(texts)]
+    wanted = spark.createDataFrame(rows, "n int, `from` string, `to` string, source string")
+    known = [(a, "de", t, f"{a}:{t[:9]}") for a in ("en", "fr") for t in ["Home", "x" * 2_000, *(f"text {k}" for k in range(0, 60, 2))] if (a, t) != ("fr", "Home")]
+    memory = spark.createDataFrame(known, "`from` string, `to` string, source string, text string")
+    book = {k[:3]: k[3] for k in known}
+    found = translate.by_memory(wanted, memory)
+    assert sorted((r.n, r.text) for r in found.collect()) == [(n, book.get((a, b, t))) for n, a, b, t in rows]
+    assert {r.source for r in translate.common_texts(wanted).collect()} == {"Home"}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = translate.by_memory(wanted, memory)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("BroadcastHashJoin") >= 2 and plan.count("SortMergeJoin [_key") == 1
+
+
+def test_engine_calls_are_a_log_of_attempts(spark):
+    """Timeouts, errors and cancelled calls are told apart; a raised failure is that of all texts of the call; logs feed the other jobs."""
+
+    def engine(a, b):
+        if a == "xx":
+            raise ValueError("no model")
+
+        def run(texts):
+            assert len(texts) <= 4
+            if a == "slow":
+                raise TimeoutError
+            if a == "odd":
+                return texts[:-1]
+            return [translate.Cancelled("stop") if t == "stop" else RuntimeError("bad") if t == "bad" else t.upper() for t in texts]
+
+        return run
+
+    rows = [("en", "de", t) for t in ["a", "b", "stop", "bad", "c", "d"]] + [("slow", "de", str(k)) for k in range(9)] + [("xx", "de", "a"), ("odd", "de", "a")]
+    work = spark.createDataFrame(rows, "`from` string, `to` string, source string")
+    answers, log = translate.translated(work, engine, batch=4, salts=3)
+    found = {(r["from"], r.source): (r.text, r.error, r.outcome) for r in answers.collect()}
+    assert len(found) == len(rows)
+    assert found["en", "a"] == ("A", None, "success") and found["en", "stop"] == (None, "stop", "cancelled") and found["en", "bad"] == (None, "bad", "error")
+    assert found["slow", "3"] == (None, "TimeoutError", "timeout") and found["xx", "a"] == (None, "no model", "error") and found["odd", "a"][2] == "error"
+    assert log.count() == log.select("id").distinct().count() == len(rows)
+    assert {r.pair: (r.attempts, r.opened > 0) for r in attempts.circuit(log).collect()} == {"en to de": (6, False), "slow to de": (9, True), "xx to de": (1, False), "odd to de": (1, False)}
+    assert attempts.timeout_streaks(log).filter("pair = 'slow to de'").agg(F.max("streak")).first()[0] == 9
+    assert translate.translated(work.limit(0), engine)[0].count() == 0
