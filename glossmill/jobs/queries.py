@@ -9,7 +9,7 @@ from glossmill.functions import lang, text
 from glossmill.operators import attempts as at
 from glossmill.operators import dispatch, extract, metrics, render, translate
 from glossmill.sources.pages import pages, table, text_inputs
-from glossmill.sources.stored import dropped_later, fresh_folder, spread, write_bucketed, written
+from glossmill.sources.stored import dropped_later, fresh_folder, page_buckets, spread, write_bucketed, written
 from glossmill.streaming import streams
 from glossmill.streaming.known import KnownSegments, kept_up
 
@@ -25,8 +25,8 @@ def segments_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The segments, written once for queries that read them more than once."""
-    return dropped_later(written(segments_of(spark, sf_dir), "segments"))
+    """The segments, written once, in page buckets, for queries that read them more than once or join them by page."""
+    return page_buckets(segments_of(spark, sf_dir), "segments")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,8 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = stored_segments(spark, sf_dir)
     wanted = translate.requests_of(every)
     found = translate.by_memory(wanted, memory(translate.distinct_work(wanted)))
-    return translate.applied(every, found.withColumn("error", F.when(F.length("source") > 400, "too long")))
+    responses = found.select("page_id", "seg_id", "text", F.when(F.length("source") > 400, "too long").alias("error"))
+    return translate.applied(every, page_buckets(responses, "responses"))
 
 
 def distinct_work(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +234,8 @@ def engine_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.render(pages(spark, sf_dir), answered(spark, sf_dir))
+    """Pages, segments and responses are stored in the same buckets, so a page's rows meet without a shuffle."""
+    return render.render(page_buckets(pages(spark, sf_dir), "pages"), answered(spark, sf_dir))
 
 
 def page_contents(rendered_pages: DataFrame) -> DataFrame:

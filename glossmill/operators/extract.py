@@ -37,7 +37,7 @@ def node_tables(pages: DataFrame) -> DataFrame:
                     tables.add(html)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(tables.langs, pa.string()), tables.arrow()], ["page_id", "page_lang", "nodes"])
 
-    return spread(pages.select("page_id", "html")).mapInArrow(run, f"page_id long, page_lang string, nodes array<struct<{NODE}>>")
+    return spread(pages.select("page_id", "html"), "page_id", "html").mapInArrow(run, f"page_id long, page_lang string, nodes array<struct<{NODE}>>")
 
 
 def sample_of(page: Column) -> Column:

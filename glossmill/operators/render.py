@@ -80,7 +80,7 @@ def render(pages: DataFrame, segments: DataFrame) -> DataFrame:
     drafts = shown(segments).groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("order").cast("int").alias("order"), "seg_id", "anchor_path", "insert_mode", "source", "text", F.col("replace_snapshot").alias("snapshot")))).alias("items")
     )
-    joined = spread(pages.select("page_id", "html")).join(drafts, "page_id", "left")
+    joined = spread(pages.select("page_id", "html"), "page_id", "html").join(drafts, "page_id", "left")
 
     def run(batches):
         for batch in batches:

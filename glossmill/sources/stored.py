@@ -50,16 +50,53 @@ def dropped_later(table: DataFrame) -> DataFrame:
     return table
 
 
-def spread(df: DataFrame) -> DataFrame:
+#: Slots into which keys are hashed to deal rows by their bytes; a sum for each comes to the driver.
+SLOTS = 4_096
+
+
+def spread(df: DataFrame, key: str | None = None, content: str | None = None) -> DataFrame:
     """df dealt over all cores where it comes in fewer splits than there are cores; larger tables stay as they are, as do those that come
-    out of a shuffle (an adaptive plan), whose splits are only known as it runs."""
+    out of a shuffle (an adaptive plan), whose splits are only known as it runs, and bucketed ones. With a key and a content column rows
+    are dealt by bytes: see by_bytes()."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming:
         return df
     run = df._jdf.queryExecution()
-    if run.executedPlan().nodeName() == "AdaptiveSparkPlan" or run.toRdd().getNumPartitions() >= cores:
+    if run.executedPlan().nodeName() == "AdaptiveSparkPlan" or run.toRdd().getNumPartitions() >= cores or "bucketed" in run.optimizedPlan().toString():
         return df
-    return df.repartition(cores)
+    return df.repartition(cores) if key is None else by_bytes(df, key, content, cores)
+
+
+def by_bytes(df: DataFrame, key: str, content: str, tasks: int) -> DataFrame:
+    """df dealt over tasks so that each has about as many bytes of the content column: sizes are added up in slots of hashed keys, and the
+    slots' prefix sums cut at equal targets. A row larger than a task's share leaves its task little else."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+    sizes = [0] * SLOTS
+    for number, size in df.groupBy(slot.alias("slot")).agg(F.sum(F.octet_length(content) + 16)).collect():
+        sizes[number] = size or 16
+    share, done, homes = sum(sizes) / tasks, 0, []
+    for size in sizes:
+        homes.append(min(tasks - 1, int((done + size / 2) / share)) if share else 0)
+        done += size
+    home = F.get(F.split(F.lit(",".join(map(str, homes))), ",").cast("array<int>"), slot)
+    return df.repartitionById(tasks, home)
+
+
+def page_buckets(df: DataFrame, name: str, key: str = "page_id", buckets: int | None = None) -> DataFrame:
+    """df as a table bucketed and sorted by the key: joins, windows and aggregates by the key, or by it and more, plan no exchange of it.
+
+    The number of buckets, by default that of shuffle partitions, must be the same for tables that are joined. A shuffle for the write
+    takes the place of one for each later use. Joins by key and more rely on the key alone, which the session must allow.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_folder(spark, name)
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.repartition(buckets, key).write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    found = spark.table(table)
+    found._written_at = path
+    return dropped_later(found)
 
 
 def write_bucketed(rows: DataFrame, path: str, key: str = "page_id", buckets: int = 64) -> DataFrame:

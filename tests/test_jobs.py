@@ -240,6 +240,43 @@ def ended(spark, stream, folder, **kept):
     return streams.once(circuits, folder)
 
 
+def test_pages_are_dealt_by_bytes(spark):
+    """One large page among 10,000 small ones has a task to itself, and the others share the rest evenly."""
+    from glossmill.sources.stored import by_bytes, spread
+
+    rows = spark.range(10_001).select(F.col("id").alias("page_id"), F.expr("if(id = 77, repeat('x', 5000000), repeat('y', 1000))").alias("html"))
+    parts = by_bytes(rows, "page_id", "html", 8).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("bytes"), F.max("page_id").alias("top")).collect()
+    assert sum(p.n for p in parts) == 10_001 and len(parts) >= 6
+    rest = sorted(p.bytes for p in parts)[:-1]
+    assert max(p.bytes for p in parts) < 5_100_000 and rest[-1] < 2_000_000 and rest[1] > 1_000_000
+    assert by_bytes(rows.limit(0), "page_id", "html", 4).count() == 0 and spread(rows.coalesce(1), "page_id", "html").count() == 10_001
+
+
+def test_joins_by_page_need_no_exchange(spark):
+    """What is stored in page buckets meets without a shuffle: responses, an older version, drifted anchors and the pages themselves."""
+    from glossmill.sources.stored import page_buckets
+
+    pages = spark.createDataFrame([(k, f"<p>same same</p><p>words {k}</p><p>same same</p>") for k in range(40)], "page_id long, html string")
+    old, new = (page_buckets(segments(p), "segments") for p in (pages, pages.withColumn("html", F.replace("html", F.lit("words"), F.lit("other")))))
+    answers = page_buckets(old.select("page_id", "seg_id", F.lit("T").alias("text"), F.lit(None).cast("string").alias("error")), "answers")
+    stored = page_buckets(pages, "pages")
+    done = translate.applied(old, answers)
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = {"apply": done.groupBy("page_id", "state").count(), "fresh": render.fresh(new, old), "drift": render.drift(old, new), "render": render.render(stored, done), "unmatched": translate.unmatched(answers, old)}
+        for name, df in made.items():
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "SortMergeJoin" in plan, (name, plan)
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+    assert made["fresh"].count() == 40 and made["drift"].filter("drifted").count() == 40 and made["unmatched"].count() == 0
+    assert made["apply"].filter("state = 'drafted'").agg(F.sum("count")).first()[0] == 120
+    assert made["render"].filter("html like '%gm-translation%'").count() == 40
+
+
 def test_circuit_batch_and_stream_agree(spark, tmp_path):
     found = {r.pair: (r.rejected, r.opened, r.streak) for r in attempts.circuit(log(spark)).collect()}
     assert found == {1: (1, 1, 3), 2: (0, 0, 1), 3: (0, 1, 3), 4: (0, 1, 0), 5: (0, 2, 4), 6: (0, 0, 0)}
