@@ -48,6 +48,8 @@ DOC_PIVOTS, PIVOT_HASHES, PIVOT_SIZE = 1_024, 1 << 20, 1 << 12
 GROUP_HASHES = 3_000_000
 #: Points of a region that one task may hold; pivots of a round for each larger one, and at most about so many per task in the last round.
 REGION_POINTS, PIVOTS, CHUNK = 2_000, 64, 1_024
+#: Bytes of whole regions that a task gathers before it joins them.
+HELD_BYTES = 16 << 20
 #: About so many (pivot, hash) pairs are counted at once.
 PAIRS = 1_000_000
 
@@ -323,6 +325,7 @@ def region_edges(members: DataFrame) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        rows = size = 0
 
         def out(whole: bool) -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks() if held else None
@@ -341,9 +344,12 @@ def region_edges(members: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= 50_000:
-                yield out(False)
+            for at in range(0, batch.num_rows, REGION_POINTS):
+                held.append(part := batch.slice(at, REGION_POINTS))
+                rows, size = rows + part.num_rows, size + part.nbytes
+                if rows >= 50_000 or size >= HELD_BYTES:
+                    yield out(False)
+                    rows, size = sum(b.num_rows for b in held), sum(b.nbytes for b in held)
         yield out(True)
 
     return members.mapInArrow(join, "a long, b long")
