@@ -24,6 +24,8 @@ from glossmill.llm.bpe import DIGITS, LETTERS, MAX_CACHED, ODD, SPECIAL, frequen
 from glossmill.llm.merges import Merger, coded
 from glossmill.llm.shared import dealt_documents, per_batch, utf8
 
+#: Characters of the longest pieces that may be in the table: hashing takes a step per byte of the longest.
+MAX_PIECE = 64
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\\s{LETTERS}{DIGITS}]+|\\s+(?!\\S)|\\s+")
 
 
@@ -83,9 +85,10 @@ class Counter:
         if len(self.cache) > MAX_CACHED:
             self.cache.clear()
         new = list(wanted.difference(self.cache))
-        known = self.table.find(new) if self.table else [0] * len(new)
-        self.cache.update((p, n) for p, n in zip(new, known, strict=True) if n)
-        rest = [p for p, n in zip(new, known, strict=True) if not n]
+        short, rest = [p for p in new if len(p) <= MAX_PIECE], [p for p in new if len(p) > MAX_PIECE]
+        known = self.table.find(short) if self.table else [0] * len(short)
+        self.cache.update((p, n) for p, n in zip(short, known, strict=True) if n)
+        rest += [p for p, n in zip(short, known, strict=True) if not n]
         done, _, ends = coded(self.merger, self.tokenizer, rest)
         self.cache.update(zip(done, np.diff(ends, prepend=0).tolist(), strict=True))
         return [len(self.tokenizer.encode(t, add_special_tokens=False).ids) if p is None else sum(map(self.cache.__getitem__, p)) for t, p in zip(texts, split, strict=True)]
