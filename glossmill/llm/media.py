@@ -154,7 +154,7 @@ def media_columns(df: DataFrame, media: str = "media", side: int = 16) -> DataFr
             try:
                 image = decode(data or b"")
                 row = [*image.samples.shape[:2], npy_tile(image, side), difference_hash(image)]
-            except (ValueError, IndexError):
+            except (ValueError, IndexError, OverflowError):
                 row = [None] * 4
             for column, value in zip(out, row, strict=True):
                 column.append(value)
