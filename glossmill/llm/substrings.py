@@ -122,51 +122,77 @@ def occurrences(hashes: np.ndarray, check: np.ndarray, doc: np.ndarray, tie: np.
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], SCHEMA.replace(" long", "").replace(" int", "").split(", "))
 
 
-def settled(rows: DataFrame, spare_first: bool) -> DataFrame:
-    """(doc, tie, pos) of the occurrences of repeated windows, without each window's first one where spare_first."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+def picker(spare_first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows in the order of windows: (doc, tie, pos) of those of repeated windows, or of all but each window's first one.
 
-        def groups(part: pa.Table, rows: np.ndarray) -> np.ndarray:
-            """Where, among some rows, those of another window begin."""
-            key, check = (part.column(c).to_numpy()[rows] for c in ("key", "check"))
-            return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])) if len(rows) else np.zeros(0, np.int64)
+    Of the window that may go on in the next batch a single live row is carried over, however often the window occurs.
+    """
 
-        def out(part: pa.Table) -> pa.RecordBatch:
-            state = part.column("state").to_numpy()
-            live = np.flatnonzero(state != SETTLED)
-            starts = groups(part, live)
+    def groups(part: pa.Table, rows: np.ndarray) -> np.ndarray:
+        """Where, among some rows, those of another window begin."""
+        key, check = (part.column(c).to_numpy()[rows] for c in ("key", "check"))
+        return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])) if len(rows) else np.zeros(0, np.int64)
+
+    def places(part: pa.Table, keep: np.ndarray) -> pa.RecordBatch:
+        rows = np.flatnonzero(keep)
+        return pa.RecordBatch.from_arrays([pa.array(part.column(c).to_numpy()[rows]) for c in ("doc", "tie", "pos")], ["doc", "tie", "pos"])
+
+    def later(part: pa.Table) -> np.ndarray:
+        """All but each window's first occurrence; rows equal to it, of the same document, stay with it."""
+        state = part.column("state").to_numpy()
+        live = np.flatnonzero(state != SETTLED)
+        starts = groups(part, live)
+        keep = np.ones(len(state), bool)
+        if len(live):
+            place = [part.column(c).to_numpy()[live] for c in ("doc", "tie", "pos")]
+            keep[live] = np.logical_or.reduce([p != np.repeat(p[starts], np.diff(starts, append=len(live))) for p in place])
+        return keep
+
+    def again(part: pa.Table, known: bool) -> np.ndarray:
+        """Occurrences of windows that are repeated in part, or stand for such; known: the first row's window is."""
+        state = part.column("state").to_numpy()
+        keep = state == SETTLED
+        live = np.flatnonzero(~keep)
+        if len(live):
+            starts, stands = groups(part, live), state[live] == STANDS
+            stands[0] |= known
             sizes = np.diff(starts, append=len(live))
-            keep = state == SETTLED
-            if spare_first:
-                keep[live] = True
-                if len(live):  # the first occurrence stays, as do equal rows of the same document
-                    place = [part.column(c).to_numpy()[live] for c in ("doc", "tie", "pos")]
-                    keep[live] = np.logical_or.reduce([p != np.repeat(p[starts], sizes) for p in place])
-            elif len(live):
-                keep[live] = np.repeat((sizes > 1) | np.logical_or.reduceat(state[live] == STANDS, starts), sizes)
-            rows = np.flatnonzero(keep)
-            return pa.RecordBatch.from_arrays([pa.array(part.column(c).to_numpy()[rows]) for c in ("doc", "tie", "pos")], ["doc", "tie", "pos"])
+            keep[live] = np.repeat((sizes > 1) | np.logical_or.reduceat(stands, starts), sizes)
+        return keep
 
+    def pick_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
             if held.num_rows:
-                last = int(groups(held, np.arange(held.num_rows))[-1])
-                if spare_first:  # of the window that may go on, only its first live row is still needed
-                    tail = held.slice(last)
-                    yield out(held)
-                    live = np.flatnonzero(tail.column("state").to_numpy() != SETTLED)
-                    held = tail.slice(int(live[0]), 1) if live.size else None
-                else:
-                    yield out(held.slice(0, last))
-                    held = held.slice(last)
-        if held is not None and not spare_first:
-            yield out(held)
+                tail = held.slice(int(groups(held, np.arange(held.num_rows))[-1]))
+                yield places(held, later(held))
+                live = np.flatnonzero(tail.column("state").to_numpy() != SETTLED)
+                held = tail.slice(int(live[0]), 1) if live.size else None
+
+    def pick_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, known = None, False
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            if carried is not None:
+                part = pa.concat_tables([carried, part]).combine_chunks()
+            keep = again(part, known)
+            live = np.flatnonzero(part.column("state").to_numpy() != SETTLED)
+            done = known and carried is not None  # the first row has been given out
+            if live.size:
+                carried, known = part.slice(int(live[-1]), 1), bool(keep[live[-1]])
+            if done:
+                keep[0] = False
+            yield places(part, keep)
+
+    return pick_later if spare_first else pick_again
 
+
+def settled(rows: DataFrame, spare_first: bool) -> DataFrame:
+    """(doc, tie, pos) of the occurrences of repeated windows, without each window's first one where spare_first."""
     order = ["key", "check", "doc", "tie", "pos"] if spare_first else ["key", "check"]
-    return rows.repartition("key").sortWithinPartitions(*order).mapInArrow(pick, "doc long, tie long, pos int")
+    return rows.repartition("key").sortWithinPartitions(*order).mapInArrow(picker(spare_first), "doc long, tie long, pos int")
 
 
 def chosen(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -178,10 +204,6 @@ def as_binary(texts: pa.Array) -> list[bytes]:
     return [utf8(t) for t in texts.to_pylist()]
 
 
-def words_fp(words: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, cut): one row for each of docs with doc_id, doc, tie, n_words, whole_sha256 and fate, and what is left of cut documents.
 
@@ -192,14 +214,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = as_binary(batch.column("text"))
-        words, counts = word_hashes(raw)
-        stops = np.cumsum(counts).tolist()
-        fp = [words_fp(words[b - n : b]) for n, b in zip(counts.tolist(), stops, strict=True)]
-        sha = [hashlib.sha256(b" ".join(r.split())).hexdigest() for r in raw]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "doc", "tie")), pa.array(counts), pa.array(fp, pa.int64()), pa.array(sha)], ["doc_id", "doc", "tie", "n_words", "fp", "whole_sha256"])
+        words = [r.split() for r in raw]
+        sha = [hashlib.sha256(b" ".join(w)) for w in words]
+        made = [pa.array(map(len, words), pa.int64()), pa.array([x.digest()[:16] for x in sha], pa.binary()), pa.array([x.hexdigest() for x in sha])]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "doc", "tie")), *made], ["doc_id", "doc", "tie", "n_words", "fp", "whole_sha256"])
 
     kind = plain.schema["doc_id"].dataType.simpleString()
-    rows = written(per_batch(plain, describe, f"doc_id {kind}, doc long, tie long, n_words long, fp long, whole_sha256 string"), "substrings-rows")
+    rows = written(per_batch(plain, describe, f"doc_id {kind}, doc long, tie long, n_words long, fp binary, whole_sha256 string"), "substrings-rows")
     copies = rows.groupBy("fp").agg(F.min(F.struct("doc", "tie")).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     marked = attach(rows, copies, "fp", "copies", rows.count())
     later = F.col("first").isNotNull() & ((F.col("first.doc") != F.col("doc")) | (F.col("first.tie") != F.col("tie")))
