@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossmill.functions import lang, text
+from glossmill.functions.kept import kept
 from glossmill.functions.lang import let
 from glossmill.operators import nodes
 from glossmill.operators.html_tree import NODE, Nodes
@@ -87,22 +88,34 @@ def segment(run: Column, order: Column, nfc: Column, page_is_target: Column, tar
     return let(text.utf16_length(run["source"]), lambda units: let(gated, lambda reason: of(units, reason)))
 
 
+@kept
+def gate_column(target: str) -> Column:
+    sample = F.when(F.coalesce("page_lang", F.lit("")) == "", sample_of(F.col("nodes"))).otherwise("")
+    return lang.page_is_target(F.col("page_lang"), sample, F.lit(target))
+
+
+@kept
+def composed_column() -> Column:
+    return composed(F.when(F.exists("runs", lambda r: r["source"].rlike(MAY_COMPOSE)), F.transform("runs", lambda r: r["source"])))
+
+
+@kept
+def segment_column(target: str, walk_id: int) -> Column:
+    return F.transform("runs", lambda r, i: segment(r, i, F.col("nfc"), F.col("page_is_target"), F.lit(target), walk_id))
+
+
 def segments(pages: DataFrame, target: str = lang.DEFAULT_TARGET, walk_id: int = 1, display_of: nodes.DisplayOf = nodes.display_by_tag) -> DataFrame:
     """One row per segment of each page (page_id, html), in document order.
 
     display_of(tag, attributes) resolves styles. anchor_path and ref_path number nodes in document order, own marks passed over.
     """
-    wanted = F.lit(target)
-    sample = F.when(F.coalesce("page_lang", F.lit("")) == "", sample_of(F.col("nodes"))).otherwise("")
-    page = nodes.runs(nodes.labelled(node_tables(pages), wanted, display_of)).withColumn("page_is_target", lang.page_is_target(F.col("page_lang"), sample, wanted)).select("page_id", "page_lang", "page_is_target", "runs")
-    sources = F.transform("runs", lambda r: r["source"])
-    page = page.withColumn("nfc", composed(F.when(F.exists("runs", lambda r: r["source"].rlike(MAY_COMPOSE)), sources)))
-    made = F.transform("runs", lambda r, i: segment(r, i, F.col("nfc"), F.col("page_is_target"), wanted, walk_id))
-    rows = page.select("page_id", "page_lang", "page_is_target", F.explode(made).alias("s"))
+    page = nodes.runs(nodes.labelled(node_tables(pages), target, display_of)).withColumn("page_is_target", gate_column(target)).select("page_id", "page_lang", "page_is_target", "runs")
+    page = page.withColumn("nfc", composed_column())
+    rows = page.select("page_id", "page_lang", "page_is_target", F.explode(segment_column(target, walk_id)).alias("s"))
     return rows.select("page_id", "s.*", "page_lang", "page_is_target")
 
 
 def node_audit(pages: DataFrame, target: str = lang.DEFAULT_TARGET, display_of: nodes.DisplayOf = nodes.display_by_tag) -> DataFrame:
     """Number of nodes by tag, disposition and the rule that decided it, over all pages."""
-    met = nodes.audit(nodes.labelled(node_tables(pages), F.lit(target), display_of))
+    met = nodes.audit(nodes.labelled(node_tables(pages), target, display_of))
     return met.groupBy("tag", "disposition", "rule").agg(F.count("*").alias("n"))

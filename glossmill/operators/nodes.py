@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.functions import lang, text
+from glossmill.functions.kept import kept
 from glossmill.functions.lang import let
 from glossmill.functions.text import BLANK
 from glossmill.operators.html_tree import INLINE_TAGS, MARK_CLASS, MARK_ID, SOURCE_ATTR
@@ -205,14 +206,18 @@ def from_above(own: Column, above: Column) -> Column:
     return F.struct(F.coalesce(above["top"], own["top"]).alias("top"), (own["gone"] | above["gone"]).alias("gone"), *nearest)
 
 
-def labelled(pages: DataFrame, target: Column, display_of: DisplayOf = display_by_tag) -> DataFrame:
-    """pages (with nodes) and the columns of Page."""
-    page = this_page()
+def with_steps(rows: DataFrame, steps: list[dict[str, Column]]) -> DataFrame:
+    for step in steps:
+        rows = rows.withColumns(step)
+    return rows
+
+
+@kept
+def label_steps(target: str, display_of: DisplayOf) -> list[dict[str, Column]]:
+    """The columns of Page, in the order in which they are made."""
+    page, wanted = this_page(), F.lit(target)
     size = F.size("nodes")
     numbers = lambda other: F.transform("facts", lambda x, i: F.when(x["filled"], i).otherwise(other))
-    rows = pages.withColumn("facts", F.transform("nodes", lambda n: facts_of(n, display_of)))
-    rows = rows.withColumns({"after": F.reverse(running(F.reverse(numbers(NEVER)), size, F.least)), "before": running(numbers(-1), size, F.greatest)})
-    rows = rows.withColumn("labels", F.transform("facts", lambda _, i: label_of(page, i, target)))
 
     def start(x: Column, i: Column) -> Column:
         own = F.get("labels", i)
@@ -220,7 +225,17 @@ def labelled(pages: DataFrame, target: Column, display_of: DisplayOf = display_b
         gone = (own["disposition"] == "SKIP_SUBTREE") & (own["rule"] != "already-target")
         return F.struct(top.alias("top"), gone.alias("gone"), x["lang"].alias("lang"), x["landmark"].alias("landmark"), x["hint"].alias("hint"))
 
-    return rows.withColumn("above", climbed(F.transform("facts", start), parents(), depth(), from_above))
+    return [
+        {"facts": F.transform("nodes", lambda n: facts_of(n, display_of))},
+        {"after": F.reverse(running(F.reverse(numbers(NEVER)), size, F.least)), "before": running(numbers(-1), size, F.greatest)},
+        {"labels": F.transform("facts", lambda _, i: label_of(page, i, wanted))},
+        {"above": climbed(F.transform("facts", start), parents(), depth(), from_above)},
+    ]
+
+
+def labelled(pages: DataFrame, target: str, display_of: DisplayOf = display_by_tag) -> DataFrame:
+    """pages (with nodes) and the columns of Page."""
+    return with_steps(pages, label_steps(target, display_of))
 
 
 def this_page() -> Page:
@@ -235,17 +250,22 @@ def depth() -> Column:
     return F.array_max(F.transform("nodes", lambda n: n["depth"]))
 
 
-def audit(labelled_pages: DataFrame) -> DataFrame:
-    """(tag, disposition, rule) of every node that a walk from the body meets."""
+@kept
+def met_nodes() -> Column:
     page = this_page()
     own = lambda x, i: F.struct(page.node(i, "tag").alias("tag"), x["disposition"].alias("disposition"), x["rule"].alias("rule"))
     reached = lambda i: (i > 0) & F.get(page.above, page.node(i, "parent"))["top"].isNull()
-    met = F.filter(F.transform(page.labels, lambda x, i: F.when(reached(i), own(x, i))), lambda x: x.isNotNull())
-    return labelled_pages.select(F.explode(met).alias("x")).select("x.*")
+    return F.filter(F.transform(page.labels, lambda x, i: F.when(reached(i), own(x, i))), lambda x: x.isNotNull())
 
 
-def runs(labelled_pages: DataFrame) -> DataFrame:
-    """labelled_pages with runs: array of RUN, in document order; runs without visible text are left out."""
+def audit(labelled_pages: DataFrame) -> DataFrame:
+    """(tag, disposition, rule) of every node that a walk from the body meets."""
+    return labelled_pages.select(F.explode(met_nodes()).alias("x")).select("x.*")
+
+
+@kept
+def run_steps() -> list[dict[str, Column]]:
+    """Runs and what they are made from, in the order in which they are made."""
     page = this_page()
     size = F.size("nodes")
     walked = lambda x, i: (i > 0) & x["element"] & F.get(page.above, i)["top"].isNull()
@@ -260,16 +280,23 @@ def runs(labelled_pages: DataFrame) -> DataFrame:
         transparent = (display(page, i) == "contents") & ~x["forced"]
         return F.when(walked(x, i) & (page.node(i, "tag") != "br") & (own | below) & ~transparent, i)
 
-    rows = labelled_pages.withColumn("blocks", total(F.transform("facts", shallow), size))
-    rows = rows.withColumn("frames", F.transform("facts", frame))
     begun = total(F.transform("frames", lambda x: F.when(x.isNull(), 0).otherwise(1)), size)
     links = total(F.transform("nodes", lambda n, i: F.when(n["tag"] == "a", page.trimmed_units(i)).otherwise(0)), size)
-    rows = rows.withColumns({"owners": climbed(F.col("frames"), parents(), depth(), F.coalesce), "begun": begun, "links": links})
-    rows = rows.withColumn("pieces", pieces(page))
     differs = lambda x, k: (F.get("pieces", k - 1)["owner"] != x["owner"]) | (F.get("pieces", k - 1)["begun"] != x["begun"])
-    rows = rows.withColumn("first", F.filter(F.transform("pieces", lambda x, k: F.when((k == 0) | differs(x, k), k)), lambda k: k.isNotNull()))
     cut = F.transform("first", lambda at, r: F.slice("pieces", at + 1, F.coalesce(F.get("first", r + 1), F.size("pieces")) - at))
-    return rows.withColumn("runs", F.filter(F.transform(cut, lambda run: described(page, run)), lambda r: r["source"] != ""))
+    return [
+        {"blocks": total(F.transform("facts", shallow), size)},
+        {"frames": F.transform("facts", frame)},
+        {"owners": climbed(F.col("frames"), parents(), depth(), F.coalesce), "begun": begun, "links": links},
+        {"pieces": pieces(page)},
+        {"first": F.filter(F.transform("pieces", lambda x, k: F.when((k == 0) | differs(x, k), k)), lambda k: k.isNotNull())},
+        {"runs": F.filter(F.transform(cut, lambda run: described(page, run)), lambda r: r["source"] != "")},
+    ]
+
+
+def runs(labelled_pages: DataFrame) -> DataFrame:
+    """labelled_pages with runs: array of RUN, in document order; runs without visible text are left out."""
+    return with_steps(labelled_pages, run_steps())
 
 
 def pieces(page: Page) -> Column:
