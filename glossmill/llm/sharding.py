@@ -49,5 +49,22 @@ def op1_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+SQL1 = """
+with recursive bits as (
+  select 0 as k, i as byte, i as c from range(256) r(i)
+  union all
+  select k + 1, byte, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+crcs as (select list(c order by byte) as t from bits where k = 8),
+raw as (select doc_id, strlen(coalesce(text, '')) as n, hex(encode(coalesce(text, ''))) as h from documents),
+sized as (
+  select doc_id, n + 16 as size,
+    xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(h, '..'), lambda x: cast('0x' || x as bigint))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) as text_crc32
+  from raw, crcs),
+placed as (select *, sum(size) over (order by doc_id nulls first, text_crc32, size rows unbounded preceding) as upto, sum(size) over () as total from sized),
+sharded as (select *, cast(least(floor((upto - size / 2) * 40 / total), 39) as int) as shard from placed)
+select doc_id, size, text_crc32, 'bytes' as law, shard, cast(row_number() over (partition by shard order by doc_id nulls first, text_crc32, size) - 1 as bigint) as slot, cast(null as int) as grown_shard
+from sharded
+"""
+
 QUERIES = {"op1_byte_shards": op1_byte_shards}
-SQL: dict[str, str] = {}
+SQL = {"op1_byte_shards": SQL1}
