@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,10 +16,10 @@ GATE = [
     ("\x85", "whitespace"), ("字", None), ("/usr/lib", "path"), ("my_file.js", "filename"), ("a.js", "url"), ("example.com", "url"), ("a", "min-length"), ("é", "min-length"), ("v1.2.3", "min-length"),
     ("©", "emoji"), ("ok", None), ("x.7z", "filename"), ("", "whitespace"), ("a b.js", None),
 ]
-VARIANTS = {
-    "hant": ["zh-Hant", "ZH-HANT-TW", "zh_TW", "zh-Hant-CN", "zh-TW", "zh-HK", "zh-MO"], "hans": ["zh-Hans", "  zh-hans  ", "zh-Hans-MO", "zh-cmn-Hans-CN", "zh-hk-hans", "zh-CN", "zh-SG", "zh-MY"],
-    "zh": ["zh"], "unknown": ["zh-CHS", "zh-CHT", "zh-XX", "zh-Latn", "zh-Latn-TW", "zh-Hani", "zh-x-private", "zh-hansx", "zh-"], None: ["ja", "en-US", "yue-HK", "zhx", None, "", " "],
-}
+#: Parts of language tags; every combination is judged by the rule in test_variants.
+LANGUAGES, SCRIPTS, REGIONS, ENDS = ["zh", "Zh", "nan", "de", "zhuang"], ["", "hANT", "Hans", "Bopo"], ["", "mo", "My", "GB"], ["", "pinyin", "u-hant", "t-my"]
+#: Blanks of several kinds, and what a run of them comes to.
+RUNS = {"\t\t": " ", "\u2003\r": " ", "\u00a0 \u3000": " ", "\ufeff": " ", "\n": "\n", "\u2009\n\t\n": "\n", "\r\n": "\n", " \x0b\n\u1680": "\n"}
 
 
 def test_gate(spark):
@@ -32,7 +34,15 @@ def test_gate_on_pages_in_the_target(spark):
 
 
 def test_variants(spark):
-    rows = [(t, v) for v, tags in VARIANTS.items() for t in tags]
+    """A script decides, then a region that is known; what follows a one-letter subtag doesn't count; spaces and case never do."""
+    rows = []
+    for k, (language, script, region, end) in enumerate(itertools.product(LANGUAGES, SCRIPTS, REGIONS, ENDS)):
+        parts = [p for p in (script, region, end) if p]
+        tag = "-_"[k % 2].join([language, *parts])
+        by_region = {"mo": "hant", "my": "hans"}.get(region.lower(), "unknown")
+        variant = {"hant": "hant", "hans": "hans", "bopo": "unknown"}.get(script.lower(), by_region if parts else "zh")
+        rows.append((f" {tag}\t" if k % 3 else tag, variant if language.lower() == "zh" else None))
+    rows += [(None, None), ("", None), ("\n", None), ("zh-", "unknown")]
     found = spark.createDataFrame(rows, "tag string, expected string").withColumn("found", lang.zh_variant(F.col("tag")))
     assert [r for r in found.collect() if r.expected != r.found] == []
 
@@ -48,9 +58,12 @@ def test_already_target(spark, own, target, expected):
     assert spark.createDataFrame([(own, target)], "a string, b string").select(lang.already_target(F.col("a"), F.col("b"))).first()[0] is expected
 
 
-@pytest.mark.parametrize(("raw", "expected"), [("alpha   fn() beta", "alpha fn() beta"), ("a \n\t b", "a\nb"), ("a \t b", "a b"), ("a\n\n\nb", "a\nb"), ("   ", ""), ("a  b", "a b"), ("　x﻿", "x")])
-def test_normalized(spark, raw, expected):
-    assert spark.createDataFrame([(raw,)], "t string").select(text.normalized(F.col("t"))).first()[0] == expected
+def test_normalized(spark):
+    """Runs between words, at the ends, next to each other, and alone."""
+    pairs = list(itertools.product(RUNS, RUNS))
+    rows = [(f"{a}fir{b}elm tree{a}", f"fir{RUNS[b]}elm tree") for a, b in pairs] + [(f"fir{a}{b}elm", f"fir{max(RUNS[a], RUNS[b], key='\n'.__eq__)}elm") for a, b in pairs] + [(a + b, "") for a, b in pairs] + [("fir elm", "fir elm"), ("", ""), (None, None)]
+    found = spark.createDataFrame(rows, "raw string, expected string").withColumn("found", text.normalized(F.col("raw")))
+    assert [r for r in found.collect() if r.expected != r.found] == []
 
 
 def test_utf16_length(spark):
