@@ -9,7 +9,7 @@ from glossmill.functions import lang, text
 from glossmill.operators import attempts as at
 from glossmill.operators import dispatch, extract, metrics, render, translate
 from glossmill.sources.pages import pages, table, text_inputs
-from glossmill.sources.stored import dropped_later, fresh_folder, page_buckets, spread, write_bucketed, written
+from glossmill.sources.stored import dropped_later, page_buckets, passing_folder, spread, write_bucketed, written
 from glossmill.streaming import streams
 from glossmill.streaming.known import KnownSegments, kept_up
 
@@ -254,12 +254,12 @@ def render_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered pages written in page buckets, and the contents of the table read back."""
-    return page_contents(write_bucketed(rendered(spark, sf_dir), fresh_folder(spark, "bilingual"), buckets=16))
+    return page_contents(write_bucketed(rendered(spark, sf_dir), passing_folder(spark, "bilingual"), buckets=16))
 
 
 def segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments written in page buckets; the table read back, with the golden form's JSON of each."""
-    stored = write_bucketed(segments_of(spark, sf_dir), fresh_folder(spark, "segment-table"), buckets=16)
+    stored = write_bucketed(segments_of(spark, sf_dir), passing_folder(spark, "segment-table"), buckets=16)
     return stored.select("page_id", "order", F.to_json(F.struct("order", "source", "state", F.col("skip_reason").alias("skipReason"))).alias("golden"))
 
 
@@ -382,7 +382,7 @@ def incremental_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over a stream of the edited pages, against a written table of what is known."""
-    known, done = stored_segments(spark, sf_dir), fresh_folder(spark, "changes")
+    known, done = stored_segments(spark, sf_dir), passing_folder(spark, "changes")
     stream = streams.table_stream(spark, f"{sf_dir}/pages.parquet*", streams.PAGES)
     new = stream.withColumn("html", F.regexp_replace("html", " the ", " THE "))
     query = streams.changed_pages(new, lambda: known, lambda df, n: df.select("page_id", "order", "source").write.mode("overwrite").parquet(f"{done}/{n}"), f"{done}-checkpoint")
@@ -392,7 +392,7 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three versions of every page, one after another, as one stream that keeps up the table of what is known: what each brings anew."""
-    folder = fresh_folder(spark, "versions")
+    folder = passing_folder(spark, "versions")
     known = KnownSegments(spark, f"{folder}/known", buckets=16)
     for version, word in enumerate(("the", "THE", "Thee"), 1):
         spelled = F.replace("html", F.lit(" the "), F.lit(f" {word} "))
@@ -486,12 +486,12 @@ def node_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = streams.segment_stream(streams.table_stream(spark, f"{sf_dir}/pages.parquet*", streams.PAGES))
-    return streams.once(stream.select("page_id", "order", "source", "state"), fresh_folder(spark, "stream"))
+    return streams.once(stream.select("page_id", "order", "source", "state"), passing_folder(spark, "stream"))
 
 
 def stream_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream that ends: what the watermark still holds back comes out in a second run."""
-    stream, folder = as_attempts(streams.table_stream(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema)).drop("result"), fresh_folder(spark, "stream")
+    stream, folder = as_attempts(streams.table_stream(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema)).drop("result"), passing_folder(spark, "stream")
     ended = streams.with_end(stream, f"{folder}/end")
     circuits = streams.circuit_stream(ended, threshold=2, seconds=86_400, late="2 days")
     streams.once(circuits, folder)

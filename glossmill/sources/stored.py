@@ -22,6 +22,14 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A folder for a sink that only this session's results read: it goes, with all in it, when the driver's process ends."""
+    above, files = _folder(spark, fresh_folder(spark, name))
+    files.mkdirs(above)
+    files.deleteOnExit(above)
+    return f"{above.toString()}/sink"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, read back. A lost executor costs no earlier stage."""
     path = fresh_folder(df.sparkSession, name)
@@ -62,7 +70,7 @@ def spread(df: DataFrame, key: str | None = None, content: str | None = None) ->
     if df.isStreaming:
         return df
     run = df._jdf.queryExecution()
-    if run.executedPlan().nodeName() == "AdaptiveSparkPlan" or run.toRdd().getNumPartitions() >= cores or "bucketed" in run.optimizedPlan().toString():
+    if run.executedPlan().nodeName() == "AdaptiveSparkPlan" or run.toRdd().getNumPartitions() >= cores or "Bucketed: " in run.executedPlan().toString():
         return df
     return df.repartition(cores) if key is None else by_bytes(df, key, content, cores)
 

@@ -254,12 +254,13 @@ def test_pages_are_dealt_by_bytes(spark):
 
 def test_joins_by_page_need_no_exchange(spark):
     """What is stored in page buckets meets without a shuffle: responses, an older version, drifted anchors and the pages themselves."""
-    from glossmill.sources.stored import page_buckets
+    from glossmill.sources.stored import page_buckets, spread
 
     pages = spark.createDataFrame([(k, f"<p>same same</p><p>words {k}</p><p>same same</p>") for k in range(40)], "page_id long, html string")
     old, new = (page_buckets(segments(p), "segments") for p in (pages, pages.withColumn("html", F.replace("html", F.lit("words"), F.lit("other")))))
     answers = page_buckets(old.select("page_id", "seg_id", F.lit("T").alias("text"), F.lit(None).cast("string").alias("error")), "answers")
     stored = page_buckets(pages, "pages")
+    assert spread(stored.repartition(1).limit(0)).count() == 0 and spread(stored) is stored  # few buckets stay as they are
     done = translate.applied(old, answers)
     keep = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
