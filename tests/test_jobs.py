@@ -394,12 +394,12 @@ def test_known_table_is_kept_up_exactly_once(spark, tmp_path):
         with pytest.raises(OSError, match="down"):
             known.update(batch, n, failing)
         tables = []
-        for _ in range(3):
+        for _ in range(2):
             known.update(batch, n, sink)
             table = spark.read.parquet(known.path)
             schema = schema or table.schema
             tables.append(sorted(map(str, table.collect())))
-        assert got == [sorted(expected[n])] * 3 and tables[0] == tables[1] == tables[2]
+        assert got == [sorted(expected[n])] * 2 and tables[0] == tables[1]
     now = known.before(known.table(schema), 99).filter("seg_id is not null")
     assert sorted((r.page_id, r.source) for r in now.collect()) == [(1, "new words"), (1, "two"), (2, "same here"), (3, "third page")]
     assert max(r["count"] for r in known.table(schema).select("page_id", "batch").distinct().groupBy("page_id").count().collect()) == 2
