@@ -37,21 +37,41 @@ THRESHOLD = 0.3
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(code points of all texts in lower case, each text with a blank before and behind and what isn't a letter or digit turned into
-    blanks, end of each text)."""
-    bare = pc.utf8_lower(pc.replace_substring_regex(pc.fill_null(texts, ""), r"[^\pL\pN]+", " "))
-    parts = [f" {t} " for t in bare.to_pylist()]
-    ends = np.cumsum([len(p) for p in parts])
-    return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), ends
+#: Characters that are worked on at a time; longer texts are cut at blanks, which no n-gram goes across.
+PIECE = 1 << 20
+
+
+def pieces(texts: pa.Array) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts in lower case, with blanks for what isn't a letter or digit and one before and behind, and the texts' numbers, in groups of
+    about PIECE characters; a word is never cut."""
+    group, owner, size = [], [], 0
+    for k, text in enumerate(pc.utf8_lower(pc.replace_substring_regex(pc.fill_null(texts, ""), r"[^\pL\pN]+", " ")).to_pylist()):
+        at = 0
+        while at < len(text) or not at:
+            cut = text.find(" ", at + PIECE) if len(text) - at > PIECE else -1
+            end = len(text) if cut < 0 else cut
+            group.append(f" {text[at:end]} ")
+            owner.append(k)
+            size, at = size + end - at, max(end, 1)
+            if size >= PIECE:
+                yield group, owner
+                group, owner, size = [], [], 0
+    yield group, owner
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of every distinct n-gram of each text, the text's number)."""
-    code, ends = letters(texts)
+    keys = [distinct_keys(*group) for group in pieces(texts)]
+    key = keys[0] if len(keys) == 1 else np.unique(np.concatenate(keys))  # a text may go on in the next group
+    return key % BUCKETS, key // BUCKETS
+
+
+def distinct_keys(group: list[str], owner: list[int]) -> np.ndarray:
+    """number * BUCKETS + bucket of every distinct n-gram of the numbered texts."""
+    code = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     blank = np.concatenate([[0], np.cumsum(code == 32)])
-    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    found, owner, h = [], [], code
+    text = np.repeat(np.array(owner, np.int64), [len(p) for p in group])
+    found, h = [], code
     for n in range(2, max(SIZES) + 1):
         if len(code) < n:
             break
@@ -60,19 +80,16 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             # Words and the blanks around them: no blank inside. Neighbouring texts are told apart by two blanks.
             at = np.flatnonzero(blank[n - 1 : len(code)] == blank[1 : len(code) - n + 2])
             mixed = (h[at] ^ h[at] >> np.uint64(32)) * SPREAD + np.uint64(n)
-            found.append(((mixed ^ mixed >> np.uint64(29)) * SPREAD >> np.uint64(64 - BITS)).astype(np.int64))
-            owner.append(doc[at])
+            found.append(text[at] * BUCKETS + ((mixed ^ mixed >> np.uint64(29)) * SPREAD >> np.uint64(64 - BITS)).astype(np.int64))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = np.concatenate(owner) * BUCKETS + np.concatenate(found)
+        return np.zeros(0, np.int64)
+    key = np.concatenate(found)
     # Distinct ones: of equal keys only the last written place holds its own number; keys that meet by chance are sorted out below.
     slot = np.empty(1 << max(10, (2 * len(key) - 1).bit_length()), np.int32)
     place = (key.astype(np.uint64) * BASE >> np.uint64(65 - len(slot).bit_length())).astype(np.int64)
     slot[place] = np.arange(len(key), dtype=np.int32)
     kept = slot[place]
-    rest = key[key != key[kept]]
-    distinct = np.concatenate([key[kept == np.arange(len(key))], np.unique(rest)])
-    return distinct % BUCKETS, distinct // BUCKETS
+    return np.concatenate([key[kept == np.arange(len(key))], np.unique(key[key != key[kept]])])
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -172,6 +172,16 @@ def test_op12_grams_are_distinct_and_whole():
     assert counts[3] == len({("é" * 5).join("  ")[i : i + k] for k in toxicity.SIZES for i in range(8 - k)})
 
 
+def test_op12_long_texts_in_pieces(monkeypatch):
+    """Pieces of any size give the n-grams of whole texts; words are never cut."""
+    texts = pa.array(["some words, some more WORDS é " * 40, "", None, "x" * 700 + " y", "tail", " lead"])
+    whole = [sorted(zip(*(x.tolist() for x in toxicity.grams(texts)), strict=True))]
+    for size in (1, 10, 64, 1_000):
+        monkeypatch.setattr(toxicity, "PIECE", size)
+        assert sorted(zip(*(x.tolist() for x in toxicity.grams(texts)), strict=True)) == whole[0]
+    assert {o for _, o in whole[0]} == {0, 3, 4, 5}
+
+
 def test_op12_the_step_finds_the_least_value():
     a = np.diag([1.0, 50.0, 0.2]) + 0.1
     b = np.array([1.0, -2.0, 3.0])
