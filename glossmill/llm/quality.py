@@ -1,9 +1,9 @@
 """Quality rules (operator 4): hashed n-gram log-likelihood ratio of trusted-target and raw-corpus multinomials.
 
 DataFrame functions only. Features are words and pairs of adjacent words, hashed into BUCKETS. The raw multinomial counts all rows of
-the corpus; the target one counts trusted rows (labelled good), at most MAX_TRUSTED of them, chosen by hash. A document's score is its
-mean log ratio per feature; it is kept at a threshold or more if no base rule rejects it. The threshold is fitted to labelled rows that
-the multinomials haven't seen, at most MAX_JUDGED of them: the one that rejects most bad ones, where a good one lost counts LOSS times.
+the corpus; the target one counts all trusted rows (labelled good, but for one in HELD_OUT by hash). A document's score is its mean log
+ratio per feature; it is kept at a threshold or more if no base rule rejects it. The threshold is fitted to all labelled rows that the
+target hasn't seen, bad ones and held-out good ones: the one that rejects most bad ones, where a good one lost counts LOSS times.
 Windows of five words are compared by 64-bit hashes.
 
 Null texts have no words, hence fail the base rule; ids may be null or repeat, as each row is judged alone (a null id is never
@@ -13,16 +13,17 @@ the threshold; columns of any name are kept in `row`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm import columns
-from glossmill.llm.shared import dealt_documents
+from glossmill.llm.shared import dealt_documents, dropped, told_apart, written
 
 BUCKETS = 1 << 14
-MAX_TRUSTED, MAX_JUDGED = 20_000, 2_000
 #: One in HELD_OUT good rows is kept from the multinomials for the threshold.
 HELD_OUT, LOSS, LEAST = 5, 10, -0.5
+#: Bins of scores, which have six decimals, in a unit: a bin has at most 10,000 of them, and all scores lie within a few dozen units.
+BINS = 100
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -60,16 +61,6 @@ def features(hashes: Column) -> Column:
     return F.concat(F.transform(hashes, bucket), pairs)
 
 
-def some_of(ids: DataFrame, most: int) -> DataFrame:
-    """ids (doc_id): all, or where they are too many those with the smallest hashes.
-
-    The share aims 5 percent below `most`, which is then seven standard deviations away, or 20 percent where `most` is small.
-    """
-    n = ids.count()
-    aim = (0.95 if most >= 10_000 else 0.8) * most
-    return ids if n <= most else ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(10**12)) < int(10**12 * aim / n))
-
-
 def labelled_ids(labels: DataFrame, good: bool) -> DataFrame:
     """Ids of rows labelled good and not toxic, or bad. Null ids are left out."""
     rule = "quality = 1 and coalesce(toxic, 0) = 0" if good else "quality = 0"
@@ -81,20 +72,25 @@ def held_out() -> Column:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    return some_of(labelled_ids(labels, True).filter(~held_out()), MAX_TRUSTED)
+    return labelled_ids(labels, True).filter(~held_out())
 
 
 def judged_ids(labels: DataFrame) -> DataFrame:
     """(doc_id, good) of the rows that the threshold is fitted to."""
-    good = some_of(labelled_ids(labels, True).filter(held_out()), MAX_JUDGED // 2)
-    bad = some_of(labelled_ids(labels, False), MAX_JUDGED // 2)
+    good = labelled_ids(labels, True).filter(held_out())
+    bad = labelled_ids(labels, False)
     return good.withColumn("good", F.lit(True)).unionByName(bad.withColumn("good", F.lit(False)))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row, `ratios`: for each bucket the log ratio of its smoothed share in the target and in the raw corpus (0 without target)."""
-    trusted = trusted_ids(labels).withColumn("_good", F.lit(1))
-    marked = docs.select("doc_id", columns.words(F.col("text")).alias("words")).join(F.broadcast(trusted), "doc_id", "left")
+    """One row, `ratios`: for each bucket the log ratio of its smoothed share in the target and in the raw corpus (0 without target).
+
+    Only texts that may be trusted, by a bit table of ids, are shuffled for the join (where Spark plans a shuffle at all).
+    """
+    trusted = trusted_ids(labels)
+    others, likely = told_apart(docs.select("doc_id", "text"), trusted, "doc_id")
+    own = likely.join(trusted.withColumn("_good", F.lit(1)), "doc_id", "left").select("_good", "text")
+    marked = others.select(F.lit(None).cast("int").alias("_good"), "text").unionByName(own).select("_good", columns.words(F.col("text")).alias("words"))
     hashed = marked.select(F.coalesce("_good", F.lit(0)).alias("good"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     grams = hashed.select("good", F.explode(features(F.col("hashes"))).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
@@ -110,26 +106,49 @@ def score(hashes: Column, grams: Column, ratios: Column) -> Column:
     return F.when(F.size(hashes) > 0, F.round(total / F.size(grams), 6)).otherwise(0.0)
 
 
-def threshold(scores: list[tuple[float, bool]]) -> float:
-    """The score from which on documents are kept, from (score, good) of held-out rows: in the middle of the best gap, the lowest of equals."""
-    scores = sorted(scores)
-    good, bad = (max(1, sum(g is kind for _, g in scores)) for kind in (True, False))
-    if len({g for _, g in scores}) < 2:
+def threshold(scores: list[tuple]) -> float:
+    """The score from which on documents are kept, from (score, good) or (score, good, how many) of held-out rows: in the middle of the
+    best gap, the lowest of equals."""
+    scores = sorted((s, g, *(n or [1])) for s, g, *n in scores)
+    good, bad = (sum(n for _, g, n in scores if g is kind) for kind in (True, False))
+    if not good or not bad:
         return LEAST
-    value, best, least = 0.0, 0.0, scores[0][0]
-    for (s, g), (following, _) in zip(scores, [*scores[1:], (scores[-1][0] + 1, True)], strict=True):
-        value += -LOSS / good if g else 1 / bad
+    value, best, least = 0, 0, scores[0][0]
+    for (s, g, n), (following, *_) in zip(scores, [*scores[1:], (scores[-1][0] + 1,)], strict=True):
+        value += -LOSS * n * bad if g else n * good
         if value > best and following > s:
             best, least = value, (s + following) / 2
     return least
 
 
+def cuts(steps: DataFrame, good: int, bad: int) -> DataFrame:
+    """steps (score, good, bad: how many) with at most three rows for each bin of scores, which have the same threshold.
+
+    A bin's best cut is the same whatever lies before the bin. Its first score, the rest up to the cut and the rest beyond it stand
+    for all: any other cut is worse than that one, or equal and above it.
+    """
+    gain = F.col("bad").cast("decimal(19,0)") * F.lit(good) - F.col("good").cast("decimal(19,0)") * F.lit(LOSS * bad)
+    whole = Window.partitionBy("bin")
+    valued = steps.withColumn("bin", F.floor(F.col("score") * BINS)).withColumn("value", F.sum(gain).over(whole.orderBy("score")))
+    best = -F.max(F.struct("value", (-F.col("score")).alias("s"))).over(whole)["s"]
+    marked = valued.select("bin", "score", "good", "bad", best.alias("best"), F.min("score").over(whole).alias("first"))
+    part = F.when(F.col("score") == F.col("first"), 0).when(F.col("score") <= F.col("best"), 1).otherwise(2)
+    sums = marked.groupBy("bin", part.alias("part")).agg(F.min("score").alias("low"), F.max("score").alias("high"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    return sums.select(F.when(F.col("part") == 1, F.col("high")).otherwise(F.col("low")).alias("score"), "good", "bad")
+
+
 def fitted_threshold(docs: DataFrame, labels: DataFrame, ratios: Column) -> float:
-    """One score for each judged id and label comes to the driver, the least of the rows that share the id: at most about MAX_JUDGED."""
-    own = docs.join(F.broadcast(judged_ids(labels)), "doc_id").select("doc_id", "good", columns.words(F.col("text")).alias("words"))
+    """Each judged id and label has one score, the least of the rows that share the id. Only cuts() of them come to the driver."""
+    judged = judged_ids(labels)
+    likely = told_apart(docs.select("doc_id", "text"), judged, "doc_id")[1]
+    own = likely.join(judged, "doc_id").select("doc_id", "good", columns.words(F.col("text")).alias("words"))
     grams = own.select("doc_id", "good", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")).withColumn("grams", features(F.col("hashes")))
     scores = grams.select("doc_id", "good", score(F.col("hashes"), F.col("grams"), ratios).alias("score")).groupBy("doc_id", "good").agg(F.min("score").alias("score"))
-    return threshold([(r.score, r.good) for r in scores.collect()])
+    steps = written(scores.groupBy("score").agg(F.count_if(F.col("good")).alias("good"), F.count_if(~F.col("good")).alias("bad")), "judged-scores")
+    total = steps.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    rows = cuts(steps, total.good or 0, total.bad or 0).collect()
+    dropped(steps)
+    return threshold([(r.score, kind, n) for r in rows for kind, n in ((True, r.good), (False, r.bad)) if n])
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

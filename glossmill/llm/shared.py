@@ -116,11 +116,22 @@ def most_frequent(counts: DataFrame, key: str, most: int, name: str) -> list:
 FILTER_WORDS = 1 << 19
 
 
-def may_hold(keys: DataFrame, *names: str) -> np.ndarray:
-    """A bit table of the key columns' hashes: FILTER_WORDS 64-bit words (4 MB), whatever the number of rows."""
+def bit_of(*names: str) -> tuple[Column, Column]:
+    """(number of the word, the one bit in it) of the key columns' hash in a bit table."""
     h = F.xxhash64(*names)
     bit = F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
-    rows = keys.select(F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    return F.pmod(h, F.lit(FILTER_WORDS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+
+
+def bit_table(keys: DataFrame, *names: str) -> DataFrame:
+    """(w, bits): the words of a bit table of the key columns' hashes, at most FILTER_WORDS rows."""
+    word, bit = bit_of(*names)
+    return keys.select(word.alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+
+
+def may_hold(keys: DataFrame, *names: str) -> np.ndarray:
+    """A bit table of the key columns' hashes: FILTER_WORDS 64-bit words (4 MB), whatever the number of rows."""
+    rows = bit_table(keys, *names).toArrow()
     table = np.zeros(FILTER_WORDS, np.int64)
     table[rows.column("w").to_numpy()] = rows.column("bits").to_numpy()
     return table
@@ -141,3 +152,12 @@ def parted(df: DataFrame, keys: DataFrame, *names: str) -> tuple[DataFrame, Data
         return per_batch(hashed, keep, schema, 10_000)
 
     return part(False), part(True)
+
+
+def told_apart(df: DataFrame, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """As parted(), for one key and without Python workers: the bit table's words are looked up in a bounded broadcast."""
+    word, bit = bit_of(name)
+    own = F.broadcast(bit_table(keys, name).withColumnsRenamed({"w": "_w", "bits": "_bits"}))
+    looked = df.withColumns({"_w": word, "_bit": bit}).join(own, "_w", "left")
+    inside = F.coalesce(F.col("_bits"), F.lit(0)).bitwiseAND(F.col("_bit")) != 0
+    return looked.filter(~inside).select(df.columns), looked.filter(inside).select(df.columns)

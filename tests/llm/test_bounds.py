@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 import time
 from collections import Counter
 
@@ -10,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glossmill.llm import counts, media, quality, substrings
+from glossmill.llm import counts, media, quality, shared, substrings
 from glossmill.llm.bpe import tokenizer, tokenizer_path
 
 
@@ -24,6 +26,48 @@ def test_op4_an_id_that_repeats_sends_one_score(spark, monkeypatch):
     assert seen[0] <= 21
 
 
+def test_op4_all_labelled_rows_are_fitted_to(spark, monkeypatch):
+    ids = spark.range(33_000).select(F.col("id").alias("doc_id"), (F.col("id") < 30_000).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    good = quality.labelled_ids(ids, True)
+    trusted, held = (good.filter(keep).count() for keep in (~quality.held_out(), quality.held_out()))
+    assert trusted > 20_000 and held > 1_000
+    assert (quality.trusted_ids(ids).count(), quality.judged_ids(ids).count()) == (trusted, held + 3_000)
+    seen = []
+    monkeypatch.setattr(quality, "threshold", lambda scores: seen.extend(scores) or 0.0)
+    text = F.concat(F.when(F.col("id") < 30_000, F.lit("good words number ")).otherwise(F.lit("junk # % ")), (F.col("id") % 97).cast("string"))
+    docs = spark.range(33_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    quality.judge(docs, ids)
+    assert {kind: sum(n for _, g, n in seen if g is kind) for kind in (True, False)} == {True: held, False: 3_000}
+    # Both counts of a feature are those of the whole table: "good" is in all good rows, the trusted ones among them.
+    ratios = quality.log_ratios(docs, ids).first().ratios
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit("good")), F.lit(quality.BUCKETS))).first()[0]
+    assert ratios[bucket] == pytest.approx(math.log((trusted + 1) / (7 * trusted + quality.BUCKETS)) - math.log(30_001 / (7 * 33_000 + quality.BUCKETS)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_op4_cuts_have_the_same_threshold(spark, seed):
+    own = random.Random(seed)
+    spread = (0.004, 0.05, 2.0, 0.0)[seed]
+    rows = [(round(own.gauss(0.3 * spread if g else 0, spread), 6 if seed else 3), g) for g in (own.random() < 0.3 for _ in range(1_500))]
+    steps = spark.createDataFrame(rows, "score double, good boolean").groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    good = sum(g for _, g in rows)
+    found = [(r.score, kind, n) for r in quality.cuts(steps, good, len(rows) - good).collect() for kind, n in ((True, r.good), (False, r.bad)) if n]
+    assert quality.threshold(found) == quality.threshold(rows)
+    assert len(found) <= 6 * len({math.floor(s * quality.BINS) for s, _ in rows})
+
+
+@pytest.mark.parametrize("words", [1, 8, shared.FILTER_WORDS])
+def test_rows_told_apart_by_a_bit_table(spark, monkeypatch, words):
+    """A full table only tells less apart: no row is lost, and none with a key in the set is among the others."""
+    monkeypatch.setattr(shared, "FILTER_WORDS", words)
+    rows = spark.createDataFrame([(k if k % 7 else None, f"t{k}") for k in range(-300, 300)], "doc_id long, w string")
+    keys = spark.range(0, 300, 3).select(F.col("id").alias("doc_id"))
+    others, likely = (sorted((r.doc_id or 0, r.w) for r in part.collect()) for part in shared.told_apart(rows, keys, "doc_id"))
+    assert sorted(others + likely) == sorted((k if k % 7 else 0, f"t{k}") for k in range(-300, 300))
+    assert not any(k > 0 and k % 3 == 0 for k, _ in others)
+    assert len(others) > 450 if words == shared.FILTER_WORDS > 8 else True
+
+
 def test_op8_one_long_piece_takes_seconds():
     path = tokenizer_path("byte_bpe_50k.json")
     counter = counts.Counter(path, counts.Lengths(["a", " the"], [1, 1]))
