@@ -1,8 +1,8 @@
 """BPE encoding and decoding (operator 7) over a minimal acyclic transducer of frequent words.
 
-Frequent words, from a bounded sample of texts, are compiled into a shared-suffix automaton whose arcs carry counts, so that a word's
+The most frequent words of the whole table are compiled into a shared-suffix automaton whose arcs carry counts, so that a word's
 path adds up to its rank, and ranks point at id sequences. The automaton travels as one bounded byte string (max_words is a
-parameter), each worker maps it from a file of its own, and words outside it are merged exactly. The sample only decides which words
+parameter), each worker maps it from a file of its own, and words outside it are merged exactly. The counts only decide which words
 are looked up early, never a result.
 
 Texts are split into words by a pattern where all their characters are ones for which it is known to split as the tokenizer does, and
@@ -20,7 +20,7 @@ import os
 import re
 import tempfile
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm.merges import Merger, byte_names, coded
-from glossmill.llm.shared import dealt_documents, per_batch
+from glossmill.llm.shared import dealt_documents, give_back, most_frequent, per_batch, slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -39,8 +39,8 @@ LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 DIGITS = "0-9²³¹¼½¾"
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\\s{LETTERS}{DIGITS}]+")
 MAX_CACHED = 400_000
-#: Texts of the sample that frequent words come from: about SAMPLE, at most twice as many, each of at most SAMPLE_CHARS characters.
-SAMPLE, SAMPLE_CHARS = 2_048, 16_384
+#: Characters of the longest pieces that are counted for a table of frequent ones.
+MAX_PIECE = 64
 
 _tokenizers: dict = {}
 
@@ -81,15 +81,32 @@ def words_of(own, text: str) -> list[str] | None:
 
 
 def frequent(df: DataFrame, split: Callable[[str], list[str] | None], max_pieces: int) -> list[str]:
-    """The most frequent pieces of the column `text`, at most max_pieces of them, counted on the driver over a bounded sample of texts
-    (see SAMPLE): nothing is shuffled, and the choice only decides which pieces are looked up early, never a result."""
-    share = min(1.0, SAMPLE / max(1, df.count()))
-    rows = df.select("text").filter(F.length("text").between(1, SAMPLE_CHARS))
-    seen: Counter[str] = Counter()
-    for row in rows.sample(share, seed=7).limit(2 * SAMPLE).collect():
-        seen.update(split(row.text) or ())
-    ordered = sorted((-n, p) for p, n in seen.items() if len(p) <= 64)
-    return sorted(p for _, p in ordered[:max_pieces])
+    """The most frequent pieces of the column `text` over all rows, at most max_pieces of them, of at most MAX_PIECE characters.
+
+    Tasks count the pieces of their own rows, up to MAX_CACHED at a time, and only those counts are shuffled.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def given() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for part in slices(batch, 500):
+                own: Counter[str] = Counter()
+                for text in part.column("text").to_pylist():
+                    own.update(split(text) or ())
+                seen.update({p: n for p, n in own.items() if len(p) <= MAX_PIECE})
+                if len(seen) > MAX_CACHED:
+                    yield given()
+        yield given()
+        give_back()
+
+    counted = df.select("text").filter("text is not null").mapInArrow(count, "piece string, n long")
+    return most_frequent(counted.groupBy("piece").agg(F.sum("n").alias("n")), "piece", max_pieces, "frequent-pieces")
 
 
 class Lexicon:
@@ -272,7 +289,7 @@ def bpe_codes(docs: DataFrame, path: str, max_words: int = 65_536, id_col: str =
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     own = tokenizer(path)
-    words, ids, ends = coded(Merger(own), own, frequent(rows, lambda text: words_of(own, text), max_words))
+    words, ids, ends = coded(Merger(own), own, frequent(rows, lambda text: words_of(tokenizer(path), text), max_words))
     data = Lexicon.compile(words, [x.tolist() for x in np.split(ids, ends[:-1])] if words else [])
     name = hashlib.sha256(data).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(data)

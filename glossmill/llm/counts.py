@@ -1,7 +1,7 @@
 """Token counts (operator 8): a map-side two-tier lookup of pre-token lengths.
 
-Tier one is a compact hash table of frequent pre-tokens and their lengths in tokens, from a bounded sample of texts, broadcast
-(max_pieces bounds it). Tier two is each worker's cache, filled by exact merging. Pre-tokens are never shuffled.
+Tier one is a compact hash table of the whole table's most frequent pre-tokens and their lengths in tokens, broadcast (max_pieces
+bounds it). Tier two is each worker's cache, filled by exact merging. Pre-tokens are never shuffled, but for tasks' counts of them.
 
 Texts are split into pre-tokens by a pattern where it is known to split as the tokenizer does, and by the tokenizer's own splitter
 where a text has other characters; only texts with a string that may be a special token go through the tokenizer whole.
@@ -20,12 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.bpe import DIGITS, LETTERS, MAX_CACHED, ODD, SPECIAL, frequent, library_pieces, tokenizer, tokenizer_path
+from glossmill.llm.bpe import DIGITS, LETTERS, MAX_CACHED, MAX_PIECE, ODD, SPECIAL, frequent, library_pieces, tokenizer, tokenizer_path
 from glossmill.llm.merges import Merger, coded
 from glossmill.llm.shared import dealt_documents, per_batch, utf8
 
-#: Characters of the longest pieces that may be in the table: hashing takes a step per byte of the longest.
-MAX_PIECE = 64
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\\s{LETTERS}{DIGITS}]+|\\s+(?!\\S)|\\s+")
 
 
@@ -101,7 +99,7 @@ def token_counts(docs: DataFrame, path: str, max_pieces: int = 65_536, limit: in
     """doc_id, n_bytes, n_tokens and over_limit of every whole text (null: no tokens)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     own = tokenizer(path)
-    pieces, _, ends = coded(Merger(own), own, frequent(rows, lambda text: pieces_of(own, text), max_pieces))
+    pieces, _, ends = coded(Merger(own), own, frequent(rows, lambda text: pieces_of(tokenizer(path), text), max_pieces))
     table = Lengths(pieces, np.diff(ends, prepend=0).tolist())
     name = uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(table)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glossmill.llm import counts, media, quality, shared, substrings
+from glossmill.llm import bpe, counts, media, quality, shared, substrings
 from glossmill.llm.bpe import tokenizer, tokenizer_path
 
 
@@ -68,6 +68,22 @@ def test_rows_told_apart_by_a_bit_table(spark, monkeypatch, words):
     assert len(others) > 450 if words == shared.FILTER_WORDS > 8 else True
 
 
+def test_op7_op8_frequent_pieces_are_counted_over_all_rows(spark, monkeypatch):
+    """Also those of long texts, of more rows than any sample had, and of tasks that give out their counts many times."""
+    rows = [(k, " ".join(f"w{k * j % 211}" for j in range(12))) for k in range(6_000)] + [(None, "longest " * 9_000), (1, None), (2, ""), (3, "x" * 65 + " y" * 65)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (0, 1, 40, 1_000):
+        if most == 1_000:
+            monkeypatch.setattr(bpe, "MAX_CACHED", 50)
+        own = Counter(p for _, t in rows for p in (t or "").split() if len(p) <= 64)
+        found = bpe.frequent(df, str.split, most)
+        assert found == sorted(found) and len(found) <= most and (most < 1_000 or set(found) == set(own))
+        least = min((own[p] for p in found), default=0)
+        # What is left out is less frequent, or as frequent within the level at which the number is met.
+        assert all(own[p] <= least for p in own.keys() - set(found)) if found else most <= 1
+    assert "longest" in bpe.frequent(df, str.split, 40)
+
+
 def test_op8_one_long_piece_takes_seconds():
     path = tokenizer_path("byte_bpe_50k.json")
     counter = counts.Counter(path, counts.Lengths(["a", " the"], [1, 1]))
